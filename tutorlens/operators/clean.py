@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..config import (ATTENDANCE_REQUIRED, DEFAULT_COURSE, DEFAULT_EVALUATION, GRADE_COLUMN_ALTERNATIVES,
                       GRADES_REQUIRED, ID_PREFIX, SENSITIVE_COLUMNS)
-from ..functions.scalars import (format_student_id, grade_in_range, normalize_competency, parse_bool,
-                                 parse_date, parse_grade, parse_weight)
+from ..functions.scalars import (format_student_id, grade_in_range, normalize_competency, null_tokens,
+                                 parse_bool, parse_date, parse_grade, parse_weight)
 from .ordered import dense_index
 
 RID = "_rid"
@@ -30,6 +31,12 @@ def _dtype(df: DataFrame, name: str):
 # schema-level steps
 # ---------------------------------------------------------------------------
 
+def apply_null_tokens(df: DataFrame, tokens: list[str] | None = None) -> DataFrame:
+    """Null tokens -> null in every string column (what the CSV reader does)."""
+    cols = {f.name: null_tokens(f.name, tokens) for f in df.schema.fields if isinstance(f.dataType, StringType)}
+    return df.withColumns(cols) if cols else df
+
+
 def trim_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
 

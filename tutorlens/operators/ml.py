@@ -7,6 +7,7 @@ become literals (means, deviations) are one-row aggregates.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,11 +29,14 @@ def features(students: DataFrame) -> DataFrame:
     return students.select(KEY, *[F.col(c).cast("double").alias(c) for c in feature_columns(students)])
 
 
-def impute_mean(feats: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def impute_mean(feats: DataFrame, cols: list[str] | None = None, resolution: int = 100) -> DataFrame:
     """Missing feature values -> the column mean (one aggregate for all columns).
-    A column with no values at all is left as it is."""
+    A column with no values at all is left as it is. Like ``standardize`` the
+    sum is exact over fixed-point units of 1/``resolution``."""
     cols = cols or [c for c in feats.columns if c != KEY]
-    means = feats.agg(*[F.avg(c).alias(c) for c in cols]).first().asDict()
+    r = float(resolution)
+    means = feats.agg(*[(F.sum(F.rint(F.col(c) * F.lit(r)).cast("decimal(38,0)")).cast("double")
+                         / F.count(c).cast("double") / F.lit(r)).alias(c) for c in cols]).first().asDict()
     fills = {c: F.coalesce(F.col(c), F.lit(means[c])) for c in cols if means[c] is not None}
     return feats.withColumns(fills) if fills else feats
 
@@ -59,7 +63,7 @@ def standardize(feats: DataFrame, cols: list[str] | None = None, resolution: int
             continue
         mean = float(s) / n / r
         var_num = n * q - s * s              # exact integers: n^2 * var * r^2
-        std = (float(var_num) ** 0.5) / n / r
+        std = math.sqrt(float(var_num)) / n / r
         out[c] = F.lit(0.0) if var_num == 0 else (F.col(c) - F.lit(mean)) / F.lit(std)
     return feats.withColumns(out)
 

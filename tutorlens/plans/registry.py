@@ -108,7 +108,7 @@ def q_normalize_competency(spark, sf):
 
 @query("filter_grade_range")
 def q_filter_grade_range(spark, sf):
-    t = clean.map_columns(td.grades_text(spark, sf))
+    t = clean.map_columns(clean.apply_null_tokens(td.grades_text(spark, sf)))
     parsed = clean.parse_grades(t)
     return clean.filter_grade_range(parsed).select(
         F.col("_rid.l_orderkey").alias("l_orderkey"), F.col("_rid.l_linenumber").alias("l_linenumber"), "Nota")
@@ -148,23 +148,24 @@ def q_anonymize(spark, sf):
 
 @query("load_attendance")
 def q_load_attendance(spark, sf):
-    return clean.prepare_attendance(td.attendance_text(spark, sf)).select(*ATT_COLS, "Observaciones")
+    return clean.prepare_attendance(clean.apply_null_tokens(td.attendance_text(spark, sf))).select(
+        *ATT_COLS, "Observaciones")
 
 
 @query("load_grades")
 def q_load_grades(spark, sf):
-    return clean.prepare_grades(td.grades_text(spark, sf)).select(*GRADE_COLS)
+    return clean.prepare_grades(clean.apply_null_tokens(td.grades_text(spark, sf))).select(*GRADE_COLS)
 
 
 @query("quality_attendance")
 def q_quality_attendance(spark, sf):
-    return clean.attendance_quality(td.attendance_text(spark, sf))
+    return clean.attendance_quality(clean.apply_null_tokens(td.attendance_text(spark, sf)))
 
 
 @query("quality_grades")
 def q_quality_grades(spark, sf):
     return clean.grade_quality(clean.gen_evaluation(clean.gen_course_id(clean.gen_student_id(
-        clean.map_columns(td.grades_text(spark, sf))))))
+        clean.map_columns(clean.apply_null_tokens(td.grades_text(spark, sf)))))))
 
 
 @query("load_stats_attendance")
@@ -238,7 +239,7 @@ def q_trend_grades(spark, sf):
 @query("trend_grades_text")
 def q_trend_grades_text(spark, sf):
     """Trend over grades loaded from text: missing dates sort last."""
-    return metrics.grade_trend(clean.prepare_grades(td.grades_text(spark, sf)))
+    return metrics.grade_trend(clean.prepare_grades(clean.apply_null_tokens(td.grades_text(spark, sf))))
 
 
 @query("current_course")
