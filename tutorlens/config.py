@@ -96,9 +96,13 @@ NULL_TOKENS = [
     "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
-# Accepted date shapes, day-first (Spark datetime patterns, one digit or two).
+# Accepted date shapes, day-first (Spark datetime patterns, one digit or two),
+# with the regular expression of the text each one reads.
 DATE_FORMATS = ["yyyy-M-d", "d/M/yyyy", "d-M-yyyy", "yyyy/M/d", "d.M.yyyy"]
+DATE_SHAPES = [r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}", r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}", r"[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}",
+               r"[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}", r"[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}"]
 TIMESTAMP_SUFFIXES = [" H:m:s", " H:m", "'T'H:m:s"]
+TIMESTAMP_SUFFIX_SHAPES = [r" [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}", r" [0-9]{1,2}:[0-9]{1,2}", r"T[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}"]
 
 DEFAULT_COURSE = "CURSO01"
 DEFAULT_EVALUATION = "Eval1"

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (BooleanType, DataType, DateType, NumericType, StringType,
                                TimestampNTZType, TimestampType)
 
-from ..config import (DATE_FORMATS, DEFAULT_THRESHOLDS, LEVEL_CODE, LEVELS_BY_SEVERITY, NO_DATA,
-                      NULL_TOKENS, TIMESTAMP_SUFFIXES, TRUE_TOKENS)
+from ..config import (DATE_FORMATS, DATE_SHAPES, DEFAULT_THRESHOLDS, LEVEL_CODE, LEVELS_BY_SEVERITY, NO_DATA,
+                      NULL_TOKENS, TIMESTAMP_SUFFIX_SHAPES, TIMESTAMP_SUFFIXES, TRUE_TOKENS)
 
 ColumnOrName = Column | str
 
@@ -178,23 +178,45 @@ def parse_weight(c: ColumnOrName, dtype: DataType | None = None) -> Column:
     return F.coalesce(parse_number(c, dtype), F.lit(1.0))
 
 
+# Characters removed around competency codes: every character Python's
+# ``str.isspace`` accepts.
+WHITESPACE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+              "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def normalize_competency(c: ColumnOrName) -> Column:
-    """UPPER then strip surrounding whitespace."""
-    return F.regexp_replace(F.upper(_col(c)), r"^\s+|\s+$", "")
+    """UPPER then strip surrounding whitespace. Plain spaces go with ``trim``;
+    the full whitespace set is only applied when an end character needs it."""
+    t = F.trim(F.upper(_col(c)))
+    ws = list(WHITESPACE)
+    edge = F.substring(t, 1, 1).isin(ws) | F.substring(t, -1, 1).isin(ws)
+    return F.when(edge, F.btrim(t, F.lit(WHITESPACE))).otherwise(t)
+
+
+def _shaped_parse(t: Column, with_time_of_day: bool) -> Column:
+    """One parse per row: the text's shape (a cheap regex) picks the single
+    pattern that can read it. Failed ``try_to_*`` calls are costly (an
+    exception each), so no pattern is tried on text of another shape."""
+    expr = None
+    for fmt, shape in zip(DATE_FORMATS, DATE_SHAPES):
+        d = F.try_to_date(t, fmt)
+        branch = (t.rlike(f"^{shape}$"), d.cast("timestamp") if with_time_of_day else d)
+        expr = F.when(*branch) if expr is None else expr.when(*branch)
+        for suf, suf_shape in zip(TIMESTAMP_SUFFIXES, TIMESTAMP_SUFFIX_SHAPES):
+            ts = F.try_to_timestamp(t, F.lit(fmt + suf))
+            expr = expr.when(t.rlike(f"^{shape}{suf_shape}$"), ts if with_time_of_day else ts.cast("date"))
+    return expr
 
 
 def parse_date(c: ColumnOrName, dtype: DataType | None = None) -> Column:
-    """Text -> date, trying each accepted shape (day first); a time part is
+    """Text -> date in one of the accepted shapes (day first); a time part is
     accepted and dropped; anything else -> null."""
     c = _col(c)
     if isinstance(dtype, DateType):
         return c
     if isinstance(dtype, (TimestampType, TimestampNTZType)):
         return c.cast("date")
-    t = F.trim(c.cast("string"))
-    tries = [F.try_to_date(t, f) for f in DATE_FORMATS]
-    tries += [F.try_to_timestamp(t, F.lit(f + s)).cast("date") for f in DATE_FORMATS for s in TIMESTAMP_SUFFIXES]
-    return F.coalesce(*tries)
+    return _shaped_parse(F.trim(c.cast("string")), with_time_of_day=False)
 
 
 def parse_datetime(c: ColumnOrName, dtype: DataType | None = None) -> Column:
@@ -202,10 +224,7 @@ def parse_datetime(c: ColumnOrName, dtype: DataType | None = None) -> Column:
     c = _col(c)
     if isinstance(dtype, (DateType, TimestampType, TimestampNTZType)):
         return c.cast("timestamp")
-    t = F.trim(c.cast("string"))
-    tries = [F.try_to_timestamp(t, F.lit(f + s)) for f in DATE_FORMATS for s in TIMESTAMP_SUFFIXES]
-    tries += [F.try_to_date(t, f).cast("timestamp") for f in DATE_FORMATS]
-    return F.coalesce(*tries)
+    return _shaped_parse(F.trim(c.cast("string")), with_time_of_day=True)
 
 
 def format_student_id(rank: ColumnOrName, prefix: str = "EST", width: int = 4) -> Column:

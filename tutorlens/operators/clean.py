@@ -8,7 +8,7 @@ right after the scan, before any shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -108,17 +108,16 @@ def gen_student_id(df: DataFrame) -> DataFrame:
 
 def dedup_first(df: DataFrame, keys: list[str], order_col: str = RID) -> DataFrame:
     """Keep the first row (lowest ``order_col``) of each key; nulls in a key are
-    equal to each other. Written as an aggregate (``min_by``) so each map task
-    keeps one row per key before the shuffle: a key with millions of copies
-    does not reach one task whole."""
+    equal to each other.
+
+    Written as ``row_number() == 1``: Spark plans it with a partial
+    ``WindowGroupLimit`` before the shuffle, so every map task keeps one row
+    per key and a key with millions of copies never reaches one task whole."""
     keys = [k for k in keys if k in df.columns]
     if not keys:
         return df
-    rest = [c for c in df.columns if c not in keys]
-    if not rest:
-        return df.dropDuplicates(keys)
-    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order_col)).alias("_first"))
-    return first.select(*keys, *[F.col(f"_first.`{c}`").alias(c) for c in rest]).select(*df.columns)
+    w = Window.partitionBy(*keys).orderBy(F.col(order_col).asc())
+    return df.withColumn("_first_rn", F.row_number().over(w)).where(F.col("_first_rn") == 1).drop("_first_rn")
 
 
 # ---------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT_COURSE, NO_DATA, PREFIX_RENAMES
 from ..functions.scalars import risk_combined
-from .metrics import KEY, current_course, current_course_grades
+from .metrics import KEY, attendance_profile, current_course, current_course_grades, grade_profile
 
 # Defaults for a student missing one side (values as the analysis fills them).
 SIDE_DEFAULTS = {
@@ -61,6 +61,18 @@ def assign_course(students: DataFrame, att: DataFrame, gr: DataFrame | None = No
     return out.withColumn("CursoID", F.coalesce(F.col("CursoID"), F.lit(DEFAULT_COURSE)))
 
 
+def student_table(att: DataFrame, gr: DataFrame, th: dict | None = None,
+                  missing_as_null: bool = False) -> DataFrame:
+    """One row per student from the cleaned tables: both sides (one sweep each),
+    full outer join, defaults, final level, and the course (last attendance
+    course, else last grade course, else CURSO01)."""
+    ap = attendance_profile(att, th).withColumnRenamed("CursoID", "_curso_asist")
+    gp = grade_profile(gr, th).withColumnRenamed("CursoID", "_curso_rend")
+    out = combine_students(ap, gp, missing_as_null)
+    return (out.withColumn("CursoID", F.coalesce(F.col("_curso_asist"), F.col("_curso_rend"), F.lit(DEFAULT_COURSE)))
+            .drop("_curso_asist", "_curso_rend"))
+
+
 def classify_students(att_metrics: DataFrame, grade_metrics: DataFrame) -> DataFrame:
     """Eight-column classification: levels of both sides (SIN_DATOS if missing),
     final level, %, mean mark (0.0 if missing) and both trends."""

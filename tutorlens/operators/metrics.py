@@ -1,20 +1,24 @@
 """Per-student metrics: attendance counts, weighted marks, trends, current course.
 
-All per-student results are plain ``groupBy('IDEstudiante')`` aggregates (Spark
-adds the map-side partial aggregation), so a student with a huge number of
-rows is reduced inside every map task before the shuffle. The trend needs row
-positions in date order; those come from ``ordered.position_sums``, which
-range-partitions instead of windowing per student.
+Each side of the analysis is computed in one sweep over its cleaned table
+(``attendance_profile`` / ``grade_profile``): rows are range-partitioned on
+(student, date, input order) and numbered (``ordered.range_numbered``), every
+(student, range) pair is reduced to partial sums, and the partials of a student
+are merged. One shuffle of the big table, no task ever holds a whole student,
+and the counts, the trend and the last course all come out of the same pass.
+
+The narrower functions (``attendance_counts``, ``grade_aggregates``, ``trend``,
+``current_course``...) are plain aggregates for when only one of them is needed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_THRESHOLDS
 from ..functions.scalars import risk_attendance, risk_grade, round2
-from .ordered import position_sums
+from .ordered import earlier_rows, position_sums, range_numbered
 
 KEY = "IDEstudiante"
 RID = "_rid"
@@ -29,9 +33,10 @@ def _has_date(df: DataFrame, col: str = "Fecha") -> bool:
 
 
 def input_order(df: DataFrame, date_col: str | None = "Fecha") -> list[Column]:
-    """Date ascending with missing dates last, then input order."""
+    """Date ascending with missing dates last, then input order. Without a
+    date column the series is in input order (its trend is ESTABLE anyway)."""
     order = []
-    if date_col and date_col in df.columns:
+    if date_col and _has_date(df, date_col):
         order.append(F.col(date_col).asc_nulls_last())
     order.append(F.col(RID).asc())
     return order
@@ -56,10 +61,116 @@ def trend_label(n: Column, y_sum: Column, y_min: Column, y_max: Column, xy_sum:
             .otherwise(F.lit("ESTABLE")))
 
 
+# ---------------------------------------------------------------------------
+# one-sweep profiles
+# ---------------------------------------------------------------------------
+
+def _sweep(df: DataFrame, order: list[Column]) -> DataFrame:
+    return range_numbered(df.where(F.col(KEY).isNotNull()), [F.col(KEY).asc()] + order)
+
+
+def _pos_partials(y: Column) -> list[Column]:
+    """Partials for the trend of y: sum, sum of row*y, first row, min, max."""
+    return [F.sum(y).alias("_sy"), F.sum(y * F.col("_row")).alias("_sry"), F.min("_row").alias("_row0"),
+            F.min(y).alias("_ymin"), F.max(y).alias("_ymax")]
+
+
+def _shifted_xy() -> Column:
+    """sum of x*y of a (student, range) with x counted from the student's first row."""
+    return (F.col("_sry") - F.col("_row0").cast("double") * F.col("_sy")
+            + F.col("_off").cast("double") * F.col("_sy"))
+
+
+def attendance_profile(att: DataFrame, th: dict | None = None) -> DataFrame:
+    """Per student: attendance metrics, trend, and the course of the last row in
+    (date, input) order (``CursoID``)."""
+    t = _th(th)
+    has_date = _has_date(att)
+    late = F.col("Retraso") if "Retraso" in att.columns else F.lit(False)
+    excused = F.col("FaltaJustificada") if "FaltaJustificada" in att.columns else F.lit(False)
+    y = F.col("Presente").cast("double")
+    course = F.col("CursoID") if "CursoID" in att.columns else F.lit(None).cast("string")
+    num = _sweep(att.withColumn("_course", course), input_order(att))
+    parts = num.groupBy(KEY, "_range").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(F.col("Presente")).alias("_asis"),
+        F.count_if(late).alias("_late"), F.count_if(~F.col("Presente") & excused).alias("_just"),
+        *_pos_partials(y), F.max_by("_course", "_row").alias("_last_course"))
+    parts = parts.withColumn("_off", earlier_rows(KEY))
+    g = parts.groupBy(KEY).agg(
+        F.sum("_n").alias("sesiones_totales"), F.sum("_asis").alias("asistencias"),
+        F.sum("_late").alias("retrasos"), F.sum("_just").alias("faltas_justificadas"),
+        F.sum("_sy").alias("_sy"), F.sum(_shifted_xy()).alias("_sxy"),
+        F.min("_ymin").alias("_ymin"), F.max("_ymax").alias("_ymax"),
+        F.max_by("_last_course", "_range").alias("CursoID"))
+    pct = round2(F.col("asistencias").cast("double") / F.col("sesiones_totales").cast("double") * F.lit(100.0))
+    trend = (trend_label(F.col("sesiones_totales"), F.col("_sy"), F.col("_ymin"), F.col("_ymax"), F.col("_sxy"), t)
+             if has_date else F.lit("ESTABLE"))
+    return g.select(
+        KEY, "sesiones_totales", "asistencias", "retrasos",
+        (F.col("sesiones_totales") - F.col("asistencias")).alias("faltas"),
+        pct.alias("porcentaje_asistencia"), "faltas_justificadas",
+        (F.col("sesiones_totales") - F.col("asistencias") - F.col("faltas_justificadas")).alias("faltas_injustificadas"),
+        risk_attendance(pct, t).alias("nivel_riesgo"), trend.alias("tendencia"), "CursoID")
+
+
+def grade_profile(gr: DataFrame, th: dict | None = None, weighted: bool = True) -> DataFrame:
+    """Per student: grade metrics, trend (rows in date order), and the course of
+    the last row in input order (``CursoID``).
+
+    The sample deviation merges per-range (count, mean, M2) with the parallel
+    variance formula, so it is as stable as Spark's own ``stddev_samp``."""
+    t = _th(th)
+    has_date = _has_date(gr)
+    nota = F.col("Nota")
+    peso = F.col("Peso") if (weighted and "Peso" in gr.columns) else F.lit(1.0)
+    course = F.col("CursoID") if "CursoID" in gr.columns else F.lit(None).cast("string")
+    num = _sweep(gr.withColumn("_course", course).withColumn("_w", peso.cast("double")), input_order(gr))
+    parts = num.groupBy(KEY, "_range").agg(
+        F.count(F.lit(1)).alias("_n"), F.count(nota).alias("_cnt"),
+        F.sum(nota * F.col("_w")).alias("_swy"), F.sum("_w").alias("_sw"),
+        F.avg(nota).alias("_mean"), (F.var_pop(nota) * F.count(nota)).alias("_m2"),
+        *_pos_partials(nota), F.max(RID).alias("_rid_max"), F.max_by("_course", RID).alias("_last_course"))
+    by_key = Window.partitionBy(KEY)
+    parts = (parts.withColumn("_off", earlier_rows(KEY))
+             .withColumn("_gmean", F.sum(F.col("_mean") * F.col("_cnt")).over(by_key) / F.sum("_cnt").over(by_key)))
+    g = parts.groupBy(KEY).agg(
+        F.sum("_cnt").alias("n_evaluaciones"), F.sum("_n").alias("_n"),
+        F.try_divide(F.sum("_swy"), F.sum("_sw")).alias("_wmean"),
+        (F.sum("_m2") + F.sum(F.col("_cnt") * (F.col("_mean") - F.col("_gmean")) ** 2)).alias("_m2"),
+        F.min("_ymin").alias("_min"), F.max("_ymax").alias("_max"),
+        F.sum("_sy").alias("_sy"), F.sum(_shifted_xy()).alias("_sxy"),
+        F.max_by("_last_course", "_rid_max").alias("CursoID"))
+    std = F.when(F.col("n_evaluaciones") > 1,
+                 F.sqrt(F.col("_m2") / (F.col("n_evaluaciones") - F.lit(1)).cast("double")))
+    mean = round2("_wmean")
+    trend = (trend_label(F.col("_n"), F.col("_sy"), F.col("_min"), F.col("_max"), F.col("_sxy"), t)
+             if has_date else F.lit("ESTABLE"))
+    return g.select(
+        KEY, "n_evaluaciones", mean.alias("nota_media"), F.coalesce(round2(std), F.lit(0.0)).alias("nota_std"),
+        round2("_min").alias("nota_min"), round2("_max").alias("nota_max"),
+        risk_grade(mean, t).alias("nivel_riesgo"),
+        F.coalesce(mean >= F.lit(float(t["nota_aprobado"])), F.lit(False)).alias("aprobado"),
+        trend.alias("tendencia"), "CursoID")
+
+
+def attendance_metrics(att: DataFrame, th: dict | None = None) -> DataFrame:
+    """Attendance metrics + trend per student (one sweep)."""
+    return attendance_profile(att, th).drop("CursoID")
+
+
+def grade_metrics(gr: DataFrame, th: dict | None = None) -> DataFrame:
+    """Grade metrics + trend per student (one sweep)."""
+    return grade_profile(gr, th).drop("CursoID")
+
+
+# ---------------------------------------------------------------------------
+# single-purpose aggregates
+# ---------------------------------------------------------------------------
+
 def trend(df: DataFrame, value: Column, th: dict | None = None, date_col: str = "Fecha",
           out_col: str = "tendencia") -> DataFrame:
     """Per student: trend of ``value`` over rows ordered by (date, input order).
-    Without a date column every student is ESTABLE (only the keys are produced)."""
+    Without a date column every student is ESTABLE."""
     keyed = df.where(F.col(KEY).isNotNull())
     if not _has_date(df, date_col):
         return keyed.select(KEY).distinct().withColumn(out_col, F.lit("ESTABLE"))
@@ -97,14 +208,6 @@ def attendance_counts(att: DataFrame, th: dict | None = None) -> DataFrame:
     ).withColumn("nivel_riesgo", risk_attendance("porcentaje_asistencia", th))
 
 
-def attendance_metrics(att: DataFrame, th: dict | None = None) -> DataFrame:
-    """attendance_counts + trend (ESTABLE when there is no date)."""
-    counts = attendance_counts(att, th)
-    tr = attendance_trend(att, th)
-    return (counts.join(tr, KEY, "left")
-            .withColumn("tendencia", F.coalesce(F.col("tendencia"), F.lit("ESTABLE"))))
-
-
 def grade_aggregates(gr: DataFrame, th: dict | None = None, weighted: bool = True) -> DataFrame:
     """n, weighted mean sum(Nota*Peso)/sum(Peso) (null when the weights add to 0),
     sample std (0 for one mark), min, max, all rounded to 2dp; level; pass flag
@@ -129,13 +232,6 @@ def grade_aggregates(gr: DataFrame, th: dict | None = None, weighted: bool = Tru
                                                F.lit(False))))
 
 
-def grade_metrics(gr: DataFrame, th: dict | None = None) -> DataFrame:
-    aggs = grade_aggregates(gr, th)
-    tr = grade_trend(gr, th)
-    return (aggs.join(tr, KEY, "left")
-            .withColumn("tendencia", F.coalesce(F.col("tendencia"), F.lit("ESTABLE"))))
-
-
 def current_course(att: DataFrame) -> DataFrame:
     """Course of each student's last attendance row in (date, input) order, missing dates last."""
     last = F.struct(F.col("Fecha").isNull(), F.col("Fecha"), F.col(RID)) if "Fecha" in att.columns else F.col(RID)

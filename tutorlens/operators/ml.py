@@ -144,17 +144,25 @@ def _vectors(feats_scaled: DataFrame, cols: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep").transform(feats_scaled)
 
 
-def fit_best_kmeans(vec: DataFrame, k: int, seed: int, n_init: int = 10, max_iter: int = 300, tol: float = 1e-4):
-    """``n_init`` K-Means fits with seeds seed..seed+n_init-1; lowest training cost wins."""
+def fit_best_kmeans(vec: DataFrame, k: int, seed: int, n_init: int = 10, max_iter: int = 300, tol: float = 1e-4,
+                    parallelism: int | None = None):
+    """``n_init`` K-Means fits with seeds seed..seed+n_init-1; lowest training
+    cost wins (ties: lowest seed). The fits are independent Spark jobs, so they
+    are submitted from a few driver threads at once and share the cluster."""
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark.ml.clustering import KMeans
-    best = None
-    for i in range(n_init):
+
+    def fit(i):
         model = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol, featuresCol="features",
                        predictionCol="Cluster").fit(vec)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (model, cost)
-    return best
+        return i, model, model.summary.trainingCost
+
+    workers = max(1, min(n_init, parallelism or 4))
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        fits = list(pool.map(fit, range(n_init)))
+    _, model, cost = min(fits, key=lambda f: (f[2], f[0]))
+    return model, cost
 
 
 def silhouette_sq(pred: DataFrame) -> float:

@@ -21,6 +21,19 @@ _ROW_BITS = 33
 _ROW_MASK = (1 << _ROW_BITS) - 1
 
 
+def range_numbered(df: DataFrame, sort: list[Column], num_ranges: int | None = None) -> DataFrame:
+    """Range-partition on ``sort``, sort inside each range, and number the rows:
+    ``_range`` (range index, ascending with the sort) and ``_row`` (position
+    inside the range)."""
+    return _numbered(df, sort, num_ranges)
+
+
+def earlier_rows(key: str) -> Column:
+    """Over one row per (key, _range) carrying ``_n``: rows of the key in earlier ranges."""
+    w = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("_n").over(w), F.lit(0))
+
+
 def _numbered(df: DataFrame, sort: list[Column], num_ranges: int | None) -> DataFrame:
     ranged = df.repartitionByRange(num_ranges, *sort) if num_ranges else df.repartitionByRange(*sort)
     return (ranged.sortWithinPartitions(*sort)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import thresholds as make_thresholds
 from ..operators.clean import clean_attendance, clean_grades
-from ..operators.combine import assign_course, combine_students
+from ..operators.combine import student_table as _student_table
 from ..operators.courses import course_metrics, risk_distribution, summary
 from ..operators.metrics import attendance_metrics, grade_metrics
 
@@ -36,10 +36,7 @@ def student_table(att: DataFrame, gr: DataFrame, th: dict | None = None,
                   missing_as_null: bool = False) -> DataFrame:
     """Cleaned attendance + cleaned grades -> one row per student with both
     sides, final level and course."""
-    th = make_thresholds(th)
-    am = attendance_metrics(att, th)
-    gm = grade_metrics(gr, th)
-    return assign_course(combine_students(am, gm, missing_as_null), att, gr)
+    return _student_table(att, gr, make_thresholds(th), missing_as_null)
 
 
 def analyze(att_clean: DataFrame, gr_clean: DataFrame, th: dict | None = None,
@@ -52,7 +49,7 @@ def analyze(att_clean: DataFrame, gr_clean: DataFrame, th: dict | None = None,
         gr_clean = gr_clean.where(F.col("CursoID") == F.lit(course))
     am = attendance_metrics(att_clean, th)
     gm = grade_metrics(gr_clean, th)
-    students = assign_course(combine_students(am, gm, missing_as_null), att_clean, gr_clean)
+    students = _student_table(att_clean, gr_clean, th, missing_as_null)
     return AnalysisResult(th, att_clean, gr_clean, am, gm, students, course_metrics(students),
                           summary(students), risk_distribution(students))
 

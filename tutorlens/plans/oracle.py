@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from ..config import (COMPETENCIES, DISTRIBUTION_LABELS, GENERAL_RECOMMENDATIONS, NULL_TOKENS, RECOMMENDATIONS,
                       RISK_LEVELS, TRUE_TOKENS)
+from ..functions.scalars import WHITESPACE
 from ..sources.testdata import FALSE_SPELLINGS, ID_NULL_SPELLINGS, TRUE_SPELLINGS
 
 NUM = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -90,7 +91,7 @@ def null_tok(x: str) -> str:
 
 
 def norm_comp(x: str) -> str:
-    return rf"regexp_replace(upper({x}), '^\s+|\s+$', '', 'g')"
+    return f"trim(upper({x}), {q(WHITESPACE)})"
 
 
 def pick(options, idx: str) -> str:

@@ -51,9 +51,7 @@ def gm(spark, sf):
 
 
 def students(spark, sf, missing_as_null=False):
-    a, g = att(spark, sf), gr(spark, sf)
-    comb = combine.combine_students(metrics.attendance_metrics(a), metrics.grade_metrics(g), missing_as_null)
-    return combine.assign_course(comb, a, g)
+    return combine.student_table(att(spark, sf), gr(spark, sf), missing_as_null=missing_as_null)
 
 
 GRADE_COLS = ["IDEstudiante", "CursoID", "Evaluacion", "Competencia", "Nota", "Peso", "Fecha"]
@@ -314,7 +312,10 @@ def q_combine_students_nulls(spark, sf):
 
 @query("assign_course")
 def q_assign_course(spark, sf):
-    return students(spark, sf).select("IDEstudiante", "CursoID")
+    """Course lookup as two per-student aggregates joined onto the combined table."""
+    a, g = att(spark, sf), gr(spark, sf)
+    comb = combine.combine_students(metrics.attendance_metrics(a), metrics.grade_metrics(g))
+    return combine.assign_course(comb, a, g).select("IDEstudiante", "CursoID")
 
 
 @query("student_analysis")
