@@ -514,3 +514,48 @@ def q_threshold_what_if(spark, sf):
     return extras.threshold_what_if(students(spark, sf), WHAT_IF_SETS)
 
 
+
+
+# ---------------------------------------------------------------------------
+# 2.A  files in and out (rows-only checks: file layout decides input order)
+# ---------------------------------------------------------------------------
+
+def _attendance_csv(spark, sf, sep=";", encoding="ISO-8859-1") -> str:
+    """The attendance text written as CSV files into the shared folder."""
+    from ..session import scratch_path
+    path = scratch_path(spark, "asistencia-csv")
+    (td.attendance_text(spark, sf).drop("_rid").write.option("header", True).option("sep", sep)
+     .option("encoding", encoding).csv(path))
+    return path
+
+
+@query("csv_dialect_profile")
+def q_csv_dialect_profile(spark, sf):
+    from ..sources.csv import csv_dialect_profile
+    return csv_dialect_profile(spark, _attendance_csv(spark, sf))
+
+
+@query("read_csv_robust")
+def q_read_csv_robust(spark, sf):
+    """Detect the dialect, read, then the attendance load path."""
+    from ..sources.csv import read_csv_robust
+    return clean.prepare_attendance(read_csv_robust(spark, _attendance_csv(spark, sf))).select(*ATT_COLS)
+
+
+@query("write_report_tables")
+def q_write_report_tables(spark, sf):
+    from ..session import scratch_path
+    from ..sources.sinks import write_report_tables, written_row_counts
+    paths = write_report_tables(spark, students(spark, sf), scratch_path(spark, "informes"))
+    return written_row_counts(spark, paths)
+
+
+@query("stream_ingest_attendance")
+def q_stream_ingest_attendance(spark, sf):
+    """CSV files -> Structured Streaming ingest -> curated table -> attendance metrics."""
+    from ..session import scratch_path
+    from ..streaming.ingest import read_curated_attendance, start_attendance_ingest
+    src = _attendance_csv(spark, sf, sep=",", encoding="UTF-8")
+    table = scratch_path(spark, "asistencia-curada")
+    start_attendance_ingest(spark, src, table).awaitTermination()
+    return metrics.attendance_metrics(clean.clean_attendance(read_curated_attendance(spark, table)))
