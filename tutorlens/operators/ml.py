@@ -144,6 +144,18 @@ def _vectors(feats_scaled: DataFrame, cols: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep").transform(feats_scaled)
 
 
+ROWS_PER_FIT_PARTITION = 250_000
+
+
+def fit_partitions(vec: DataFrame, n_rows: int) -> DataFrame:
+    """Each K-Means iteration is one job over the feature table: size its
+    partitions by row count (about 250k short vectors each) rather than by the
+    upstream shuffle, so small tables do not pay for idle tasks and large ones
+    still spread over the cluster. ``coalesce`` only merges, no shuffle."""
+    target = max(1, math.ceil(n_rows / ROWS_PER_FIT_PARTITION))
+    return vec.coalesce(target) if target < vec.rdd.getNumPartitions() else vec
+
+
 def fit_best_kmeans(vec: DataFrame, k: int, seed: int, n_init: int = 10, max_iter: int = 300, tol: float = 1e-4,
                     parallelism: int | None = None):
     """``n_init`` K-Means fits with seeds seed..seed+n_init-1; lowest training
@@ -190,7 +202,7 @@ def run_clustering(students: DataFrame, th: dict, n_init: int = 10) -> Clusterin
         if k < 2:
             return ClusteringResult(False, "Muy pocos estudiantes", n_students=n)
         imputed = impute_mean(feats, cols)
-        vec = _vectors(standardize(imputed, cols), cols).select(KEY, *cols, "features").persist()
+        vec = fit_partitions(_vectors(standardize(imputed, cols), cols).select(KEY, *cols, "features"), n).persist()
         model, cost = fit_best_kmeans(vec, k, int(th["ml_random_state"]), n_init)
         pred = model.transform(vec)
         sil = silhouette_sq(pred) if k < n else 0.0
@@ -205,8 +217,8 @@ def best_k(students: DataFrame, th: dict, k_max: int = 8, n_init: int = 1) -> Da
     spark = students.sparkSession
     cols = feature_columns(students)
     feats = impute_mean(features(students), cols)
-    vec = _vectors(standardize(feats, cols), cols).persist()
-    n = vec.count()
+    n = feats.count()
+    vec = fit_partitions(_vectors(standardize(feats, cols), cols), n).persist()
     rows = []
     for k in range(2, max(2, min(k_max, n - 1)) + 1):
         if k >= n:

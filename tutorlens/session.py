@@ -18,6 +18,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # no Python call-site capture per DataFrame call (several JVM round trips each)
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
