@@ -229,3 +229,9 @@ def best_k(students: DataFrame, th: dict, k_max: int = 8, n_init: int = 1) -> Da
     best = max(rows, key=lambda r: r[1])[0] if rows else None
     return spark.createDataFrame([(k, s, c, k == best) for k, s, c in rows],
                                  "k int, silhouette_sq double, coste double, elegido boolean")
+
+
+def attach_predictions(students: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Cluster and ML level joined back onto the student table (left join on the
+    student key; both sides have one row per student)."""
+    return students.join(predictions.select(KEY, "Cluster", "NivelRiesgoML"), KEY, "left")

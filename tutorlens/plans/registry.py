@@ -463,6 +463,14 @@ def q_report_ml(spark, sf):
     return ml.cluster_distribution(ml.run_clustering(students(spark, sf), thresholds()).predictions)
 
 
+@query("student_analysis_ml")
+def q_student_analysis_ml(spark, sf):
+    """Student table with Cluster / NivelRiesgoML, shown as the student report."""
+    st = students(spark, sf)
+    res = ml.run_clustering(st, thresholds())
+    return reports.report_students(ml.attach_predictions(st, res.predictions))
+
+
 @query("best_k")
 def q_best_k(spark, sf):
     return ml.best_k(students(spark, sf), thresholds(), k_max=5)
