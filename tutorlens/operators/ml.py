@@ -156,6 +156,16 @@ def fit_partitions(vec: DataFrame, n_rows: int) -> DataFrame:
     return vec.coalesce(target) if target < vec.rdd.getNumPartitions() else vec
 
 
+def fit_input(vec: DataFrame, n_rows: int) -> DataFrame:
+    """The feature vectors every restart iterates over: sized by rows, written
+    with a reliable checkpoint to the shared folder (each restart then plans
+    against a short lineage, and a lost executor re-reads the checkpoint
+    instead of re-running the student pipeline), and kept in memory."""
+    from ..session import shared_dir
+    shared_dir(vec.sparkSession)
+    return fit_partitions(vec, n_rows).checkpoint(eager=True).persist()
+
+
 def fit_best_kmeans(vec: DataFrame, k: int, seed: int, n_init: int = 10, max_iter: int = 300, tol: float = 1e-4,
                     parallelism: int | None = None):
     """``n_init`` K-Means fits with seeds seed..seed+n_init-1; lowest training
@@ -202,11 +212,18 @@ def run_clustering(students: DataFrame, th: dict, n_init: int = 10) -> Clusterin
         if k < 2:
             return ClusteringResult(False, "Muy pocos estudiantes", n_students=n)
         imputed = impute_mean(feats, cols)
-        vec = fit_partitions(_vectors(standardize(imputed, cols), cols).select(KEY, *cols, "features"), n).persist()
-        model, cost = fit_best_kmeans(vec, k, int(th["ml_random_state"]), n_init)
-        pred = model.transform(vec)
-        sil = silhouette_sq(pred) if k < n else 0.0
-        labels = label_clusters(imputed, pred.select(KEY, F.col("Cluster").cast("int").alias("Cluster")))
+        # unscaled values ride along (for the cluster scores), so everything
+        # after the fits reads only the checkpointed vectors
+        raw = imputed.select(KEY, *cols, *[F.col(c).alias(f"_raw_{c}") for c in cols])
+        vec = fit_input(_vectors(standardize(raw, cols), cols).select(KEY, *[f"_raw_{c}" for c in cols], "features"), n)
+        try:
+            model, cost = fit_best_kmeans(vec, k, int(th["ml_random_state"]), n_init)
+            pred = model.transform(vec)
+            sil = silhouette_sq(pred) if k < n else 0.0
+        finally:
+            vec.unpersist()
+        unscaled = vec.select(KEY, *[F.col(f"_raw_{c}").alias(c) for c in cols])
+        labels = label_clusters(unscaled, pred.select(KEY, F.col("Cluster").cast("int").alias("Cluster")))
         return ClusteringResult(True, "OK", labels, k, sil, cost, cols, n)
     finally:
         feats.unpersist()
@@ -218,7 +235,7 @@ def best_k(students: DataFrame, th: dict, k_max: int = 8, n_init: int = 1) -> Da
     cols = feature_columns(students)
     feats = impute_mean(features(students), cols)
     n = feats.count()
-    vec = fit_partitions(_vectors(standardize(feats, cols), cols), n).persist()
+    vec = fit_input(_vectors(standardize(feats, cols), cols), n)
     rows = []
     for k in range(2, max(2, min(k_max, n - 1)) + 1):
         if k >= n:
