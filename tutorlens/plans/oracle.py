@@ -365,6 +365,10 @@ SELECT l_orderkey, l_linenumber, Nota FROM (SELECT l_orderkey, l_linenumber, {pa
 FROM gr_text) WHERE Nota >= 0 AND Nota <= 10""")
     o["dedup_attendance"] = with_(ATT_RAW, ATT, body=f"SELECT {att_cols}, _rid AS event_id FROM att")
     o["dedup_grades"] = with_(GR_RAW, GR, body=f"SELECT {grade_cols} FROM gr")
+    o["default_flags"] = with_(ATT_RAW, body="SELECT IDEstudiante, Fecha, Presente, false AS Retraso, "
+                                               "false AS FaltaJustificada, _rid AS event_id FROM att_raw")
+    o["sort_by_date"] = with_(ATT_RAW, ATT, body=f"SELECT {att_cols}, _rid AS event_id FROM att "
+                                                 "ORDER BY Fecha ASC NULLS LAST, _rid")
     o["map_columns"] = with_(GR_TEXT, body="""
 SELECT NombreEstudiante, Email, Curso AS CursoID, instrumento AS Evaluacion, nota AS Nota, Criterio AS Competencia,
        ponderacion AS Peso, fecha AS Fecha FROM gr_text""")
@@ -463,6 +467,7 @@ SELECT Competencia, {comp_case} AS competencia_nombre, COUNT(*) AS evaluaciones
     o["combine_students_nulls"] = with_(*BASE, body=combined_sql(am_sql("att"), gm_sql("gr"), True))
     o["assign_course"] = on_students("SELECT IDEstudiante, CursoID FROM students")
     o["student_analysis"] = on_students("SELECT * FROM students")
+    o["full_analysis"] = on_students("SELECT * FROM students")
     o["filter_course"] = with_(ATT_RAW, ("att0", ATT[1].replace("att_raw", "att_raw")), GR_RAW,
                                ("gr0", GR[1]),
                                ("att", "SELECT * FROM att0 WHERE CursoID = 'C1'"),

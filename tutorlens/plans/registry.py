@@ -122,6 +122,22 @@ def q_dedup_grades(spark, sf):
     return gr(spark, sf).select(*GRADE_COLS)
 
 
+@query("default_flags")
+def q_default_flags(spark, sf):
+    """Attendance without the optional flag columns: both become False."""
+    raw = td.attendance_raw(spark, sf).drop("Retraso", "FaltaJustificada")
+    return clean.parse_attendance(raw).select("IDEstudiante", "Fecha", "Presente", "Retraso", "FaltaJustificada",
+                                              F.col("_rid").alias("event_id"))
+
+
+@query("sort_by_date")
+def q_sort_by_date(spark, sf):
+    """Cleaned attendance in date order (missing dates last, then input order): a range-partitioned sort."""
+    from ..operators.metrics import input_order
+    a = att(spark, sf)
+    return a.orderBy(*input_order(a)).select(*ATT_COLS, F.col("_rid").alias("event_id"))
+
+
 @query("map_columns")
 def q_map_columns(spark, sf):
     return clean.map_columns(td.grades_text(spark, sf)).drop("_rid")
@@ -323,6 +339,13 @@ def q_student_analysis(spark, sf):
     return students(spark, sf)
 
 
+@query("full_analysis")
+def q_full_analysis(spark, sf):
+    """The composed plan (``plans.analysis.analyze_raw``): raw tables -> student table."""
+    from .analysis import analyze_raw
+    return analyze_raw(td.attendance_raw(spark, sf), td.grades_raw(spark, sf)).students
+
+
 @query("classify_students")
 def q_classify_students(spark, sf):
     return classify(spark, sf)
