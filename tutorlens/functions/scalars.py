@@ -188,9 +188,9 @@ def normalize_competency(c: ColumnOrName) -> Column:
     """UPPER then strip surrounding whitespace. Plain spaces go with ``trim``;
     the full whitespace set is only applied when an end character needs it."""
     t = F.trim(F.upper(_col(c)))
-    ws = list(WHITESPACE)
-    edge = F.substring(t, 1, 1).isin(ws) | F.substring(t, -1, 1).isin(ws)
-    return F.when(edge, F.btrim(t, F.lit(WHITESPACE))).otherwise(t)
+    ws = F.lit(WHITESPACE)
+    edge = (F.instr(ws, F.substring(t, 1, 1)) > 0) | (F.instr(ws, F.substring(t, -1, 1)) > 0)
+    return F.when((F.length(t) > 0) & edge, F.btrim(t, ws)).otherwise(t)
 
 
 def _shaped_parse(t: Column, with_time_of_day: bool) -> Column:

@@ -42,11 +42,28 @@ def combine_students(att_metrics: DataFrame, grade_metrics: DataFrame,
     a = att_metrics.withColumnsRenamed({"nivel_riesgo": "nivel_riesgo_asist", "tendencia": "tendencia_asist"})
     r = grade_metrics.withColumnsRenamed({"nivel_riesgo": "nivel_riesgo_rend", "tendencia": "tendencia_rend"})
     joined = a.join(r, KEY, "full_outer")
-    fills = {c: F.coalesce(F.col(c), F.lit(v)) for c, v in SIDE_DEFAULTS.items()
-             if c in joined.columns and (not missing_as_null or c in _TEXT_DEFAULTS)}
-    out = joined.withColumns(fills).withColumn(
-        "nivel_riesgo_final", risk_combined("nivel_riesgo_asist", "nivel_riesgo_rend"))
-    return out.withColumnsRenamed({k: v for k, v in PREFIX_RENAMES.items() if k in out.columns})
+    fill = {c: v for c, v in SIDE_DEFAULTS.items()
+            if c in joined.columns and (not missing_as_null or c in _TEXT_DEFAULTS)}
+    # one projection, written as SQL text: fills, combined level, final names
+    exprs = []
+    for c in joined.columns:
+        e = f"coalesce(`{c}`, {_sql_literal(fill[c])})" if c in fill else f"`{c}`"
+        exprs.append(f"{e} AS `{PREFIX_RENAMES.get(c, c)}`")
+    sev = [f"CASE coalesce(`{c}`, '') WHEN 'ALTO' THEN 3 WHEN 'MEDIO' THEN 2 WHEN 'ALERTA' THEN 1 ELSE 0 END"
+           for c in ("nivel_riesgo_asist", "nivel_riesgo_rend")]
+    exprs.append(f"element_at(array('OPTIMO', 'ALERTA', 'MEDIO', 'ALTO'), greatest({sev[0]}, {sev[1]}) + 1)"
+                 " AS nivel_riesgo_final")
+    return joined.selectExpr(*exprs)
+
+
+def _sql_literal(v) -> str:
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, float):
+        return f"CAST({v!r} AS DOUBLE)"
+    if isinstance(v, int):
+        return f"CAST({v} AS BIGINT)"
+    return "'" + str(v).replace("'", "''") + "'"
 
 
 def assign_course(students: DataFrame, att: DataFrame, gr: DataFrame | None = None) -> DataFrame:

@@ -52,6 +52,17 @@ def trend_label(n: Column, y_sum: Column, y_min: Column, y_max: Column, xy_sum:
     change is 1200 * n * Sxy / ((n^2 - 1) * sum(y)).
     """
     t = _th(th)
+    if all(isinstance(x, str) for x in (n, y_sum, y_min, y_max, xy_sum)):
+        # the same expression as SQL text: one JVM call instead of dozens
+        n, y_sum, y_min, y_max, xy_sum = (f"`{x}`" for x in (n, y_sum, y_min, y_max, xy_sum))
+        nd = f"CAST({n} AS DOUBLE)"
+        sxy = f"({xy_sum} - ({nd} - 1.0D) / 2.0D * {y_sum})"
+        change = f"(1200.0D * {nd} * {sxy} / (({nd} * {nd} - 1.0D) * {y_sum}))"
+        return F.expr(
+            f"CASE WHEN {n} < 3 OR {y_min} = {y_max} OR {y_sum} = 0 THEN 'ESTABLE' "
+            f"WHEN {change} >= CAST({float(t['tendencia_positiva'])!r} AS DOUBLE) THEN 'MEJORANDO' "
+            f"WHEN {change} <= CAST({float(t['tendencia_negativa'])!r} AS DOUBLE) THEN 'EMPEORANDO' "
+            "ELSE 'ESTABLE' END")
     nd = n.cast("double")
     sxy = xy_sum - (nd - F.lit(1.0)) / F.lit(2.0) * y_sum
     change = F.lit(1200.0) * nd * sxy / ((nd * nd - F.lit(1.0)) * y_sum)
@@ -103,8 +114,7 @@ def attendance_profile(att: DataFrame, th: dict | None = None) -> DataFrame:
         F.min("_ymin").alias("_ymin"), F.max("_ymax").alias("_ymax"),
         F.max_by("_last_course", "_range").alias("CursoID"))
     pct = round2(F.col("asistencias").cast("double") / F.col("sesiones_totales").cast("double") * F.lit(100.0))
-    trend = (trend_label(F.col("sesiones_totales"), F.col("_sy"), F.col("_ymin"), F.col("_ymax"), F.col("_sxy"), t)
-             if has_date else F.lit("ESTABLE"))
+    trend = trend_label("sesiones_totales", "_sy", "_ymin", "_ymax", "_sxy", t) if has_date else F.lit("ESTABLE")
     return g.select(
         KEY, "sesiones_totales", "asistencias", "retrasos",
         (F.col("sesiones_totales") - F.col("asistencias")).alias("faltas"),
@@ -143,8 +153,7 @@ def grade_profile(gr: DataFrame, th: dict | None = None, weighted: bool = True)
     std = F.when(F.col("n_evaluaciones") > 1,
                  F.sqrt(F.col("_m2") / (F.col("n_evaluaciones") - F.lit(1)).cast("double")))
     mean = round2("_wmean")
-    trend = (trend_label(F.col("_n"), F.col("_sy"), F.col("_min"), F.col("_max"), F.col("_sxy"), t)
-             if has_date else F.lit("ESTABLE"))
+    trend = trend_label("_n", "_sy", "_min", "_max", "_sxy", t) if has_date else F.lit("ESTABLE")
     return g.select(
         KEY, "n_evaluaciones", mean.alias("nota_media"), F.coalesce(round2(std), F.lit(0.0)).alias("nota_std"),
         round2("_min").alias("nota_min"), round2("_max").alias("nota_max"),
@@ -175,8 +184,7 @@ def trend(df: DataFrame, value: Column, th: dict | None = None, date_col: str =
     if not _has_date(df, date_col):
         return keyed.select(KEY).distinct().withColumn(out_col, F.lit("ESTABLE"))
     sums = position_sums(keyed, KEY, input_order(df, date_col), {"y": value})
-    return sums.select(KEY, trend_label(F.col("n"), F.col("y_sum"), F.col("y_min"), F.col("y_max"),
-                                        F.col("y_xsum"), th).alias(out_col))
+    return sums.select(KEY, trend_label("n", "y_sum", "y_min", "y_max", "y_xsum", th).alias(out_col))
 
 
 def attendance_trend(att: DataFrame, th: dict | None = None) -> DataFrame:
