@@ -16,6 +16,9 @@ SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # small shuffles feeding sorts and windows still get split over the task
+    # slots; large ones are coalesced to the advisory size as usual
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     # no Python call-site capture per DataFrame call (several JVM round trips each)
