@@ -108,7 +108,9 @@ def date_text(ts: str, idx: str) -> str:
     return f"CASE ({idx}) % 7 {whens} ELSE 'sin fecha' END"
 
 
-RID_COLS = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, Nota_rid, l_shipdate"
+RID_COLS = "_rid"
+# lineitem rows numbered in file order (the input order of the grades stand-in)
+LINEITEM_ROWS = "(SELECT *, row_number() OVER () - 1 AS _rid FROM lineitem)"
 
 
 def with_(*parts: tuple[str, str], body: str) -> str:
@@ -135,10 +137,8 @@ GR_RAW = ("gr_raw", f"""
 SELECT CAST(o_custkey AS VARCHAR) AS IDEstudiante, 'C' || CAST(o_custkey % 5 AS VARCHAR) AS CursoID,
        l_returnflag AS Evaluacion, round_even(l_discount * 100.0{D}, 0) AS Nota,
        ' ce' || CAST(l_linenumber AS VARCHAR) || ' ' AS Competencia, l_quantity AS Peso,
-       CAST(l_shipdate AS DATE) AS Fecha,
-       l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
-       round_even(l_discount * 100.0{D}, 0) AS Nota_rid, l_shipdate
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+       CAST(l_shipdate AS DATE) AS Fecha, _rid
+FROM {LINEITEM_ROWS} JOIN orders ON l_orderkey = o_orderkey""")
 
 GR = ("gr", f"""
 SELECT * EXCLUDE (rn) FROM (
@@ -174,16 +174,14 @@ SELECT 'Alumno ' || CAST(o_custkey AS VARCHAR) AS NombreEstudiante,
        {GRADE_TEXT_CASE} AS nota,
        ' ce' || CAST(l_linenumber AS VARCHAR) || ' ' AS Criterio,
        {WEIGHT_TEXT_CASE} AS ponderacion,
-       {date_text('l_shipdate', 'l_orderkey + l_linenumber')} AS fecha,
-       l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, nota AS Nota_rid, l_shipdate
-FROM (SELECT *, round_even(l_discount * 100.0{D}, 0) AS nota FROM lineitem) JOIN orders ON l_orderkey = o_orderkey""")
+       {date_text('l_shipdate', 'l_orderkey + l_linenumber')} AS fecha, _rid
+FROM (SELECT *, round_even(l_discount * 100.0{D}, 0) AS nota FROM {LINEITEM_ROWS}) JOIN orders ON l_orderkey = o_orderkey""")
 
 # grades text after the reader's null tokens and column mapping, with generated ids
 GR_MAPPED = ("gr_mapped", f"""
 SELECT {null_tok('NombreEstudiante')} AS NombreEstudiante, {null_tok('Email')} AS Email,
        {null_tok('Curso')} AS CursoID, {null_tok('instrumento')} AS Evaluacion, {null_tok('nota')} AS Nota,
-       {null_tok('Criterio')} AS Competencia, {null_tok('ponderacion')} AS Peso, {null_tok('fecha')} AS Fecha,
-       l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, Nota_rid, l_shipdate
+       {null_tok('Criterio')} AS Competencia, {null_tok('ponderacion')} AS Peso, {null_tok('fecha')} AS Fecha, _rid
 FROM gr_text""")
 
 GR_IDS = ("gr_ids", """
@@ -195,8 +193,7 @@ ON m.NombreEstudiante = r.NombreEstudiante""")
 
 GR_PARSED = ("gr_parsed", f"""
 SELECT IDEstudiante, CursoID, Evaluacion, {norm_comp('Competencia')} AS Competencia,
-       {parse_num('Nota')} AS Nota, COALESCE({parse_num('Peso')}, 1.0{D}) AS Peso, {parse_date('Fecha')} AS Fecha,
-       l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, Nota_rid, l_shipdate
+       {parse_num('Nota')} AS Nota, COALESCE({parse_num('Peso')}, 1.0{D}) AS Peso, {parse_date('Fecha')} AS Fecha, _rid
 FROM gr_ids""")
 
 GR_LOADED = ("gr_loaded", f"""
@@ -353,16 +350,14 @@ SELECT _rid AS event_id, Presente AS texto, {parse_bool('Presente')} AS Presente
        {parse_bool('FaltaJustificada')} AS FaltaJustificada FROM att_text""")
     o["parse_date"] = with_(ATT_TEXT, body=f"SELECT _rid AS event_id, Fecha AS texto, {parse_date('Fecha')} AS Fecha "
                                            "FROM att_text")
-    o["parse_grade"] = with_(GR_TEXT, body=f"SELECT l_orderkey, l_linenumber, nota AS texto, {parse_num('nota')} AS Nota "
-                                           "FROM gr_text")
+    o["parse_grade"] = with_(GR_TEXT, body=f"SELECT _rid AS fila, nota AS texto, {parse_num('nota')} AS Nota FROM gr_text")
     o["parse_weight"] = with_(GR_TEXT, body=f"""
-SELECT l_orderkey, l_linenumber, ponderacion AS texto, COALESCE({parse_num('ponderacion')}, 1.0{D}) AS Peso
-FROM gr_text""")
+SELECT _rid AS fila, ponderacion AS texto, COALESCE({parse_num('ponderacion')}, 1.0{D}) AS Peso FROM gr_text""")
     o["normalize_competency"] = with_(GR_RAW, body=f"SELECT IDEstudiante, Competencia AS texto, "
                                                    f"{norm_comp('Competencia')} AS Competencia FROM gr_raw")
     o["filter_grade_range"] = with_(GR_TEXT, body=f"""
-SELECT l_orderkey, l_linenumber, Nota FROM (SELECT l_orderkey, l_linenumber, {parse_num(null_tok('nota'))} AS Nota
-FROM gr_text) WHERE Nota >= 0 AND Nota <= 10""")
+SELECT fila, Nota FROM (SELECT _rid AS fila, {parse_num(null_tok('nota'))} AS Nota FROM gr_text)
+WHERE Nota >= 0 AND Nota <= 10""")
     o["dedup_attendance"] = with_(ATT_RAW, ATT, body=f"SELECT {att_cols}, _rid AS event_id FROM att")
     o["dedup_grades"] = with_(GR_RAW, GR, body=f"SELECT {grade_cols} FROM gr")
     o["default_flags"] = with_(ATT_RAW, body="SELECT IDEstudiante, Fecha, Presente, false AS Retraso, "

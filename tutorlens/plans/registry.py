@@ -86,15 +86,14 @@ def q_parse_date(spark, sf):
 @query("parse_grade")
 def q_parse_grade(spark, sf):
     t = td.grades_text(spark, sf)
-    return t.select(F.col("_rid.l_orderkey").alias("l_orderkey"), F.col("_rid.l_linenumber").alias("l_linenumber"),
-                    F.col("nota").alias("texto"), parse_grade("nota").alias("Nota"))
+    return t.select(F.col("_rid").alias("fila"), F.col("nota").alias("texto"), parse_grade("nota").alias("Nota"))
 
 
 @query("parse_weight")
 def q_parse_weight(spark, sf):
     t = td.grades_text(spark, sf)
-    return t.select(F.col("_rid.l_orderkey").alias("l_orderkey"), F.col("_rid.l_linenumber").alias("l_linenumber"),
-                    F.col("ponderacion").alias("texto"), parse_weight("ponderacion").alias("Peso"))
+    return t.select(F.col("_rid").alias("fila"), F.col("ponderacion").alias("texto"),
+                    parse_weight("ponderacion").alias("Peso"))
 
 
 @query("normalize_competency")
@@ -108,8 +107,7 @@ def q_normalize_competency(spark, sf):
 def q_filter_grade_range(spark, sf):
     t = clean.map_columns(clean.apply_null_tokens(td.grades_text(spark, sf)))
     parsed = clean.parse_grades(t)
-    return clean.filter_grade_range(parsed).select(
-        F.col("_rid.l_orderkey").alias("l_orderkey"), F.col("_rid.l_linenumber").alias("l_linenumber"), "Nota")
+    return clean.filter_grade_range(parsed).select(F.col("_rid").alias("fila"), "Nota")
 
 
 @query("dedup_attendance")

@@ -28,8 +28,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(slots).where(F.spark_partition_id() >= F.lit(0))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+def table(spark: SparkSession, sf_dir: str, name: str, row_index: bool = False) -> DataFrame:
+    """One test table; ``row_index`` adds ``_row_index``, the row's position in
+    the file (taken at the scan, before any shuffle)."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if row_index:
+        df = df.withColumn("_row_index", F.col("_metadata.row_index"))
+    return spread(df)
 
 
 def attendance_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,10 +53,9 @@ def attendance_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grades_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IDEstudiante, CursoID, Evaluacion, Nota, Competencia (raw text), Peso, Fecha, _rid.
 
-    ``(l_orderkey, l_linenumber)`` is not unique in the test tables, so the input
-    order ``_rid`` is the whole row tuple; rows equal on all of it are identical
-    for every later step."""
-    li = table(spark, sf_dir, "lineitem")
+    The input order ``_rid`` is the row's position in the ``lineitem`` file, as
+    a line number would be in a CSV export."""
+    li = table(spark, sf_dir, "lineitem", row_index=True)
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     nota = F.rint(F.col("l_discount") * F.lit(100.0))
     return li.join(o, li.l_orderkey == o.o_orderkey).select(
@@ -62,8 +66,7 @@ def grades_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit(" ce"), F.col("l_linenumber").cast("string"), F.lit(" ")).alias("Competencia"),
         F.col("l_quantity").alias("Peso"),
         F.col("l_shipdate").cast("date").alias("Fecha"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
-                 nota.alias("nota"), "l_shipdate").alias("_rid"))
+        F.col("_row_index").alias("_rid"))
 
 
 # ---------------------------------------------------------------------------
@@ -139,7 +142,7 @@ def grades_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades as a teacher's export would hold them: alternative column names
     (``NombreEstudiante``, ``Curso``, ``instrumento``, ``nota``, ``Criterio``,
     ``ponderacion``, ``fecha``), a personal-data column, text marks/weights/dates."""
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem", row_index=True)
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     nota = F.rint(F.col("l_discount") * F.lit(100.0))
     idx = F.col("l_orderkey") + F.col("l_linenumber")
@@ -152,5 +155,4 @@ def grades_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit(" ce"), F.col("l_linenumber").cast("string"), F.lit(" ")).alias("Criterio"),
         weight_text_value(F.col("l_quantity"), idx).alias("ponderacion"),
         date_text(F.col("l_shipdate"), idx).alias("fecha"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
-                 nota.alias("nota"), "l_shipdate").alias("_rid"))
+        F.col("_row_index").alias("_rid"))
