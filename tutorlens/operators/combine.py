@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_COURSE, NO_DATA, PREFIX_RENAMES
-from ..functions.scalars import risk_combined
+from ..functions.scalars import risk_combined, risk_order
 from .metrics import KEY, attendance_profile, current_course, current_course_grades, grade_profile
 
 # Defaults for a student missing one side (values as the analysis fills them).
@@ -90,15 +90,16 @@ def student_table(att: DataFrame, gr: DataFrame, th: dict | None = None,
             .drop("_curso_asist", "_curso_rend"))
 
 
-def classify_students(att_metrics: DataFrame, grade_metrics: DataFrame) -> DataFrame:
+def classify_students(att_metrics: DataFrame, grade_metrics: DataFrame, sort: bool = True) -> DataFrame:
     """Eight-column classification: levels of both sides (SIN_DATOS if missing),
-    final level, %, mean mark (0.0 if missing) and both trends."""
+    final level, %, mean mark (0.0 if missing) and both trends, most severe
+    first (ties by id; a distributed range sort) unless ``sort`` is False."""
     a = att_metrics.select(KEY, F.col("nivel_riesgo").alias("nivel_riesgo_asistencia"),
                            "porcentaje_asistencia", F.col("tendencia").alias("asist_tendencia"))
     r = grade_metrics.select(KEY, F.col("nivel_riesgo").alias("nivel_riesgo_rendimiento"),
                              "nota_media", F.col("tendencia").alias("rend_tendencia"))
     j = a.join(r, KEY, "full_outer")
-    return j.select(
+    out = j.select(
         KEY,
         F.coalesce("nivel_riesgo_asistencia", F.lit(NO_DATA)).alias("nivel_riesgo_asistencia"),
         F.coalesce("nivel_riesgo_rendimiento", F.lit(NO_DATA)).alias("nivel_riesgo_rendimiento"),
@@ -107,3 +108,4 @@ def classify_students(att_metrics: DataFrame, grade_metrics: DataFrame) -> DataF
         F.coalesce("nota_media", F.lit(0.0)).alias("nota_media"),
         F.coalesce("asist_tendencia", F.lit("ESTABLE")).alias("asist_tendencia"),
         F.coalesce("rend_tendencia", F.lit("ESTABLE")).alias("rend_tendencia"))
+    return out.orderBy(risk_order("nivel_riesgo_final"), KEY) if sort else out

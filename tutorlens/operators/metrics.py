@@ -4,8 +4,9 @@ Each side of the analysis is computed in one sweep over its cleaned table
 (``attendance_profile`` / ``grade_profile``): rows are range-partitioned on
 (student, date, input order) and numbered (``ordered.range_numbered``), every
 (student, range) pair is reduced to partial sums, and the partials of a student
-are merged. One shuffle of the big table, no task ever holds a whole student,
-and the counts, the trend and the last course all come out of the same pass.
+are merged. The cleaned table is shuffled once (by range), no task ever holds
+a whole student, and the counts, the trend and the last course all come out of
+the same pass; only the small partial rows are shuffled after it.
 
 The narrower functions (``attendance_counts``, ``grade_aggregates``, ``trend``,
 ``current_course``...) are plain aggregates for when only one of them is needed.

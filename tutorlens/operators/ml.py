@@ -1,8 +1,10 @@
 """Risk clusters with ``pyspark.ml``: features, mean imputation, z-scores,
 K-Means with restarts (best training cost wins), cluster -> level by score.
 
-Fitting is an action by nature; everything else stays lazy. Statistics that
-become literals (means, deviations) are one-row aggregates.
+Fitting is an action by nature, and so are the few steps around it: the row
+count (gate and k), the one-row aggregates whose results become literals
+(means, deviations), and the checkpoint of the feature vectors the restarts
+iterate over. Labels and distributions stay lazy.
 """
 
 from __future__ import annotations

@@ -1,8 +1,11 @@
 """The full analysis as one lazy plan.
 
 ``analyze`` wires the operators together and returns lazy DataFrames; nothing
-runs until the caller acts on one of them. Shared upstream parts (the cleaned
-tables) appear once per query plan and Spark reuses their shuffle output.
+runs until the caller acts on one of them. Inside the student table each
+cleaned table is consumed by exactly one range sweep (``metrics.*_profile``);
+the course table, summary and distribution are aggregates over the student
+table. To run several outputs over large data without recomputing the student
+table, write it once (``sources.sinks.write_report_tables`` does).
 """
 
 from __future__ import annotations

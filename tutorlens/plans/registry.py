@@ -289,7 +289,7 @@ def q_risk_grade(spark, sf):
 
 @query("risk_combined")
 def q_risk_combined(spark, sf):
-    c = classify(spark, sf)
+    c = combine.classify_students(am(spark, sf), gm(spark, sf), sort=False)
     return c.select("IDEstudiante", "nivel_riesgo_asistencia", "nivel_riesgo_rendimiento",
                     risk_combined("nivel_riesgo_asistencia", "nivel_riesgo_rendimiento").alias("nivel_riesgo_final"))
 
