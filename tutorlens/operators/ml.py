@@ -155,7 +155,11 @@ def fit_partitions(vec: DataFrame, n_rows: int) -> DataFrame:
     upstream shuffle, so small tables do not pay for idle tasks and large ones
     still spread over the cluster. ``coalesce`` only merges, no shuffle."""
     target = max(1, math.ceil(n_rows / ROWS_PER_FIT_PARTITION))
-    return vec.coalesce(target) if target < vec.rdd.getNumPartitions() else vec
+    try:
+        current = vec.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a Spark Connect session)
+        return vec
+    return vec.coalesce(target) if target < current else vec
 
 
 def fit_input(vec: DataFrame, n_rows: int) -> DataFrame:

@@ -50,7 +50,10 @@ def shared_dir(spark: SparkSession) -> str:
     Read from ``spark.checkpoint.dir`` (set by the cluster). Only when it is
     unset, as in local tests, a fresh local folder is created and registered.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # no driver-side context (e.g. Spark Connect): the server's setting applies
+        return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tutorlens-ckpt-")
     current = sc.getCheckpointDir()
     if current:
         return current

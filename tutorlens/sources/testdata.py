@@ -18,8 +18,11 @@ def spread(df: DataFrame) -> DataFrame:
     written as one row group) is spread round-robin over the slots, so the
     per-row parsing after it is not single-threaded. Large inputs already have
     more splits than slots and pass through untouched (no extra shuffle)."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= slots:
+            return df
+    except Exception:  # no RDD view (e.g. a Spark Connect session): leave the scan as it is
         return df
     # The always-true filter on the (nondeterministic) partition id keeps
     # Catalyst from pushing later predicates back below the exchange, into the
