@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT_THRESHOLDS
 from ..functions.scalars import risk_attendance, risk_grade, round2
-from .ordered import earlier_rows, position_sums, range_numbered
+from .ordered import position_sums, range_numbered
 
 KEY = "IDEstudiante"
 RID = "_rid"
@@ -93,35 +93,70 @@ def _shifted_xy() -> Column:
             + F.col("_off").cast("double") * F.col("_sy"))
 
 
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _r2(x: str) -> str:
+    """``round2`` as SQL text."""
+    return f"(rint(({x}) * 100.0D) / 100.0D)"
+
+
+def _risk_attendance_sql(p: str, t: dict) -> str:
+    return (f"CASE WHEN {p} < CAST({float(t['asistencia_riesgo'])!r} AS DOUBLE) THEN 'ALTO' "
+            f"WHEN {p} < CAST({float(t['asistencia_alerta'])!r} AS DOUBLE) THEN 'MEDIO' "
+            f"WHEN {p} < CAST({float(t['asistencia_optima'])!r} AS DOUBLE) THEN 'ALERTA' ELSE 'OPTIMO' END")
+
+
+def _risk_grade_sql(n: str, t: dict) -> str:
+    return (f"CASE WHEN {n} IS NULL THEN 'SIN_DATOS' "
+            f"WHEN {n} < CAST({float(t['nota_riesgo'])!r} AS DOUBLE) THEN 'ALTO' "
+            f"WHEN {n} < CAST({float(t['nota_alerta'])!r} AS DOUBLE) THEN 'MEDIO' "
+            f"WHEN {n} < CAST({float(t['nota_excelente'])!r} AS DOUBLE) THEN 'ALERTA' ELSE 'OPTIMO' END")
+
+
+# Window over the (student, range) partial rows: rows of the student in earlier ranges.
+_EARLIER = (f"coalesce(sum(_n) OVER (PARTITION BY {_q(KEY)} ORDER BY _range "
+            "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
+# sum of x*y of a (student, range) with x counted from the student's first row
+_SHIFTED_XY = "_sry - CAST(_row0 AS DOUBLE) * _sy + CAST(_off AS DOUBLE) * _sy"
+
+
+def _exprs(*sql: str) -> list[Column]:
+    return [F.expr(x) for x in sql]
+
+
 def attendance_profile(att: DataFrame, th: dict | None = None) -> DataFrame:
     """Per student: attendance metrics, trend, and the course of the last row in
-    (date, input) order (``CursoID``)."""
+    (date, input) order (``CursoID``). Expressions are SQL text (one JVM call each)."""
     t = _th(th)
     has_date = _has_date(att)
-    late = F.col("Retraso") if "Retraso" in att.columns else F.lit(False)
-    excused = F.col("FaltaJustificada") if "FaltaJustificada" in att.columns else F.lit(False)
-    y = F.col("Presente").cast("double")
+    late = _q("Retraso") if "Retraso" in att.columns else "false"
+    excused = _q("FaltaJustificada") if "FaltaJustificada" in att.columns else "false"
+    y = "CAST(`Presente` AS DOUBLE)"
     course = F.col("CursoID") if "CursoID" in att.columns else F.lit(None).cast("string")
     num = _sweep(att.withColumn("_course", course), input_order(att))
-    parts = num.groupBy(KEY, "_range").agg(
-        F.count(F.lit(1)).alias("_n"), F.count_if(F.col("Presente")).alias("_asis"),
-        F.count_if(late).alias("_late"), F.count_if(~F.col("Presente") & excused).alias("_just"),
-        *_pos_partials(y), F.max_by("_course", "_row").alias("_last_course"))
-    parts = parts.withColumn("_off", earlier_rows(KEY))
-    g = parts.groupBy(KEY).agg(
-        F.sum("_n").alias("sesiones_totales"), F.sum("_asis").alias("asistencias"),
-        F.sum("_late").alias("retrasos"), F.sum("_just").alias("faltas_justificadas"),
-        F.sum("_sy").alias("_sy"), F.sum(_shifted_xy()).alias("_sxy"),
-        F.min("_ymin").alias("_ymin"), F.max("_ymax").alias("_ymax"),
-        F.max_by("_last_course", "_range").alias("CursoID"))
-    pct = round2(F.col("asistencias").cast("double") / F.col("sesiones_totales").cast("double") * F.lit(100.0))
+    parts = num.groupBy(KEY, "_range").agg(*_exprs(
+        "count(1) AS _n", "count_if(`Presente`) AS _asis", f"count_if({late}) AS _late",
+        f"count_if(NOT `Presente` AND {excused}) AS _just",
+        f"sum({y}) AS _sy", f"sum({y} * _row) AS _sry", "min(_row) AS _row0",
+        f"min({y}) AS _ymin", f"max({y}) AS _ymax", "max_by(_course, _row) AS _last_course"))
+    g = parts.withColumn("_off", F.expr(_EARLIER)).groupBy(KEY).agg(*_exprs(
+        "sum(_n) AS sesiones_totales", "sum(_asis) AS asistencias", "sum(_late) AS retrasos",
+        "sum(_just) AS faltas_justificadas", "sum(_sy) AS _sy", f"sum({_SHIFTED_XY}) AS _sxy",
+        "min(_ymin) AS _ymin", "max(_ymax) AS _ymax", "max_by(_last_course, _range) AS CursoID"))
+    pct = _r2("CAST(asistencias AS DOUBLE) / CAST(sesiones_totales AS DOUBLE) * 100.0D")
     trend = trend_label("sesiones_totales", "_sy", "_ymin", "_ymax", "_sxy", t) if has_date else F.lit("ESTABLE")
-    return g.select(
-        KEY, "sesiones_totales", "asistencias", "retrasos",
-        (F.col("sesiones_totales") - F.col("asistencias")).alias("faltas"),
-        pct.alias("porcentaje_asistencia"), "faltas_justificadas",
-        (F.col("sesiones_totales") - F.col("asistencias") - F.col("faltas_justificadas")).alias("faltas_injustificadas"),
-        risk_attendance(pct, t).alias("nivel_riesgo"), trend.alias("tendencia"), "CursoID")
+    out = g.select(
+        F.col(KEY), "sesiones_totales", "asistencias", "retrasos",
+        F.expr("sesiones_totales - asistencias AS faltas"), F.expr(f"{pct} AS porcentaje_asistencia"),
+        "faltas_justificadas",
+        F.expr("sesiones_totales - asistencias - faltas_justificadas AS faltas_injustificadas"),
+        trend.alias("tendencia"), "CursoID")
+    return out.select(KEY, "sesiones_totales", "asistencias", "retrasos", "faltas", "porcentaje_asistencia",
+                      "faltas_justificadas", "faltas_injustificadas",
+                      F.expr(f"{_risk_attendance_sql('porcentaje_asistencia', t)} AS nivel_riesgo"),
+                      "tendencia", "CursoID")
 
 
 def grade_profile(gr: DataFrame, th: dict | None = None, weighted: bool = True) -> DataFrame:
@@ -132,35 +167,32 @@ def grade_profile(gr: DataFrame, th: dict | None = None, weighted: bool = True)
     variance formula, so it is as stable as Spark's own ``stddev_samp``."""
     t = _th(th)
     has_date = _has_date(gr)
-    nota = F.col("Nota")
     peso = F.col("Peso") if (weighted and "Peso" in gr.columns) else F.lit(1.0)
     course = F.col("CursoID") if "CursoID" in gr.columns else F.lit(None).cast("string")
     num = _sweep(gr.withColumn("_course", course).withColumn("_w", peso.cast("double")), input_order(gr))
-    parts = num.groupBy(KEY, "_range").agg(
-        F.count(F.lit(1)).alias("_n"), F.count(nota).alias("_cnt"),
-        F.sum(nota * F.col("_w")).alias("_swy"), F.sum("_w").alias("_sw"),
-        F.avg(nota).alias("_mean"), (F.var_pop(nota) * F.count(nota)).alias("_m2"),
-        *_pos_partials(nota), F.max(RID).alias("_rid_max"), F.max_by("_course", RID).alias("_last_course"))
-    by_key = Window.partitionBy(KEY)
-    parts = (parts.withColumn("_off", earlier_rows(KEY))
-             .withColumn("_gmean", F.sum(F.col("_mean") * F.col("_cnt")).over(by_key) / F.sum("_cnt").over(by_key)))
-    g = parts.groupBy(KEY).agg(
-        F.sum("_cnt").alias("n_evaluaciones"), F.sum("_n").alias("_n"),
-        F.try_divide(F.sum("_swy"), F.sum("_sw")).alias("_wmean"),
-        (F.sum("_m2") + F.sum(F.col("_cnt") * (F.col("_mean") - F.col("_gmean")) ** 2)).alias("_m2"),
-        F.min("_ymin").alias("_min"), F.max("_ymax").alias("_max"),
-        F.sum("_sy").alias("_sy"), F.sum(_shifted_xy()).alias("_sxy"),
-        F.max_by("_last_course", "_rid_max").alias("CursoID"))
-    std = F.when(F.col("n_evaluaciones") > 1,
-                 F.sqrt(F.col("_m2") / (F.col("n_evaluaciones") - F.lit(1)).cast("double")))
-    mean = round2("_wmean")
+    parts = num.groupBy(KEY, "_range").agg(*_exprs(
+        "count(1) AS _n", "count(Nota) AS _cnt", "sum(Nota * _w) AS _swy", "sum(_w) AS _sw",
+        "avg(Nota) AS _mean", "var_pop(Nota) * count(Nota) AS _m2",
+        "sum(Nota) AS _sy", "sum(Nota * _row) AS _sry", "min(_row) AS _row0", "min(Nota) AS _ymin",
+        "max(Nota) AS _ymax", f"max({_q(RID)}) AS _rid_max", f"max_by(_course, {_q(RID)}) AS _last_course"))
+    k = _q(KEY)
+    parts = parts.select("*", F.expr(f"{_EARLIER} AS _off"),
+                         F.expr(f"sum(_mean * _cnt) OVER (PARTITION BY {k}) / sum(_cnt) OVER (PARTITION BY {k}) "
+                                "AS _gmean"))
+    g = parts.groupBy(KEY).agg(*_exprs(
+        "sum(_cnt) AS n_evaluaciones", "sum(_n) AS _n", "try_divide(sum(_swy), sum(_sw)) AS _wmean",
+        "sum(_m2) + sum(_cnt * pow(_mean - _gmean, 2)) AS _m2", "min(_ymin) AS _min", "max(_ymax) AS _max",
+        "sum(_sy) AS _sy", f"sum({_SHIFTED_XY}) AS _sxy", "max_by(_last_course, _rid_max) AS CursoID"))
     trend = trend_label("_n", "_sy", "_min", "_max", "_sxy", t) if has_date else F.lit("ESTABLE")
-    return g.select(
-        KEY, "n_evaluaciones", mean.alias("nota_media"), F.coalesce(round2(std), F.lit(0.0)).alias("nota_std"),
-        round2("_min").alias("nota_min"), round2("_max").alias("nota_max"),
-        risk_grade(mean, t).alias("nivel_riesgo"),
-        F.coalesce(mean >= F.lit(float(t["nota_aprobado"])), F.lit(False)).alias("aprobado"),
-        trend.alias("tendencia"), "CursoID")
+    std = "CASE WHEN n_evaluaciones > 1 THEN sqrt(_m2 / CAST(n_evaluaciones - 1 AS DOUBLE)) END"
+    out = g.select(F.col(KEY), "n_evaluaciones", F.expr(f"{_r2('_wmean')} AS nota_media"),
+                   F.expr(f"coalesce({_r2(std)}, 0.0D) AS nota_std"), F.expr(f"{_r2('_min')} AS nota_min"),
+                   F.expr(f"{_r2('_max')} AS nota_max"), trend.alias("tendencia"), "CursoID")
+    return out.select(
+        KEY, "n_evaluaciones", "nota_media", "nota_std", "nota_min", "nota_max",
+        F.expr(f"{_risk_grade_sql('nota_media', t)} AS nivel_riesgo"),
+        F.expr(f"coalesce(nota_media >= CAST({float(t['nota_aprobado'])!r} AS DOUBLE), false) AS aprobado"),
+        "tendencia", "CursoID")
 
 
 def attendance_metrics(att: DataFrame, th: dict | None = None) -> DataFrame:
