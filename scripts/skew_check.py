@@ -1,8 +1,9 @@
-"""Skew evidence: one student owns a third of the attendance rows.
+"""Skew evidence: one student owns a third of the attendance and grade rows.
 
 The attendance stand-in is re-keyed so that every third event belongs to
-student "0" (each in its own course, so the rows survive de-duplication); the
-student table is then run with Spark's event log written to a
+student "0" (each in its own course, so the rows survive de-duplication), and
+so does every third lineitem row (each with its own competency); the student
+table is then run with Spark's event log written to a
 fresh scratch folder, and for every stage the largest task's share of the
 records the stage read is printed. With a per-student window the hot student
 would put >= 1/3 of the sweep's rows into one task; here every stage stays
@@ -47,8 +48,14 @@ def main() -> None:
         "CursoID": F.when(is_hot, F.concat(F.lit("H"), F.col("_rid").cast("string"))).otherwise(F.col("CursoID"))})
     att = clean.clean_attendance(hot)
     share = att.agg((F.count_if(F.col("IDEstudiante") == "0") / F.count(F.lit(1))).alias("s")).first()["s"]
-    empty = spark.createDataFrame([], "IDEstudiante string, CursoID string, Nota double, Peso double, _rid long")
-    st = student_table(att, empty)
+    graw = td.grades_raw(spark, sf)
+    g_hot = graw.withColumns({
+        "IDEstudiante": F.when(F.col("_rid") % 3 == 0, F.lit("0")).otherwise(F.col("IDEstudiante")),
+        "Competencia": F.when(F.col("_rid") % 3 == 0, F.concat(F.lit("H"), F.col("_rid").cast("string")))
+        .otherwise(F.col("Competencia"))})
+    gr = clean.clean_grades(g_hot)
+    gshare = gr.agg((F.count_if(F.col("IDEstudiante") == "0") / F.count(F.lit(1))).alias("s")).first()["s"]
+    st = student_table(att, gr)
     st.write.format("noop").mode("overwrite").save()
     app = spark.sparkContext.applicationId
     spark.stop()
@@ -63,7 +70,7 @@ def main() -> None:
         recs = m.get("Input Metrics", {}).get("Records Read", 0) + \
             m.get("Shuffle Read Metrics", {}).get("Total Records Read", 0)
         stages.setdefault(e["Stage ID"], []).append(recs)
-    print(f"hot student holds {share:.1%} of the cleaned attendance rows")
+    print(f"hot student holds {share:.1%} of the cleaned attendance rows and {gshare:.1%} of the cleaned grade rows")
     print("stage  tasks  records  largest-task-share")
     for sid in sorted(stages):
         r = stages[sid]
