@@ -28,7 +28,7 @@ def whole(enc, text):
     return list(enc.tokenizer.encode(text or "", add_special_tokens=False).ids)
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=2000, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("ab'st.,1 \n\t\r  \x1cé日")), max_size=40))
 def test_chunked_encoding_equals_whole_text_encoding(text):
     enc = test_chunked_encoding_equals_whole_text_encoding.__dict__.setdefault("enc", None) or Encoder(tokenizer_path())

@@ -2,10 +2,11 @@
 
 A byte-level BPE with the usual word pattern never forms a token across a single
 space that stands between two non-space characters: the space opens the next
-token. So a text is cut at such spaces, each distinct chunk is encoded once by the
-library, and the ids of a text are the ids of its chunks in order. Texts with other
-runs of white space are cut only where that condition holds. The result equals
-``Tokenizer.encode(text, add_special_tokens=False).ids`` (tested).
+token. So a text is cut at such spaces, and the ids of a text are the ids of its chunks
+in order. Texts with other runs of white space are cut only where that condition holds. A
+new chunk of ASCII and Latin letters is cut further into the pattern's pieces, each of which the
+library's BPE model encodes once; any other chunk is encoded by the library as it stands. The result
+equals ``Tokenizer.encode(text, add_special_tokens=False).ids`` (tested).
 """
 
 from __future__ import annotations
@@ -18,31 +19,78 @@ import tokenizers
 from .common import process_cache
 
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
-MAX_CACHED = 400_000   # chunks held per worker; then the memo starts afresh
-MAX_CHUNK = 64         # longer chunks are encoded but not kept
+MAX_CACHED = 500_000   # chunks, and pieces, held per worker
+MAX_CHUNK = 64         # longer ones are encoded but not kept
+
+LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+SPACE = " \\t\\n\\x0b\\x0c\\r"
+#: the byte-level pattern for texts of ASCII and Latin letters alone
+PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{LETTER}]+| ?[0-9]+| ?[^{SPACE}{LETTER}0-9]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+OTHER = re.compile(f"[^\\x00-\\x7f{LETTER}]")
+
+
+def byte_symbols() -> list[str]:
+    """The printable character that a byte-level vocabulary writes for each byte: printable Latin-1 bytes stand
+    for themselves, the others for the code points from 256 on, in order."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return [chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)]
 
 
 class NotSeparable(Exception):
     """A chunk that is empty or has white space at an edge."""
 
 
-class ChunkMemo(dict):
-    def __init__(self, tokenizer, lead: str):
+class Memo(dict):
+    """Short keys in two generations of ``MAX_CACHED / 2``: a key that is met again moves to the younger one, and the
+    older one is dropped when the younger is full."""
+
+    def __init__(self):
         super().__init__()
-        self.tokenizer, self.lead = tokenizer, lead
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= MAX_CHUNK:
+            if len(self) >= MAX_CACHED // 2:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+class PieceMemo(Memo):
+    """piece of the word pattern -> its ids."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.model, self.symbols = tokenizer.model, byte_symbols()
+
+    def make(self, piece: str) -> bytes:
+        symbols = self.symbols
+        text = "".join([symbols[b] for b in piece.encode()])
+        return np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
+
+
+class ChunkMemo(Memo):
+    """chunk (after ``lead``) -> its ids."""
+
+    def __init__(self, tokenizer, pieces: PieceMemo, lead: str):
+        super().__init__()
+        self.tokenizer, self.pieces, self.lead = tokenizer, pieces, lead
 
     def ids_of(self, chunk: str) -> bytes:
-        return np.array(self.tokenizer.encode(self.lead + chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        text = self.lead + chunk
+        if OTHER.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self.pieces.__getitem__, PIECE.findall(text)))
 
-    def __missing__(self, chunk: str) -> bytes:
+    def make(self, chunk: str) -> bytes:
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             raise NotSeparable
-        out = self.ids_of(chunk)
-        if len(chunk) <= MAX_CHUNK:
-            if len(self) >= MAX_CACHED:
-                self.clear()
-            self[chunk] = out
-        return out
+        return self.ids_of(chunk)
 
 
 class Encoder:
@@ -51,7 +99,8 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True   # their strings in a text are ordinary text
-        self.first, self.rest = ChunkMemo(self.tokenizer, ""), ChunkMemo(self.tokenizer, " ")
+        pieces = PieceMemo(self.tokenizer)
+        self.first, self.rest = ChunkMemo(self.tokenizer, pieces, ""), ChunkMemo(self.tokenizer, pieces, " ")
 
     @property
     def vocab_size(self) -> int:

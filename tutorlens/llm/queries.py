@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from .langid import op7_langid
+from .mixing import OP5_SQL, op5_mixing
 from .packing import op8_packing
+from .simhash import op3_simhash
+from .suffix_dedup import op10_suffix_dedup
+from .syncmers import op1_syncmers
 from .token_records import op4_token_records
 
 REGISTRY = {
+    "op1_syncmers": op1_syncmers,
+    "op3_simhash": op3_simhash,
     "op4_token_records": op4_token_records,
+    "op5_mixing": op5_mixing,
+    "op7_langid": op7_langid,
     "op8_packing": op8_packing,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_mixing": OP5_SQL,
+}
