@@ -1,4 +1,7 @@
-"""Corpus preparation as a chain of stages over ``documents``."""
+"""Corpus preparation as a chain of stages over ``documents``.
+
+Each stage takes the documents that its predecessor kept; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tutorlens.llm.common import documents, written
 from tutorlens.llm.encoding import tokenizer_path
+from tutorlens.llm.langid import keep_identified
+from tutorlens.llm.mixing import mixed
 from tutorlens.llm.packing import pack_documents
+from tutorlens.llm.simhash import one_of_each
+from tutorlens.llm.suffix_dedup import without_repeats
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language cannot be told (no letters, or no language likelier than all others together) go."""
+    return keep_identified(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component stays."""
+    return one_of_each(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every 400-byte string that also starts anywhere else is cut out; documents that are empty then go."""
+    return without_repeats(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are repeated or sampled to their target weights; a document stands there as often as it is taken."""
+    return mixed(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,14 +41,16 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, tokenizer_path())
 
 
-STAGES = [("packing", packing)]
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages),
+          ("mixing", mixing), ("packing", packing)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
+#: the stages rest on a fitted model and on suffix arrays: not expressible in SQL
 ORACLE_SQL = None

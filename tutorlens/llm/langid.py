@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import documents, ids_and_text, written
 
@@ -173,9 +174,9 @@ def reestimate(words: DataFrame, pieces: Pieces) -> Pieces:
     return Pieces({p: tuple(mixed[i].tolist()) for p, i in row.items()}, pieces.languages)
 
 
-def predict(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """doc_id, lang_pred, score. score: the language's share of the texts' probability over all
-    languages (equal priors). A null text, or one without a letter, is ``und`` with score 0."""
+def with_language(docs: DataFrame, pieces: Pieces) -> DataFrame:
+    """row (all columns of docs as a struct), lang_pred, score. score: the language's share of the text's probability
+    over all languages (equal priors). A null text, or one without a letter, is ``und`` with score 0."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(pieces.languages)
         memo: dict[str, int] = {}
@@ -183,7 +184,7 @@ def predict(docs: DataFrame, pieces: Pieces) -> DataFrame:
         for batch in batches:
             pred, score = [], []
             for text in batch.column(1).to_pylist():
-                words = words_of(text)
+                words = words_of(text or "")
                 if not words or not k:
                     pred.append(UNDETERMINED)
                     score.append(0.0)
@@ -203,10 +204,26 @@ def predict(docs: DataFrame, pieces: Pieces) -> DataFrame:
                 best = int(total.argmax())
                 pred.append(pieces.languages[best])
                 score.append(float(1 / np.exp(np.maximum(total - total[best], -700)).sum()))
-            yield pa.record_batch({"doc_id": batch.column(0), "lang_pred": pa.array(pred, pa.string()),
-                                   "score": pa.array(score, pa.float64())})
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["row", "lang_pred", "score"])
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()),
+                                              T.StructField("score", T.DoubleType())]))
+
+
+def predict(docs: DataFrame, pieces: Pieces) -> DataFrame:
+    """doc_id, lang_pred, score for every row (see ``with_language``); repeated rows each have a row, an empty table gives
+    none, extra columns are ignored."""
+    return with_language(ids_and_text(docs), pieces).select("row.doc_id", "lang_pred", "score")
+
 
-    return ids_and_text(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
+def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of docs, all columns, whose language is determined with a score of at least ``min_score``, by a model
+    fitted on the documents of docs that are not held out."""
+    found = with_language(docs, fit_on_documents(docs))
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select("row.*")
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -59,8 +59,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
         F.col("weight").cast("double") * F.col("left").cast("double") / F.col("share").cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for every row.
+def plan_rows(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """doc_id, tk (hash of the text), source, size, source_size, target, whole (times that the document is taken whole)
+    and extra (words taken besides) for every row.
 
     A null text has size 0 and is taken 0 times; a null source is a source of its own. Repeated rows are
     taken each for itself; which of several rows with one doc_id comes first is set by their size. An empty
@@ -68,6 +69,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: st
     """
     order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+                                F.xxhash64(F.col("text").cast("string")).alias("tk"),
                                 word_count(F.col("text").cast("string")).alias("size"))
                     .withColumn("place", order).withColumn("bucket", F.substring("place", 1, 3)), "mix-sizes")
     buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -77,7 +79,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: st
     plan = starts.alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select(
         "b.source", "b.bucket", "b.bucket_start", "t.source_size", "t.target")
     rows = sized.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (
-        F.col("d.bucket") == F.col("p.bucket"))).select("d.doc_id", "d.source", "d.bucket", "d.size", "d.place",
+        F.col("d.bucket") == F.col("p.bucket"))).select("d.doc_id", "d.tk", "d.source", "d.bucket", "d.size", "d.place",
                                                        "p.bucket_start", "p.source_size", "p.target")
     before = F.col("bucket_start") + F.sum("size").over(
         Window.partitionBy("source", "bucket").orderBy("place", "size").rowsBetween(
@@ -86,7 +88,28 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: st
     whole = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     extra = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), words - whole * F.col("source_size") - F.col("before")))
     return rows.withColumn("before", before).select(
-        "doc_id", "source", "size", "source_size", "target", (whole * F.col("size") + extra).alias("taken"))
+        "doc_id", "tk", "source", "size", "source_size", "target", whole.alias("whole"), extra.alias("extra"))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken (words, repeats counted) for every row; see ``plan_rows``."""
+    return plan_rows(docs, weights, max_epochs, seed).select(
+        "doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """The mix itself: the rows of docs, all columns, each as often as it is taken. Documents stay whole: the one at the
+    end of a source's fraction is taken once more if at least half of it is due. Rows that repeat doc_id and text are
+    all taken as often as the one of them that is taken most."""
+    once_more = (F.col("extra") > 0) & (F.col("extra") * 2 >= F.col("size"))
+    copies = plan_rows(docs, weights, max_epochs, seed).groupBy(
+        F.coalesce("doc_id", F.lit(0)).alias("key"), F.col("doc_id").isNull().alias("no_id"), "tk").agg(
+        F.max(F.col("whole") + once_more.cast("long")).cast("int").alias("copies")).where("copies > 0")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("key"), F.col("doc_id").isNull().alias("no_id"),
+                       F.xxhash64(F.col("text").cast("string")).alias("tk"))
+    taken = rows.join(copies, ["key", "no_id", "tk"])
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

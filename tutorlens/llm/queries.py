@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from .bm25 import OP9_SQL, op9_bm25
+from .edit_counts import op6_edit_counts
+from .html_blocks import op2_html_blocks
 from .langid import op7_langid
 from .mixing import OP5_SQL, op5_mixing
 from .packing import op8_packing
@@ -12,14 +15,18 @@ from .token_records import op4_token_records
 
 REGISTRY = {
     "op1_syncmers": op1_syncmers,
+    "op2_html_blocks": op2_html_blocks,
     "op3_simhash": op3_simhash,
     "op4_token_records": op4_token_records,
     "op5_mixing": op5_mixing,
+    "op6_edit_counts": op6_edit_counts,
     "op7_langid": op7_langid,
     "op8_packing": op8_packing,
+    "op9_bm25": op9_bm25,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_mixing": OP5_SQL,
+    "op9_bm25": OP9_SQL,
 }

@@ -58,13 +58,14 @@ def simhash(text: str, words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, fp: the SimHash as a signed 64-bit value (null text: empty)."""
+    """doc_id, fp: the SimHash as a signed 64-bit value (null text: empty), tk: a 64-bit hash of the text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([simhash(t, words) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.record_batch({"doc_id": batch.column(0), "fp": pa.array(values.view(np.int64))})
+            values = np.array([simhash(t, words) for t in batch.column(2).to_pylist()], np.uint64)
+            yield pa.record_batch({"doc_id": batch.column(0), "tk": batch.column(1), "fp": pa.array(values.view(np.int64))})
 
-    return ids_and_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return ids_and_text(docs).select("doc_id", F.xxhash64("text").alias("tk"), "text").mapInArrow(
+        run, "doc_id long, tk long, fp long")
 
 
 def covering_masks(radius: int = RADIUS, level: int = 0, bits: int = 64) -> list[int]:
@@ -146,6 +147,14 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCKE
             return links
 
 
+def rooted(prints: DataFrame, radius: int, bucket_limit: int) -> DataFrame:
+    """prints(doc_id, fp, ...) -> fp, first_doc (its smallest doc_id), root of its component: one row per fingerprint."""
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "simhash-nodes")
+    roots = connected_components(near_links(nodes, radius, bucket_limit), "simhash-links")
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
+        "fp", "first_doc", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_components(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS,
                        bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """doc_id, fingerprint (16 lower-case hex digits), component_id (smallest doc_id reachable by links).
@@ -155,15 +164,33 @@ def simhash_components(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int
     Repeated rows give repeated results. An empty table gives no row; extra columns are ignored.
     """
     prints = written(fingerprints(docs, words), "simhash")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "simhash-nodes")
-    roots = connected_components(near_links(nodes, radius, bucket_limit), "simhash-links")
-    owned = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        "fp", "first_doc", F.coalesce("root", "fp").alias("root"))
+    owned = rooted(prints, radius, bucket_limit)
     least = owned.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     labels = owned.join(least, "root").select("fp", "component_id")
     return prints.join(labels, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS,
+                bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """The rows of docs, all columns, one for each component: the one with the smallest doc_id (null last; then the
+    smallest text hash; of rows that repeat both, any one)."""
+    prints = written(fingerprints(docs, words), "simhash")
+    owned = rooted(prints, radius, bucket_limit).select("fp", "root")
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tk")
+    chosen = prints.join(owned, "fp").groupBy("root", key.alias("key")).agg(F.count(F.lit(1)).alias("rows"))
+    chosen = chosen.groupBy("root").agg(F.min(F.struct("key", "rows")).alias("first")).select(
+        F.coalesce("first.key.doc_id", F.lit(0)).alias("keep_id"), F.col("first.key.no_id").alias("no_id"),
+        F.col("first.key.tk").alias("tk"), F.col("first.rows").alias("rows"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("keep_id"),
+                       F.col("doc_id").isNull().alias("no_id"),
+                       F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("tk"))
+    kept = rows.join(chosen, ["keep_id", "no_id", "tk"])
+    single = kept.where("rows = 1").select("row")
+    repeated = kept.where("rows > 1").dropDuplicates(["keep_id", "no_id", "tk"]).select("row")
+    return single.unionByName(repeated).select("row.*")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(documents(spark, sf_dir))

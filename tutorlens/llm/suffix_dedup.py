@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import documents, ids_and_text, written
 
@@ -397,17 +398,28 @@ def keyed_rows(docs: DataFrame) -> DataFrame:
     return ids_and_text(docs).withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
 
 
-def kept_texts(docs: DataFrame, window: int = WINDOW, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
-    """doc_id, tk (xxhash64 of the text), kept: the text without its repeated bytes, for rows that lose any.
-    Bytes of a character that is cut in two go with it."""
+def without_repeats(docs: DataFrame, window: int = WINDOW, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
+    """The rows of docs, all columns, with the repeated bytes cut out of ``text`` (bytes of a character that is cut in
+    two go with it) and ``n_chars``, if there, counted anew. Rows of which nothing but white space is left go."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [kept_bytes(t.encode(), removed_spans([(c["start"], c["len"]) for c in covers], window)).decode(
-                errors="ignore") for t, covers in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.record_batch({"doc_id": batch.column(0), "tk": batch.column(1), "kept": pa.array(kept, pa.string())})
-
-    rows = with_covers(keyed_rows(docs), window, hot_segments).where("covers is not null")
-    return rows.select("doc_id", "tk", "text", "covers").mapInArrow(run, "doc_id long, tk long, kept string")
+            kept = []
+            for text, covers in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if covers:
+                    cuts = removed_spans([(c["start"], c["len"]) for c in covers], window)
+                    text = kept_bytes(text.encode(), cuts).decode(errors="ignore")
+                    text = text if text.strip() else None
+                kept.append(text)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], ["row", "kept"])
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"),
+                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = with_covers(rows, window, hot_segments).select("row", "text", "covers")
+    cut = found.mapInArrow(run, T.StructType([found.schema["row"], T.StructField("kept", T.StringType())]))
+    columns = {"text": F.when(F.col("row.text").isNotNull(), F.col("kept")), "n_chars": F.char_length("kept").cast("long")}
+    return cut.where("kept is not null").select(
+        *[columns.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
