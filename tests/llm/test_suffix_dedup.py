@@ -88,8 +88,18 @@ def test_ids_that_are_null_or_repeat(spark):
     got = sorted(tuple(r)[1:] for r in sd.repeats(docs).collect())
     assert got == sorted(plain([t for _, t in rows]))
     assert sd.repeats(docs.where("doc_id > 5")).count() == 0
-    kept = {r["kept"] for r in sd.kept_texts(docs).collect()}
-    assert kept == {"", "k", "!"}
+    kept = sorted(r["text"] for r in sd.without_repeats(docs).collect())
+    assert kept == ["!", "again other", "k", "other"]
+
+
+def test_dealt_out_keys_pass_sorted_runs_not_rows(spark):
+    base = " ".join(f"b{i * i % 977}" for i in range(300))
+    texts = [base[:i * 11] + f"[{i}]" + base[i * 11:] for i in range(60)]
+    docs = sd.keyed_rows(spark.createDataFrame([(i, t, "c", 1, 2, 3) for i, t in enumerate(texts)], SCHEMA))
+    h1 = np.array([-2**63, -1, 0, 5, 2**63 - 1])
+    assert sd.digest_part(h1, 7).tolist() == [3, 6, 0, 0, 3]
+    covers = {r["id"]: r["covers"] for r in sd.covered_windows(docs.select("id", "text"), hot_segments=4).collect()}
+    assert sum(1 for c in covers.values() if c) == len([1 for _, n, *_ in plain(texts) if n])
 
 
 def test_blocks_of_a_long_text_cover_every_window_once():

@@ -76,3 +76,51 @@ def test_profile_equals_plain_aggregates(spark):
             assert prof[sid][k] == v, (sid, k)
         assert prof[sid]["tendencia"] == trend[sid]
         assert prof[sid]["CursoID"] == course[sid]
+
+
+def test_equal_students_get_equal_figures_wherever_their_rows_lie(spark):
+    """Marks in tenths: sums must not depend on ranges or on the place in a partition."""
+    from tutorlens.operators.ordered import position_sums
+    series = [5.9, 6.0, 6.1]
+    rows = spark.range(400).selectExpr("cast(id as string) as IDEstudiante", "id").crossJoin(
+        spark.createDataFrame([(i, v) for i, v in enumerate(series)], "k int, Nota double"))
+    gr = rows.selectExpr("IDEstudiante", "'C' as CursoID", "Nota", "1.1D as Peso", "date_add(date'2024-01-01', k) as Fecha",
+                         "id * 10 + k as _rid")
+    for n in ("3", "97"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = {tuple(r)[1:] for r in metrics.grade_metrics(gr).collect()}
+        assert got == {(3, 6.0, 0.1, 5.9, 6.1, "ALERTA", True, "MEJORANDO")}
+    many = [round((i * 37 % 100) / 10, 1) for i in range(20)]
+    rows = spark.range(300).selectExpr("cast(id as string) as IDEstudiante", "id").crossJoin(
+        spark.createDataFrame([(i, v) for i, v in enumerate(many)], "k int, Nota double"))
+    gr = rows.selectExpr("IDEstudiante", "'C' as CursoID", "Nota", "cast(k % 3 as double) + 0.7D as Peso",
+                         "date_add(date'2024-01-01', k) as Fecha", "id * 100 + k as _rid")
+    found = set()
+    for n in ("4", "150"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found |= {tuple(r)[1:] for r in metrics.grade_metrics(gr).drop("tendencia").collect()}
+        found |= {tuple(r)[1:] for r in metrics.grade_aggregates(gr).select(
+            "IDEstudiante", "n_evaluaciones", "nota_media", "nota_std", "nota_min", "nota_max", "nivel_riesgo",
+            "aprobado").collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(found) == 1
+    assert position_sums is not None
+
+
+def test_course_filter_reaches_the_scan(spark, tmp_dir):
+    spark.range(1000).selectExpr("cast(id % 50 as string) IDEstudiante", "cast(id % 5 as string) CursoID",
+                                 "date_add(date'2024-01-01', cast(id % 90 as int)) Fecha", "id % 3 > 0 Presente",
+                                 "id _rid").write.parquet(f"{tmp_dir}/att")
+    from tutorlens.operators.clean import clean_attendance
+    plan = clean_attendance(spark.read.parquet(f"{tmp_dir}/att")).where("CursoID = '3'")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(CursoID,3)" in plan and "RoundRobin" not in plan
+
+
+def test_standardize_counts_values_and_keeps_resolution(spark):
+    from tutorlens.operators.ml import impute_mean, standardize
+    df = spark.createDataFrame([("a", 1.0, 0.001, None), ("b", None, 0.002, None), ("c", 3.0, 0.003, None)],
+                               "IDEstudiante string, x double, y double, z double")
+    rows = sorted(map(tuple, standardize(df).collect()))
+    assert [r[1] for r in rows] == [-1.0, None, 1.0]
+    assert abs(rows[2][2] - 1.5 ** 0.5) < 1e-6 and rows[1][2] == 0.0
+    assert [r[1] for r in sorted(map(tuple, impute_mean(df).collect()))] == [1.0, 2.0, 3.0]

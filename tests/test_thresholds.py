@@ -17,19 +17,21 @@ def test_defaults_and_merge(tmp_path):
 
 
 def test_bad_json_and_missing_file():
-    with pytest.raises(ValueError, match="Error al parsear JSON"):
+    with pytest.raises(ValueError, match="objeto JSON"):
+        load_thresholds(json_string="[1]")
+    with pytest.raises(ValueError, match="no se pueden leer umbrales"):
         load_thresholds(json_string="{no")
-    with pytest.raises(ValueError, match="no encontrado"):
+    with pytest.raises(ValueError, match="no se pueden leer umbrales"):
         load_thresholds(json_file="/nonexistent/umbrales.json")
 
 
 @pytest.mark.parametrize("change,msg", [
-    ({"asistencia_riesgo": 90}, "asistencia_riesgo debe ser menor que asistencia_alerta"),
-    ({"asistencia_optima": 80}, "asistencia_alerta debe ser menor que asistencia_optima"),
-    ({"nota_riesgo": 7}, "nota_riesgo debe ser menor que nota_alerta"),
-    ({"asistencia_riesgo": -1}, "asistencia_riesgo debe estar entre 0 y 100"),
-    ({"nota_aprobado": 11}, "nota_aprobado debe estar entre 0 y 10"),
-    ({"ml_n_clusters": 1}, "ml_n_clusters debe ser al menos 2"),
+    ({"asistencia_riesgo": 90}, "asistencia_riesgo < asistencia_alerta"),
+    ({"asistencia_optima": 80}, "asistencia_alerta < asistencia_optima"),
+    ({"nota_riesgo": 7}, "nota_riesgo < nota_alerta"),
+    ({"asistencia_riesgo": -1}, "0 <= asistencia_riesgo"),
+    ({"nota_aprobado": 11}, "nota_aprobado <= 10"),
+    ({"ml_n_clusters": 1}, "2 <= ml_n_clusters"),
 ])
 def test_validation(change, msg):
     th = dict(DEFAULT_THRESHOLDS, **change)
@@ -41,5 +43,5 @@ def test_validation(change, msg):
 def test_violation_table(spark):
     f = threshold_frame(spark, [DEFAULT_THRESHOLDS, {"asistencia_riesgo": 90, "ml_n_clusters": 1}])
     got = {r["conjunto"]: r["violaciones"] for r in threshold_violations(f).collect()}
-    assert got[0] == [] and got[1] == ["asistencia_riesgo debe ser menor que asistencia_alerta",
-                                       "ml_n_clusters debe ser al menos 2"]
+    assert got[0] == [] and got[1] == ["umbral no válido: se exige asistencia_riesgo < asistencia_alerta",
+                                       "umbral no válido: se exige 2 <= ml_n_clusters"]

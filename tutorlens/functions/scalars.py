@@ -7,7 +7,6 @@ values become literals and Catalyst folds them.
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -219,19 +218,7 @@ def parse_date(c: ColumnOrName, dtype: DataType | None = None) -> Column:
     return _shaped_parse(F.trim(c.cast("string")), with_time_of_day=False)
 
 
-def parse_datetime(c: ColumnOrName, dtype: DataType | None = None) -> Column:
-    """Like ``parse_date`` but keeps the time of day (date-only text -> midnight)."""
-    c = _col(c)
-    if isinstance(dtype, (DateType, TimestampType, TimestampNTZType)):
-        return c.cast("timestamp")
-    return _shaped_parse(F.trim(c.cast("string")), with_time_of_day=True)
-
-
 def format_student_id(rank: ColumnOrName, prefix: str = "EST", width: int = 4) -> Column:
     """``EST`` + rank zero-padded to ``width`` digits; longer ranks are kept whole
     (``lpad`` would cut them)."""
     return F.format_string(f"{prefix}%0{width}d", _col(rank))
-
-
-def all_of(*conds: Column) -> Column:
-    return reduce(lambda a, b: a & b, conds)

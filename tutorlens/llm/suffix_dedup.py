@@ -12,8 +12,8 @@ Every byte covered by a ``WINDOW``-byte string that also starts anywhere else (s
    Larsson-Sadakane refinement (only unsorted groups are sorted again, by the rank ``h`` further, ``h`` doubling) and
    its common prefixes by Kasai's rule, run over all segments in step. Suffixes whose common
    prefixes reach ``WINDOW`` are one class; a class with two windows is repeated.
-3. Merging. Shards of a dealt-out key pass on one digest per class. The digests are sorted over the cluster and each
-   is looked up by binary search in its sorted batch; found twice means repeated in two shards.
+3. Merging. Shards of a dealt-out key pass on one digest per class, sorted, in as many ranges as the key has shards. The
+   digests of one range from all shards meet, and each is looked up by binary search; found twice means repeated in two shards.
 4. Runs of repeated windows go back to every document that holds the segment, and the covered bytes are cut out.
 """
 
@@ -223,76 +223,105 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), (edge[1::2] - edge[::2]).tolist()))
 
 
-RUN_SCHEMA = "sd binary, off int, len int, h1 long, h2 long"
+FOUND_SCHEMA = ("sd binary, runs array<struct<off:int,len:int>>, mv long, part int, h1 array<long>, h2 array<long>, "
+                "seg array<int>, off array<int>, single array<boolean>, sds array<binary>")
+RUNS_SCHEMA = "sd binary, runs array<struct<off:int,len:int>>"
+RUNS = pa.list_(pa.struct([("off", pa.int32()), ("len", pa.int32())]))
 
 
 def compare_shards(segments: DataFrame, window: int) -> DataFrame:
-    """segments(mv, salt, dealt, sd, bytes) -> per run of repeated windows (sd, off, len), and per class of a
-    dealt-out key (sd, off, len 0 if it is repeated within the shard else 1, its digest h1, h2)."""
+    """segments(mv, salt, shards, sd, bytes) -> one row per segment with repeated windows (sd, runs), and for keys dealt
+    over several shards one row per shard and digest range (part) with the sorted digests of the shard's classes: h1, h2, and
+    of one window of each class the segment (place in sds), the start, and whether it is alone in the shard."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key, size = [], None, 0
+        held, key, seen, size = [], None, set(), 0
         for batch in batches:
-            for mv, salt, dealt, sd, data in zip(*(c.to_pylist() for c in batch.columns)):
+            for mv, salt, shards, sd, data in zip(*(c.to_pylist() for c in batch.columns)):
                 if (mv, salt) != key:
-                    if size >= SHARD_BYTES // 2:
-                        yield shard(held)
+                    if size >= SHARD_BYTES // 2 or held and (shards > 1 or held[0][1] > 1):
+                        yield from shard(held, key[0])
                         held, size = [], 0
                     key, seen = (mv, salt), set()
                 if sd not in seen:   # a table may hold the same row twice
                     seen.add(sd)
-                    held.append((sd, dealt, data))
+                    held.append((sd, shards, data))
                     size += len(data)
         if held:
-            yield shard(held)
+            yield from shard(held, key[0])
 
-    def shard(held):
-        sds, dealt, parts = zip(*held)
+    def shard(held, mv):
+        sds, shards, parts = zip(*held)
         of, part, off = window_classes(list(parts), window)
         again = np.bincount(of)[of] > 1
-        rows = []
         edge = np.searchsorted(part, np.arange(len(parts) + 1))
+        rows = []
         for p in range(len(parts)):
-            rows.extend((sds[p], a, n, None, None) for a, n in runs(again[edge[p]:edge[p + 1]]))
-        if any(dealt):
-            out = np.flatnonzero(np.array(dealt)[part])
-            _, one = np.unique(of[out], return_index=True)
-            for w in out[one].tolist():
-                p, a = int(part[w]), int(off[w])
-                digest = np.frombuffer(xxhash.xxh3_128_digest(parts[p][a:a + window]), np.int64)
-                rows.append((sds[p], a, 0 if again[w] else 1, int(digest[0]), int(digest[1])))
-        names = [c.split()[0] for c in RUN_SCHEMA.split(", ")]
-        kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-        cols = list(zip(*rows)) or [[]] * 5
-        return pa.record_batch({n: pa.array(c, k) for n, c, k in zip(names, cols, kinds)})
-
-    return segments.select("mv", "salt", "dealt", "sd", "bytes").repartition("mv", "salt").sortWithinPartitions(
-        "mv", "salt").mapInArrow(run, RUN_SCHEMA)
+            own = runs(again[edge[p]:edge[p + 1]])
+            if own:
+                rows.append((sds[p], [{"off": a, "len": n} for a, n in own], *[None] * 8))
+        if shards[0] > 1:    # a shard of a dealt-out key holds that key alone
+            _, one = np.unique(of, return_index=True)
+            digest = np.array([np.frombuffer(xxhash.xxh3_128_digest(parts[p][a:a + window]), np.int64)
+                               for p, a in zip(part[one].tolist(), off[one].tolist())]).reshape(-1, 2)
+            order = np.lexsort((digest[:, 1], digest[:, 0]))
+            one, digest = one[order], digest[order]
+            slot = digest_part(digest[:, 0], shards[0])
+            for k in np.unique(slot).tolist():
+                own = slot == k
+                used, place = np.unique(part[one[own]], return_inverse=True)
+                rows.append((None, None, mv, k, digest[own, 0], digest[own, 1], place, off[one[own]], ~again[one[own]],
+                             [sds[p] for p in used.tolist()]))
+        longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+        kinds = (pa.binary(), RUNS, pa.int64(), pa.int32(), longs, longs, ints, ints, pa.list_(pa.bool_()), pa.list_(pa.binary()))
+        names = [c.split()[0] for c in FOUND_SCHEMA.split(", ")]
+        for at in range(0, len(rows), 4096):
+            yield pa.record_batch({n: pa.array(c, k) for n, c, k in zip(names, zip(*rows[at:at + 4096]), kinds)})
+
+    return segments.select("mv", "salt", "shards", "sd", "bytes").repartition("mv", "salt").sortWithinPartitions(
+        "mv", "salt").mapInArrow(run, FOUND_SCHEMA)
+
+
+def digest_part(h1: np.ndarray, parts: int) -> np.ndarray:
+    """The range of a digest among ``parts`` equal ranges: as many as the key has shards."""
+    return ((h1.view(np.uint64) >> np.uint64(33)).astype(np.int64) * parts) >> 31
 
 
 def merge_shards(classes: DataFrame) -> DataFrame:
-    """Class digests of all shards -> (sd, off, len) of windows that are single in their shard but also stand in another."""
+    """Sorted digests of the shards of dealt-out keys -> (sd, runs) of windows that are alone in their shard but also stand
+    in another. All shards' digests of one range meet in one task; each is looked up there by binary search."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        key, held = None, []
         for batch in batches:
-            held = batch if held is None else pa.concat_batches([held, batch])
-            h1 = held.column(3).to_numpy()
-            cut = int(np.searchsorted(h1, h1[-1], "left"))   # the last digest may go on in the next batch
-            if cut:
-                yield look_up(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None and held.num_rows:
-            yield look_up(held)
-
-    def look_up(part):
-        h1, h2 = part.column(3).to_numpy(), part.column(4).to_numpy()
-        left, right = np.searchsorted(h1, h1, "left"), np.searchsorted(h1, h1, "right")
-        found = np.zeros(len(h1), bool)
-        for i in np.flatnonzero(right - left > 1).tolist():
-            found[i] = (h2[left[i]:right[i]] == h2[i]).sum() > 1
-        keep = part.filter(pa.array(found & (part.column(2).to_numpy() == 1)))
-        return keep.select(["sd", "off", "len"])
-
-    return classes.repartition("h1").sortWithinPartitions("h1", "h2").mapInArrow(run, "sd binary, off int, len int")
+            for i in range(batch.num_rows):
+                row = {n: batch.column(j)[i] for j, n in enumerate(batch.schema.names)}
+                at = (row["mv"].as_py(), row["part"].as_py())
+                if at != key:
+                    yield from look_up(held)
+                    key, held = at, []
+                held.append(row)
+        yield from look_up(held)
+
+    def look_up(held):
+        if len(held) < 2:
+            return
+        h1 = [r["h1"].values.to_numpy() for r in held]
+        h2 = [r["h2"].values.to_numpy() for r in held]
+        every = np.concatenate(h1)
+        order = np.lexsort((np.concatenate(h2), every))
+        every, second = every[order], np.concatenate(h2)[order]
+        found: dict[bytes, list[int]] = {}
+        for r, a, b in zip(held, h1, h2):
+            single = r["single"].values.to_numpy(zero_copy_only=False)
+            left, right = np.searchsorted(every, a, "left"), np.searchsorted(every, a, "right")
+            for i in np.flatnonzero(single & (right - left > 1)).tolist():
+                if (second[left[i]:right[i]] == b[i]).sum() > 1:
+                    found.setdefault(r["sds"].values[r["seg"].values[i].as_py()].as_py(), []).append(r["off"].values[i].as_py())
+        if found:
+            yield pa.record_batch({"sd": pa.array(list(found), pa.binary()), "runs": pa.array(
+                [[{"off": a, "len": 1} for a in sorted(own)] for own in found.values()], RUNS)})
+
+    return classes.select("mv", "part", "h1", "h2", "seg", "off", "single", "sds").repartition(
+        "mv", "part").sortWithinPartitions("mv", "part").mapInArrow(run, RUNS_SCHEMA)
 
 
 # --- the operator --------------------------------------------------------------------------------------------------
@@ -306,11 +335,10 @@ def covered_windows(docs: DataFrame, window: int = WINDOW, hot_segments: int = H
     per_key = same.groupBy("mv").agg(F.count(F.lit(1)).alias("different")).where("different > 1")
     several = same.join(per_key, "mv", "left").where("different > 1 OR again").select(
         "mv", "sd", "at.id", "at.tk", "at.start", "windows", F.coalesce("different", F.lit(1)).alias("different"))
-    dealt = F.col("different") > hot_segments
-    several = several.withColumn("dealt", dealt).withColumn("salt", F.when(
-        dealt, F.pmod(F.xxhash64("sd"), F.ceil(F.col("different") / hot_segments))).otherwise(F.lit(0)).cast("long"))
+    several = several.withColumn("shards", F.ceil(F.col("different") / hot_segments).cast("int")).withColumn(
+        "salt", F.pmod(F.xxhash64("sd"), F.col("shards")))
     wanted = several.groupBy("id", "tk").agg(F.collect_list(
-        F.struct("mv", "salt", "dealt", "sd", "start", "windows")).alias("cuts"))
+        F.struct("mv", "salt", "shards", "sd", "start", "windows")).alias("cuts"))
     keyed = docs.withColumn("tk", F.xxhash64("text"))
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +347,7 @@ def covered_windows(docs: DataFrame, window: int = WINDOW, hot_segments: int = H
             for text, cuts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = text.encode()
                 for c in cuts:
-                    rows.append((c["mv"], c["salt"], c["dealt"], c["sd"],
+                    rows.append((c["mv"], c["salt"], c["shards"], c["sd"],
                                  data[c["start"]:c["start"] + c["windows"] + window - 1]))
                     size += len(rows[-1][-1])
                     if size > 4 << 20:
@@ -329,18 +357,19 @@ def covered_windows(docs: DataFrame, window: int = WINDOW, hot_segments: int = H
             yield sliced(rows)
 
     def sliced(rows):
-        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
         return pa.record_batch({n: pa.array(c, k) for n, c, k in zip(
-            ("mv", "salt", "dealt", "sd", "bytes"), zip(*rows), kinds)})
+            ("mv", "salt", "shards", "sd", "bytes"), zip(*rows), kinds)})
 
     loaded = keyed.join(wanted, ["id", "tk"]).select("text", "cuts").mapInArrow(
-        slices, "mv long, salt long, dealt boolean, sd binary, bytes binary")
+        slices, "mv long, salt long, shards int, sd binary, bytes binary")
     found = written(compare_shards(loaded, window), "segment-runs")
-    merged = merge_shards(found.where("h1 is not null"))
-    whole = same.where("copies > 1").select("sd", F.lit(0).alias("off"), F.col("windows").alias("len"))
-    every = whole.unionByName(found.where("h1 is null").select("sd", "off", "len")).unionByName(merged)
-    return segs.select("id", "tk", "sd", "start").join(every, "sd").groupBy("id", "tk").agg(F.collect_list(
-        F.struct((F.col("start") + F.col("off")).alias("start"), F.col("len"))).alias("covers"))
+    merged = merge_shards(found.where("sd is null"))
+    whole = same.where("copies > 1").select("sd", F.array(F.struct(F.lit(0).alias("off"), F.col("windows").alias("len"))).alias("runs"))
+    every = whole.unionByName(found.where("sd is not null").select("sd", "runs")).unionByName(merged)
+    moved = F.transform("runs", lambda r: F.struct((F.col("start") + r["off"]).alias("start"), r["len"].alias("len")))
+    return segs.select("id", "tk", "sd", "start").join(every, "sd").groupBy("id", "tk").agg(
+        F.flatten(F.collect_list(moved)).alias("covers"))
 
 
 def removed_spans(covers, window: int = WINDOW) -> list[tuple[int, int]]:

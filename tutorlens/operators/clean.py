@@ -65,8 +65,7 @@ def require_columns(df: DataFrame, required: list[str], name: str) -> DataFrame:
     """Raise ``ValueError`` naming the missing and the available columns."""
     missing = missing_columns(df, required)
     if missing:
-        raise ValueError(f"Columnas faltantes en {name}: {', '.join(missing)}\n"
-                         f"Columnas disponibles: {', '.join(df.columns)}")
+        raise ValueError(f"{name}: no se encuentran {missing} entre las columnas {df.columns}")
     return df
 
 
@@ -92,14 +91,16 @@ def gen_student_id(df: DataFrame) -> DataFrame:
 
     The distinct names are ranked with a distributed sort (``dense_index``), not
     a single-partition window, and joined back on the name; Spark picks the
-    join strategy from the measured size of the name table.
+    join strategy from the measured size of the name table. Only digests of the
+    names are written to the shared folder.
     """
     if "IDEstudiante" in df.columns or "NombreEstudiante" not in df.columns:
         return df
     names = df.select("NombreEstudiante").where(F.col("NombreEstudiante").isNotNull()).distinct()
-    ids = (dense_index(names, "NombreEstudiante", "_rank")
-           .select("NombreEstudiante", format_student_id("_rank", ID_PREFIX).alias("IDEstudiante")))
-    return df.join(ids, "NombreEstudiante", "left").select(*df.columns, "IDEstudiante")
+    digest = F.sha2(F.col("NombreEstudiante"), 256)
+    ids = (dense_index(names, "NombreEstudiante", "_rank", keep=digest)
+           .select(F.col("NombreEstudiante").alias("_name_digest"), format_student_id("_rank", ID_PREFIX).alias("IDEstudiante")))
+    return df.join(ids, digest == F.col("_name_digest"), "left").select(*df.columns, "IDEstudiante")
 
 
 # ---------------------------------------------------------------------------
@@ -244,6 +245,8 @@ def cross_validate(att: DataFrame, gr: DataFrame) -> DataFrame:
         if col in att.columns and col in gr.columns:
             checks.append(common_values(att, gr, col).agg(F.count(F.lit(1)).alias("valor"))
                           .select(F.lit(name).alias("comprobacion"), "valor", (F.col("valor") > 0).alias("ok")))
+    if not checks:
+        return att.sparkSession.createDataFrame([], "comprobacion string, valor long, ok boolean")
     out = checks[0]
     for c in checks[1:]:
         out = out.unionByName(c)

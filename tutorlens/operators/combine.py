@@ -49,11 +49,8 @@ def combine_students(att_metrics: DataFrame, grade_metrics: DataFrame,
     for c in joined.columns:
         e = f"coalesce(`{c}`, {_sql_literal(fill[c])})" if c in fill else f"`{c}`"
         exprs.append(f"{e} AS `{PREFIX_RENAMES.get(c, c)}`")
-    sev = [f"CASE coalesce(`{c}`, '') WHEN 'ALTO' THEN 3 WHEN 'MEDIO' THEN 2 WHEN 'ALERTA' THEN 1 ELSE 0 END"
-           for c in ("nivel_riesgo_asist", "nivel_riesgo_rend")]
-    exprs.append(f"element_at(array('OPTIMO', 'ALERTA', 'MEDIO', 'ALTO'), greatest({sev[0]}, {sev[1]}) + 1)"
-                 " AS nivel_riesgo_final")
-    return joined.selectExpr(*exprs)
+    final = risk_combined("nivel_riesgo_asist", "nivel_riesgo_rend").alias("nivel_riesgo_final")
+    return joined.select(*map(F.expr, exprs), final)
 
 
 def _sql_literal(v) -> str:

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import COMPETENCIES, DEFAULT_THRESHOLDS, NO_DATA, RISK_LEVELS
-from ..functions.scalars import risk_attendance, risk_combined, risk_grade, round2
+from ..functions.scalars import risk_attendance, risk_combined, risk_grade
+from .metrics import weighted_mean_2dp
 
 
 def _th(th):
@@ -73,8 +74,8 @@ def competency_metrics(grades: DataFrame) -> DataFrame:
     codes = [code for code, *_ in COMPETENCIES]
     g = (grades.where(F.col("IDEstudiante").isNotNull())
          .groupBy("IDEstudiante").pivot("Competencia", codes)
-         .agg(F.try_divide(F.sum(F.col("Nota") * F.col("Peso")), F.sum("Peso"))))
-    return g.select("IDEstudiante", *[round2(c).alias(c) for c in codes])
+         .agg(weighted_mean_2dp()))
+    return g.select("IDEstudiante", *codes)
 
 
 def threshold_what_if(students: DataFrame, sets: list[dict]) -> DataFrame:

@@ -43,34 +43,27 @@ def input_order(df: DataFrame, date_col: str | None = "Fecha") -> list[Column]:
     return order
 
 
-def trend_label(n: Column, y_sum: Column, y_min: Column, y_max: Column, xy_sum: Column,
-                th: dict | None = None) -> Column:
+def trend_label(n: str, y_sum: str, y_min: str, y_max: str, xy_sum: str, th: dict | None = None) -> Column:
     """Least-squares slope of y on x = 0..n-1 turned into a change over the whole
     series relative to the mean: ``slope * n / mean * 100``.
     n < 3, a constant series, or a zero mean -> ESTABLE.
 
-    With x = 0..n-1: Sxy = sum(x*y) - (n-1)/2 * sum(y), Sxx = n(n^2-1)/12, so the
-    change is 1200 * n * Sxy / ((n^2 - 1) * sum(y)).
+    With x = 0..n-1 and D = 2 sum(x*y) - (n-1) sum(y), the change is
+    600 * n * D / ((n^2 - 1) * sum(y)). The sums come in exact (whole numbers or
+    decimals), so D is exact too, and the change is compared with the cut-off
+    without a division: equal series get equal labels wherever their rows lie.
+    Arguments are column names; the expression is SQL text (one JVM call).
     """
     t = _th(th)
-    if all(isinstance(x, str) for x in (n, y_sum, y_min, y_max, xy_sum)):
-        # the same expression as SQL text: one JVM call instead of dozens
-        n, y_sum, y_min, y_max, xy_sum = (f"`{x}`" for x in (n, y_sum, y_min, y_max, xy_sum))
-        nd = f"CAST({n} AS DOUBLE)"
-        sxy = f"({xy_sum} - ({nd} - 1.0D) / 2.0D * {y_sum})"
-        change = f"(1200.0D * {nd} * {sxy} / (({nd} * {nd} - 1.0D) * {y_sum}))"
-        return F.expr(
-            f"CASE WHEN {n} < 3 OR {y_min} = {y_max} OR {y_sum} = 0 THEN 'ESTABLE' "
-            f"WHEN {change} >= CAST({float(t['tendencia_positiva'])!r} AS DOUBLE) THEN 'MEJORANDO' "
-            f"WHEN {change} <= CAST({float(t['tendencia_negativa'])!r} AS DOUBLE) THEN 'EMPEORANDO' "
-            "ELSE 'ESTABLE' END")
-    nd = n.cast("double")
-    sxy = xy_sum - (nd - F.lit(1.0)) / F.lit(2.0) * y_sum
-    change = F.lit(1200.0) * nd * sxy / ((nd * nd - F.lit(1.0)) * y_sum)
-    return (F.when((n < 3) | (y_min == y_max) | (y_sum == 0), F.lit("ESTABLE"))
-            .when(change >= F.lit(float(t["tendencia_positiva"])), F.lit("MEJORANDO"))
-            .when(change <= F.lit(float(t["tendencia_negativa"])), F.lit("EMPEORANDO"))
-            .otherwise(F.lit("ESTABLE")))
+    n, y_sum, y_min, y_max, xy_sum = (_q(x) for x in (n, y_sum, y_min, y_max, xy_sum))
+    nd = f"CAST({n} AS DOUBLE)"
+    left = f"600.0D * {nd} * CAST(2 * {xy_sum} - ({n} - 1) * {y_sum} AS DOUBLE) * signum({y_sum})"
+    right = f"(({nd} * {nd} - 1.0D) * abs(CAST({y_sum} AS DOUBLE)))"
+    return F.expr(
+        f"CASE WHEN {n} < 3 OR {y_min} = {y_max} OR {y_sum} = 0 THEN 'ESTABLE' "
+        f"WHEN {left} >= CAST({float(t['tendencia_positiva'])!r} AS DOUBLE) * {right} THEN 'MEJORANDO' "
+        f"WHEN {left} <= CAST({float(t['tendencia_negativa'])!r} AS DOUBLE) * {right} THEN 'EMPEORANDO' "
+        "ELSE 'ESTABLE' END")
 
 
 # ---------------------------------------------------------------------------
@@ -81,18 +74,6 @@ def _sweep(df: DataFrame, order: list[Column]) -> DataFrame:
     return range_numbered(df.where(F.col(KEY).isNotNull()), [F.col(KEY).asc()] + order)
 
 
-def _pos_partials(y: Column) -> list[Column]:
-    """Partials for the trend of y: sum, sum of row*y, first row, min, max."""
-    return [F.sum(y).alias("_sy"), F.sum(y * F.col("_row")).alias("_sry"), F.min("_row").alias("_row0"),
-            F.min(y).alias("_ymin"), F.max(y).alias("_ymax")]
-
-
-def _shifted_xy() -> Column:
-    """sum of x*y of a (student, range) with x counted from the student's first row."""
-    return (F.col("_sry") - F.col("_row0").cast("double") * F.col("_sy")
-            + F.col("_off").cast("double") * F.col("_sy"))
-
-
 def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -102,24 +83,44 @@ def _r2(x: str) -> str:
     return f"(rint(({x}) * 100.0D) / 100.0D)"
 
 
-def _risk_attendance_sql(p: str, t: dict) -> str:
-    return (f"CASE WHEN {p} < CAST({float(t['asistencia_riesgo'])!r} AS DOUBLE) THEN 'ALTO' "
-            f"WHEN {p} < CAST({float(t['asistencia_alerta'])!r} AS DOUBLE) THEN 'MEDIO' "
-            f"WHEN {p} < CAST({float(t['asistencia_optima'])!r} AS DOUBLE) THEN 'ALERTA' ELSE 'OPTIMO' END")
-
-
-def _risk_grade_sql(n: str, t: dict) -> str:
-    return (f"CASE WHEN {n} IS NULL THEN 'SIN_DATOS' "
-            f"WHEN {n} < CAST({float(t['nota_riesgo'])!r} AS DOUBLE) THEN 'ALTO' "
-            f"WHEN {n} < CAST({float(t['nota_alerta'])!r} AS DOUBLE) THEN 'MEDIO' "
-            f"WHEN {n} < CAST({float(t['nota_excelente'])!r} AS DOUBLE) THEN 'ALERTA' ELSE 'OPTIMO' END")
-
-
 # Window over the (student, range) partial rows: rows of the student in earlier ranges.
 _EARLIER = (f"coalesce(sum(_n) OVER (PARTITION BY {_q(KEY)} ORDER BY _range "
             "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
 # sum of x*y of a (student, range) with x counted from the student's first row
-_SHIFTED_XY = "_sry - CAST(_row0 AS DOUBLE) * _sy + CAST(_off AS DOUBLE) * _sy"
+_SHIFTED_XY = "_sry + CAST(_off - _row0 AS DECIMAL(20,0)) * _sy"
+# marks and weights as exact decimals: their sums do not depend on the order or the ranges of the rows
+MARK, WEIGHT = "DECIMAL(12,8)", "DECIMAL(18,8)"
+
+
+# quotient of two exact sums (null if the divisor is 0), and the sample deviation from n, sum and sum of squares
+_MEAN = "try_divide(CAST({0} AS DOUBLE), CAST({1} AS DOUBLE))"
+_STD = ("sqrt(greatest(0.0D, CAST({q} AS DOUBLE) - CAST({s} AS DOUBLE) * CAST({s} AS DOUBLE) / CAST({n} AS DOUBLE)) "
+        "/ CAST({n} - 1 AS DOUBLE))")
+
+
+# the same quotient to 12 decimals, for figures that are rounded to 2: a mean that lies on a tie stays on it
+_MEAN_12 = "CAST(try_divide(CAST({0} AS DECIMAL(34,16)), CAST({1} AS DECIMAL(22,8))) AS DOUBLE)"
+
+
+def weighted_mean(mark: str = "Nota", weight: str = "Peso") -> Column:
+    """sum(mark * weight) / sum(weight) over exact decimals; null when the weights add to 0."""
+    return F.expr(_MEAN.format(*_weighted_sums(mark, weight)))
+
+
+def weighted_mean_2dp(mark: str = "Nota", weight: str = "Peso") -> Column:
+    """``weighted_mean`` rounded half-even to 2 decimals."""
+    return round2(F.expr(_MEAN_12.format(*_weighted_sums(mark, weight))))
+
+
+def _weighted_sums(mark: str, weight: str) -> tuple[str, str]:
+    y, w = f"CAST({_q(mark)} AS {MARK})", f"CAST({_q(weight)} AS {WEIGHT})"
+    return f"sum({y} * {w})", f"sum({w})"
+
+
+def plain_mean(value: str = "Nota") -> Column:
+    """Mean over exact decimals."""
+    y = f"CAST({_q(value)} AS {MARK})"
+    return F.expr(_MEAN.format(f"sum({y})", f"count({y})"))
 
 
 def _exprs(*sql: str) -> list[Column]:
@@ -133,13 +134,13 @@ def attendance_profile(att: DataFrame, th: dict | None = None) -> DataFrame:
     has_date = _has_date(att)
     late = _q("Retraso") if "Retraso" in att.columns else "false"
     excused = _q("FaltaJustificada") if "FaltaJustificada" in att.columns else "false"
-    y = "CAST(`Presente` AS DOUBLE)"
+    y = "CAST(CAST(`Presente` AS INT) AS DECIMAL(1,0))"
     course = F.col("CursoID") if "CursoID" in att.columns else F.lit(None).cast("string")
     num = _sweep(att.withColumn("_course", course), input_order(att))
     parts = num.groupBy(KEY, "_range").agg(*_exprs(
         "count(1) AS _n", "count_if(`Presente`) AS _asis", f"count_if({late}) AS _late",
         f"count_if(NOT `Presente` AND {excused}) AS _just",
-        f"sum({y}) AS _sy", f"sum({y} * _row) AS _sry", "min(_row) AS _row0",
+        f"sum({y}) AS _sy", f"sum({y} * CAST(_row AS DECIMAL(18,0))) AS _sry", "min(_row) AS _row0",
         f"min({y}) AS _ymin", f"max({y}) AS _ymax", "max_by(_course, _row) AS _last_course"))
     g = parts.withColumn("_off", F.expr(_EARLIER)).groupBy(KEY).agg(*_exprs(
         "sum(_n) AS sesiones_totales", "sum(_asis) AS asistencias", "sum(_late) AS retrasos",
@@ -155,7 +156,7 @@ def attendance_profile(att: DataFrame, th: dict | None = None) -> DataFrame:
         trend.alias("tendencia"), "CursoID")
     return out.select(KEY, "sesiones_totales", "asistencias", "retrasos", "faltas", "porcentaje_asistencia",
                       "faltas_justificadas", "faltas_injustificadas",
-                      F.expr(f"{_risk_attendance_sql('porcentaje_asistencia', t)} AS nivel_riesgo"),
+                      risk_attendance("porcentaje_asistencia", t).alias("nivel_riesgo"),
                       "tendencia", "CursoID")
 
 
@@ -163,34 +164,32 @@ def grade_profile(gr: DataFrame, th: dict | None = None, weighted: bool = True)
     """Per student: grade metrics, trend (rows in date order), and the course of
     the last row in input order (``CursoID``).
 
-    The sample deviation merges per-range (count, mean, M2) with the parallel
-    variance formula, so it is as stable as Spark's own ``stddev_samp``."""
+    Sums of marks, squares, weighted marks and position times mark are exact
+    decimals (marks and weights to 8 places), so equal sets of marks give equal
+    figures however the rows are cut into ranges."""
     t = _th(th)
     has_date = _has_date(gr)
     peso = F.col("Peso") if (weighted and "Peso" in gr.columns) else F.lit(1.0)
     course = F.col("CursoID") if "CursoID" in gr.columns else F.lit(None).cast("string")
     num = _sweep(gr.withColumn("_course", course).withColumn("_w", peso.cast("double")), input_order(gr))
+    y, w = f"CAST(Nota AS {MARK})", f"CAST(_w AS {WEIGHT})"
     parts = num.groupBy(KEY, "_range").agg(*_exprs(
-        "count(1) AS _n", "count(Nota) AS _cnt", "sum(Nota * _w) AS _swy", "sum(_w) AS _sw",
-        "avg(Nota) AS _mean", "var_pop(Nota) * count(Nota) AS _m2",
-        "sum(Nota) AS _sy", "sum(Nota * _row) AS _sry", "min(_row) AS _row0", "min(Nota) AS _ymin",
-        "max(Nota) AS _ymax", f"max({_q(RID)}) AS _rid_max", f"max_by(_course, {_q(RID)}) AS _last_course"))
-    k = _q(KEY)
-    parts = parts.select("*", F.expr(f"{_EARLIER} AS _off"),
-                         F.expr(f"sum(_mean * _cnt) OVER (PARTITION BY {k}) / sum(_cnt) OVER (PARTITION BY {k}) "
-                                "AS _gmean"))
-    g = parts.groupBy(KEY).agg(*_exprs(
-        "sum(_cnt) AS n_evaluaciones", "sum(_n) AS _n", "try_divide(sum(_swy), sum(_sw)) AS _wmean",
-        "sum(_m2) + sum(_cnt * pow(_mean - _gmean, 2)) AS _m2", "min(_ymin) AS _min", "max(_ymax) AS _max",
+        "count(1) AS _n", "count(Nota) AS _cnt", f"sum({y} * {w}) AS _swy", f"sum({w}) AS _sw",
+        f"sum({y}) AS _sy", f"sum({y} * {y}) AS _syy", f"sum({y} * CAST(_row AS DECIMAL(18,0))) AS _sry",
+        "min(_row) AS _row0", "min(Nota) AS _ymin", "max(Nota) AS _ymax",
+        f"max({_q(RID)}) AS _rid_max", f"max_by(_course, {_q(RID)}) AS _last_course"))
+    g = parts.select("*", F.expr(f"{_EARLIER} AS _off")).groupBy(KEY).agg(*_exprs(
+        "sum(_cnt) AS n_evaluaciones", "sum(_n) AS _n", f"{_MEAN_12.format('sum(_swy)', 'sum(_sw)')} AS _wmean",
+        "sum(_syy) AS _syy", "min(_ymin) AS _min", "max(_ymax) AS _max",
         "sum(_sy) AS _sy", f"sum({_SHIFTED_XY}) AS _sxy", "max_by(_last_course, _rid_max) AS CursoID"))
     trend = trend_label("_n", "_sy", "_min", "_max", "_sxy", t) if has_date else F.lit("ESTABLE")
-    std = "CASE WHEN n_evaluaciones > 1 THEN sqrt(_m2 / CAST(n_evaluaciones - 1 AS DOUBLE)) END"
+    std = f"CASE WHEN n_evaluaciones > 1 THEN {_STD.format(n='n_evaluaciones', s='_sy', q='_syy')} END"
     out = g.select(F.col(KEY), "n_evaluaciones", F.expr(f"{_r2('_wmean')} AS nota_media"),
                    F.expr(f"coalesce({_r2(std)}, 0.0D) AS nota_std"), F.expr(f"{_r2('_min')} AS nota_min"),
                    F.expr(f"{_r2('_max')} AS nota_max"), trend.alias("tendencia"), "CursoID")
     return out.select(
         KEY, "n_evaluaciones", "nota_media", "nota_std", "nota_min", "nota_max",
-        F.expr(f"{_risk_grade_sql('nota_media', t)} AS nivel_riesgo"),
+        risk_grade("nota_media", t).alias("nivel_riesgo"),
         F.expr(f"coalesce(nota_media >= CAST({float(t['nota_aprobado'])!r} AS DOUBLE), false) AS aprobado"),
         "tendencia", "CursoID")
 
@@ -216,12 +215,12 @@ def trend(df: DataFrame, value: Column, th: dict | None = None, date_col: str =
     keyed = df.where(F.col(KEY).isNotNull())
     if not _has_date(df, date_col):
         return keyed.select(KEY).distinct().withColumn(out_col, F.lit("ESTABLE"))
-    sums = position_sums(keyed, KEY, input_order(df, date_col), {"y": value})
+    sums = position_sums(keyed, KEY, input_order(df, date_col), {"y": value.cast(MARK)})
     return sums.select(KEY, trend_label("n", "y_sum", "y_min", "y_max", "y_xsum", th).alias(out_col))
 
 
 def attendance_trend(att: DataFrame, th: dict | None = None) -> DataFrame:
-    return trend(att, F.col("Presente").cast("double"), th)
+    return trend(att, F.col("Presente").cast("int"), th)
 
 
 def grade_trend(gr: DataFrame, th: dict | None = None) -> DataFrame:
@@ -256,15 +255,18 @@ def grade_aggregates(gr: DataFrame, th: dict | None = None, weighted: bool = Tru
     t = _th(th)
     nota = F.col("Nota")
     if weighted and "Peso" in gr.columns:
-        mean = F.try_divide(F.sum(nota * F.col("Peso")), F.sum(F.col("Peso")))
+        mean = weighted_mean_2dp()
     else:
-        mean = F.avg(nota)
+        mean = weighted_mean_2dp(weight="_one")
+        gr = gr.withColumn("_one", F.lit(1))
+    y = f"CAST(Nota AS {MARK})"
+    std = f"CASE WHEN count(Nota) > 1 THEN {_STD.format(n='count(Nota)', s=f'sum({y})', q=f'sum({y} * {y})')} END"
     g = gr.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(
-        F.count(nota).alias("n_evaluaciones"), mean.alias("_mean"), F.stddev_samp(nota).alias("_std"),
+        F.count(nota).alias("n_evaluaciones"), mean.alias("_mean"), F.expr(std).alias("_std"),
         F.min(nota).alias("_min"), F.max(nota).alias("_max"))
     out = g.select(
         KEY, "n_evaluaciones",
-        round2("_mean").alias("nota_media"),
+        F.col("_mean").alias("nota_media"),
         F.coalesce(round2("_std"), F.lit(0.0)).alias("nota_std"),
         round2("_min").alias("nota_min"),
         round2("_max").alias("nota_max"))

@@ -9,7 +9,6 @@ iterate over. Labels and distributions stay lazy.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -31,43 +30,41 @@ def features(students: DataFrame) -> DataFrame:
     return students.select(KEY, *[F.col(c).cast("double").alias(c) for c in feature_columns(students)])
 
 
-def impute_mean(feats: DataFrame, cols: list[str] | None = None, resolution: int = 100) -> DataFrame:
-    """Missing feature values -> the column mean (one aggregate for all columns).
-    A column with no values at all is left as it is. Like ``standardize`` the
-    sum is exact over fixed-point units of 1/``resolution``."""
+UNITS = "decimal(38,8)"
+
+
+def impute_mean(feats: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """Missing feature values -> the column mean (a scalar subquery: one aggregate
+    for all columns, run with the query). A column with no values at all is left
+    as it is. Sums are exact decimals of 8 places."""
     cols = cols or [c for c in feats.columns if c != KEY]
-    r = float(resolution)
-    means = feats.agg(*[(F.sum(F.rint(F.col(c) * F.lit(r)).cast("decimal(38,0)")).cast("double")
-                         / F.count(c).cast("double") / F.lit(r)).alias(c) for c in cols]).first().asDict()
-    fills = {c: F.coalesce(F.col(c), F.lit(means[c])) for c in cols if means[c] is not None}
-    return feats.withColumns(fills) if fills else feats
+    if not cols:
+        return feats
+    means = feats.agg(F.struct(*[F.try_divide(F.sum(F.col(c).cast(UNITS)).cast("double"), F.count(c).cast("double")).alias(c)
+                                 for c in cols]).alias("m")).scalar()
+    return feats.withColumns({c: F.coalesce(F.col(c), means[c]) for c in cols})
 
 
-def standardize(feats: DataFrame, cols: list[str] | None = None, resolution: int = 100) -> DataFrame:
-    """z = (x - mean) / population std; a constant column gives 0.
+def standardize(feats: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """z = (x - mean) / population std over the values there are; a constant or
+    empty column gives 0, a missing value stays missing.
 
-    The features are fixed-point values (2dp percentages and marks, counts), so
-    sums are taken over exact integers at ``resolution`` (hundredths): mean and
-    variance then do not depend on how partitions are combined."""
+    Mean and mean square come from one aggregate (a scalar subquery) over exact
+    decimals of 8 places, so they do not depend on how partitions are combined."""
     cols = cols or [c for c in feats.columns if c != KEY]
-    r = float(resolution)
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    for c in cols:
-        units = F.rint(F.col(c) * F.lit(r)).cast("decimal(38,0)")
-        aggs += [F.sum(units).alias(f"{c}__s"), F.sum(units * units).alias(f"{c}__q")]
-    st = feats.agg(*aggs).first().asDict()
-    n = st["_n"]
-    out = {}
+    if not cols:
+        return feats
+    aggs = []
     for c in cols:
-        s, q = st[f"{c}__s"], st[f"{c}__q"]
-        if not n or s is None:
-            out[c] = F.lit(0.0)
-            continue
-        mean = float(s) / n / r
-        var_num = n * q - s * s              # exact integers: n^2 * var * r^2
-        std = math.sqrt(float(var_num)) / n / r
-        out[c] = F.lit(0.0) if var_num == 0 else (F.col(c) - F.lit(mean)) / F.lit(std)
-    return feats.withColumns(out)
+        x = F.col(c).cast(UNITS)
+        n, total = F.count(c).cast("double"), F.sum(x).cast("double")
+        square = F.sum((F.col(c) * F.col(c)).cast(UNITS)).cast("double")
+        aggs.append(F.struct(F.try_divide(total, n).alias("mean"),
+                             F.sqrt(F.greatest(F.lit(0.0), F.try_divide(square - total * total / F.nullif(n, F.lit(0.0)), n)))
+                             .alias("std"), F.min(x).alias("lo"), F.max(x).alias("hi")).alias(c))
+    st = feats.agg(F.struct(*aggs).alias("st")).scalar()
+    return feats.withColumns({c: F.when(F.coalesce(st[c]["lo"] == st[c]["hi"], F.lit(True)), F.lit(0.0))
+                              .otherwise((F.col(c) - st[c]["mean"]) / st[c]["std"]) for c in cols})
 
 
 def _score(feats: DataFrame):
@@ -146,30 +143,14 @@ def _vectors(feats_scaled: DataFrame, cols: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep").transform(feats_scaled)
 
 
-ROWS_PER_FIT_PARTITION = 250_000
-
-
-def fit_partitions(vec: DataFrame, n_rows: int) -> DataFrame:
-    """Each K-Means iteration is one job over the feature table: size its
-    partitions by row count (about 250k short vectors each) rather than by the
-    upstream shuffle, so small tables do not pay for idle tasks and large ones
-    still spread over the cluster. ``coalesce`` only merges, no shuffle."""
-    target = max(1, math.ceil(n_rows / ROWS_PER_FIT_PARTITION))
-    try:
-        current = vec.rdd.getNumPartitions()
-    except Exception:  # no RDD view (e.g. a Spark Connect session)
-        return vec
-    return vec.coalesce(target) if target < current else vec
-
-
-def fit_input(vec: DataFrame, n_rows: int) -> DataFrame:
-    """The feature vectors every restart iterates over: sized by rows, written
-    with a reliable checkpoint to the shared folder (each restart then plans
-    against a short lineage, and a lost executor re-reads the checkpoint
-    instead of re-running the student pipeline), and kept in memory."""
+def fit_input(vec: DataFrame) -> DataFrame:
+    """The feature vectors every restart iterates over: written with a reliable
+    checkpoint to the shared folder (each restart then plans against a short
+    lineage, and a lost executor re-reads the checkpoint instead of re-running
+    the student pipeline), and kept in memory. AQE sizes their partitions."""
     from ..session import shared_dir
     shared_dir(vec.sparkSession)
-    return fit_partitions(vec, n_rows).checkpoint(eager=True).persist()
+    return vec.checkpoint(eager=True).persist()
 
 
 def fit_best_kmeans(vec: DataFrame, k: int, seed: int, n_init: int = 10, max_iter: int = 300, tol: float = 1e-4,
@@ -221,7 +202,7 @@ def run_clustering(students: DataFrame, th: dict, n_init: int = 10) -> Clusterin
         # unscaled values ride along (for the cluster scores), so everything
         # after the fits reads only the checkpointed vectors
         raw = imputed.select(KEY, *cols, *[F.col(c).alias(f"_raw_{c}") for c in cols])
-        vec = fit_input(_vectors(standardize(raw, cols), cols).select(KEY, *[f"_raw_{c}" for c in cols], "features"), n)
+        vec = fit_input(_vectors(standardize(raw, cols), cols).select(KEY, *[f"_raw_{c}" for c in cols], "features"))
         try:
             model, cost = fit_best_kmeans(vec, k, int(th["ml_random_state"]), n_init)
             pred = model.transform(vec)
@@ -235,20 +216,28 @@ def run_clustering(students: DataFrame, th: dict, n_init: int = 10) -> Clusterin
         feats.unpersist()
 
 
-def best_k(students: DataFrame, th: dict, k_max: int = 8, n_init: int = 1) -> DataFrame:
-    """Silhouette (squared Euclidean) for k = 2..min(k_max, n-1); the highest is chosen."""
+K_SEARCH_MAX = 8     # the search range k = 2..8 is a parameter of ``best_k``
+
+
+def best_k(students: DataFrame, th: dict, k_max: int = K_SEARCH_MAX, n_init: int = 10) -> DataFrame:
+    """Silhouette (squared Euclidean) for k = 2..min(k_max, n-1), each with the
+    restarts of the clustering itself; the highest is chosen. The student table
+    is computed once: everything after it reads the checkpointed vectors."""
     spark = students.sparkSession
     cols = feature_columns(students)
-    feats = impute_mean(features(students), cols)
-    n = feats.count()
-    vec = fit_input(_vectors(standardize(feats, cols), cols), n)
+    feats = features(students).persist()
+    try:
+        n = feats.count()
+        vec = fit_input(_vectors(standardize(impute_mean(feats, cols), cols), cols).select("features"))
+    finally:
+        feats.unpersist()
     rows = []
-    for k in range(2, max(2, min(k_max, n - 1)) + 1):
-        if k >= n:
-            break
-        model, cost = fit_best_kmeans(vec, k, int(th["ml_random_state"]), n_init)
-        rows.append((k, float(silhouette_sq(model.transform(vec))), float(cost)))
-    vec.unpersist()
+    try:
+        for k in range(2, min(k_max, n - 1) + 1):
+            model, cost = fit_best_kmeans(vec, k, int(th["ml_random_state"]), n_init)
+            rows.append((k, float(silhouette_sq(model.transform(vec))), float(cost)))
+    finally:
+        vec.unpersist()
     best = max(rows, key=lambda r: r[1])[0] if rows else None
     return spark.createDataFrame([(k, s, c, k == best) for k, s, c in rows],
                                  "k int, silhouette_sq double, coste double, elegido boolean")

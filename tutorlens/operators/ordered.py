@@ -28,12 +28,6 @@ def range_numbered(df: DataFrame, sort: list[Column], num_ranges: int | None = N
     return _numbered(df, sort, num_ranges)
 
 
-def earlier_rows(key: str) -> Column:
-    """Over one row per (key, _range) carrying ``_n``: rows of the key in earlier ranges."""
-    w = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum("_n").over(w), F.lit(0))
-
-
 def _numbered(df: DataFrame, sort: list[Column], num_ranges: int | None) -> DataFrame:
     ranged = df.repartitionByRange(num_ranges, *sort) if num_ranges else df.repartitionByRange(*sort)
     return (ranged.sortWithinPartitions(*sort)
@@ -48,26 +42,26 @@ def position_sums(df: DataFrame, key: str, order: list[Column], values: dict[str
     ``{y}_max`` and ``{y}_xsum`` = sum of x*y, where x = 0-based position of
     the row inside its key when rows are sorted by ``order``.
 
-    ``order`` holds sort-order columns (e.g. ``F.col('Fecha').asc_nulls_last()``).
+    ``order`` holds sort-order columns (e.g. ``F.col('Fecha').asc_nulls_last()``);
+    values are decimals of at most 8 places, so all sums are exact.
     """
     sort = [F.col(key).asc()] + list(order)
-    base = df.withColumns({f"_v_{k}": v.cast("double") for k, v in values.items()})
+    base = df.withColumns({f"_v_{k}": v for k, v in values.items()})
     num = _numbered(base, sort, num_ranges)
     part_aggs = [F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_row0")]
     for k in values:
         v = F.col(f"_v_{k}")
-        part_aggs += [F.sum(v).alias(f"_s_{k}"), F.sum(v * F.col("_row")).alias(f"_sr_{k}"),
+        part_aggs += [F.sum(v).alias(f"_s_{k}"), F.sum(v * F.col("_row").cast("decimal(18,0)")).alias(f"_sr_{k}"),
                       F.min(v).alias(f"_mn_{k}"), F.max(v).alias(f"_mx_{k}")]
     parts = num.groupBy(key, "_range").agg(*part_aggs)
     earlier = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum("_n").over(earlier), F.lit(0)).cast("double")
+    offset = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
     shifted = parts.select(
         key, "_n",
         *[c for k in values for c in (
             F.col(f"_s_{k}"), F.col(f"_mn_{k}"), F.col(f"_mx_{k}"),
             # local x = row - row0; global x = local x + rows of this key in earlier ranges
-            (F.col(f"_sr_{k}") - F.col("_row0").cast("double") * F.col(f"_s_{k}")
-             + offset * F.col(f"_s_{k}")).alias(f"_xs_{k}"))])
+            (F.col(f"_sr_{k}") + (offset - F.col("_row0")).cast("decimal(20,0)") * F.col(f"_s_{k}")).alias(f"_xs_{k}"))])
     out_aggs = [F.sum("_n").alias("n")]
     for k in values:
         out_aggs += [F.sum(f"_s_{k}").alias(f"{k}_sum"), F.min(f"_mn_{k}").alias(f"{k}_min"),
@@ -75,11 +69,12 @@ def position_sums(df: DataFrame, key: str, order: list[Column], values: dict[str
     return shifted.groupBy(key).agg(*out_aggs)
 
 
-def dense_index(df: DataFrame, order_col: str, index_col: str = "rank",
-                num_ranges: int | None = None) -> DataFrame:
+def dense_index(df: DataFrame, order_col: str, index_col: str = "rank", num_ranges: int | None = None,
+                keep: Column | None = None) -> DataFrame:
     """1-based position of each row of ``df`` sorted by ``order_col`` (distinct values expected),
     computed like ``zipWithIndex``: sort by range, count each range, shift by the
-    counts of earlier ranges.
+    counts of earlier ranges. ``keep`` replaces the sorted value in the result
+    (and in what is written to the shared folder).
 
     The numbered ranges are read twice (counts, then rows), so they are first
     written with a reliable checkpoint to the shared folder: both reads then see
@@ -89,7 +84,10 @@ def dense_index(df: DataFrame, order_col: str, index_col: str = "rank",
     from ..session import shared_dir
 
     shared_dir(df.sparkSession)
-    num = _numbered(df, [F.col(order_col).asc()], num_ranges).checkpoint(eager=True)
+    num = _numbered(df, [F.col(order_col).asc()], num_ranges)
+    if keep is not None:
+        num = num.select(keep.alias(order_col), "_mid", "_range", "_row")
+    num = num.checkpoint(eager=True)
     counts = num.groupBy("_range").agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_range", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))

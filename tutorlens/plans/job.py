@@ -1,7 +1,7 @@
 """The whole analysis as one Spark job: files in, report tables out.
 
     spark-submit tutorlens/plans/job.py --asistencia A --calificaciones C --output OUT \\
-        [--umbrales JSON | --umbrales-file F] [--curso X] [--formato parquet|csv|json] [--no-ml]
+        [--umbrales JSON | --umbrales-file F] [--curso X] [--formato parquet|csv|json] [--no-ml] [--sobrescribir]
 
 The student table is computed once and written to the shared folder; the
 clustering and every report table then read that copy. Excel/Word layout is
@@ -13,6 +13,7 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+from datetime import datetime
 
 if __package__ in (None, ""):
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
@@ -20,10 +21,12 @@ if __package__ in (None, ""):
 from pyspark.sql import SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from tutorlens.operators.clean import prepare_attendance, prepare_grades  # noqa: E402
+from tutorlens.operators.clean import (attendance_quality, attendance_stats, cross_validate, gen_course_id,  # noqa: E402
+                                       gen_evaluation, gen_student_id, grade_quality, grade_stats, map_columns,
+                                       prepare_attendance, prepare_grades)
 from tutorlens.operators.ml import attach_predictions, run_clustering  # noqa: E402
 from tutorlens.plans.analysis import analyze  # noqa: E402
-from tutorlens.session import get_spark, scratch_path  # noqa: E402
+from tutorlens.session import clear_scratch, get_spark, scratch_path  # noqa: E402
 from tutorlens.sources.csv import read_csv_robust  # noqa: E402
 from tutorlens.sources.sinks import write_report_tables  # noqa: E402
 from tutorlens.sources.thresholds import load_thresholds, validate_thresholds  # noqa: E402
@@ -36,18 +39,25 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--umbrales", default=None, help="thresholds as a JSON object")
     p.add_argument("--umbrales-file", default=None, help="thresholds JSON file")
     p.add_argument("--curso", default=None, help="analyse only this CursoID")
-    p.add_argument("--output", default="outputs", help="output folder (its tables are replaced)")
+    p.add_argument("--output", default="outputs", help="output folder; each run gets a dated folder in it")
+    p.add_argument("--sobrescribir", action="store_true", help="write into the output folder itself and replace its tables")
     p.add_argument("--formato", choices=["parquet", "csv", "json"], default="parquet")
     p.add_argument("--no-ml", action="store_true", help="skip clustering (no ML columns)")
     return p.parse_args(argv)
 
 
-def _check_course(att, gr, course: str) -> None:
-    """Both tables must have rows of the course; otherwise list the courses there are."""
-    for name, df in (("asistencia", att), ("calificaciones", gr)):
-        if df.where(F.col("CursoID") == course).limit(1).count() == 0:
-            courses = sorted(r[0] for r in df.select("CursoID").distinct().collect() if r[0] is not None)
-            raise ValueError(f"No hay datos del curso {course} en {name}. Cursos disponibles: {', '.join(courses)}")
+def _check_course(raw, name: str, course: str) -> None:
+    """The raw table must have a row of the course."""
+    if "CursoID" in raw.columns and raw.where(F.col("CursoID") == course).limit(1).isEmpty():
+        raise ValueError(f"no hay filas del curso {course} en {name}")
+
+
+def check_tables(att_raw, gr_raw, att, gr) -> dict:
+    """Validation, quality counters and load statistics of both inputs, one table each."""
+    ids = gen_evaluation(gen_course_id(gen_student_id(map_columns(gr_raw))))
+    return {"validacion": cross_validate(att, gr), "calidad_asistencia": attendance_quality(att_raw),
+            "calidad_calificaciones": grade_quality(ids), "carga_asistencia": attendance_stats(att),
+            "carga_calificaciones": grade_stats(gr)}
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> dict[str, str]:
@@ -55,21 +65,35 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     th = load_thresholds(args.umbrales, args.umbrales_file)
     validate_thresholds(th)
     spark = spark or get_spark()
-    att = prepare_attendance(read_csv_robust(spark, args.asistencia))
-    gr = prepare_grades(read_csv_robust(spark, args.calificaciones))
+    att_raw, gr_raw = read_csv_robust(spark, args.asistencia), read_csv_robust(spark, args.calificaciones)
     if args.curso:
-        _check_course(att, gr, args.curso)
+        _check_course(att_raw, "asistencia", args.curso)
+        _check_course(map_columns(gr_raw), "calificaciones", args.curso)
+    # the cleaned tables are read by the analysis, the checks and the statistics: written once
+    tables = {}
+    for name, df in (("asistencia", prepare_attendance(att_raw)), ("calificaciones", prepare_grades(gr_raw))):
+        path = scratch_path(spark, name)
+        df.write.parquet(path)
+        tables[name] = spark.read.schema(df.schema).parquet(path)
+    att, gr = tables["asistencia"], tables["calificaciones"]
     res = analyze(att, gr, th, course=args.curso)
     stage = scratch_path(spark, "estudiantes")
-    res.students.write.mode("overwrite").parquet(stage)
-    students = spark.read.parquet(stage)
+    res.students.write.parquet(stage)
+    students = spark.read.schema(res.students.schema).parquet(stage)
+    extra = check_tables(att_raw, gr_raw, att, gr)
     predictions = None
-    if not args.no_ml and students.count() >= th["ml_min_samples"]:
+    if not args.no_ml:
         ml = run_clustering(students, th)
+        extra["ml_resultado"] = ml.summary_frame(spark)
+        if args.formato == "csv":   # a CSV cell holds no list
+            extra["ml_resultado"] = extra["ml_resultado"].withColumn("features_usados", F.array_join("features_usados", " "))
         if ml.success:
             predictions = ml.predictions
             students = attach_predictions(students, predictions)
-    return write_report_tables(spark, students, args.output, args.formato, predictions)
+    out = args.output if args.sobrescribir else f"{args.output.rstrip('/')}/analisis_{datetime.now():%Y%m%d_%H%M%S}"
+    paths = write_report_tables(spark, students, out, args.formato, predictions, extra, overwrite=args.sobrescribir)
+    clear_scratch(spark)
+    return paths
 
 
 if __name__ == "__main__":

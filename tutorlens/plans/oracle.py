@@ -8,10 +8,17 @@ re-derives its inputs from them.
 
 from __future__ import annotations
 
-from ..config import (COMPETENCIES, DISTRIBUTION_LABELS, GENERAL_RECOMMENDATIONS, NULL_TOKENS, RECOMMENDATIONS,
-                      RISK_LEVELS, TRUE_TOKENS)
-from ..functions.scalars import WHITESPACE
-from ..sources.testdata import FALSE_SPELLINGS, ID_NULL_SPELLINGS, TRUE_SPELLINGS
+from ..config import COMPETENCIES, DISTRIBUTION_LABELS, GENERAL_RECOMMENDATIONS, RECOMMENDATIONS, RISK_LEVELS
+
+# Written out here, not taken from the code under test.
+TRUE_TOKENS = ["true", "1", "sí", "si", "yes", "t", "verdadero", "x"]
+NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+               "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
+# spellings of the stand-in text tables
+TRUE_SPELLINGS = ["true", "1", "Sí", "si", "YES", "t", "verdadero", "X", " True ", "2"]
+FALSE_SPELLINGS = ["false", "0", "no", "f", "", None, "nope", "0.0", "N"]
+ID_NULL_SPELLINGS = ["NA", "N/A", "null", "None", "NaN", "-"]
 
 NUM = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 D = "::DOUBLE"
@@ -541,19 +548,20 @@ UNION ALL {gen}""")
     feats = ("asist_porcentaje_asistencia", "rend_nota_media", "asist_faltas", "asist_retrasos", "rend_n_evaluaciones")
     o["ml_features"] = on_students("SELECT IDEstudiante, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in feats)
                                    + " FROM students")
+    def dec(x):
+        return f"CAST(CAST({x} AS DOUBLE) AS DECIMAL(28,8))"
+
     o["ml_impute"] = with_(*BASE, ("students", students_sql("att", "gr", True)), body=(
         "SELECT IDEstudiante, " + ", ".join(
-            f"COALESCE(CAST({c} AS DOUBLE), CAST(SUM(CAST(round_even(CAST({c} AS DOUBLE) * 100.0{D}, 0) AS HUGEINT)) "
-            f"OVER () AS DOUBLE) / CAST(COUNT({c}) OVER () AS DOUBLE) / 100.0{D}) AS {c}" for c in feats)
-        + " FROM students"))
+            f"COALESCE(CAST({c} AS DOUBLE), CAST(SUM({dec(c)}) OVER () AS DOUBLE) / CAST(COUNT({c}) OVER () AS DOUBLE)) AS {c}"
+            for c in feats) + " FROM students"))
     scaled = []
     for c in feats:
-        u = f"CAST(round_even(CAST({c} AS DOUBLE) * 100.0{D}, 0) AS HUGEINT)"
-        s, qq, n = f"SUM({u}) OVER ()", f"SUM({u} * {u}) OVER ()", "COUNT(*) OVER ()"
-        var = f"({n} * {qq} - {s} * {s})"
-        mean = f"(CAST({s} AS DOUBLE) / {n} / 100.0{D})"
-        std = f"(sqrt(CAST({var} AS DOUBLE)) / {n} / 100.0{D})"
-        scaled.append(f"CASE WHEN {var} = 0 THEN 0.0{D} ELSE (CAST({c} AS DOUBLE) - {mean}) / {std} END AS {c}")
+        total, n = f"CAST(SUM({dec(c)}) OVER () AS DOUBLE)", f"CAST(COUNT({c}) OVER () AS DOUBLE)"
+        square = f"CAST(SUM({dec(f'CAST({c} AS DOUBLE) * CAST({c} AS DOUBLE)')}) OVER () AS DOUBLE)"
+        std = f"sqrt(({square} - {total} * {total} / {n}) / {n})"
+        scaled.append(f"CASE WHEN MIN({c}) OVER () = MAX({c}) OVER () THEN 0.0{D} "
+                      f"ELSE (CAST({c} AS DOUBLE) - {total} / {n}) / {std} END AS {c}")
     o["ml_scale"] = on_students("SELECT IDEstudiante, " + ", ".join(scaled) + " FROM students")
     scores = """
 SELECT Cluster, score_medio, CAST(row_number() OVER (ORDER BY score_medio, Cluster) - 1 AS INTEGER) AS rango FROM (
@@ -571,6 +579,31 @@ SELECT Cluster, NivelRiesgoML, COUNT(*) AS estudiantes,
        {pct_label('COUNT(*)', 'SUM(COUNT(*)) OVER ()')} AS porcentaje
 FROM ({labelled}) GROUP BY Cluster, NivelRiesgoML""")
 
+    o["ml_join"] = on_students(f"""
+SELECT s.IDEstudiante, s.CursoID, s.nivel_riesgo_final, l.Cluster, l.NivelRiesgoML
+FROM students s LEFT JOIN ({labelled}) l ON s.IDEstudiante = l.IDEstudiante""")
+    o["ml_kmeans_levels"] = on_students(
+        "SELECT 3 AS clusters, COUNT(*) AS estudiantes, true AS niveles_en_orden FROM students")
+    strict_a, strict_g = (60.0, 70.0, 80.0), (3.0, 5.0, 8.0)
+    o["thresholds_json"] = on_students(f"""
+SELECT IDEstudiante, a AS nivel_riesgo_asistencia, g AS nivel_riesgo_rendimiento, {combined('a', 'g')} AS nivel_riesgo_final
+FROM (SELECT IDEstudiante,
+             CASE WHEN nivel_riesgo_asistencia = 'SIN_DATOS' THEN 'SIN_DATOS'
+                  ELSE {risk_att('asist_porcentaje_asistencia', *strict_a)} END AS a,
+             CASE WHEN nivel_riesgo_rendimiento = 'SIN_DATOS' THEN 'SIN_DATOS'
+                  ELSE {risk_gr('rend_nota_media', *strict_g)} END AS g FROM students)""")
+
+    # -- files in and out --------------------------------------------------------
+    o["csv_dialect_profile"] = "SELECT ';' AS delimitador, 'ISO-8859-1' AS encoding, COUNT(*) AS lineas FROM events"
+    o["read_csv_robust"] = with_(ATT_TEXT, ATT_PARSED, ATT_LOADED, body=(
+        "SELECT IDEstudiante, CursoID, Fecha, Presente, Retraso, FaltaJustificada FROM att_loaded"))
+    o["stream_ingest_attendance"] = with_(ATT_TEXT, ATT_PARSED, ATT_LOADED, body=am_sql("att_loaded"))
+    o["write_report_tables"] = " UNION ALL ".join(
+        f"SELECT {q(t)} AS tabla, COUNT(*) AS filas FROM ({o[name]})" for t, name in (
+            ("estudiantes", "student_analysis"), ("cursos", "report_courses"), ("resumen", "summary"),
+            ("distribucion", "report_summary"), ("en_riesgo", "report_at_risk"),
+            ("recomendaciones", "report_recommendations"), ("listado", "report_students")))
+
     # -- extras ----------------------------------------------------------------
     o["feature_ratios"] = on_students("""
 SELECT IDEstudiante,

@@ -86,13 +86,13 @@ def q_parse_date(spark, sf):
 @query("parse_grade")
 def q_parse_grade(spark, sf):
     t = td.grades_text(spark, sf)
-    return t.select(F.col("_rid").alias("fila"), F.col("nota").alias("texto"), parse_grade("nota").alias("Nota"))
+    return t.select(F.col("_rid.fila").alias("fila"), F.col("nota").alias("texto"), parse_grade("nota").alias("Nota"))
 
 
 @query("parse_weight")
 def q_parse_weight(spark, sf):
     t = td.grades_text(spark, sf)
-    return t.select(F.col("_rid").alias("fila"), F.col("ponderacion").alias("texto"),
+    return t.select(F.col("_rid.fila").alias("fila"), F.col("ponderacion").alias("texto"),
                     parse_weight("ponderacion").alias("Peso"))
 
 
@@ -107,7 +107,7 @@ def q_normalize_competency(spark, sf):
 def q_filter_grade_range(spark, sf):
     t = clean.map_columns(clean.apply_null_tokens(td.grades_text(spark, sf)))
     parsed = clean.parse_grades(t)
-    return clean.filter_grade_range(parsed).select(F.col("_rid").alias("fila"), "Nota")
+    return clean.filter_grade_range(parsed).select(F.col("_rid.fila").alias("fila"), "Nota")
 
 
 @query("dedup_attendance")
@@ -234,8 +234,7 @@ def q_grade_metrics(spark, sf):
 def q_weighted_mean(spark, sf):
     g = gr(spark, sf)
     return g.groupBy("IDEstudiante").agg(
-        F.try_divide(F.sum(F.col("Nota") * F.col("Peso")), F.sum("Peso")).alias("nota_ponderada"),
-        F.avg("Nota").alias("nota_simple"))
+        metrics.weighted_mean().alias("nota_ponderada"), metrics.plain_mean().alias("nota_simple"))
 
 
 @query("trend_attendance")
@@ -469,6 +468,43 @@ def q_cluster_distribution(spark, sf):
     return ml.cluster_distribution(ml.label_clusters(ml.features(s), stand_in_clusters(s)))
 
 
+@query("ml_join")
+def q_ml_join(spark, sf):
+    """Stand-in clusters labelled and joined back onto the student table."""
+    s = students(spark, sf)
+    labels = ml.label_clusters(ml.features(s), stand_in_clusters(s))
+    return ml.attach_predictions(s, labels).select("IDEstudiante", "CursoID", "nivel_riesgo_final", "Cluster", "NivelRiesgoML")
+
+
+@query("ml_kmeans_levels")
+def q_ml_kmeans_levels(spark, sf):
+    """What every K-Means result must satisfy, whatever its labels: as many clusters as asked for, every student in
+    one, and levels in the order of the mean scores."""
+    s = students(spark, sf)
+    pred = ml.run_clustering(s, thresholds()).predictions
+    scores = ml.cluster_scores(ml.features(s), pred.select("IDEstudiante", "Cluster"))
+    levels = pred.groupBy("Cluster").agg(F.count(F.lit(1)).alias("n"), F.min("NivelRiesgoML").alias("nivel"),
+                                         F.max("NivelRiesgoML").alias("otro"))
+    fixed = F.array(*[F.lit(x) for x in ("ALTO", "MEDIO", "ALERTA", "OPTIMO")])
+    return levels.join(scores, "Cluster").agg(
+        F.count(F.lit(1)).cast("int").alias("clusters"), F.sum("n").alias("estudiantes"),
+        F.bool_and((F.col("nivel") == F.col("otro"))
+                   & (F.col("nivel") == F.element_at(fixed, F.least(F.col("rango") + 1, F.lit(4))))).alias("niveles_en_orden"))
+
+
+STRICT_JSON = '{"asistencia_riesgo": 60, "asistencia_alerta": 70, "asistencia_optima": 80, "nota_riesgo": 3, "nota_alerta": 5}'
+
+
+@query("thresholds_json")
+def q_thresholds_json(spark, sf):
+    """Levels of all students under thresholds given as JSON, merged over the defaults and validated."""
+    from ..sources.thresholds import load_thresholds, validate_thresholds
+    th = load_thresholds(json_string=STRICT_JSON)
+    validate_thresholds(th)
+    return combine.student_table(att(spark, sf), gr(spark, sf), th).select(
+        "IDEstudiante", "nivel_riesgo_asistencia", "nivel_riesgo_rendimiento", "nivel_riesgo_final")
+
+
 @query("ml_kmeans")
 def q_ml_kmeans(spark, sf):
     return ml.run_clustering(students(spark, sf), thresholds()).predictions
@@ -494,7 +530,7 @@ def q_student_analysis_ml(spark, sf):
 
 @query("best_k")
 def q_best_k(spark, sf):
-    return ml.best_k(students(spark, sf), thresholds(), k_max=5)
+    return ml.best_k(students(spark, sf), thresholds())
 
 
 # ---------------------------------------------------------------------------
@@ -546,22 +582,24 @@ def q_threshold_what_if(spark, sf):
 
 
 # ---------------------------------------------------------------------------
-# 2.A  files in and out (rows-only checks: file layout decides input order)
+# 2.A  files in and out
 # ---------------------------------------------------------------------------
 
 def _attendance_csv(spark, sf, sep=";", encoding="ISO-8859-1") -> str:
-    """The attendance text written as CSV files into the shared folder."""
+    """The attendance text written, in input order, as CSV files into the shared folder."""
     from ..session import scratch_path
     path = scratch_path(spark, "asistencia-csv")
-    (td.attendance_text(spark, sf).drop("_rid").write.option("header", True).option("sep", sep)
+    (td.attendance_text(spark, sf).orderBy("_rid").drop("_rid").write.option("header", True).option("sep", sep)
      .option("encoding", encoding).csv(path))
     return path
 
 
 @query("csv_dialect_profile")
 def q_csv_dialect_profile(spark, sf):
+    """Data lines by detected dialect."""
     from ..sources.csv import csv_dialect_profile
-    return csv_dialect_profile(spark, _attendance_csv(spark, sf))
+    return csv_dialect_profile(spark, _attendance_csv(spark, sf)).groupBy("delimitador", "encoding").agg(
+        F.sum("lineas").alias("lineas"))
 
 
 @query("read_csv_robust")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -44,36 +43,53 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+_SCRATCH: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and intermediate tables.
 
-    Read from ``spark.checkpoint.dir`` (set by the cluster). Only when it is
-    unset, as in local tests, a fresh local folder is created and registered.
+    Read from ``spark.checkpoint.dir`` (set by the cluster). Only a local master
+    may leave it unset, as in tests: then a fresh local folder is registered. On
+    a cluster that is an error, since executors do not see the driver's disk.
     """
     try:
         sc = spark.sparkContext
     except Exception:  # no driver-side context (e.g. Spark Connect): the server's setting applies
-        return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tutorlens-ckpt-")
+        conf = spark.conf.get("spark.checkpoint.dir", None)
+        if not conf:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share") from None
+        return conf
     current = sc.getCheckpointDir()
     if current:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if not is_local_master(sc.master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that driver and executors share (master {sc.master})")
         conf = tempfile.mkdtemp(prefix="tutorlens-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
 
 
+def is_local_master(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path under the shared folder (never reused between runs)."""
     base = shared_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def is_local_path(path: str) -> bool:
-    return path.startswith("/") or path.startswith("file:")
-
-
-def ensure_local_parent(path: str) -> None:
-    if path.startswith("/"):
-        os.makedirs(os.path.dirname(path), exist_ok=True)
+    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Remove the scratch tables that this process has made so far; returns how many there were. Called at
+    the end of a job, when nothing reads them any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    gone = 0
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone

@@ -1,75 +1,104 @@
-"""CSV input: dialect profiling over a directory of files, and the robust reader."""
+"""CSV input: dialect and header of every file in a folder, and the robust reader.
+
+Lines are read as raw text once for the profile (first line, line count, UTF-8
+validity per file) and once for the data. Files are grouped by what their header
+line says, so files with other column orders, delimiters or encodings are read
+right next to each other; only one row per *distinct layout* reaches the driver.
+"""
 
 from __future__ import annotations
 
+import csv as pycsv
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CSV_DELIMITERS, DEFAULT_DIALECT
-from ..operators.clean import apply_null_tokens, trim_headers
+from ..operators.clean import apply_null_tokens
 
 RID = "_rid"
 
 
+def raw_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Non-blank lines with their place: archivo, bloque (start of the file block), fila (order in the block).
+    The text source keeps the bytes as they are, whatever the encoding."""
+    return lines_of(spark.read.text(path).select("value", "_metadata"))
+
+
+def lines_of(text: DataFrame) -> DataFrame:
+    return (text.select(F.col("_metadata.file_path").alias("archivo"), F.col("_metadata.file_block_start").alias("bloque"),
+                        F.monotonically_increasing_id().alias("fila"), "value")
+            .where(F.length(F.trim("value")) > 0))
+
+
+def layouts(lines: DataFrame) -> DataFrame:
+    """One row per file: archivo, cabecera (its first line), inicio (that line's place), delimitador, encoding, lineas
+    (data lines).
+
+    The delimiter is the one of ``, ; TAB |`` that the header line holds most often outside double quotes (the
+    first of equals; none: ','). Encoding is UTF-8 when every line is valid UTF-8, else ISO-8859-1 (which reads
+    any byte sequence)."""
+    place = F.struct("bloque", "fila")
+    files = lines.groupBy("archivo").agg(
+        F.min_by("value", place).alias("cabecera"), F.min(place).alias("inicio"),
+        (F.count(F.lit(1)) - 1).alias("lineas"), F.bool_and(F.is_valid_utf8("value")).alias("_utf8"))
+    bare = F.regexp_replace("cabecera", '"[^"]*"', "")
+    counts = F.array(*[F.struct((F.size(F.split(bare, re.escape(d), -1)) - 1).alias("n"), F.lit(-i).alias("i"), F.lit(d).alias("d"))
+                       for i, d in enumerate(CSV_DELIMITERS)])
+    best = F.array_max(counts)
+    return files.select(
+        "archivo", "cabecera", "inicio",
+        F.when(best["n"] > 0, best["d"]).otherwise(F.lit(DEFAULT_DIALECT[0])).alias("delimitador"),
+        F.when(F.col("_utf8"), F.lit("UTF-8")).otherwise(F.lit("ISO-8859-1")).alias("encoding"), "lineas")
+
+
 def csv_dialect_profile(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row per file: (archivo, delimitador, encoding, lineas).
-
-    A Spark job over the raw lines (``spark.read.text`` keeps the bytes as they
-    are): per file and candidate delimiter (``, ; TAB |``), the min and max count
-    per non-blank line, counted outside double-quoted fields. The first
-    delimiter with the same non-zero count on every line wins, else the most
-    frequent one, else ','. Encoding is UTF-8 when every line is valid UTF-8,
-    else ISO-8859-1 (which reads any byte sequence)."""
-    lines = (spark.read.text(path)
-             .select(F.col("_metadata.file_path").alias("archivo"), F.col("value"))
-             .where(F.length(F.trim("value")) > 0)
-             .withColumn("_bare", F.regexp_replace("value", '"[^"]*"', "")))
-    aggs = [F.count(F.lit(1)).alias("lineas"), F.min(F.is_valid_utf8("value").cast("int")).alias("_utf8")]
-    for i, d in enumerate(CSV_DELIMITERS):
-        cnt = F.size(F.split("_bare", re.escape(d), -1)) - 1
-        aggs += [F.min(cnt).alias(f"_mn{i}"), F.max(cnt).alias(f"_mx{i}")]
-    g = lines.groupBy("archivo").agg(*aggs)
-    cands = F.array(*[F.struct(F.lit(d).alias("d"), F.col(f"_mn{i}").alias("mn"), F.col(f"_mx{i}").alias("mx"))
-                      for i, d in enumerate(CSV_DELIMITERS)])
-    consistent = F.filter(cands, lambda s: (s["mn"] == s["mx"]) & (s["mx"] > 0))
-    best_any = F.array_max(F.transform(cands, lambda s: F.struct(s["mx"].alias("mx"), s["d"].alias("d"))))
-    delim = (F.when(F.size(consistent) > 0, consistent[0]["d"])
-             .when(best_any["mx"] > 0, best_any["d"])
-             .otherwise(F.lit(DEFAULT_DIALECT[0])))
-    enc = F.when(F.col("_utf8") == 1, F.lit("UTF-8")).otherwise(F.lit("ISO-8859-1"))
-    return g.select("archivo", delim.alias("delimitador"), enc.alias("encoding"), "lineas")
-
-
-def _read(spark: SparkSession, paths: str | list[str], sep: str, encoding: str) -> DataFrame:
-    df = (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
-          .option("ignoreLeadingWhiteSpace", True).option("inferSchema", False).option("mode", "PERMISSIVE")
-          .csv(paths))
-    return apply_null_tokens(trim_headers(df)).withColumn(RID, F.monotonically_increasing_id())
+    """One row per file: (archivo, delimitador, encoding, lineas); see ``layouts``. ``lineas`` counts data lines."""
+    return layouts(raw_lines(spark, path)).select("archivo", "delimitador", "encoding", "lineas")
+
+
+def decoded(value: str, encoding: str):
+    return F.when(F.col(encoding) == "UTF-8", F.col(value)).otherwise(F.decode(F.col(value).cast("binary"), "ISO-8859-1"))
+
+
+def header_names(header: str, sep: str) -> list[str]:
+    """Column names of a header line, trimmed; a name that repeats gets its position."""
+    names = [c.strip() for c in next(pycsv.reader([header.lstrip("\ufeff")], delimiter=sep))]
+    return [c if c and names.count(c) == 1 else f"{c}{i}" for i, c in enumerate(names)]
+
+
+def parse_lines(lines: DataFrame, sep: str | None = None, encoding: str | None = None) -> DataFrame:
+    """Lines (see ``raw_lines``) to columns of text by each file's own header, united by column name, with ``_rid`` =
+    (archivo, bloque, fila). Leading blanks of values are skipped, null tokens become null."""
+    files = layouts(lines)
+    if sep is not None:
+        files = files.withColumn("delimitador", F.lit(sep))
+    if encoding is not None:
+        files = files.withColumn("encoding", F.lit("UTF-8" if encoding.upper().replace("-", "") == "UTF8" else "ISO-8859-1"))
+    files = files.withColumn("cabecera", decoded("cabecera", "encoding"))
+    kinds = files.select("cabecera", "delimitador").distinct().collect()
+    if not kinds:
+        raise ValueError("no hay líneas CSV que leer")
+    placed = lines.join(files.drop("lineas"), "archivo").where(F.struct("bloque", "fila") != F.col("inicio"))
+    out = None
+    for kind in sorted(kinds):
+        names = header_names(kind["cabecera"], kind["delimitador"])
+        own = placed.where((F.col("cabecera") == kind["cabecera"]) & (F.col("delimitador") == kind["delimitador"]))
+        row = F.from_csv(decoded("value", "encoding"), _ddl(names),
+                         {"sep": kind["delimitador"], "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "true"})
+        part = own.select(row.alias("r"), F.struct("archivo", "bloque", "fila").alias(RID)).select("r.*", RID)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return apply_null_tokens(out)
+
+
+def _ddl(names: list[str]) -> str:
+    return ", ".join("`" + c.replace("`", "``") + "` STRING" for c in names)
 
 
 def read_csv_robust(spark: SparkSession, path: str | list[str], sep: str | None = None,
                     encoding: str | None = None) -> DataFrame:
     """Read CSV text as all-string columns: header names trimmed, leading blanks
-    of values skipped, null tokens -> null, and ``_rid`` (input order) taken
-    right after the scan. Missing ``sep``/``encoding`` come from
-    ``csv_dialect_profile``: files of one dialect are read together, and files
-    of different dialects are read per dialect and unioned by column name.
-
-    The profile returns one row per file, so only that small table reaches the
-    driver."""
-    if sep is not None and encoding is not None:
-        return _read(spark, path, sep, encoding)
-    prof = csv_dialect_profile(spark, path).collect()
-    if not prof:
-        raise ValueError(f"Error al leer CSV {path}: no hay líneas")
-    groups: dict[tuple[str, str], list[str]] = {}
-    for r in prof:
-        key = (sep or r["delimitador"], encoding or r["encoding"])
-        groups.setdefault(key, []).append(r["archivo"])
-    out = None
-    for (d, e), files in sorted(groups.items()):
-        part = _read(spark, sorted(files), d, e).drop(RID)
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out.withColumn(RID, F.monotonically_increasing_id())
+    of values skipped, null tokens -> null, and ``_rid``: the order of the rows by
+    file name and place in the file. A missing ``sep`` or ``encoding`` is found per file."""
+    return parse_lines(raw_lines(spark, path), sep, encoding)

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from ..operators import courses, reports
 
 
-def _write(df: DataFrame, path: str, fmt: str, partition_by: list[str] | None = None) -> None:
-    w = df.write.mode("overwrite").format(fmt)
+def _write(df: DataFrame, path: str, fmt: str, overwrite: bool, partition_by: list[str] | None = None) -> None:
+    if partition_by:   # one writer for each small course, several for a large one
+        df = df.hint("rebalance", *partition_by)
+    w = df.write.mode("overwrite" if overwrite else "errorifexists").format(fmt)
     if fmt == "csv":
         w = w.option("header", True)
     if partition_by:
@@ -22,17 +24,25 @@ def _write(df: DataFrame, path: str, fmt: str, partition_by: list[str] | None =
     w.save(path)
 
 
+def read_table(spark: SparkSession, path: str, fmt: str, schema=None) -> DataFrame:
+    """A written table; with ``schema`` no type is inferred from file or folder names."""
+    reader = spark.read.format(fmt)
+    if schema is not None:
+        reader = reader.schema(schema)
+    return (reader.option("header", True) if fmt == "csv" else reader).load(path)
+
+
 def write_report_tables(spark: SparkSession, students: DataFrame, out_dir: str, fmt: str = "parquet",
-                        predictions: DataFrame | None = None) -> dict[str, str]:
+                        predictions: DataFrame | None = None, extra: dict[str, DataFrame] | None = None,
+                        overwrite: bool = False) -> dict[str, str]:
     """Write estudiantes (partitioned by course), cursos, resumen, distribucion,
-    en_riesgo, recomendaciones, listado and, when given, ml. Returns name -> path.
-    ``out_dir`` is the caller's folder; its tables are replaced."""
+    en_riesgo, recomendaciones, listado and, when given, ml and the ``extra``
+    tables, all in format ``fmt``. Returns name -> path. Tables that are already
+    in ``out_dir`` are an error unless ``overwrite``."""
     base = out_dir.rstrip("/")
-    paths = {}
-    student_fmt = "parquet" if fmt == "csv" else fmt
-    paths["estudiantes"] = f"{base}/estudiantes"
-    _write(students, paths["estudiantes"], student_fmt, ["CursoID"])
-    st = spark.read.format(student_fmt).load(paths["estudiantes"])
+    paths = {"estudiantes": f"{base}/estudiantes"}
+    _write(students, paths["estudiantes"], fmt, overwrite, ["CursoID"])
+    st = read_table(spark, paths["estudiantes"], fmt, students.schema)
     summary = courses.summary(st)
     tables = {
         "cursos": reports.report_courses(courses.course_metrics(st)),
@@ -45,9 +55,9 @@ def write_report_tables(spark: SparkSession, students: DataFrame, out_dir: str,
     if predictions is not None:
         from ..operators.ml import cluster_distribution
         tables["ml"] = cluster_distribution(predictions)
-    for name, df in tables.items():
+    for name, df in {**tables, **(extra or {})}.items():
         paths[name] = f"{base}/{name}"
-        _write(df, paths[name], fmt)
+        _write(df, paths[name], fmt, overwrite)
     return paths
 
 
@@ -55,8 +65,6 @@ def written_row_counts(spark: SparkSession, paths: dict[str, str], fmt: str = "p
     """(tabla, filas) of written tables, read back from storage."""
     out = None
     for name, p in paths.items():
-        f = "parquet" if (name == "estudiantes" and fmt == "csv") else fmt
-        r = spark.read.format(f).option("header", True).load(p) if f == "csv" else spark.read.format(f).load(p)
-        c = r.agg(F.count(F.lit(1)).alias("filas")).select(F.lit(name).alias("tabla"), "filas")
+        c = read_table(spark, p, fmt).agg(F.count(F.lit(1)).alias("filas")).select(F.lit(name).alias("tabla"), "filas")
         out = c if out is None else out.unionByName(c)
     return out

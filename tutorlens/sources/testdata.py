@@ -13,31 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan with fewer splits than the cluster has task slots (a small file
-    written as one row group) is spread round-robin over the slots, so the
-    per-row parsing after it is not single-threaded. Large inputs already have
-    more splits than slots and pass through untouched (no extra shuffle)."""
-    try:
-        slots = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= slots:
-            return df
-    except Exception:  # no RDD view (e.g. a Spark Connect session): leave the scan as it is
-        return df
-    # The always-true filter on the (nondeterministic) partition id keeps
-    # Catalyst from pushing later predicates back below the exchange, into the
-    # one task that reads the file. Such a file is one row group, so nothing is
-    # lost for Parquet filter pushdown.
-    return df.repartition(slots).where(F.spark_partition_id() >= F.lit(0))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str, row_index: bool = False) -> DataFrame:
-    """One test table; ``row_index`` adds ``_row_index``, the row's position in
-    the file (taken at the scan, before any shuffle)."""
+    """One test table; ``row_index`` adds ``_row_index``, the row's place in the
+    table: (file, row of the file), taken at the scan, before any shuffle."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     if row_index:
-        df = df.withColumn("_row_index", F.col("_metadata.row_index"))
-    return spread(df)
+        df = df.withColumn("_row_index", F.struct(F.col("_metadata.file_path").alias("archivo"),
+                                                  F.col("_metadata.row_index").alias("fila")))
+    return df
 
 
 def attendance_raw(spark: SparkSession, sf_dir: str) -> DataFrame:

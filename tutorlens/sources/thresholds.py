@@ -8,58 +8,50 @@ turns several sets into a small DataFrame for what-if jobs.
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_THRESHOLDS, thresholds
 
-# Validation rules in the order they are checked (first failure is reported).
-RULES: list[tuple[str, str]] = [
-    ("asistencia_riesgo < asistencia_alerta", "asistencia_riesgo debe ser menor que asistencia_alerta"),
-    ("asistencia_alerta < asistencia_optima", "asistencia_alerta debe ser menor que asistencia_optima"),
-    ("nota_riesgo < nota_alerta", "nota_riesgo debe ser menor que nota_alerta"),
-    ("asistencia_riesgo BETWEEN 0 AND 100", "asistencia_riesgo debe estar entre 0 y 100"),
-    ("nota_aprobado BETWEEN 0 AND 10", "nota_aprobado debe estar entre 0 y 10"),
-    ("ml_n_clusters >= 2", "ml_n_clusters debe ser al menos 2"),
+# (low, comparison, high) of each rule, in the order in which they are checked; a text is a threshold's name
+RULES: list[tuple[str | float, str, str | float]] = [
+    ("asistencia_riesgo", "<", "asistencia_alerta"),
+    ("asistencia_alerta", "<", "asistencia_optima"),
+    ("nota_riesgo", "<", "nota_alerta"),
+    (0, "<=", "asistencia_riesgo"), ("asistencia_riesgo", "<=", 100),
+    (0, "<=", "nota_aprobado"), ("nota_aprobado", "<=", 10),
+    (2, "<=", "ml_n_clusters"),
 ]
 
 
+def rule_text(rule) -> str:
+    return "umbral no válido: se exige {} {} {}".format(*rule)
+
+
 def load_thresholds(json_string: str | None = None, json_file: str | None = None) -> dict:
-    """Defaults updated with a JSON object given as text or as a file path.
-    Bad JSON or a missing file -> ValueError."""
-    custom = None
+    """Defaults updated with a JSON object given as text or, if there is none, as a file path.
+    Anything that is not a readable JSON object -> ValueError."""
+    source = "el texto" if json_string else json_file
+    if not source:
+        return thresholds(None)
     try:
-        if json_string:
-            custom = json.loads(json_string)
-        elif json_file:
-            with open(json_file, encoding="utf-8") as f:
-                custom = json.load(f)
-    except json.JSONDecodeError as e:
-        raise ValueError(f"Error al parsear JSON de umbrales: {e}") from e
-    except FileNotFoundError as e:
-        raise ValueError(f"Archivo de umbrales no encontrado: {json_file}") from e
+        text = json_string or Path(json_file).read_text(encoding="utf-8")
+        custom = json.loads(text)
+    except (OSError, ValueError) as e:
+        raise ValueError(f"no se pueden leer umbrales de {source}: {e}") from e
+    if not isinstance(custom, dict):
+        raise ValueError(f"no se pueden leer umbrales de {source}: no es un objeto JSON")
     return thresholds(custom)
 
 
-def _python_check(th: dict, rule: str) -> bool:
-    a = th
-    checks = {
-        RULES[0][0]: lambda: a["asistencia_riesgo"] < a["asistencia_alerta"],
-        RULES[1][0]: lambda: a["asistencia_alerta"] < a["asistencia_optima"],
-        RULES[2][0]: lambda: a["nota_riesgo"] < a["nota_alerta"],
-        RULES[3][0]: lambda: 0 <= a["asistencia_riesgo"] <= 100,
-        RULES[4][0]: lambda: 0 <= a["nota_aprobado"] <= 10,
-        RULES[5][0]: lambda: a["ml_n_clusters"] >= 2,
-    }
-    return checks[rule]()
-
-
 def validate_thresholds(th: dict) -> bool:
-    """True, or ValueError with the message of the first rule that fails."""
-    for rule, message in RULES:
-        if not _python_check(th, rule):
-            raise ValueError(message)
+    """True, or ValueError naming the first rule that fails."""
+    for rule in RULES:
+        low, comparison, high = (th.get(x, x) for x in rule)
+        if not (low < high or comparison == "<=" and low == high):
+            raise ValueError(rule_text(rule))
     return True
 
 
@@ -72,5 +64,5 @@ def threshold_frame(spark: SparkSession, sets: list[dict]) -> DataFrame:
 
 def threshold_violations(frame: DataFrame) -> DataFrame:
     """Adds ``violaciones``: the messages of every failed rule, in rule order."""
-    msgs = F.array(*[F.when(~F.expr(rule), F.lit(msg)) for rule, msg in RULES])
+    msgs = F.array(*[F.when(~F.expr("{} {} {}".format(*rule)), F.lit(rule_text(rule))) for rule in RULES])
     return frame.withColumn("violaciones", F.filter(msgs, lambda m: m.isNotNull()))

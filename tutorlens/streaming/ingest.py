@@ -5,7 +5,7 @@ flag/date parsing as the batch loader) and appended to a Parquet table. Each
 micro-batch is written to its own ``batch=<id>`` folder with overwrite, so a
 replayed batch (after a failure) replaces its own output instead of adding
 rows twice; the checkpoint in the shared folder records which files were
-consumed. Input order is kept as ``_rid = (batch, position in batch)``, so the
+consumed. Input order is kept as ``_rid = (batch, file, place in the file)``, so the
 batch analysis (first row wins, last course wins) reads the curated table
 exactly like one big file.
 """
@@ -14,32 +14,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from ..config import ATTENDANCE_OPTIONAL, ATTENDANCE_REQUIRED
-from ..operators.clean import apply_null_tokens, parse_attendance
+from ..operators.clean import parse_attendance, require_columns
 from ..session import scratch_path
-
-ATTENDANCE_TEXT_SCHEMA = StructType([StructField(c, StringType()) for c in ATTENDANCE_REQUIRED + ATTENDANCE_OPTIONAL])
+from ..sources.csv import RID, lines_of, parse_lines
 
 
 def start_attendance_ingest(spark: SparkSession, src_dir: str, table_dir: str, checkpoint_dir: str | None = None,
-                            sep: str = ",", encoding: str = "UTF-8", available_now: bool = True,
+                            sep: str | None = None, encoding: str | None = None, available_now: bool = True,
                             max_files_per_trigger: int | None = None):
     """Start the stream; returns the ``StreamingQuery``. With ``available_now``
-    it processes what is there and stops (a scheduled incremental job)."""
-    reader = (spark.readStream.schema(ATTENDANCE_TEXT_SCHEMA).option("header", True).option("sep", sep)
-              .option("encoding", encoding).option("ignoreLeadingWhiteSpace", True))
+    it processes what is there and stops (a scheduled incremental job). Columns
+    go by each file's own header; a file without a required column fails its batch."""
+    reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    parsed = parse_attendance(apply_null_tokens(reader.csv(src_dir)))
+    lines = reader.text(src_dir).select("value", "_metadata")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("_rid", F.struct(F.lit(batch_id).cast("long").alias("lote"),
-                                           F.monotonically_increasing_id().alias("fila")))
+        if batch.isEmpty():
+            return
+        rows = require_columns(parse_lines(lines_of(batch), sep, encoding), ATTENDANCE_REQUIRED, "Asistencia")
+        absent = {c: F.lit(None).cast("string") for c in ATTENDANCE_OPTIONAL if c not in rows.columns}
+        rows = parse_attendance(rows.withColumns(absent) if absent else rows)
+        (rows.select(*ATTENDANCE_REQUIRED, *ATTENDANCE_OPTIONAL,
+                     F.struct(F.lit(batch_id).cast("long").alias("lote"), f"{RID}.archivo", f"{RID}.bloque",
+                              f"{RID}.fila").alias(RID))
          .write.mode("overwrite").parquet(f"{table_dir.rstrip('/')}/batch={batch_id}"))
 
-    writer = (parsed.writeStream.foreachBatch(write_batch)
+    writer = (lines.writeStream.foreachBatch(write_batch)
               .option("checkpointLocation", checkpoint_dir or scratch_path(spark, "ingest-ckpt")))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
