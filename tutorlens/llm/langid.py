@@ -7,8 +7,8 @@ vocabulary's word-start mark). Piece probabilities are fitted by expectation-max
 of labelled training documents: each round is a Spark job that runs forward-backward over the distinct words
 and sums expected piece counts; only piece counts (vocabulary x languages at most) reach the driver.
 
-The fit uses at most ``FIT_DOCS`` training documents of each language, those with the smallest
-hash of their text (a documented bound; the whole texts of these documents count). Everything else covers all rows.
+The fit uses a sample of about ``FIT_DOCS`` training documents of each language, chosen by a hash (a documented bound; the
+whole texts of these documents count). Everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,11 +116,14 @@ class Pieces:
 
 
 def training_words(train: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
-    """(lang, word, n) over the whole texts of at most ``fit_docs`` documents of each language.
+    """(lang, word, n) over the whole texts of about ``fit_docs`` documents of each language, all if it has no more.
     train: doc_id, text, lang; rows with a null language are left out."""
-    pick = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "doc_id")
-    chosen = train.where("lang is not null").withColumn("rank", F.row_number().over(pick)).where(
-        F.col("rank") <= fit_docs)
+    train = train.where("lang is not null")
+    counts = train.groupBy("lang").count().collect()    # one row per language
+    share = F.lit(0.0)
+    for r in counts:
+        share = F.when(F.col("lang") == r["lang"], F.lit(fit_docs / r["count"])).otherwise(share)
+    chosen = train.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share * (1 << 30))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
