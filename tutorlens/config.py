@@ -42,7 +42,6 @@ RISK_LEVELS: list[tuple[str, int, str, str, str]] = [
     ("OPTIMO", 0, "00FF00", "\U0001F7E2", "Óptimo - Sin intervención necesaria"),
 ]
 NO_DATA = "SIN_DATOS"
-UNKNOWN_COLOR = "FFFFFF"
 
 # Row labels of the risk distribution table, in report order.
 DISTRIBUTION_LABELS: list[tuple[str, str]] = [
@@ -52,7 +51,6 @@ DISTRIBUTION_LABELS: list[tuple[str, str]] = [
     ("OPTIMO", "ÓPTIMO"),
 ]
 
-TRENDS = ("MEJORANDO", "EMPEORANDO", "ESTABLE")
 
 COMPETENCIES: list[tuple[str, str, str]] = [
     ("CE1", "Resolución de problemas motrices", "Capacidad para resolver situaciones motrices variadas"),
@@ -65,7 +63,6 @@ COMPETENCIES: list[tuple[str, str, str]] = [
 ATTENDANCE_REQUIRED = ["IDEstudiante", "CursoID", "Fecha", "Presente"]
 ATTENDANCE_OPTIONAL = ["Retraso", "FaltaJustificada", "Observaciones"]
 GRADES_REQUIRED = ["Nota"]
-GRADES_OPTIONAL = ["IDEstudiante", "CursoID", "Evaluacion", "Competencia", "Fecha", "Peso", "Observaciones"]
 
 # Standard grade column -> accepted alternative names, first match wins.
 GRADE_COLUMN_ALTERNATIVES: dict[str, list[str]] = {
@@ -81,7 +78,6 @@ GRADE_COLUMN_ALTERNATIVES: dict[str, list[str]] = {
 
 CSV_DELIMITERS = [",", ";", "\t", "|"]
 # Only these two are distinguishable: ISO-8859-1 decodes any byte sequence.
-CSV_ENCODINGS = ["UTF-8", "ISO-8859-1"]
 DEFAULT_DIALECT = (",", "UTF-8")
 
 SENSITIVE_COLUMNS = ["NombreEstudiante", "Nombre", "Apellido", "Email", "Telefono", "Direccion"]

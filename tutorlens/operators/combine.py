@@ -9,7 +9,7 @@ from ..config import DEFAULT_COURSE, NO_DATA, PREFIX_RENAMES
 from ..functions.scalars import risk_combined, risk_order
 from .metrics import KEY, attendance_profile, current_course, current_course_grades, grade_profile
 
-# Defaults for a student missing one side (values as the analysis fills them).
+# Defaults for a student missing one side.
 SIDE_DEFAULTS = {
     "nivel_riesgo_asist": NO_DATA,
     "nivel_riesgo_rend": NO_DATA,
