@@ -118,7 +118,7 @@ def test_anonymize_exact_names(spark):
 
 def test_require_columns_message(spark):
     df = spark.createDataFrame([("A",)], "IDEstudiante string")
-    with pytest.raises(ValueError, match="Columnas faltantes en Asistencia"):
+    with pytest.raises(ValueError, match="Asistencia: no se encuentran"):
         clean.prepare_attendance(df)
 
 

@@ -158,6 +158,21 @@ def test_courses_summary_and_competencies(school):
     assert clean.cross_validate(att.drop("IDEstudiante", "CursoID"), gr).count() == 0
 
 
+def test_row_order_of_sorted_tables(school):
+    from tutorlens.operators import metrics, reports
+    from tutorlens.operators.combine import classify_students
+    _, _, att, gr, st = school
+    order = ["ALTO", "MEDIO", "ALERTA", "OPTIMO"]
+    rows = classify_students(metrics.attendance_metrics(att), metrics.grade_metrics(gr)).collect()
+    keys = [(order.index(r["nivel_riesgo_final"]), r["IDEstudiante"]) for r in rows]
+    assert keys == sorted(keys) and len(keys) == 11
+    listed = [r[0] for r in reports.report_students(st).collect()]
+    level = {r["IDEstudiante"]: order.index(r["nivel_riesgo_final"]) for r in st.collect()}
+    assert [level[s] for s in listed] == sorted(level.values())
+    days = [(r["Fecha"] is None, r["Fecha"], tuple(r["_rid"])) for r in att.orderBy(*metrics.input_order(att)).collect()]
+    assert days == sorted(days, key=lambda d: (d[0], d[1] or dt.date.min, d[2]))
+
+
 def test_job(spark, school, tmp_path):
     a, g, *_ = school
     args = ["--asistencia", a, "--calificaciones", g, "--output", str(tmp_path / "out")]
