@@ -32,7 +32,7 @@ UNKNOWN = 1e-7        # probability of a character that no piece covers
 SMOOTHING = 0.05      # weight of the mean over languages in each language's probabilities
 MAX_MEMO = 300_000    # distinct words whose scores a task holds
 UNDETERMINED = "und"
-MIN_SCORE = 0.5
+MIN_SCORE = 0.3       # below it a text is about as likely in all languages
 
 RUN = re.compile(r"[^\W\d_]+")
 
