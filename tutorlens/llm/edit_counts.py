@@ -33,20 +33,21 @@ def cut(text: str) -> list[str]:
 class TokenTree:
     def __init__(self, enc: Encoder, text: str):
         self.enc = enc
-        self.build([[c] for c in cut(text)])
+        self.build(*self.single_leaves(cut(text)))
 
-    def tokens_of(self, chunk: str) -> int:
-        if chunk[0] == " ":
-            return len(self.enc.edge(chunk[1:])) // 4
-        return len(self.enc.first.ids_of(chunk)) // 4
+    def tokens_of(self, chunks: list[str]) -> list[int]:
+        edge = self.enc.edge
+        return [len(edge(c[1:]) if c[0] == " " else self.enc.first.ids_of(c)) // 4 for c in chunks]
 
-    def build(self, leaves: list[list[str]]) -> None:
+    def single_leaves(self, chunks: list[str]) -> tuple[list[list[str]], list[int], list[int]]:
+        return [[c] for c in chunks], list(map(len, chunks)), self.tokens_of(chunks)
+
+    def build(self, leaves: list[list[str]], chars: list[int], tokens: list[int]) -> None:
+        """The tree over leaves with known characters and tokens."""
         self.leaves = leaves
         self.width = 1 << max(0, len(leaves) - 1).bit_length()
         spare = [0] * (self.width - len(leaves))
-        chars = [sum(map(len, own)) for own in leaves] + spare
-        tokens = [sum(map(self.tokens_of, own)) for own in leaves] + spare
-        self.chars, self.tokens = self.sums(chars), self.sums(tokens)
+        self.chars, self.tokens = self.sums(chars + spare), self.sums(tokens + spare)
 
     @staticmethod
     def sums(row: list[int]) -> list[int]:
@@ -77,7 +78,7 @@ class TokenTree:
     def set_leaf(self, leaf: int, chunks: list[str]) -> None:
         self.leaves[leaf] = chunks
         node = self.width + leaf
-        self.chars[node], self.tokens[node] = sum(map(len, chunks)), sum(map(self.tokens_of, chunks))
+        self.chars[node], self.tokens[node] = sum(map(len, chunks)), sum(self.tokens_of(chunks))
         while node > 1:
             node //= 2
             self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
@@ -92,7 +93,7 @@ class TokenTree:
         if pos == stop and not insert:
             return 0
         if not n:
-            self.build([[c] for c in cut(insert)])
+            self.build(*self.single_leaves(cut(insert)))
             return len(insert)
         left, begin = self.leaf_at(max(pos - 1, 0))
         if begin:
@@ -105,7 +106,10 @@ class TokenTree:
         region = region[:pos - begin] + insert + region[stop - begin:]
         chunks = cut(region)
         if len(chunks) > MAX_LEAF_CHUNKS:      # a large insertion gets leaves of its own
-            self.build([*self.leaves[:left], *[[c] for c in chunks], *self.leaves[right + 1:]])
+            w = self.width
+            own = self.single_leaves(chunks)
+            self.build(*[old[:left] + new + old[right + 1:] for old, new in zip(
+                (self.leaves, self.chars[w:w + len(self.leaves)], self.tokens[w:w + len(self.leaves)]), own)])
             return len(region)
         for i in range(left + 1, right + 1):
             self.set_leaf(i, [])
