@@ -37,6 +37,16 @@ def test_forward_sums_all_segmentations():
             assert got == pytest.approx(want)
 
 
+def test_words_in_step_equal_words_one_by_one():
+    import random
+    rng = random.Random(3)
+    model = langid.Pieces(PROBS, ["x", "y"])
+    words = ["".join(rng.choice("abé") for _ in range(rng.randint(1, 70))) for _ in range(300)]
+    got = model.log_probabilities(words)
+    for w, row in zip(words, got):
+        assert row.tolist() == pytest.approx(model.log_probability(w))
+
+
 def test_long_and_uncovered_words():
     model = langid.Pieces(PROBS, ["x", "y"])
     long = "ab" * 3000

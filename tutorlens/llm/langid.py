@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from .common import documents, ids_and_text, written
 
 FIT_DOCS = 500
+FIT_FILES = 64
 ROUNDS = 3
 UNKNOWN = 1e-7        # probability of a character that no piece covers
 SMOOTHING = 0.05      # weight of the mean over languages in each language's probabilities
@@ -34,6 +35,11 @@ MAX_MEMO = 300_000    # distinct words whose scores a task holds
 UNDETERMINED = "und"
 MIN_SCORE = 0.3       # below it a text is about as likely in all languages
 
+MARK = "▁"           # word start in the vocabulary
+MAX_BATCH_WORD = 64    # longer words are scored one by one
+
+HASH_BASE = np.uint64(0x9E3779B97F4A7C15)
+
 RUN = re.compile(r"[^\W\d_]+")
 
 
@@ -43,12 +49,21 @@ def words_of(text: str) -> list[str]:
 
 
 def vocabulary(path: str) -> list[str]:
-    """The text pieces of a sentencepiece model, lower-case ones first met; control and byte pieces left out."""
+    """The pieces of a sentencepiece model that a marked word can hold."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [sp.id_to_piece(i) for i in range(sp.get_piece_size())
-            if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
+    pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())
+              if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
+    # words are lower-cased runs of letters after one word-start mark: no other piece can occur in them
+    return [p for p in pieces if p == MARK or (b := p.removeprefix(MARK)).isalpha() and b == b.lower()]
+
+
+def piece_key(piece: str) -> int:
+    key = 0
+    for c in piece:
+        key = (key * int(HASH_BASE) + ord(c)) % (1 << 64)
+    return key
 
 
 class Pieces:
@@ -58,10 +73,16 @@ class Pieces:
         self.probs, self.languages = probs, languages
         self.longest = max(map(len, probs), default=1)
         self.unknown = (UNKNOWN,) * len(languages)
+        # rows: absent, an uncovered character, then the pieces; keys: the pieces' 64-bit hashes in order, and an end mark
+        keys = np.array([piece_key(p) for p in probs] + [(1 << 64) - 1], np.uint64)
+        self.key_rows = np.argsort(keys, kind="stable")
+        self.keys = keys[self.key_rows]
+        self.key_rows = np.where(self.key_rows < len(probs), self.key_rows + 2, 0)
+        self.matrix = np.array([(0.0,) * len(languages), self.unknown, *probs.values()]).reshape(len(probs) + 2, len(languages))
 
     def arcs(self, word: str) -> list[list[tuple[int, str | None]]]:
         """For each end in the marked word: (begin, piece); an uncovered character is an arc of its own."""
-        s = "▁" + word
+        s = MARK + word
         probs, longest = self.probs, self.longest
         out: list[list[tuple[int, str | None]]] = [[]]
         for j in range(1, len(s) + 1):
@@ -98,6 +119,46 @@ class Pieces:
         last = alpha[-1]
         return [log[k] + math.log(last[k]) for k in ks]
 
+    def log_probabilities(self, words: list[str]) -> np.ndarray:
+        """``log_probability`` of many words: the forward algorithm runs over words of one length in step."""
+        k = len(self.languages)
+        out = np.empty((len(words), k))
+        groups: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            groups.setdefault(len(w), []).append(i)
+        step = max(64, 16384 // max(k, 1))
+        for n, at in groups.items():
+            if n > MAX_BATCH_WORD:
+                for i in at:
+                    out[i] = self.log_probability(words[i])
+                continue
+            for lo in range(0, len(at), step):
+                part = at[lo:lo + step]
+                out[part] = self.forward([MARK + words[i] for i in part], n + 1)
+        return out
+
+    def forward(self, marked: list[str], n: int) -> np.ndarray:
+        """log P of marked words, all of n characters."""
+        w = len(marked)
+        code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").reshape(w, n).astype(np.uint64)
+        alpha = np.zeros((n + 1, w, len(self.languages)))
+        alpha[0] = 1
+        log = np.zeros(alpha.shape[1:])
+        for i in range(n):
+            key = np.zeros(w, np.uint64)
+            for j in range(i + 1, min(n, i + self.longest) + 1):
+                key = key * HASH_BASE + code[:, j - 1]
+                at = np.searchsorted(self.keys, key)
+                row = np.where(self.keys[at] == key, self.key_rows[at], 1 if j - i == 1 else 0)
+                if row.any():
+                    alpha[j] += alpha[i] * self.matrix[row]
+            if i % 16 == 15 and i + 1 < n:    # bring what is still needed back to about 1
+                ahead = slice(i + 1, i + 1 + self.longest)
+                top = alpha[ahead].max(axis=0)
+                log += np.log(top)
+                alpha[ahead] /= top
+        return log + np.log(alpha[n])
+
     def expected(self, word: str, k: int) -> list[tuple[str, float]]:
         """Expected number of uses of each piece in the word under language k (forward-backward)."""
         probs, arcs = self.probs, self.arcs(word)
@@ -141,7 +202,8 @@ def training_words(train: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
 def fit(train: DataFrame, model_path: str, fit_docs: int = FIT_DOCS, rounds: int = ROUNDS) -> Pieces:
     """Fit piece probabilities on labelled documents (doc_id, text, lang). Without any word the model has no
     language, and every text is undetermined."""
-    words = written(training_words(train, fit_docs), "langid-words")
+    # a bounded table, in enough files that the rounds below run side by side
+    words = written(training_words(train, fit_docs).repartition(FIT_FILES, "lang", "word"), "langid-words")
     languages = sorted(r["lang"] for r in words.select("lang").distinct().collect())
     vocab = vocabulary(model_path)
     start = 1.0 / max(len(vocab), 1)
@@ -200,9 +262,9 @@ def with_language(docs: DataFrame, pieces: Pieces) -> DataFrame:
                         memo, new = {}, set(part)
                     while len(memo) + len(new) > len(table):
                         table = np.concatenate((table, np.empty_like(table)))
-                    for w in sorted(new):
-                        table[len(memo)] = pieces.log_probability(w)
-                        memo[w] = len(memo)
+                    new = sorted(new)
+                    table[len(memo):len(memo) + len(new)] = pieces.log_probabilities(new)
+                    memo.update(zip(new, range(len(memo), len(memo) + len(new))))
                     total += table[np.fromiter(map(memo.__getitem__, part), np.int64, len(part))].sum(axis=0)
                 best = int(total.argmax())
                 pred.append(pieces.languages[best])
