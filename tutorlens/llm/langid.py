@@ -31,7 +31,8 @@ FIT_FILES = 64
 ROUNDS = 3
 UNKNOWN = 1e-7        # probability of a character that no piece covers
 SMOOTHING = 0.05      # weight of the mean over languages in each language's probabilities
-MAX_MEMO = 300_000    # distinct words whose scores a task holds
+MAX_MEMO = 600_000    # distinct words whose scores a task holds
+BLOCK_WORDS = 200_000  # words of neighbouring texts that are looked up together
 UNDETERMINED = "und"
 MIN_SCORE = 0.3       # below it a text is about as likely in all languages
 
@@ -239,36 +240,49 @@ def reestimate(words: DataFrame, pieces: Pieces) -> Pieces:
     return Pieces({p: tuple(mixed[i].tolist()) for p, i in row.items()}, pieces.languages)
 
 
+class WordScores:
+    """Scores of the distinct words met so far, at most about ``MAX_MEMO`` of them."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces, self.memo = pieces, {}
+        self.table = np.empty((0, len(pieces.languages)))
+
+    def add(self, total: np.ndarray, held: list[tuple[int, list[str]]]) -> None:
+        """Add the scores of (row of total, words) to their rows; new words are scored together."""
+        words = set().union(*(own for _, own in held))
+        new = sorted(words.difference(self.memo))
+        if len(self.memo) + len(new) > MAX_MEMO:
+            self.memo, self.table, new = {}, self.table[:0], sorted(words)
+        self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new))))
+        self.table = np.concatenate((self.table, self.pieces.log_probabilities(new)))
+        for at, own in held:
+            total[at] += self.table[np.fromiter(map(self.memo.__getitem__, own), np.int64, len(own))].sum(axis=0)
+
+
 def with_language(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """row (all columns of docs as a struct), lang_pred, score. score: the language's share of the text's probability
     over all languages (equal priors). A null text, or one without a letter, is ``und`` with score 0."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = WordScores(pieces)
         k = len(pieces.languages)
-        memo: dict[str, int] = {}
-        table = np.empty((1024, k))
         for batch in batches:
-            pred, score = [], []
-            for text in batch.column(1).to_pylist():
-                words = words_of(text or "")
-                if not words or not k:
-                    pred.append(UNDETERMINED)
-                    score.append(0.0)
-                    continue
-                total = np.zeros(k)
-                for at in range(0, len(words), MAX_MEMO):
-                    part = words[at:at + MAX_MEMO]
-                    new = set(part).difference(memo)
-                    if len(memo) + len(new) > MAX_MEMO:
-                        memo, new = {}, set(part)
-                    while len(memo) + len(new) > len(table):
-                        table = np.concatenate((table, np.empty_like(table)))
-                    new = sorted(new)
-                    table[len(memo):len(memo) + len(new)] = pieces.log_probabilities(new)
-                    memo.update(zip(new, range(len(memo), len(memo) + len(new))))
-                    total += table[np.fromiter(map(memo.__getitem__, part), np.int64, len(part))].sum(axis=0)
-                best = int(total.argmax())
-                pred.append(pieces.languages[best])
-                score.append(float(1 / np.exp(np.maximum(total - total[best], -700)).sum()))
+            total, some = np.zeros((batch.num_rows, k)), np.zeros(batch.num_rows, bool)
+            held, size = [], 0
+            for at, text in enumerate(batch.column(1).to_pylist()):
+                words = words_of(text or "") if k else []
+                some[at] = bool(words)
+                for lo in range(0, len(words), BLOCK_WORDS):
+                    held.append((at, words[lo:lo + BLOCK_WORDS]))
+                    size += len(held[-1][1])
+                    if size >= BLOCK_WORDS:
+                        scores.add(total, held)
+                        held, size = [], 0
+            scores.add(total, held)
+            pred, score = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows)
+            for at in np.flatnonzero(some).tolist():
+                best = int(total[at].argmax())
+                pred[at] = pieces.languages[best]
+                score[at] = 1 / np.exp(np.maximum(total[at] - total[at, best], -700)).sum()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["row", "lang_pred", "score"])
 
