@@ -177,11 +177,12 @@ def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIU
     smallest text hash; of rows that repeat both, any one)."""
     prints = written(fingerprints(docs, words), "simhash")
     owned = rooted(prints, radius, bucket_limit).select("fp", "root")
-    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tk")
-    chosen = prints.join(owned, "fp").groupBy("root", key.alias("key")).agg(F.count(F.lit(1)).alias("rows"))
-    chosen = chosen.groupBy("root").agg(F.min(F.struct("key", "rows")).alias("first")).select(
-        F.coalesce("first.key.doc_id", F.lit(0)).alias("keep_id"), F.col("first.key.no_id").alias("no_id"),
-        F.col("first.key.tk").alias("tk"), F.col("first.rows").alias("rows"))
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("keep_id"), "tk")
+    # smallest key of a fingerprint first: no copies meet in the join
+    first = prints.groupBy("fp").agg(F.min(key).alias("key")).join(owned, "fp").groupBy("root").agg(
+        F.min("key").alias("key")).select("key.*")
+    again = prints.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key.*", "rows")
+    chosen = first.join(again, ["keep_id", "no_id", "tk"], "left").withColumn("rows", F.coalesce("rows", F.lit(1)))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("keep_id"),
                        F.col("doc_id").isNull().alias("no_id"),
