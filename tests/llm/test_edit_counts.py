@@ -76,3 +76,19 @@ def test_sample_edits_equal_whole_encoding(spark):
         assert (own["n_tokens"], own["n_tokens_after"]) == (count(r["text"] or ""), count(text))
         assert own["reencoded_chars"] <= max(1000, len(text))
     assert len(got) == docs.count()
+
+
+def test_edits_that_make_and_break_added_tokens():
+    import tokenizers
+
+    plain = tokenizers.Tokenizer.from_file(tokenizer_path())
+    rng = random.Random(5)
+    parts = ["<|endoftext|>", "<|endof", "text|>", " ", "a", "word ", "  ", "\n"]
+    for _ in range(150):
+        text = "".join(rng.choices(parts, k=rng.randrange(12)))
+        tree = ec.TokenTree(ENC, text)
+        for _ in range(5):
+            pos, size, ins = rng.randrange(len(text) + 1), rng.randrange(4), "".join(rng.choices(parts, k=rng.randrange(3)))
+            tree.edit(pos, size, ins)
+            text = text[:pos] + ins + text[pos + size:]
+            assert tree.n_tokens == len(plain.encode(text, add_special_tokens=False).ids)

@@ -129,3 +129,41 @@ def test_pack_documents_against_encoding(spark, enc):
         if r["doc_id"] == 5:
             piece = np.array(ids[r["start"]:r["start"] + r["length"]], "<u4").tobytes()
             assert r["ids_crc32"] == zlib.crc32(piece)
+
+
+ADDED = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y's  <|endoftext|>\n", " <|endoftext|><|endoftext|> <|endoftext", "é <|endoftext|>日"]
+
+
+def plain_tokenizer(path):
+    import tokenizers
+
+    made = tokenizers.Tokenizer.from_file(path)
+    return lambda text: made.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|", " ", "  ", "a", "'s", "é", "\n", "1"]), max_size=12).map("".join))
+def test_added_tokens_are_encoded_as_the_file_says(text):
+    made = test_added_tokens_are_encoded_as_the_file_says.__dict__
+    if "enc" not in made:
+        made.update(enc=Encoder(tokenizer_path()), plain=plain_tokenizer(tokenizer_path()))
+    for t in (text, *ADDED):
+        assert np.frombuffer(made["enc"].encode_bytes(t), "<u4").tolist() == made["plain"](t)
+    assert made["plain"](ADDED[0]) == [64, 220, 50256, 275]
+
+
+def test_added_tokens_that_reach_over_a_space(tmp_path):
+    import tokenizers
+
+    from tutorlens.llm.edit_counts import TokenTree
+
+    made = tokenizers.Tokenizer.from_file(tokenizer_path())
+    made.add_tokens([tokenizers.AddedToken("two words"), tokenizers.AddedToken("<eat>", lstrip=True, rstrip=True)])
+    made.save(str(tmp_path / "t.json"))
+    enc, plain = Encoder(str(tmp_path / "t.json")), plain_tokenizer(str(tmp_path / "t.json"))
+    for text in ("a two words b", "a <eat> b <|endoftext|> c", "no such token"):
+        assert np.frombuffer(enc.encode_bytes(text), "<u4").tolist() == plain(text)
+        tree = TokenTree(enc, text)
+        assert tree.n_tokens == len(plain(text))
+        tree.edit(2, 0, "two ")
+        assert tree.n_tokens == len(plain(text[:2] + "two " + text[2:]))

@@ -4,6 +4,8 @@ A document is held as a segment tree over its pre-token chunks (see ``encoding``
 leaf holds some chunks with their characters and tokens; inner nodes hold the sums. An edit descends by character
 sums to the leaves it touches, takes one chunk of context at either side (a new or lost space there can join
 chunks, none further away), cuts and encodes only that region again and updates the sums on the paths above.
+An added token (``<|endoftext|>``) lies inside one chunk; for a tokenizer with added tokens that reach over a space
+a document is a single chunk.
 """
 
 from __future__ import annotations
@@ -33,7 +35,10 @@ def cut(text: str) -> list[str]:
 class TokenTree:
     def __init__(self, enc: Encoder, text: str):
         self.enc = enc
-        self.build(*self.single_leaves(cut(text)))
+        self.build(*self.single_leaves(self.cut(text)))
+
+    def cut(self, text: str) -> list[str]:
+        return cut(text) if not self.enc.wide else [text] if text else []
 
     def tokens_of(self, chunks: list[str]) -> list[int]:
         edge = self.enc.edge
@@ -93,7 +98,7 @@ class TokenTree:
         if pos == stop and not insert:
             return 0
         if not n:
-            self.build(*self.single_leaves(cut(insert)))
+            self.build(*self.single_leaves(self.cut(insert)))
             return len(insert)
         left, begin = self.leaf_at(max(pos - 1, 0))
         if begin:
@@ -104,7 +109,7 @@ class TokenTree:
             right, end = self.leaf_at(end)
         region = "".join("".join(self.leaves[i]) for i in range(left, right + 1))
         region = region[:pos - begin] + insert + region[stop - begin:]
-        chunks = cut(region)
+        chunks = self.cut(region)
         if len(chunks) > MAX_LEAF_CHUNKS:      # a large insertion gets leaves of its own
             w = self.width
             own = self.single_leaves(chunks)

@@ -5,8 +5,10 @@ space that stands between two non-space characters: the space opens the next
 token. So a text is cut at such spaces, and the ids of a text are the ids of its chunks
 in order. Texts with other runs of white space are cut only where that condition holds. A
 new chunk of ASCII and Latin letters is cut further into the pattern's pieces, each of which the
-library's BPE model encodes once; any other chunk is encoded by the library as it stands. The result
-equals ``Tokenizer.encode(text, add_special_tokens=False).ids`` (tested).
+library's BPE model encodes once; any other chunk, also one that holds an added token such as ``<|endoftext|>``, is
+encoded by the library as it stands. A text with an added token that has white space of its own, or takes white space
+beside it, is encoded whole. The result equals ``Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids``
+(tested).
 """
 
 from __future__ import annotations
@@ -77,13 +79,13 @@ class PieceMemo(Memo):
 class ChunkMemo(Memo):
     """chunk (after ``lead``) -> its ids."""
 
-    def __init__(self, tokenizer, pieces: PieceMemo, lead: str):
+    def __init__(self, tokenizer, pieces: PieceMemo, lead: str, added: list[str]):
         super().__init__()
-        self.tokenizer, self.pieces, self.lead = tokenizer, pieces, lead
+        self.tokenizer, self.pieces, self.lead, self.added = tokenizer, pieces, lead, added
 
     def ids_of(self, chunk: str) -> bytes:
         text = self.lead + chunk
-        if OTHER.search(text):
+        if OTHER.search(text) or any(a in text for a in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.pieces.__getitem__, PIECE.findall(text)))
 
@@ -98,9 +100,12 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True   # their strings in a text are ordinary text
+        tokens = self.tokenizer.get_added_tokens_decoder().values()
+        added = [t.content for t in tokens]
+        #: added tokens that reach over a cut; every other one lies inside a chunk
+        self.wide = [t.content for t in tokens if t.lstrip or t.rstrip or any(map(str.isspace, t.content))]
         pieces = PieceMemo(self.tokenizer)
-        self.first, self.rest = ChunkMemo(self.tokenizer, pieces, ""), ChunkMemo(self.tokenizer, pieces, " ")
+        self.first, self.rest = (ChunkMemo(self.tokenizer, pieces, lead, added) for lead in ("", " "))
 
     @property
     def vocab_size(self) -> int:
@@ -109,6 +114,8 @@ class Encoder:
     def encode_bytes(self, text: str) -> bytes:
         if not text:
             return b""
+        if any(a in text for a in self.wide):
+            return self.first.ids_of(text)
         return b"".join(self.chunk_ids(text))
 
     def chunk_ids(self, text: str) -> list[bytes]:
