@@ -167,3 +167,31 @@ def test_added_tokens_that_reach_over_a_space(tmp_path):
         assert tree.n_tokens == len(plain(text))
         tree.edit(2, 0, "two ")
         assert tree.n_tokens == len(plain(text[:2] + "two " + text[2:]))
+
+
+def test_each_tier_packs_its_own_documents():
+    rng = random.Random(4)
+    lengths = [int(2 ** rng.uniform(3, 11)) for _ in range(4000)]
+    windows = packing.pack(lengths)
+    tier_of = lambda n: min(t for t in packing.TIERS if t >= n)
+    count = {t: sum(w[0] == t for w in windows) for t in packing.TIERS}
+    for tier in (2048, 1024, 512, 256, 128):
+        own = [p for t, p in windows if t == tier]
+        assert count[tier] > 50
+        # each window is opened by a piece that was routed to its tier; what follows fills its gap
+        assert all(tier_of(p[0][2]) == tier for p in own)
+    # a document of a tier lies in a window of its tier, but for those that fill the gaps of longer ones
+    at_home = sum(len(p) == 1 or tier_of(p[0][2]) == t for t, p in windows)
+    assert at_home == len(windows)
+    groups, cost = packing.step_groups(windows), {}
+    for (tier, pieces), g in zip(windows, groups):
+        cost.setdefault(tier, {}).setdefault(g, []).append(sum(n * n for *_, n in pieces))
+    for tier in (2048, 1024, 512):
+        mean = [sum(c) / len(c) for c in cost[tier].values()]
+        assert len(mean) > 5 and max(mean) < 1.3 * min(mean)
+
+
+def test_short_documents_do_not_go_to_the_longest_tier():
+    windows = packing.pack([200] * 3000)
+    assert {t for t, _ in windows if t > 256} == set()
+    assert sum(n for _, p in windows for *_, n in p) == 600_000

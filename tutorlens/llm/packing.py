@@ -2,11 +2,12 @@
 
 Each task packs the documents of its own input partition, buffer by buffer, so no text is
 shuffled. A document longer than the largest context gives full windows first; what remains
-is routed to the smallest tier that holds it. Tiers are packed from the longest down: a window
-of the largest context is opened by the longest waiting piece and its gap is filled with the
-longest waiting pieces of the shorter tiers that fit (best fit); the last bit of a gap is closed
-by cutting the shortest waiting piece. When what waits is less than a window, it fills windows
-of the shorter tiers exactly, so the only padding is what remains below the smallest tier.
+is routed to the smallest tier that holds it and waits in that tier's list. Tiers are packed from
+the longest down, each for as long as its own list has pieces: a window is opened by the longest piece of
+its tier and its gap is filled with the longest pieces that fit, from the tier's own list and those of the
+shorter tiers (best fit); the last bit of a gap is closed by cutting the shortest waiting piece, whose rest is routed anew.
+When all that waits is less than a window, the tier's pieces are passed to the next tier (in full windows, the rest routed),
+so the only padding is what remains below the smallest tier.
 Windows of one tier are then dealt to step groups of equal size so that the attention cost
 (sum of squared piece lengths) is balanced between the groups.
 """
@@ -14,7 +15,7 @@ Windows of one tier are then dealt to step groups of equal size so that the atte
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,25 +35,39 @@ PIECE_SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_token
 
 
 class Waiting:
-    """Pieces that wait, by length: (length, document, start), shortest first."""
-
-    def __init__(self):
-        self.items: list[tuple[int, int, int]] = []
-        self.tokens = 0
+    """Pieces that wait, a list per tier: (length, document, start), shortest first. ``tiers``: longest first."""
+
+    def __init__(self, tiers, pieces):
+        self.bounds = sorted(tiers)
+        self.lists: dict[int, list[tuple[int, int, int]]] = {t: [] for t in tiers}
+        for length, doc, start in pieces:
+            if length:
+                self.lists[self.tier_of(length)].append((length, doc, start))
+        for own in self.lists.values():
+            own.sort()
+        self.tokens = sum(n for own in self.lists.values() for n, _, _ in own)
+
+    def tier_of(self, length: int) -> int:
+        """The smallest tier that holds ``length`` tokens."""
+        return self.bounds[bisect_left(self.bounds, length)]
 
     def put(self, length: int, doc: int, start: int) -> None:
         if length:
-            insort(self.items, (length, doc, start))
+            insort(self.lists[self.tier_of(length)], (length, doc, start))
             self.tokens += length
 
-    def take(self, at: int) -> tuple[int, int, int]:
-        item = self.items.pop(at)
+    def take(self, tier: int, at: int) -> tuple[int, int, int]:
+        item = self.lists[tier].pop(at)
         self.tokens -= item[0]
         return item
 
-    def longest_within(self, gap: int) -> int:
-        """Index of the longest piece of at most ``gap`` tokens; -1 if none fits."""
-        return bisect_right(self.items, (gap, 1 << 62, 0)) - 1
+    def take_within(self, gap: int) -> tuple[int, int, int]:
+        """The longest piece of at most ``gap`` tokens; if none fits, the shortest of all."""
+        for i in range(bisect_left(self.bounds, gap), -1, -1):
+            at = bisect_right(self.lists[self.bounds[i]], (gap, 1 << 62, 0)) - 1
+            if at >= 0:
+                return self.take(self.bounds[i], at)
+        return self.take(next(t for t in self.bounds if self.lists[t]), 0)
 
 
 def pack(lengths: list[int], tiers=TIERS) -> list[tuple[int, list[tuple[int, int, int]]]]:
@@ -61,24 +76,29 @@ def pack(lengths: list[int], tiers=TIERS) -> list[tuple[int, list[tuple[int, int
     holds what is left below the smallest tier."""
     top = tiers[0]
     windows: list[tuple[int, list[tuple[int, int, int]]]] = []
-    waiting = Waiting()
     for doc, n in enumerate(lengths):
         for start in range(0, n - n % top, top):
             windows.append((top, [(doc, start, top)]))
-        waiting.put(n % top, doc, n - n % top)
-    for tier in tiers:
-        while waiting.tokens >= tier:
-            gap, window = tier, []
+    waiting = Waiting(tiers, ((n % top, doc, n - n % top) for doc, n in enumerate(lengths)))
+    for tier, below in zip(tiers, [*tiers[1:], None]):
+        own = waiting.lists[tier]
+        while own and waiting.tokens >= tier:
+            length, doc, start = waiting.take(tier, -1)
+            gap, window = tier - length, [(doc, start, length)]
             while gap:
-                at = waiting.longest_within(gap)
-                length, doc, start = waiting.take(max(at, 0))   # nothing fits: cut the shortest
+                length, doc, start = waiting.take_within(gap)
                 used = min(length, gap)
                 window.append((doc, start, used))
                 waiting.put(length - used, doc, start + used)
                 gap -= used
             windows.append((tier, window))
-    if waiting.items:
-        windows.append((tiers[-1], [(doc, start, n) for n, doc, start in waiting.items]))
+        if own and below is None:
+            windows.append((tier, [(doc, start, n) for n, doc, start in own]))
+        while own and below is not None:
+            length, doc, start = waiting.take(tier, -1)
+            whole = length - length % below
+            windows += [(below, [(doc, at, below)]) for at in range(start, start + whole, below)]
+            waiting.put(length - whole, doc, start + whole)
     return windows
 
 
