@@ -80,3 +80,18 @@ def test_extract_table(spark):
     assert got[2, None]["text"] == got[None, "v"]["text"] == got[4, "x"]["text"] == ""
     assert got[3, "w"]["text"] == LONG * 400
     assert hb.extract(pages.where("page_id > 9")).count() == 0
+
+
+def test_names_on_wrappers_do_not_damn_the_article():
+    for wrapper in ("layout has-sidebar", "no-comments", "withSidebar", "post-share", "page-with-nav sidebar-right"):
+        for body in (f"<p>{LONG}</p><p>{LONG2}</p>", f"<article><p>{LONG}</p><p>{LONG2}</p></article>"):
+            page = f"<body><div>Menu</div><div class='{wrapper}'>{body}<div class='sidebar'><p>{LONG}</p></div></div></body>"
+            assert text(page) == f"{LONG}\n{LONG2}", (wrapper, body)
+
+
+def test_names_of_parts_still_damn_them():
+    for part in ("sidebar", "related-posts", "comments", "cookie-notice"):
+        assert text(f"<body><div><p>{LONG}</p><p>{LONG2}</p></div><div class='{part}'><p>{LONG}</p></div></body>") == f"{LONG}\n{LONG2}"
+        assert text(f"<main><p>{LONG}</p></main><div class='{part}'><article><p>{LONG2}</p></article></div>") == LONG
+    assert text(f"<div><p>{LONG}</p></div><div id='comments'>{f'<p>{LONG2}</p>' * 30}</div>") == LONG
+    assert text(f"<div class='has-nav' style='display:none'><article><p>{LONG}</p></article></div>") == ""

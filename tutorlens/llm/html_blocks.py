@@ -6,6 +6,10 @@ advert, notice, form, comments, ...) is boilerplate whatever it holds. Blocks th
 fairly rich in stop words, stay undecided; the second pass gives them the labels of the nearest decided
 neighbours. Where a page marks its article (``article``, ``main``), neighbours are looked for inside it
 only, and what stands outside is left out as soon as the article holds text.
+
+A class or id may speak of something that its element only wraps. Names after ``has-``, ``no-``, ``with-`` do not count; the
+verdict of an element around the page's only marked article is lifted, and so is that of an element (comments apart) which
+holds more than ``WRAPPER_SHARE`` of the good text that no other markup damns.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from pyspark.sql import functions as F
 LENGTH_LOW, LENGTH_HIGH = 70, 200
 STOPWORDS_LOW, STOPWORDS_HIGH = 0.12, 0.25
 MAX_LINK_DENSITY = 0.4
+WRAPPER_SHARE = 0.8
+MAX_NESTED = 100        # elements bad by name inside each other; what lies deeper (unclosed tags) stays bad
 HEADING_REACH = 200     # characters of short blocks that may stand between a heading and its text
 
 #: frequent function words of four languages
@@ -44,6 +50,10 @@ comment comments complementary consent contentinfo cookie cookies copyright dial
 masthead menu modal nav navbar navigation newsletter notice notices notification notifications outbrain overlay pager
 pagination popup promo promoted promotion recommended related replies reply respond search share sharing shoutbox sidebar signup skip
 social sponsor sponsored subscribe subscription taboola teaser toolbar topbar widget widgets""".split())
+#: names after these are left out: the element has, lacks, shows or hides the part but is not the part
+MODIFIERS = frozenset("has have no non not with without show hide".split())
+#: parts that may hold more text than the article
+DISCUSSION_NAMES = frozenset("comment comments complementary discussion disqus replies reply respond".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -66,13 +76,21 @@ class Block:
     zone: int          # number of the marked article it stands in; 0: none
     named_bad: bool    # inside markup that names itself boilerplate
     label: str = ""
+    tag_bad: bool = False          # by a tag or because it is hidden
+    names: tuple[int, ...] = ()    # elements around it that are bad by their class, id or role alone
+    zone_names: tuple[int, ...] = ()   # those of them that stand around its marked article
+
+
+PART, DISCUSSION = "part", "discussion"
 
 
-def names_bad(tag: str, attrs: str, in_article: bool) -> bool:
+def names_bad(tag: str, attrs: str, in_article: bool) -> bool | str:
+    """True: bad by the tag or hidden; ``PART`` or ``DISCUSSION``: bad by name; False: not bad."""
     if tag in BAD_TAGS or tag == "header" and not in_article:
         return True
     if not attrs or tag in ("body", "html"):
         return False
+    found: bool | str = False
     for kind, *values in NAMED.findall(attrs):
         kind, value = kind.lower(), next(filter(None, values), "")
         if kind == "hidden" or kind == "aria-hidden" and value.lower() == "true":
@@ -82,16 +100,25 @@ def names_bad(tag: str, attrs: str, in_article: bool) -> bool:
                 return True
             continue
         if kind in ("class", "id", "role"):
-            own = set(NAME.findall(CAMEL.sub(" ", value).lower()))
-            if own & BAD_NAMES or "header" in own and tag not in ARTICLE_TAGS and not in_article:
-                return True
-    return False
+            own: set[str] = set()
+            for name in value.split():
+                for part in NAME.findall(CAMEL.sub(" ", name).lower()):
+                    if part in MODIFIERS:
+                        break
+                    own.add(part)
+            if own & DISCUSSION_NAMES:
+                found = DISCUSSION
+            elif own & BAD_NAMES or "header" in own and tag not in ARTICLE_TAGS and not in_article:
+                found = found or PART
+    return found
 
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order; blocks without text are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []   # tag, bad, article number
+    nothing = ("", False, (), 0, ())
+    stack: list[tuple] = [nothing]   # tag, bad by tag, elements bad by name, article number, its elements bad by name
+    kinds: list[str] = []            # of the elements bad by name
     text: list[str] = []
     linked = links = breaks = articles = at = 0
     heading = False
@@ -100,8 +127,8 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal text, linked, heading, breaks
         body = " ".join(html.unescape("".join(text)).split())
         if body:
-            _, bad, zone = stack[-1] if stack else ("", False, 0)
-            out.append(Block(body, linked, heading, zone, bad))
+            _, bad, names, zone, around = stack[-1]
+            out.append(Block(body, linked, heading, zone, bad or bool(names), "", bad, names, around))
         text, linked, heading, breaks = [], 0, False, 0
 
     def add(piece):
@@ -115,7 +142,7 @@ def blocks_of(page: str) -> list[Block]:
 
     def close(tag, until=()):
         """Pop up to ``tag`` if it is open below none of ``until``."""
-        for i in range(len(stack) - 1, -1, -1):
+        for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] == tag:
                 del stack[i:]
                 return
@@ -160,20 +187,60 @@ def blocks_of(page: str) -> list[Block]:
                 close("th", ("tr", "table"))
                 if tag == "tr":
                     close("tr", ("table",))
-        _, bad, zone = stack[-1] if stack else ("", False, 0)
+        _, bad, names, zone, around = stack[-1]
         if tag in ARTICLE_TAGS and not zone and not bad:
             articles += 1
-            zone = articles
-        stack.append((tag, bad or names_bad(tag, m["attrs"], zone > 0), zone))
+            zone, around = articles, names
+        own = False if bad else names_bad(tag, m["attrs"], zone > 0)
+        if own and len(names) >= MAX_NESTED:
+            own = True
+        if own in (PART, DISCUSSION):
+            names += (len(kinds),)
+            kinds.append(own)
+        stack.append((tag, bad or own is True, names, zone, around))
         if tag == "a":
             links = 1
         if block:
             heading = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
     add(page[at:])
     flush()
+    lift(out, kinds)
     return out
 
 
+def lift(blocks: list[Block], kinds: list[str]) -> None:
+    """Lifts the verdicts of names on wrappers, and settles ``named_bad`` and ``zone`` of the blocks."""
+    lifted: set[int] = set()
+    if any(b.names and not b.tag_bad for b in blocks):
+        size = [len(b.text) if not b.tag_bad and labels_itself(b) in (GOOD, NEAR) else 0 for b in blocks]
+        if not any(n and b.zone and not b.names for n, b in zip(size, blocks)):
+            for n, b in zip(size, blocks):
+                if n and b.zone and b.names == b.zone_names:    # nothing inside the article damns it
+                    lifted.update(b.names)
+        while True:
+            inside, outside = [0] * len(kinds), 0    # good text by the outermost element that damns it, and the rest
+            for n, b in zip(size, blocks):
+                left = [i for i in b.names if i not in lifted]
+                if not left:
+                    outside += n
+                elif len(left) == 1 or all(kinds[i] == PART for i in left):
+                    inside[left[0]] += n
+            total = sum(inside[i] for i in range(len(kinds)) if kinds[i] == PART) + outside
+            best = max((i for i in range(len(kinds)) if kinds[i] == PART and i not in lifted), key=inside.__getitem__, default=None)
+            if best is None or not inside[best] or inside[best] <= WRAPPER_SHARE * total:
+                break
+            lifted.add(best)
+    for b in blocks:
+        b.named_bad = b.tag_bad or any(i not in lifted for i in b.names)
+        if any(i not in lifted for i in b.zone_names):
+            b.zone = 0
+
+
+def labels_itself(b: Block) -> str:
+    """The first pass without the verdict of names."""
+    return first_pass(Block(b.text, b.linked, b.heading, b.zone, False))
+
+
 def first_pass(b: Block) -> str:
     n = len(b.text)
     if b.named_bad or b.linked > MAX_LINK_DENSITY * n:
