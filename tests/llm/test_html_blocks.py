@@ -95,3 +95,26 @@ def test_names_of_parts_still_damn_them():
         assert text(f"<main><p>{LONG}</p></main><div class='{part}'><article><p>{LONG2}</p></article></div>") == LONG
     assert text(f"<div><p>{LONG}</p></div><div id='comments'>{f'<p>{LONG2}</p>' * 30}</div>") == LONG
     assert text(f"<div class='has-nav' style='display:none'><article><p>{LONG}</p></article></div>") == ""
+
+
+OTHER_LANGUAGES = [
+    "Вчера в городе прошло собрание, на котором жители обсуждали состояние реки и дороги. Глава района сообщил, что работы "
+    "начнутся весной, когда сойдёт снег, и продлятся до конца лета, если хватит средств и рабочих рук.",
+    "昨天市议会召开会议，讨论河流和周边土地的状况。市长表示，去年所做的工作没有白费，镇上的居民对此感到满意。今年春天将开始修复堤坝，预计夏末完成。专家们认为这项工程十分重要。",
+    "Wczoraj w mieście odbyło się zebranie, na którym mieszkańcy rozmawiali o stanie rzeki i drogi. Burmistrz powiedział, że prace "
+    "zaczną się na wiosnę, kiedy stopnieje śnieg, i potrwają do końca lata, jeżeli wystarczy na to środków oraz rąk do pracy.",
+    "Dün belediye binasında yapılan toplantıda nehir ve çevresindeki arazi için hazırlanan rapor görüşüldü. Başkan, geçen yıl yapılan "
+    "çalışmaların boşa gitmediğini ve bu yıl daha çok iş yapılacağını söyledi, ama bütçe için bir karar çıkmadı.",
+    "Hôm qua hội đồng thành phố đã họp để bàn về tình trạng con sông cùng vùng đất xung quanh. Thị trưởng cho biết công việc năm "
+    "ngoái không hề vô ích, người dân thị trấn rất hài lòng với kết quả đạt được sau nhiều tháng lao động vất vả.",
+]
+
+
+def test_articles_in_other_languages():
+    links = " ".join(f'<a href="{i}">Ссылка Link {i} Ссылка</a>' for i in range(12))
+    for own in OTHER_LANGUAGES:
+        page = f"<body><div>{links}</div><div>{own}</div><p>{own}</p><div>{links}</div><div>© {own}</div>" \
+               f"<div class='sidebar'>{own}</div></body>"
+        assert text(page) == f"{own}\n{own}", own
+    mixed = f"<body><div>{OTHER_LANGUAGES[0]}</div><div>{OTHER_LANGUAGES[0]}</div><div>{LONG}</div></body>"
+    assert text(mixed) == f"{OTHER_LANGUAGES[0]}\n{OTHER_LANGUAGES[0]}\n{LONG}"

@@ -2,7 +2,10 @@
 
 A page is cut into blocks at block-level tags (and at two line breaks in a row). The first pass decides each block for
 itself from its length, link density and stop-word density; markup that names its part (navigation, footer,
-advert, notice, form, comments, ...) is boilerplate whatever it holds. Blocks that are too short to tell, or only
+advert, notice, form, comments, ...) is boilerplate whatever it holds. Stop words are known of English, German, French,
+Spanish, Italian, Portuguese, Dutch, Swedish, Danish, Norwegian, Polish, Czech, Romanian, Hungarian, Turkish, Finnish,
+Indonesian and Malay; a block's density is that of the language with most. A block whose letters are mostly of another script,
+and every block of a page where none is rich in known stop words, is judged by its length and link density alone. Blocks that are too short to tell, or only
 fairly rich in stop words, stay undecided; the second pass gives them the labels of the nearest decided
 neighbours. Where a page marks its article (``article``, ``main``), neighbours are looked for inside it
 only, and what stands outside is left out as soon as the article holds text.
@@ -30,7 +33,7 @@ WRAPPER_SHARE = 0.8
 MAX_NESTED = 100        # elements bad by name inside each other; what lies deeper (unclosed tags) stays bad
 HEADING_REACH = 200     # characters of short blocks that may stand between a heading and its text
 
-#: frequent function words of four languages
+#: frequent function words of English, German, French and Spanish
 STOPWORDS = frozenset("""
 the of and to in a is that it for on was as with be by are this at from or an not but have his they you which were her
 der die und das den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach
@@ -38,6 +41,22 @@ le la les et des en un du une que est pour qui dans par sur au avec ne se pas pl
 el los las del y por con una su para lo no al como más o pero sus entre cuando muy sin sobre
 """.split())
 
+#: of further languages in Latin script, a set each: Italian, Portuguese, Dutch, Swedish, Danish and Norwegian, Polish, Czech,
+#: Romanian, Hungarian, Turkish, Finnish, Indonesian and Malay
+MORE_STOPWORDS = [frozenset(x.split()) for x in (
+    "di e il la che è un una per in non sono si con del della dei delle da le i gli al alla nel nella ma come più anche questo ha",
+    "de e o a os as que do da dos das em um uma para com não por mais no na nos nas se como mas ao foi ele ela é são seu sua ou",
+    "de het een en van in is dat op te zijn voor met die niet aan er om ook als bij maar door over naar uit hij ze wordt werd",
+    "och att det som en på är av för med den till inte har de om ett var jag men så från vi kan när eller hade ska hon han",
+    "og i at det som en på er af av for med den til ikke har de om et var jeg men så fra vi kan når eller havde hadde hun han ble blev",
+    "i w na z się nie do to że jest o a jak po co od za ale tak przez dla był była było są oraz ze który która które tego jego już",
+    "a v se na je že s z do to o i k jako za by ve ale pro po jsou od byl byla bylo který která které tak nebo jeho při si",
+    "și în de la a cu pe nu că o un este sau din ce care au pentru mai se al lui prin dar fost sunt ca ale era după între",
+    "a az és hogy nem is egy meg de ez volt ha csak már mint el vagy azt még van ki be minden lesz sem ezt azonban amely pedig",
+    "ve bir bu da de için ile çok ne o gibi daha olarak olan ama kadar en sonra var değil ki her mi ya hem olduğu şey ise",
+    "ja on ei se että oli joka hän mutta kun niin ovat olla tai sen kuin myös ole oli mukaan jos vain nyt sitä hänen jo tämä",
+    "yang dan di itu dengan untuk tidak ini dari dalam akan pada juga saya ke karena ada adalah oleh atau bisa mereka telah kami")]
+
 BLOCK_TAGS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption
 figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section
 summary table tbody td tfoot th thead tr ul""".split())
@@ -64,6 +83,9 @@ NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:
 NAME = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 WORD = re.compile(r"[^\W\d_]+")
+#: letters that are not Latin; of these, the ones of scripts without spaces between words
+OTHER_SCRIPT = re.compile("[^\\W\\d_\u0000-\u024f\u1e00-\u1eff\ua720-\ua7ff\uff21-\uff5a]")
+DENSE_SCRIPT = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\U00020000-\U0003ffff]")
 
 GOOD, BAD, NEAR, SHORT = "good", "bad", "near", "short"
 
@@ -212,7 +234,9 @@ def lift(blocks: list[Block], kinds: list[str]) -> None:
     """Lifts the verdicts of names on wrappers, and settles ``named_bad`` and ``zone`` of the blocks."""
     lifted: set[int] = set()
     if any(b.names and not b.tag_bad for b in blocks):
-        size = [len(b.text) if not b.tag_bad and labels_itself(b) in (GOOD, NEAR) else 0 for b in blocks]
+        # the first pass without the verdicts of names
+        labels = first_labels([Block(b.text, b.linked, b.heading, b.zone, b.tag_bad) for b in blocks])
+        size = [len(b.text) if label in (GOOD, NEAR) else 0 for b, label in zip(blocks, labels)]
         if not any(n and b.zone and not b.names for n, b in zip(size, blocks)):
             for n, b in zip(size, blocks):
                 if n and b.zone and b.names == b.zone_names:    # nothing inside the article damns it
@@ -236,21 +260,27 @@ def lift(blocks: list[Block], kinds: list[str]) -> None:
             b.zone = 0
 
 
-def labels_itself(b: Block) -> str:
-    """The first pass without the verdict of names."""
-    return first_pass(Block(b.text, b.linked, b.heading, b.zone, False))
+def off_limits(b: Block) -> bool:
+    """Boilerplate by its markup, links or copyright sign, whatever its words."""
+    return b.named_bad or b.linked > MAX_LINK_DENSITY * len(b.text) or not b.zone and "©" in b.text
 
 
 def first_pass(b: Block) -> str:
     n = len(b.text)
-    if b.named_bad or b.linked > MAX_LINK_DENSITY * n:
-        return BAD
-    if not b.zone and ("©" in b.text or "©" in b.text):
+    if off_limits(b):
         return BAD
-    if n < LENGTH_LOW:
-        return BAD if b.linked and not b.zone else SHORT
     words = WORD.findall(b.text.lower())
-    density = sum(w in STOPWORDS for w in words) / max(len(words), 1)
+    foreign = 0 if b.text.isascii() else len(OTHER_SCRIPT.findall(b.text))
+    if foreign * 2 > sum(map(len, words)):
+        # scripts that write a word or syllable a character say as much in a third of the length
+        n += 2 * len(DENSE_SCRIPT.findall(b.text))
+        return by_length(b, n)
+    if n < LENGTH_LOW:
+        return by_length(b, n)
+    most = sum(w in STOPWORDS for w in words)
+    if most < STOPWORDS_HIGH * len(words):
+        most = max(most, *(sum(w in own for w in words) for own in MORE_STOPWORDS))
+    density = most / max(len(words), 1)
     if density >= STOPWORDS_HIGH:
         return GOOD if n > LENGTH_HIGH else NEAR
     if density >= STOPWORDS_LOW:
@@ -258,6 +288,21 @@ def first_pass(b: Block) -> str:
     return SHORT if b.zone else BAD
 
 
+def by_length(b: Block, n: int) -> str:
+    """The label of a block of ``n`` characters in a language whose stop words are not known."""
+    if n < LENGTH_LOW:
+        return BAD if b.linked and not b.zone else SHORT
+    return GOOD if n > LENGTH_HIGH else NEAR
+
+
+def first_labels(blocks: list[Block]) -> list[str]:
+    """The first pass over a page. Where no block is rich in known stop words, length and link density alone decide."""
+    labels = [first_pass(b) for b in blocks]
+    if GOOD in labels or NEAR in labels:
+        return labels
+    return [label if off_limits(b) else by_length(b, len(b.text)) for b, label in zip(blocks, labels)]
+
+
 def sides(labels: list[str], edge: str) -> list[tuple[str, str]]:
     """For every block the nearest label that is not short, before it and after it."""
     before, after, last = [], [], edge
@@ -303,7 +348,7 @@ def second_pass(blocks: list[Block], labels: list[str], edge: str) -> list[str]:
 def main_blocks(page: str) -> list[Block]:
     """The blocks of the main text, in page order."""
     blocks = blocks_of(page)
-    labels = [first_pass(b) for b in blocks]
+    labels = first_labels(blocks)
     zones = sorted({b.zone for b in blocks if b.zone})
     marked = []
     for z in zones:
