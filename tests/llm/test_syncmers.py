@@ -98,3 +98,27 @@ def test_native_plan(spark):
     docs = spark.createDataFrame([(*r, "c", 1, 2, 3) for r in rows_for(20)], SCHEMA)
     plan = syncmers.fingerprints(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_whole_fingerprints_find_a_short_common_passage(spark):
+    words = lambda name, n: [f"{name}{i}" for i in range(n)]
+    core = words("c", 100)
+    texts = {2: " ".join(words("a", 5000) + core + words("b", 4900)), 1: " ".join(words("d", 900) + core + words("e", 9000)),
+             0: None, -1: "two words", -2: "x"}
+    docs = spark.createDataFrame([(d, t, "c", 1, 2, 3) for d, t in texts.items()], SCHEMA)
+    got = {r["doc_id"]: r for r in syncmers.whole_fingerprints(docs).collect()}
+    sketched = {r["doc_id"]: r for r in syncmers.fingerprints(docs).collect()}
+    order = sorted(texts, reverse=True)
+    for d, after in zip(order, order[1:] + order[:1]):
+        text, following = texts[d] or "", texts[after] or ""
+        half = len(text) // 2
+        edited = text[:len(text) - half] + following[:half]
+        own, changed, other = (set(plain_anchors(t).values()) for t in (text, edited, following))
+        assert {(p, a) for p, a in got[d]["anchors"]} == set(plain_anchors(text).items())
+        assert {(p, a) for p, a in got[d]["edited_anchors"]} == set(plain_anchors(edited).items())
+        assert got[d]["near_edited"] == (len(own & changed) / len(own | changed) if own | changed else 1.0)
+        assert got[d]["near_next"] == (len(own & other) / len(own | other) if own | other else 1.0)
+        assert got[d]["fingerprint"] == sketched[d]["fingerprint"]
+    assert got[2]["near_next"] > 0
+    plan = syncmers.whole_fingerprints(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan

@@ -5,7 +5,8 @@ A k-mer of ``K`` consecutive words is a closed syncmer when the smallest hash am
 equal passages give equal anchors wherever they stand. The fingerprint is the ``SKETCH`` smallest distinct
 32-bit hashes of all chosen k-mers of the whole text; the likeness of two fingerprints is the share of the
 ``SKETCH`` smallest of their union that both have (the Jaccard index of the anchor sets, exactly so
-while both sets are smaller than the sketch).
+while both sets are smaller than the sketch). The query's fingerprint keeps, beside this sketch, every anchor
+with its position, and its likenesses are the Jaccard indexes of the whole anchor sets.
 """
 
 from __future__ import annotations
@@ -48,10 +49,18 @@ def with_syncmers(df: DataFrame, text: str, out: str, k: int = K, s: int = S) ->
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str, k: int = K, s: int = S, sketch: int = SKETCH) -> DataFrame:
-    """Adds ``out``: the sorted array of the smallest distinct 32-bit anchor hashes of the text."""
-    df = with_syncmers(df, text, f"{out}_a", k, s)
-    short = F.transform(F.array_compact(F.col(f"{out}_a")), lambda x: F.shiftrightunsigned(x, 32))
-    return df.withColumn(out, F.slice(F.sort_array(F.array_distinct(short)), 1, sketch)).drop(f"{out}_a")
+    """Adds ``out``: the sorted array of the smallest distinct 32-bit anchor hashes of the text; ``out``_at: the anchors
+    at their positions (see ``with_syncmers``); ``out``_set: the distinct anchors."""
+    df = with_syncmers(df, text, f"{out}_at", k, s)
+    df = df.withColumn(f"{out}_set", F.array_distinct(F.array_compact(F.col(f"{out}_at"))))
+    short = F.transform(F.col(f"{out}_set"), lambda x: F.shiftrightunsigned(x, 32))
+    return df.withColumn(out, F.slice(F.sort_array(F.array_distinct(short)), 1, sketch))
+
+
+def placed_anchors(at: Column) -> Column:
+    """(position, anchor) of every anchor, by position."""
+    return F.array_compact(F.transform(at, lambda x, i: F.when(
+        x.isNotNull(), F.struct(i.alias("position"), x.alias("anchor")))))
 
 
 def hex_digits(fingerprint: Column) -> Column:
@@ -66,6 +75,13 @@ def likeness(a: Column, b: Column, sketch: int = SKETCH) -> Column:
     return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(both / F.size(union))
 
 
+def set_likeness(a: Column, b: Column) -> Column:
+    """The Jaccard index of two arrays of distinct anchors, 0 to 1; two without anchors are alike."""
+    both = F.size(F.array_intersect(a, b))
+    every = F.size(a) + F.size(b) - both
+    return F.when(every == 0, F.lit(1.0)).otherwise(both / every)
+
+
 def anchors(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
     """doc_id, position (of the k-mer's first word), anchor (64-bit hash): one row per closed syncmer, for
     positional matching. Null and empty texts have none."""
@@ -106,26 +122,45 @@ def long_array(values: list[int]) -> Column:
     return F.expr(f"CAST(array({', '.join(f'{v}L' for v in values)}) AS array<bigint>)")
 
 
-def fingerprints(docs: DataFrame, k: int = K, s: int = S, sketch: int = SKETCH, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
-
-    The edited text has its last floor(n_chars / 2) code points replaced by the first as many of the next
-    document. Null text: empty. Of rows with equal doc_id and text each has a row of its own. A table of one row is its
-    own next document. An empty table gives no row; extra columns are ignored.
-    """
+def fingerprinted(docs: DataFrame, k: int, s: int, sketch: int, bucket_rows: int) -> DataFrame:
+    """Own, edited and following text's prints (columns own.., changed.., following..) with doc_id, n_chars and edited."""
     rows, order = in_id_order(ids_and_text(docs), bucket_rows)
     rows = with_fingerprint(rows.withColumn("next_text", F.lead("text").over(order)), "text", "own", k, s, sketch)
-    df = rows.withColumn("following", F.lead("own").over(order)).where("kind = 0")
+    df = rows.withColumn("following", F.lead("own").over(order)).withColumn(
+        "following_set", F.lead("own_set").over(order)).where("kind = 0")
     df = df.withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     df = df.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half),
                                           F.substring(F.col("next_text"), F.lit(1), half)))
-    df = with_fingerprint(df, "edited", "changed", k, s, sketch)
-    return df.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-                     hex_digits(F.col("own")).alias("fingerprint"), hex_digits(F.col("changed")).alias("edited_fingerprint"),
-                     likeness(F.col("own"), F.col("changed"), sketch).alias("near_edited"),
+    return with_fingerprint(df, "edited", "changed", k, s, sketch)
+
+
+def print_columns() -> list[Column]:
+    return [F.col("doc_id"), F.col("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+            hex_digits(F.col("own")).alias("fingerprint"), hex_digits(F.col("changed")).alias("edited_fingerprint")]
+
+
+def fingerprints(docs: DataFrame, k: int = K, s: int = S, sketch: int = SKETCH, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, from sketches alone.
+
+    The edited text has its last floor(n_chars / 2) code points replaced by the first as many of the next
+    document. Null text: empty. Of rows with equal doc_id and text each has a row of its own. A table of one row is its
+    own next document. An empty table gives no row; extra columns are ignored.
+    """
+    df = fingerprinted(docs, k, s, sketch, bucket_rows)
+    return df.select(*print_columns(), likeness(F.col("own"), F.col("changed"), sketch).alias("near_edited"),
                      likeness(F.col("own"), F.col("following"), sketch).alias("near_next"))
 
 
+def whole_fingerprints(docs: DataFrame, k: int = K, s: int = S, sketch: int = SKETCH,
+                       bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The rows of ``fingerprints`` with near_edited and near_next from the whole sets of 64-bit anchors, and with anchors
+    and edited_anchors: (position, anchor) of every anchor of the text and of the edited text, by position."""
+    df = fingerprinted(docs, k, s, sketch, bucket_rows)
+    return df.select(*print_columns(), set_likeness(F.col("own_set"), F.col("changed_set")).alias("near_edited"),
+                     set_likeness(F.col("own_set"), F.col("following_set")).alias("near_next"),
+                     placed_anchors(F.col("own_at")).alias("anchors"), placed_anchors(F.col("changed_at")).alias("edited_anchors"))
+
+
 def op1_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(documents(spark, sf_dir))
+    return whole_fingerprints(documents(spark, sf_dir))
