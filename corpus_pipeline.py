@@ -17,7 +17,8 @@ from tutorlens.llm.suffix_dedup import without_repeats
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told (no letters, or no language likelier than all others together) go."""
+    """Documents whose language cannot be told (no letters, or no language with at least ``langid.MIN_SCORE`` of the
+    probability over all languages, which with up to three languages one always has) go."""
     return keep_identified(docs)
 
 

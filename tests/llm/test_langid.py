@@ -85,3 +85,26 @@ def test_edge_cases(spark):
     assert langid.predict(empty, langid.fit_on_documents(empty)).count() == 0
     unlabelled = langid.predict(docs, langid.fit_on_documents(docs.where("lang is null"))).collect()
     assert {(r["lang_pred"], r["score"]) for r in unlabelled} == {("und", 0.0)}
+
+
+def test_long_runs_train_the_model(spark):
+    model = langid.Pieces(PROBS, ["x", "y"])
+    short = "ab" * 30
+    assert dict_of(model.expected_long(model.arcs(short), 0)) == pytest.approx(dict_of(model.expected(short, 0)))
+    long = dict_of(model.expected("ab" * 5000, 1))      # its probability is far below the smallest float
+    spelled = sum(x * len(p.replace("▁", "")) for p, x in long.items())
+    assert spelled == pytest.approx(10_000)
+    rows = [(i, "the cat and the dog", "en", "s", 1, 2) for i in range(12)]
+    rows += [(i, "漢字仮名交文" * 30, "run", "s", 1, 2) for i in range(100, 112)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = langid.fit_on_documents(docs)
+    assert model.languages == ["en", "run"]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, model).collect()}
+    assert got == {r[0]: r[2] for r in rows}
+
+
+def dict_of(uses):
+    total: Counter = Counter()
+    for p, x in uses:
+        total[p] += x
+    return total

@@ -34,7 +34,7 @@ SMOOTHING = 0.05      # weight of the mean over languages in each language's pro
 MAX_MEMO = 600_000    # distinct words whose scores a task holds
 BLOCK_WORDS = 200_000  # words of neighbouring texts that are looked up together
 UNDETERMINED = "und"
-MIN_SCORE = 0.3       # below it a text is about as likely in all languages
+MIN_SCORE = 0.3       # below it no language has a fair share of the text's probability; never with up to three languages
 
 MARK = "▁"           # word start in the vocabulary
 MAX_BATCH_WORD = 64    # longer words are scored one by one
@@ -164,6 +164,8 @@ class Pieces:
         """Expected number of uses of each piece in the word under language k (forward-backward)."""
         probs, arcs = self.probs, self.arcs(word)
         n = len(arcs) - 1
+        if n > MAX_BATCH_WORD:
+            return self.expected_long(arcs, k)
         alpha, beta = [1.0] + [0.0] * n, [0.0] * n + [1.0]
         value = [[UNKNOWN if p is None else probs[p][k] for _, p in own] for own in arcs]
         for j in range(1, n + 1):
@@ -176,6 +178,27 @@ class Pieces:
         return [(p, alpha[i] * v * beta[j] / alpha[n]) for j in range(1, n + 1)
                 for (i, p), v in zip(arcs[j], value[j]) if p is not None]
 
+    def expected_long(self, arcs: list[list[tuple[int, str | None]]], k: int) -> list[tuple[str, float]]:
+        """``expected`` with logarithms, for words whose probability no float holds."""
+        probs, n = self.probs, len(arcs) - 1
+        value = [[math.log(x) if (x := UNKNOWN if p is None else probs[p][k]) else -math.inf for _, p in own] for own in arcs]
+
+        def add(a: float, b: float) -> float:
+            top, low = (a, b) if a >= b else (b, a)
+            return top if low == -math.inf else top + math.log1p(math.exp(low - top))
+
+        alpha, beta = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
+        for j in range(1, n + 1):
+            for (i, _), v in zip(arcs[j], value[j]):
+                alpha[j] = add(alpha[j], alpha[i] + v)
+        for j in range(n, 0, -1):
+            for (i, _), v in zip(arcs[j], value[j]):
+                beta[i] = add(beta[i], beta[j] + v)
+        if alpha[n] == -math.inf:
+            return []
+        return [(p, math.exp(alpha[i] + v + beta[j] - alpha[n])) for j in range(1, n + 1)
+                for (i, p), v in zip(arcs[j], value[j]) if p is not None]
+
 
 def training_words(train: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
     """(lang, word, n) over the whole texts of about ``fit_docs`` documents of each language, all if it has no more.
@@ -191,7 +214,7 @@ def training_words(train: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
         for batch in batches:
             total: Counter = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total.update((lang, w) for w in words_of(text) if len(w) <= 64)
+                total.update((lang, w) for w in words_of(text))
             yield pa.record_batch({"lang": pa.array([k[0] for k in total], pa.string()),
                                    "word": pa.array([k[1] for k in total], pa.string()),
                                    "n": pa.array(total.values(), pa.int64())})
