@@ -33,3 +33,18 @@ def process_cache(module, name: str) -> dict:
     """A dictionary that lives as long as the Python worker process (kernels are shipped by value,
     so their own globals do not outlive a task)."""
     return module.__dict__.setdefault(f"_tutorlens_{name}", {})
+
+
+#: a key that holds over one in so many rows is joined by broadcast: there are fewer than that many such keys
+HOT_SHARE = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """``rows`` joined with ``groups`` (one row for each key; ``weight``: the number of rows that hold it). Keys of over
+    1/HOT_SHARE of all rows, fewer than HOT_SHARE by that definition, are broadcast, so no task meets all rows of one
+    key; the other keys are joined by a shuffle. Both inputs are read twice: hand in written tables."""
+    total = groups.agg(F.sum(weight)).first()[0] or 0
+    heavy = F.col(weight) * HOT_SHARE > total
+    hot = F.broadcast(groups.where(heavy))
+    rest = rows.join(F.broadcast(groups.where(heavy).select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(groups.where(~heavy), keys))

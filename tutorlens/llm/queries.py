@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bm25 import OP9_SQL, op9_bm25
 from .edit_counts import op6_edit_counts
+from .exact_dedup import OP12_SQL, op12_exact_dedup
 from .html_blocks import op2_html_blocks
 from .langid import op7_langid
 from .mixing import OP5_SQL, op5_mixing
@@ -24,9 +25,11 @@ REGISTRY = {
     "op8_packing": op8_packing,
     "op9_bm25": op9_bm25,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_exact_dedup": op12_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_mixing": OP5_SQL,
     "op9_bm25": OP9_SQL,
+    "op12_exact_dedup": OP12_SQL,
 }
