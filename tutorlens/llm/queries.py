@@ -9,6 +9,7 @@ from .html_blocks import op2_html_blocks
 from .langid import op7_langid
 from .mixing import OP5_SQL, op5_mixing
 from .packing import op8_packing
+from .prefix_trie import OP11_SQL, op11_prefix_trie
 from .simhash import op3_simhash
 from .suffix_dedup import op10_suffix_dedup
 from .syncmers import op1_syncmers
@@ -25,11 +26,13 @@ REGISTRY = {
     "op8_packing": op8_packing,
     "op9_bm25": op9_bm25,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_exact_dedup": op12_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_mixing": OP5_SQL,
     "op9_bm25": OP9_SQL,
+    "op11_prefix_trie": OP11_SQL,
     "op12_exact_dedup": OP12_SQL,
 }
