@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bm25 import OP9_SQL, op9_bm25
 from .edit_counts import op6_edit_counts
 from .exact_dedup import OP12_SQL, op12_exact_dedup
+from .hard_negatives import OP13_SQL, op13_hard_negatives
 from .html_blocks import op2_html_blocks
 from .langid import op7_langid
 from .mixing import OP5_SQL, op5_mixing
@@ -28,6 +29,7 @@ REGISTRY = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_exact_dedup": op12_exact_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -35,4 +37,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_bm25": OP9_SQL,
     "op11_prefix_trie": OP11_SQL,
     "op12_exact_dedup": OP12_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
