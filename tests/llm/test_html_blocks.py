@@ -2,6 +2,9 @@
 
 import html
 import re
+import time
+
+import pytest
 
 from pyspark.sql import types as T
 
@@ -118,3 +121,63 @@ def test_articles_in_other_languages():
         assert text(page) == f"{own}\n{own}", own
     mixed = f"<body><div>{OTHER_LANGUAGES[0]}</div><div>{OTHER_LANGUAGES[0]}</div><div>{LONG}</div></body>"
     assert text(mixed) == f"{OTHER_LANGUAGES[0]}\n{OTHER_LANGUAGES[0]}\n{LONG}"
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<a '", "<a \"'", "<a '>'", "<script ", "</ ", "<!-- ", "</p ", "<i></b>", "<b><div><i></b>", "<p class=ad>",
+                                  "<div class=widget>", "<div class='ad x'><div class=widget>", "<a title='>", "<li><ul>", "<![", "&amp", "<td><b>"])
+def test_broken_pages_take_time_in_proportion(unit):
+    hb.main_blocks("<p>" + unit * 1000)
+    took = time.perf_counter()
+    hb.main_blocks("<p>" + unit * 100_000 + f"<p>{LONG}</p>")
+    assert time.perf_counter() - took < 5
+
+
+def test_a_truncated_page_keeps_what_comes_before():
+    assert text(f"<div>{LONG}</div><div>{LONG2}</div><a href='x") == f"{LONG}\n{LONG2}"
+    assert text(f"<div>{LONG}</div><a title='>'><p>{LONG2}</p><a title='x") == f"{LONG}\n{LONG2}"
+
+
+def test_paragraphs_in_widgets_of_their_own():
+    body = "".join(f"<div class='row'><div class='widget w-{i}'><p>{LONG}</p></div></div>" for i in range(100))
+    assert text(f"<body>{body}</body>") == "\n".join([LONG] * 100)
+    page = f"<body><div><p>{LONG}</p><p>{LONG2}</p></div>" + f"<div class='widget'><p>{LONG}</p></div>" * 2 + "</body>"
+    assert text(page) == f"{LONG}\n{LONG2}"
+    ads = f"<div class='widget ad'><p>{LONG2}</p></div>"
+    assert text(f"<body>{body}{ads}</body>") == "\n".join([LONG] * 100)
+    nested = "<div class=widget>" * 500 + f"<p>{LONG}</p><p>{LONG2}</p>" + "</div>" * 500
+    assert text(nested) == f"{LONG}\n{LONG2}"
+
+
+def plain_labels(labels, edge):
+    """The second pass, written out: a short block follows its nearest decided neighbours, then one that is only near does."""
+    def nearest(own, i, step):
+        j = i + step
+        while 0 <= j < len(own) and own[j] == hb.SHORT:
+            j += step
+        return own[j] if 0 <= j < len(own) else edge
+
+    out = []
+    for i, x in enumerate(labels):
+        if x == hb.SHORT:
+            a, b = nearest(labels, i, -1), nearest(labels, i, 1)
+            a, b = a or b or hb.GOOD, b or a or hb.GOOD
+            x = hb.BAD if hb.BAD in (a, b) and (hb.GOOD not in (a, b) or edge == hb.BAD) else hb.GOOD
+        out.append(x)
+    sure = [hb.SHORT if x == hb.NEAR else x for x in out]
+    final = []
+    for i, x in enumerate(out):
+        if x == hb.NEAR:
+            a, b = nearest(sure, i, -1), nearest(sure, i, 1)
+            a, b = a or b or hb.GOOD, b or a or hb.GOOD
+            x = hb.BAD if a == b == hb.BAD and edge == hb.BAD else hb.GOOD
+        final.append(x)
+    return final
+
+
+def test_second_pass_against_a_plain_one():
+    import itertools
+    for size in range(1, 6):
+        for labels in itertools.product((hb.GOOD, hb.BAD, hb.NEAR, hb.SHORT), repeat=size):
+            blocks = [hb.Block("x", 0, False, 0, False) for _ in labels]
+            for edge in ("", hb.BAD):
+                assert hb.second_pass(blocks, list(labels), edge) == plain_labels(list(labels), edge), (labels, edge)

@@ -11,8 +11,13 @@ neighbours. Where a page marks its article (``article``, ``main``), neighbours a
 only, and what stands outside is left out as soon as the article holds text.
 
 A class or id may speak of something that its element only wraps. Names after ``has-``, ``no-``, ``with-`` do not count; the
-verdict of an element around the page's only marked article is lifted, and so is that of an element (comments apart) which
-holds more than ``WRAPPER_SHARE`` of the good text that no other markup damns.
+verdict of the elements around the page's only marked article is lifted, and so is that of a name (comments apart) whose
+elements together hold more than ``WRAPPER_SHARE`` of the good text that no other markup damns: page builders put every
+paragraph into a ``widget`` of its own. Elements of one name inside each other are told apart by their level; those beyond
+the ``LEVELS``-th are judged together.
+
+Reading a page takes time in proportion to its length, whatever its markup: a tag whose quotes hide every further ``>``
+makes the rest of the page be read without regard to quotes, and a tag that the page's end cuts off is dropped.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ LENGTH_LOW, LENGTH_HIGH = 70, 200
 STOPWORDS_LOW, STOPWORDS_HIGH = 0.12, 0.25
 MAX_LINK_DENSITY = 0.4
 WRAPPER_SHARE = 0.8
-MAX_NESTED = 100        # elements bad by name inside each other; what lies deeper (unclosed tags) stays bad
+LEVELS = 3              # elements bad by one name inside each other that are told apart
 HEADING_REACH = 200     # characters of short blocks that may stand between a heading and its text
 
 #: frequent function words of English, German, French and Spanish
@@ -74,11 +79,28 @@ MODIFIERS = frozenset("has have no non not with without show hide".split())
 #: parts that may hold more text than the article
 DISCUSSION_NAMES = frozenset("comment comments complementary discussion disqus replies reply respond".split())
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW_TAGS) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?/][^>]*>", re.S | re.I)
+def token(attrs: str, unread: str) -> re.Pattern:
+    """A comment, an element whose content is not text, a tag, or a declaration. Every alternative ends at the page's end."""
+    return re.compile(
+        r"<!--.*?(?:-->|\Z)"
+        r"|<(?P<raw>" + "|".join(RAW_TAGS) + r")\b[^>]*+(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
+        r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>" + attrs + ")" + unread +
+        r"|<[!?/][^>]*+(?:>|\Z)", re.S | re.I)
+
+
+#: tags with regard to quotes; ``open`` if no end can be found so
+TOKEN = token(r"""(?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+""", ">|<(?P<open>/?[a-zA-Z])")
+PLAIN_TOKEN = token("[^>]*+", r"(?P<open>)(?:>|\Z)")
+
+
+def tokens(page: str) -> Iterator[re.Match]:
+    for m in TOKEN.finditer(page):
+        if m["open"]:
+            yield from PLAIN_TOKEN.finditer(page, m.start())
+            return
+        yield m
+
+
 NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 NAME = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -89,6 +111,9 @@ DENSE_SCRIPT = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff
 
 GOOD, BAD, NEAR, SHORT = "good", "bad", "near", "short"
 
+#: elements bad by name, from the outside in; each the (name, level) of its names, level 1 being the outermost of that name
+Chain = tuple[tuple[tuple[str, int], ...], ...]
+
 
 @dataclass
 class Block:
@@ -99,20 +124,17 @@ class Block:
     named_bad: bool    # inside markup that names itself boilerplate
     label: str = ""
     tag_bad: bool = False          # by a tag or because it is hidden
-    names: tuple[int, ...] = ()    # elements around it that are bad by their class, id or role alone
-    zone_names: tuple[int, ...] = ()   # those of them that stand around its marked article
+    names: Chain = ()              # elements around it that are bad by their class, id or role alone
+    zone_names: Chain = ()         # those of them that stand around its marked article
 
 
-PART, DISCUSSION = "part", "discussion"
-
-
-def names_bad(tag: str, attrs: str, in_article: bool) -> bool | str:
-    """True: bad by the tag or hidden; ``PART`` or ``DISCUSSION``: bad by name; False: not bad."""
+def names_bad(tag: str, attrs: str, in_article: bool) -> bool | frozenset[str]:
+    """True: bad by the tag or hidden; else the names that speak against the element (none: not bad)."""
     if tag in BAD_TAGS or tag == "header" and not in_article:
         return True
+    found: set[str] = set()
     if not attrs or tag in ("body", "html"):
-        return False
-    found: bool | str = False
+        return frozenset()
     for kind, *values in NAMED.findall(attrs):
         kind, value = kind.lower(), next(filter(None, values), "")
         if kind == "hidden" or kind == "aria-hidden" and value.lower() == "true":
@@ -128,19 +150,25 @@ def names_bad(tag: str, attrs: str, in_article: bool) -> bool | str:
                     if part in MODIFIERS:
                         break
                     own.add(part)
-            if own & DISCUSSION_NAMES:
-                found = DISCUSSION
-            elif own & BAD_NAMES or "header" in own and tag not in ARTICLE_TAGS and not in_article:
-                found = found or PART
-    return found
+            found |= own & BAD_NAMES
+            if "header" in own and tag not in ARTICLE_TAGS and not in_article:
+                found.add("header")
+    return frozenset(found)
+
+
+def deeper(chain: Chain, names: frozenset[str]) -> Chain:
+    """The chain with one more element inside: its names with their levels."""
+    held = [key for element in chain for key in element]
+    own = tuple((n, min(LEVELS, 1 + sum(n == x for x, _ in held))) for n in sorted(names))
+    return chain if own in chain else (*chain, own)
 
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order; blocks without text are left out."""
     out: list[Block] = []
-    nothing = ("", False, (), 0, ())
-    stack: list[tuple] = [nothing]   # tag, bad by tag, elements bad by name, article number, its elements bad by name
-    kinds: list[str] = []            # of the elements bad by name
+    stack: list[tuple] = [("", False, (), 0, ())]   # tag, bad by tag, elements bad by name, article number, its elements bad by name
+    places: dict[str, list[int]] = {}               # of the open tags in the stack
+    chains: dict[tuple, Chain] = {}
     text: list[str] = []
     linked = links = breaks = articles = at = 0
     heading = False
@@ -164,14 +192,15 @@ def blocks_of(page: str) -> list[Block]:
 
     def close(tag, until=()):
         """Pop up to ``tag`` if it is open below none of ``until``."""
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] == tag:
-                del stack[i:]
-                return
-            if stack[i][0] in until:
-                return
-
-    for m in TOKEN.finditer(page):
+        own = places.get(tag)
+        if not own or any(places[t][-1] > own[-1] for t in until if places.get(t)):
+            return
+        first = own[-1]
+        for t, *_ in stack[first:]:
+            places[t].pop()
+        del stack[first:]
+
+    for m in tokens(page):
         add(page[at:m.start()])
         at = m.end()
         tag = m["tag"]
@@ -213,12 +242,12 @@ def blocks_of(page: str) -> list[Block]:
         if tag in ARTICLE_TAGS and not zone and not bad:
             articles += 1
             zone, around = articles, names
-        own = False if bad else names_bad(tag, m["attrs"], zone > 0)
-        if own and len(names) >= MAX_NESTED:
-            own = True
-        if own in (PART, DISCUSSION):
-            names += (len(kinds),)
-            kinds.append(own)
+        own = frozenset() if bad else names_bad(tag, m["attrs"], zone > 0)
+        if own and own is not True:
+            if (names, own) not in chains:
+                chains[names, own] = deeper(names, own)
+            names = chains[names, own]
+        places.setdefault(tag, []).append(len(stack))
         stack.append((tag, bad or own is True, names, zone, around))
         if tag == "a":
             links = 1
@@ -226,37 +255,49 @@ def blocks_of(page: str) -> list[Block]:
             heading = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
     add(page[at:])
     flush()
-    lift(out, kinds)
+    lift(out)
     return out
 
 
-def lift(blocks: list[Block], kinds: list[str]) -> None:
+def lift(blocks: list[Block]) -> None:
     """Lifts the verdicts of names on wrappers, and settles ``named_bad`` and ``zone`` of the blocks."""
-    lifted: set[int] = set()
+    lifted: set[tuple[str, int]] = set()
+
+    def damned(chain: Chain) -> list[tuple]:
+        return [element for element in chain if not lifted.issuperset(element)]
+
+    def part(element) -> bool:
+        return not any(n in DISCUSSION_NAMES for n, _ in element)
+
     if any(b.names and not b.tag_bad for b in blocks):
         # the first pass without the verdicts of names
         labels = first_labels([Block(b.text, b.linked, b.heading, b.zone, b.tag_bad) for b in blocks])
-        size = [len(b.text) if label in (GOOD, NEAR) else 0 for b, label in zip(blocks, labels)]
-        if not any(n and b.zone and not b.names for n, b in zip(size, blocks)):
-            for n, b in zip(size, blocks):
-                if n and b.zone and b.names == b.zone_names:    # nothing inside the article damns it
-                    lifted.update(b.names)
+        good = [(len(b.text), b) for b, label in zip(blocks, labels) if label in (GOOD, NEAR)]
+        if not any(b.zone and not b.names for _, b in good):
+            for _, b in good:
+                if b.zone and b.names == b.zone_names:    # nothing inside the article damns it
+                    lifted.update(key for element in b.names for key in element)
+        size: dict[Chain, int] = {}
+        for n, b in good:
+            size[b.names] = size.get(b.names, 0) + n
         while True:
-            inside, outside = [0] * len(kinds), 0    # good text by the outermost element that damns it, and the rest
-            for n, b in zip(size, blocks):
-                left = [i for i in b.names if i not in lifted]
-                if not left:
-                    outside += n
-                elif len(left) == 1 or all(kinds[i] == PART for i in left):
-                    inside[left[0]] += n
-            total = sum(inside[i] for i in range(len(kinds)) if kinds[i] == PART) + outside
-            best = max((i for i in range(len(kinds)) if kinds[i] == PART and i not in lifted), key=inside.__getitem__, default=None)
-            if best is None or not inside[best] or inside[best] <= WRAPPER_SHARE * total:
+            inside: dict[tuple[str, int], int] = {}    # good text by the names of the outermost element that damns it
+            total = 0
+            for chain, n in size.items():
+                left = damned(chain)
+                if left and not all(map(part, left)):
+                    continue
+                total += n
+                for key in left[0] if left else ():
+                    if key not in lifted:
+                        inside[key] = inside.get(key, 0) + n
+            best = max(inside, key=inside.__getitem__, default=None)
+            if best is None or inside[best] <= WRAPPER_SHARE * total:
                 break
             lifted.add(best)
     for b in blocks:
-        b.named_bad = b.tag_bad or any(i not in lifted for i in b.names)
-        if any(i not in lifted for i in b.zone_names):
+        b.named_bad = b.tag_bad or bool(damned(b.names))
+        if damned(b.zone_names):
             b.zone = 0
 
 
