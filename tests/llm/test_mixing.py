@@ -64,3 +64,27 @@ def test_mix_reaches_targets_and_equals_sql(spark):
     again = [tuple(r) for r in mixing.mix(docs.repartition(2)).collect()]
     assert sorted(again, key=key) == sorted(got, key=key)
     assert mixing.mix(docs.where("doc_id > 9999")).count() == 0
+
+
+def test_the_mix_is_the_same_over_any_partitions(spark):
+    """Rows with one doc_id and equal sizes, and different texts."""
+    rows = [(i % 9, f"word{i} two three", f"s{i % 3}", "x", i) for i in range(400)] + [(None, f"a{i} b", "s1", None, i) for i in range(40)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = [sorted(map(str, mixing.mixed(docs.repartition(n)).collect())) for n in (3, 7)]
+    assert got[0] == got[1] and got[0]
+
+
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_repeated_rows_are_taken_one_by_one(spark, monkeypatch, hot):
+    """300 rows alike in a source whose target ends among them."""
+    from tutorlens.llm import common
+    monkeypatch.setattr(common, "HOT_SHARE", hot)
+    rows = [(1, "same words here", "a", "x", 1)] * 300 + [(i, "other " * 7, "b", "x", 1) for i in range(100)] + [
+        (i, "third " * 5, "c", "x", 1) for i in range(200)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    target = {r["source"]: r["target"] for r in mixing.plan_rows(docs).collect()}
+    words = {}
+    for r in mixing.mixed(docs).collect():
+        words[r["source"]] = words.get(r["source"], 0) + len(r["text"].split())
+    assert all(abs(words[s] - t) <= 7 for s, t in target.items()), (words, target)
+    assert 900 < target["a"] < 2700 and target["a"] % 900

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, documents, written
+from .common import WORD_PATTERN, documents, join_groups, written
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -59,17 +59,22 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
         F.col("weight").cast("double") * F.col("left").cast("double") / F.col("share").cast("double")).alias("target"))
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns but maps: rows with equal ids and hashes count as repeated."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+
+
 def plan_rows(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """doc_id, tk (hash of the text), source, size, source_size, target, whole (times that the document is taken whole)
+    """doc_id, tk (hash of all columns), source, size, source_size, target, whole (times that the document is taken whole)
     and extra (words taken besides) for every row.
 
     A null text has size 0 and is taken 0 times; a null source is a source of its own. Repeated rows are
-    taken each for itself; which of several rows with one doc_id comes first is set by their size. An empty
-    table gives no row; extra columns are ignored. Reruns give the same rows.
+    taken each for itself; which of several rows with one doc_id comes first is set by their size, then by ``tk``. An empty
+    table gives no row; other columns count for ``tk`` alone. Reruns, over any partitions, give the same rows.
     """
     order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-                                F.xxhash64(F.col("text").cast("string")).alias("tk"),
+                                row_hash(docs).alias("tk"),
                                 word_count(F.col("text").cast("string")).alias("size"))
                     .withColumn("place", order).withColumn("bucket", F.substring("place", 1, 3)), "mix-sizes")
     buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -82,7 +87,7 @@ def plan_rows(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, se
         F.col("d.bucket") == F.col("p.bucket"))).select("d.doc_id", "d.tk", "d.source", "d.bucket", "d.size", "d.place",
                                                        "p.bucket_start", "p.source_size", "p.target")
     before = F.col("bucket_start") + F.sum("size").over(
-        Window.partitionBy("source", "bucket").orderBy("place", "size").rowsBetween(
+        Window.partitionBy("source", "bucket").orderBy("place", "size", "tk").rowsBetween(
             Window.unboundedPreceding, Window.currentRow)) - F.col("size")
     words = F.round("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -99,17 +104,28 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: st
 
 def mixed(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """The mix itself: the rows of docs, all columns, each as often as it is taken. Documents stay whole: the one at the
-    end of a source's fraction is taken once more if at least half of it is due. Rows that repeat doc_id and text are
-    all taken as often as the one of them that is taken most."""
+    end of a source's fraction is taken once more if at least half of it is due. Of rows that repeat all columns each is
+    taken for itself; where the fraction ends among them, as many as are due are taken once more."""
+    key = ["key", "no_id", "tk"]
     once_more = (F.col("extra") > 0) & (F.col("extra") * 2 >= F.col("size"))
-    copies = plan_rows(docs, weights, max_epochs, seed).groupBy(
+    copies = written(plan_rows(docs, weights, max_epochs, seed).groupBy(
         F.coalesce("doc_id", F.lit(0)).alias("key"), F.col("doc_id").isNull().alias("no_id"), "tk").agg(
-        F.max(F.col("whole") + once_more.cast("long")).cast("int").alias("copies")).where("copies > 0")
+        F.count(F.lit(1)).alias("n"), F.max("whole").alias("whole"), F.sum(once_more.cast("long")).alias("more")), "mix-copies")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("key"), F.col("doc_id").isNull().alias("no_id"),
-                       F.xxhash64(F.col("text").cast("string")).alias("tk"))
-    taken = rows.join(copies, ["key", "no_id", "tk"])
-    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+                       row_hash(docs).alias("tk"))
+    taken = join_groups(rows, copies, key, "n")
+    alike = taken.where("more = 0 or more = n").select("row", (F.col("whole") + (F.col("more") > 0).cast("long")).alias("times"))
+    # at most one set of repeated rows for each source: numbered partition by partition
+    numbered = written(taken.where("more > 0 and more < n").withColumn("at", F.monotonically_increasing_id()).withColumn(
+        "part", F.shiftright("at", 33)), "mix-repeated")
+    parts = numbered.groupBy(*key, "part").agg(F.count(F.lit(1)).alias("own")).withColumn("before", F.coalesce(F.sum("own").over(
+        Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy(*key, "part").orderBy("at"))
+    split = numbered.withColumn("place", place).join(parts, [*key, "part"]).select(
+        "row", (F.col("whole") + (F.col("before") + F.col("place") <= F.col("more")).cast("long")).alias("times"))
+    every = alike.unionByName(split).where("times > 0")
+    return every.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
