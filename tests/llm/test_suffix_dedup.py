@@ -77,15 +77,20 @@ SCHEMA = T.StructType([T.StructField(c, t) for c, t in (("doc_id", T.LongType())
 def test_repeats_equal_brute_force(spark, hot):
     texts = corpus()
     docs = spark.createDataFrame([(i, t, "c", 1, 2, 3) for i, t in enumerate(texts)], SCHEMA).repartition(5)
-    got = {r["doc_id"]: tuple(r)[1:] for r in sd.repeats(docs, hot_segments=hot).collect()}
+    rows = sd.repeats(docs, hot_segments=hot).collect()
+    got = {r["doc_id"]: tuple(r)[1:5] for r in rows}
     assert [got[i] for i in range(len(texts))] == plain(texts)
+    for r in rows:
+        kept = r["text"].encode()
+        assert len(kept) <= r["n_bytes"] - r["n_removed"] and (
+            hashlib.sha256(kept).hexdigest() == r["kept_sha256"] or r["n_removed"])
 
 
 def test_ids_that_are_null_or_repeat(spark):
     text = "".join(f"{i} " for i in range(200))
     rows = [(1, text), (1, text), (None, "k" + text), (None, "other"), (2, text + "!"), (2, "again other")]
     docs = spark.createDataFrame([(*r, "c", 1, 2, 3) for r in rows], SCHEMA)
-    got = sorted(tuple(r)[1:] for r in sd.repeats(docs).collect())
+    got = sorted(tuple(r)[1:5] for r in sd.repeats(docs).collect())
     assert got == sorted(plain([t for _, t in rows]))
     assert sd.repeats(docs.where("doc_id > 5")).count() == 0
     kept = sorted(r["text"] for r in sd.without_repeats(docs).collect())
@@ -110,3 +115,45 @@ def test_blocks_of_a_long_text_cover_every_window_once():
         assert start == at
         at += n
     assert at == len(data) - sd.WINDOW + 1
+
+
+def plain_passages(texts, words):
+    data = [(t or "").split() for t in texts]
+    count = Counter(tuple(d[i:i + words]) for d in data for i in range(len(d) - words + 1))
+    out = []
+    for t, d in zip(texts, data):
+        gone = set()
+        for i in range(len(d) - words + 1):
+            if count[tuple(d[i:i + words])] > 1:
+                gone.update(range(i, i + words))
+        out.append(None if gone and len(gone) == len(d) else [w for i, w in enumerate(d) if i not in gone])
+    return out
+
+
+def test_passages_of_words_equal_brute_force(spark):
+    """Planted passages of 51 to 60 short words, under 400 bytes, and one of 49 that stays."""
+    rng = random.Random(3)
+    words = lambda n: [rng.choice("abcdefgé") * rng.randint(1, 2) + str(rng.randrange(60)) for _ in range(n)]
+    planted = {n: " ".join(words(n)) for n in (49, 50, 51, 53, 55, 58, 60)}
+    assert all(len(p.encode()) < sd.WINDOW for p in planted.values())
+    texts = [" ".join(words(200)) for _ in range(30)] + [None, "", "tail", "same " * 400, "a b " * 300, planted[51], "\n".join(words(30))]
+    for n, p in planted.items():
+        for k in range(3):
+            texts.append(" ".join(words(40 + k)) + "\n" * (k + 1) + p + "\t" * k + " " + " ".join(words(70 - k)))
+    docs = spark.createDataFrame([(i, t, "c", 1, 2, 3) for i, t in enumerate(texts)], SCHEMA).repartition(5)
+    got = {r["doc_id"]: r["text"] for r in sd.without_passages(docs).collect()}
+    for i, want in enumerate(plain_passages(texts, sd.PASSAGE_WORDS)):
+        assert (got[i] or "").split() == want if want is not None else i not in got, (i, texts[i])
+    assert got[30] is None and got[31] == "" and planted[49] in "".join(filter(None, got.values()))
+    assert sd.without_passages(docs).columns == docs.columns
+    assert sd.without_passages(docs.where("doc_id > 999")).isEmpty()
+
+
+def test_hot_segments_and_keys_are_broadcast(spark, monkeypatch):
+    """A text that most rows repeat, without an id, and a key with many different segments."""
+    monkeypatch.setattr(sd, "HOT_SHARE", 5)
+    passage = "".join(f"{i * 7 % 997} " for i in range(200))
+    rows = [(None, passage)] * 60 + [(i, f"<{i}>" + passage + f"<{i}>") for i in range(20)] + [(99, "alone " * 3)]
+    docs = spark.createDataFrame([(*r, "c", 1, 2, 3) for r in rows], SCHEMA).repartition(4)
+    got = sorted(tuple(r)[1:5] for r in sd.repeats(docs, hot_segments=4).collect())
+    assert got == sorted(plain([t for _, t in rows]))

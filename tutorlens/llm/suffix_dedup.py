@@ -15,12 +15,16 @@ Every byte covered by a ``WINDOW``-byte string that also starts anywhere else (s
 3. Merging. Shards of a dealt-out key pass on one digest per class, sorted, in as many ranges as the key has shards. The
    digests of one range from all shards meet, and each is looked up by binary search; found twice means repeated in two shards.
 4. Runs of repeated windows go back to every document that holds the segment, and the covered bytes are cut out.
+
+``without_passages`` removes passages of ``PASSAGE_WORDS`` or more words in the same way: each word is a number of ``WORD_BYTES``
+bytes (its hash), a document the string of these, and the window as many words long.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, ids_and_text, written
+from .common import HOT_SHARE, WORD_PATTERN, documents, ids_and_text, join_groups, process_cache, written
 
 WINDOW = 400
 GRAM = 32
@@ -38,6 +42,10 @@ HOT_SEGMENTS = 500
 MAX_SEGMENT_WINDOWS = 2048
 BLOCK = 1 << 20
 PREFIX = 4            # bytes that the first sort of a suffix array looks at
+STRIDE = 64           # positions from one start of Kasai's rule to the next
+PASSAGE_WORDS = 50
+WORD_BYTES = 8
+WORDS_HELD = 1_000_000  # hashes of short words held per worker
 NO_ID = -(1 << 63)
 
 SEGMENT_SCHEMA = "id long, tk long, start long, windows int, mv long, sd binary, again boolean"
@@ -89,14 +97,33 @@ def segments_of(data: bytes, window: int = WINDOW):
             yield at + b, n, mv, xxhash.xxh3_128_digest(part[b:b + n + window - 1]), again
 
 
-def segment_table(docs: DataFrame, window: int) -> DataFrame:
+WORD = re.compile(WORD_PATTERN)
+
+
+def word_keys(text: str) -> bytes:
+    """The words of a text, WORD_BYTES bytes each."""
+    held = process_cache(xxhash, "word_keys")
+    if len(held) > WORDS_HELD:
+        held.clear()
+    out = []
+    for word in WORD.findall(text):
+        key = held.get(word)
+        if key is None:
+            key = xxhash.xxh64_digest(word.encode(), 7)
+            if len(word) <= 32:
+                held[word] = key
+        out.append(key)
+    return b"".join(out)
+
+
+def segment_table(docs: DataFrame, window: int, data_of: Callable[[str], bytes] = str.encode) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = text.encode()
+                data = data_of(text)
                 if len(data) >= window:
-                    tk = xxhash.xxh64_intdigest(data, 42)
+                    tk = xxhash.xxh64_intdigest(text.encode(), 42)
                     tk -= (tk >> 63) << 64
                     rows.extend((key, tk, *s) for s in segments_of(data, window))
                 if len(rows) > 50_000:
@@ -172,7 +199,7 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, starts: np.ndarray, depth:
     """lcp[r]: common prefix (up to ``depth``) of the suffixes at ranks r-1 and r; lcp[0] = 0.
 
     Kasai's rule: the prefix of position i+1 with its predecessor in order is at least that of i less
-    one. The rule runs from the first byte of every segment in step, 8 bytes a comparison."""
+    one. The rule runs from every position of ``starts`` (0 first) to the next in step, 8 bytes a comparison."""
     n = len(data)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
@@ -208,7 +235,7 @@ def window_classes(parts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray
     length = np.array([len(p) for p in parts])
     first = np.cumsum(length) - length
     sa = suffix_array(data)
-    lcp = common_prefixes(data, sa, first, window)
+    lcp = common_prefixes(data, sa, np.union1d(first, np.arange(0, len(data), STRIDE)), window)
     of = np.empty(len(data), np.int64)
     of[sa] = np.cumsum(lcp < window)
     count = length - window + 1
@@ -326,15 +353,17 @@ def merge_shards(classes: DataFrame) -> DataFrame:
 
 # --- the operator --------------------------------------------------------------------------------------------------
 
-def covered_windows(docs: DataFrame, window: int = WINDOW, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
+def covered_windows(docs: DataFrame, window: int = WINDOW, hot_segments: int = HOT_SEGMENTS,
+                    data_of: Callable[[str], bytes] = str.encode) -> DataFrame:
     """docs(id, text) -> id, tk, covers: array of (start, len) runs of repeated windows, for documents that have any."""
-    segs = written(segment_table(docs, window), "segments")
+    segs = written(segment_table(docs, window, data_of), "segments")
     same = written(segs.groupBy("mv", "sd").agg(
         F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "tk", "start")).alias("at"),
         F.first("windows").alias("windows"), F.first("again").alias("again")), "segments-distinct")
-    per_key = same.groupBy("mv").agg(F.count(F.lit(1)).alias("different")).where("different > 1")
-    several = same.join(per_key, "mv", "left").where("different > 1 OR again").select(
-        "mv", "sd", "at.id", "at.tk", "at.start", "windows", F.coalesce("different", F.lit(1)).alias("different"))
+    per_key = written(same.groupBy("mv").agg(F.count(F.lit(1)).alias("different")).where("different > 1"), "segment-keys")
+    alone = same.where("again").join(per_key, "mv", "left_anti").withColumn("different", F.lit(1).cast("long"))
+    several = join_groups(same, per_key, ["mv"], "different").unionByName(alone).select(
+        "mv", "sd", "at.id", "at.tk", "at.start", "windows", "different")
     several = several.withColumn("shards", F.ceil(F.col("different") / hot_segments).cast("int")).withColumn(
         "salt", F.pmod(F.xxhash64("sd"), F.col("shards")))
     wanted = several.groupBy("id", "tk").agg(F.collect_list(
@@ -345,7 +374,7 @@ def covered_windows(docs: DataFrame, window: int = WINDOW, hot_segments: int = H
         rows, size = [], 0
         for batch in batches:
             for text, cuts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = text.encode()
+                data = data_of(text)
                 for c in cuts:
                     rows.append((c["mv"], c["salt"], c["shards"], c["sd"],
                                  data[c["start"]:c["start"] + c["windows"] + window - 1]))
@@ -367,9 +396,15 @@ def covered_windows(docs: DataFrame, window: int = WINDOW, hot_segments: int = H
     merged = merge_shards(found.where("sd is null"))
     whole = same.where("copies > 1").select("sd", F.array(F.struct(F.lit(0).alias("off"), F.col("windows").alias("len"))).alias("runs"))
     every = whole.unionByName(found.where("sd is not null").select("sd", "runs")).unionByName(merged)
+    every = every.groupBy("sd").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    # segments that a thousandth of all rows hold, fewer than a thousand of them, are broadcast with their runs
+    hot = F.broadcast(same.where(F.col("copies") * HOT_SHARE > segs.count()).select("sd"))
+    places = segs.select("id", "tk", "sd", "start")
+    back = places.join(hot, "sd", "left_anti").join(every, "sd").unionByName(
+        places.join(F.broadcast(every.join(hot, "sd", "left_semi")), "sd"))
     moved = F.transform("runs", lambda r: F.struct((F.col("start") + r["off"]).alias("start"), r["len"].alias("len")))
-    return segs.select("id", "tk", "sd", "start").join(every, "sd").groupBy("id", "tk").agg(
-        F.flatten(F.collect_list(moved)).alias("covers"))
+    # rows that repeat id and text hold the same runs: a set, so that their number does not matter
+    return back.groupBy("id", "tk").agg(F.flatten(F.collect_set(moved)).alias("covers"))
 
 
 def removed_spans(covers, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -393,34 +428,57 @@ def kept_bytes(data: bytes, spans) -> bytes:
     return b"".join(out)
 
 
-def with_covers(docs: DataFrame, window: int, hot_segments: int) -> DataFrame:
+def removed_words(covers, words: int) -> list[tuple[int, int]]:
+    """Maximal spans (first, past the last) of words covered by runs of windows over ``word_keys``. Windows that do not begin at
+    a word's first byte (they repeat where one word does) are passed over."""
+    runs = []
+    for start, n in covers:
+        first, last = -(-start // WORD_BYTES), (start + n - 1) // WORD_BYTES
+        if first <= last:
+            runs.append((first, last - first + 1))
+    return removed_spans(runs, words)
+
+
+def without_words(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without those words and the white space between them."""
+    places = [m.span() for m in WORD.finditer(text)] if spans else []
+    out, at = [], 0
+    for first, stop in spans:
+        out.append(text[at:places[first][0]])
+        at = places[stop - 1][1]
+    return "".join(out) + text[at:]
+
+
+def with_covers(docs: DataFrame, window: int, hot_segments: int, data_of: Callable[[str], bytes] = str.encode) -> DataFrame:
     """All columns of docs(id, text, ...) with covers (null if nothing is repeated)."""
-    found = covered_windows(docs.select("id", "text"), window, hot_segments)
+    found = covered_windows(docs.select("id", "text"), window, hot_segments, data_of)
     return docs.withColumn("tk", F.xxhash64("text")).join(found, ["id", "tk"], "left")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and text (the bytes kept, without broken characters) for every row.
 
     Null text: empty. Texts shorter than the window keep all their bytes. Rows that repeat a text of at least
     ``window`` bytes lose all of it, whatever their ids. An empty table gives no row; extra columns are ignored.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, removed, spans, sha = [], [], [], []
+            size, removed, spans, sha, texts = [], [], [], [], []
             for text, covers in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 data = text.encode()
                 cuts = removed_spans([(c["start"], c["len"]) for c in covers or ()], window)
                 size.append(len(data))
                 removed.append(sum(b - a for a, b in cuts))
                 spans.append(len(cuts))
-                sha.append(hashlib.sha256(kept_bytes(data, cuts)).hexdigest())
+                kept = kept_bytes(data, cuts)
+                sha.append(hashlib.sha256(kept).hexdigest())
+                texts.append(kept.decode(errors="ignore"))
             yield pa.record_batch({"doc_id": batch.column(0), "n_bytes": pa.array(size, pa.int64()),
                                    "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()),
-                                   "kept_sha256": pa.array(sha, pa.string())})
+                                   "kept_sha256": pa.array(sha, pa.string()), "text": pa.array(texts, pa.string())})
 
     rows = with_covers(keyed_rows(docs), window, hot_segments).select("doc_id", "text", "covers")
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
 def keyed_rows(docs: DataFrame) -> DataFrame:
@@ -430,13 +488,33 @@ def keyed_rows(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame, window: int = WINDOW, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """The rows of docs, all columns, with the repeated bytes cut out of ``text`` (bytes of a character that is cut in
     two go with it) and ``n_chars``, if there, counted anew. Rows of which nothing but white space is left go."""
+    def cut(text, covers):
+        return kept_bytes(text.encode(), removed_spans(covers, window)).decode(errors="ignore")
+
+    return rewritten(docs, window, hot_segments, str.encode, cut)
+
+
+def without_passages(docs: DataFrame, words: int = PASSAGE_WORDS, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
+    """The rows of docs, all columns, without every word of ``text`` that lies in a passage of ``words`` words which also begins
+    anywhere else, same document included; overlaps count, and passages are judged on the input. Words are runs of other than
+    white space, and only they are compared. ``n_chars``, if there, is counted anew. Rows of which nothing but white space is left go."""
+    def cut(text, covers):
+        return without_words(text, removed_words(covers, words))
+
+    return rewritten(docs, words * WORD_BYTES, hot_segments, word_keys, cut)
+
+
+def rewritten(docs: DataFrame, window: int, hot_segments: int, data_of, cut) -> DataFrame:
+    """docs with cut(text, covers) as the text of rows that have covers.
+
+    Null and empty texts stay as they are. Rows that repeat id and text are cut alike. An empty table stays empty; columns of
+    any name are passed on."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
             for text, covers in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if covers:
-                    cuts = removed_spans([(c["start"], c["len"]) for c in covers], window)
-                    text = kept_bytes(text.encode(), cuts).decode(errors="ignore")
+                    text = cut(text, [(c["start"], c["len"]) for c in covers])
                     text = text if text.strip() else None
                 kept.append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], ["row", "kept"])
@@ -444,10 +522,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, hot_segments: int = H
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = with_covers(rows, window, hot_segments).select("row", "text", "covers")
-    cut = found.mapInArrow(run, T.StructType([found.schema["row"], T.StructField("kept", T.StringType())]))
+    found = with_covers(rows, window, hot_segments, data_of).select("row", "text", "covers")
+    done = found.mapInArrow(run, T.StructType([found.schema["row"], T.StructField("kept", T.StringType())]))
     columns = {"text": F.when(F.col("row.text").isNotNull(), F.col("kept")), "n_chars": F.char_length("kept").cast("long")}
-    return cut.where("kept is not null").select(
+    return done.where("kept is not null").select(
         *[columns.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
