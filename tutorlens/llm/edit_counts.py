@@ -1,15 +1,17 @@
 """Token counts that follow edits without encoding the whole text again.
 
-A document is held as a segment tree over its pre-token chunks (see ``encoding``: chunks never share a token). A
-leaf holds some chunks with their characters and tokens; inner nodes hold the sums. An edit descends by character
-sums to the leaves it touches, takes one chunk of context at either side (a new or lost space there can join
-chunks, none further away), cuts and encodes only that region again and updates the sums on the paths above.
-An added token (``<|endoftext|>``) lies inside one chunk; for a tokenizer with added tokens that reach over a space
-a document is a single chunk.
+A document is held as a segment tree over runs of its pre-token chunks (see ``encoding``: chunks never share a token). A
+leaf holds about ``LEAF_CHARS`` characters of chunks, their characters and tokens; inner nodes hold the sums. An edit descends by
+character sums to the leaves it touches, takes one whole chunk of context at either side of the characters it changes (a new or
+lost space there can join chunks, none further away), encodes that region as it was and as it is, and adds the difference to the
+leaf and the sums on the paths above. An added token (``<|endoftext|>``) lies inside one chunk; for a tokenizer with added tokens that
+reach over a space a document is a single chunk.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from operator import add
 
@@ -20,34 +22,28 @@ from pyspark.sql import functions as F
 from .common import documents
 from .encoding import SAFE_CUT, Encoder, encoder, tokenizer_path
 
-MAX_LEAF_CHUNKS = 128
+LEAF_CHARS = 64
+MAX_LEAF_CHARS = 2048   # a leaf that edits have made longer is cut anew
 
 RESULT_SCHEMA = ("doc_id long, n_tokens long, n_edits int, n_chars_after long, n_tokens_after long, "
                  "reencoded_chars long")
 
 
-def cut(text: str) -> list[str]:
-    """Chunks whose concatenation is the text; all but the first keep their leading space."""
-    first, *rest = SAFE_CUT.split(text)
-    return [first, *[" " + c for c in rest]] if text else []
+#: whole chunks of LEAF_CHARS characters or more; all leaves but the first begin with the space before a chunk
+LEAF = re.compile(rf"(?s).{{{LEAF_CHARS - 1}}}.*?\S(?= \S)|.+")
 
 
 class TokenTree:
     def __init__(self, enc: Encoder, text: str):
         self.enc = enc
-        self.build(*self.single_leaves(self.cut(text)))
+        self.build(*self.counted(text))
 
-    def cut(self, text: str) -> list[str]:
-        return cut(text) if not self.enc.wide else [text] if text else []
+    def counted(self, text: str) -> tuple[list[str], list[int], list[int]]:
+        """The leaves of a text, and their characters and tokens."""
+        leaves = LEAF.findall(text) if not self.enc.wide else [text] if text else []
+        return leaves, list(map(len, leaves)), list(map(self.enc.count, leaves))
 
-    def tokens_of(self, chunks: list[str]) -> list[int]:
-        edge = self.enc.edge
-        return [len(edge(c[1:]) if c[0] == " " else self.enc.first.ids_of(c)) // 4 for c in chunks]
-
-    def single_leaves(self, chunks: list[str]) -> tuple[list[list[str]], list[int], list[int]]:
-        return [[c] for c in chunks], list(map(len, chunks)), self.tokens_of(chunks)
-
-    def build(self, leaves: list[list[str]], chars: list[int], tokens: list[int]) -> None:
+    def build(self, leaves: list[str], chars: list[int], tokens: list[int]) -> None:
         """The tree over leaves with known characters and tokens."""
         self.leaves = leaves
         self.width = 1 << max(0, len(leaves) - 1).bit_length()
@@ -80,25 +76,33 @@ class TokenTree:
                 node += 1
         return node - self.width, begin
 
-    def set_leaf(self, leaf: int, chunks: list[str]) -> None:
-        self.leaves[leaf] = chunks
+    def set_leaf(self, leaf: int, text: str, tokens: int) -> None:
+        self.leaves[leaf] = text
         node = self.width + leaf
-        self.chars[node], self.tokens[node] = sum(map(len, chunks)), sum(self.tokens_of(chunks))
+        self.chars[node], self.tokens[node] = len(text), tokens
         while node > 1:
             node //= 2
             self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
             self.tokens[node] = self.tokens[2 * node] + self.tokens[2 * node + 1]
 
+    def region(self, text: str, pos: int, stop: int) -> tuple[int, int]:
+        """From where to where ``text``, some leaves, has to be encoded if the characters from pos to stop change."""
+        if self.enc.wide:
+            return 0, len(text)
+        cuts = [m.start() for m in SAFE_CUT.finditer(text)]
+        before, after = bisect_left(cuts, pos) - 2, bisect_right(cuts, stop) + 1
+        return cuts[before] if before >= 0 else 0, cuts[after] if after < len(cuts) else len(text)
+
     def edit(self, pos: int, delete: int, insert: str) -> int:
         """Replace ``delete`` characters at ``pos`` by ``insert`` (both cut to the text). Returns the number of
-        characters that were encoded again."""
+        characters that were encoded for it, old and new."""
         n = self.n_chars
         pos = min(max(pos, 0), n)
         stop = min(pos + max(delete, 0), n)
         if pos == stop and not insert:
             return 0
         if not n:
-            self.build(*self.single_leaves(self.cut(insert)))
+            self.build(*self.counted(insert))
             return len(insert)
         left, begin = self.leaf_at(max(pos - 1, 0))
         if begin:
@@ -107,19 +111,22 @@ class TokenTree:
         end += self.chars[self.width + right]
         if end < n:
             right, end = self.leaf_at(end)
-        region = "".join("".join(self.leaves[i]) for i in range(left, right + 1))
-        region = region[:pos - begin] + insert + region[stop - begin:]
-        chunks = self.cut(region)
-        if len(chunks) > MAX_LEAF_CHUNKS:      # a large insertion gets leaves of its own
-            w = self.width
-            own = self.single_leaves(chunks)
-            self.build(*[old[:left] + new + old[right + 1:] for old, new in zip(
-                (self.leaves, self.chars[w:w + len(self.leaves)], self.tokens[w:w + len(self.leaves)]), own)])
-            return len(region)
+        text = "".join(self.leaves[left:right + 1])
+        pos, stop = pos - begin, stop - begin
+        a, b = self.region(text, pos, stop)
+        new = text[a:pos] + insert + text[stop:b]
+        w = self.width
+        tokens = sum(self.tokens[w + left:w + right + 1]) + self.enc.count(new) - self.enc.count(text[a:b])
+        text = text[:a] + new + text[b:]
+        if len(text) > MAX_LEAF_CHARS and not self.enc.wide:      # leaves of their own
+            leaves, count = self.counted(text), len(self.leaves)
+            self.build(*[old[:left] + own + old[right + 1:] for old, own in zip(
+                (self.leaves, self.chars[w:w + count], self.tokens[w:w + count]), leaves)])
+            return b - a + len(text)
         for i in range(left + 1, right + 1):
-            self.set_leaf(i, [])
-        self.set_leaf(left, chunks)
-        return len(region)
+            self.set_leaf(i, "", 0)
+        self.set_leaf(left, text, tokens)
+        return b - a + len(new)
 
 
 def count_with_edits(docs: DataFrame, tokenizer: str) -> DataFrame:
