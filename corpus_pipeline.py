@@ -13,7 +13,7 @@ from tutorlens.llm.langid import keep_identified
 from tutorlens.llm.mixing import mixed
 from tutorlens.llm.packing import pack_documents
 from tutorlens.llm.simhash import one_of_each
-from tutorlens.llm.suffix_dedup import without_repeats
+from tutorlens.llm.suffix_dedup import without_passages
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every 400-byte string that also starts anywhere else is cut out; documents that are empty then go."""
-    return without_repeats(docs)
+    """Every passage of 50 words (``suffix_dedup.PASSAGE_WORDS``) that also begins anywhere else is cut out, so every repeated
+    passage of over 50 words goes, however short its words are; documents that are empty then go."""
+    return without_passages(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
