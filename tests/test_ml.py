@@ -1,10 +1,11 @@
-"""Clustering invariants (no scikit-learn here to compare with)."""
+"""Clustering against plain numpy (no scikit-learn here to compare with)."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tutorlens.config import thresholds
-from tutorlens.operators import ml
+from tutorlens.operators import kmeans, ml
 from tutorlens.operators.courses import mean_2dp
 
 
@@ -30,17 +31,64 @@ def test_clusters_and_levels(spark, students):
     means = {r["NivelRiesgoML"]: r["m"] for r in pred.join(students, "IDEstudiante")
              .groupBy("NivelRiesgoML").agg(F.avg(score).alias("m")).collect()}
     assert means["ALTO"] < means["MEDIO"] < means["ALERTA"] and "OPTIMO" not in means
-    assert -1.0 <= res.silhouette_sq <= 1.0 and res.silhouette_sq > 0.5
+    assert 0.5 < res.silhouette < res.silhouette_sq <= 1.0
+
+
+def points_of(students, cols, parts=3):
+    vec = kmeans.grid(ml.standardize(students.repartition(parts), cols), cols, ["IDEstudiante"])
+    return kmeans.distinct_points(vec, "IDEstudiante", len(cols))
 
 
 def test_restarts_pick_lowest_cost_and_repeat(spark, students):
     cols = ml.feature_columns(students)
-    vec = ml._vectors(ml.standardize(students, cols), cols)
-    _, best = ml.fit_best_kmeans(vec, 3, 42, n_init=4)
-    costs = [ml.fit_best_kmeans(vec, 3, 42 + i, n_init=1)[1] for i in range(4)]
-    assert best == pytest.approx(min(costs))
-    again = ml.fit_best_kmeans(vec, 3, 42, n_init=4)[1]
-    assert again == pytest.approx(best)
+    points = points_of(students, cols)
+    best = kmeans.fit_best(points, len(cols), [3], 42, n_init=4)[3]
+    again = kmeans.fit_best(points_of(students, cols, 7), len(cols), [3], 42, n_init=4)[3]
+    assert again == best       # the same whatever the partitions
+    runs = {r: (3, r) for r in range(4)}
+    centres = kmeans.move(points, len(cols), kmeans.seed(points, len(cols), runs, 42), 300, 1e-4)
+    x = np.array([[r[f"x{i}"] for i in range(len(cols))] for r in points.collect() for _ in range(r["w"])]) / kmeans.SCALE
+    cost = [((x[:, None] - np.array(c)[None] / kmeans.SCALE) ** 2).sum(axis=2).min(axis=1).sum() for c in centres.values()]
+    assert best.cost == pytest.approx(min(cost), abs=1e-6)
+    for c in centres.values():     # every centre is the mean of its rows
+        near = ((x[:, None] - np.array(c)[None] / kmeans.SCALE) ** 2).sum(axis=2).argmin(axis=1)
+        for k in set(near.tolist()):
+            assert x[near == k].mean(axis=0) == pytest.approx(np.array(c[k]) / kmeans.SCALE, abs=2e-2)
+
+
+def plain_silhouette(x, labels, power=1):
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2) ** (power / 2)
+    out = []
+    for i, own in enumerate(labels):
+        alike = labels == own
+        if alike.sum() == 1:
+            out.append(0.0)
+            continue
+        a = d[i][alike].sum() / (alike.sum() - 1)
+        b = min(d[i][labels == c].mean() for c in set(labels.tolist()) - {own})
+        out.append((b - a) / max(a, b) if max(a, b) else 0.0)
+    return float(np.mean(out))
+
+
+def test_silhouette_equals_brute_force(spark, monkeypatch):
+    """500 students, repeated vectors, one alone in its cluster, over many blocks."""
+    monkeypatch.setattr(kmeans, "BLOCK_ROWS", 60)
+    rng = np.random.default_rng(7)
+    x = np.rint(np.concatenate([rng.normal(size=(440, 3)) * 1e6, np.zeros((59, 3)), [[9e7, 9e7, 9e7]]]))
+    vec = spark.createDataFrame([(f"s{i}", *map(int, r)) for i, r in enumerate(x)], "IDEstudiante string, x0 long, x1 long, x2 long")
+    points = kmeans.distinct_points(vec, "IDEstudiante", 3)
+    fits = [kmeans.Fit([[-1e6, 0.0, 0.0], [1e6, 0.0, 0.0], [9e7, 9e7, 9e7]], 0.0), kmeans.Fit([[0.0, -1e6, 0.0], [0.0, 1e6, 5e5]], 0.0)]
+    for fit, (got, got_sq) in zip(fits, kmeans.silhouettes(points, 3, fits)):
+        labels = ((x[:, None] - np.array(fit.centres)[None]) ** 2).sum(axis=2).argmin(axis=1)
+        assert got == pytest.approx(plain_silhouette(x / 1e6, labels), abs=1e-5)
+        assert got_sq == pytest.approx(plain_silhouette(x / 1e6, labels, 2), abs=1e-5)
+
+
+def test_fewer_vectors_than_clusters(spark):
+    vec = spark.createDataFrame([("a", 0), ("b", 0), ("c", 10)], "IDEstudiante string, x0 long")
+    points = kmeans.distinct_points(vec, "IDEstudiante", 1)
+    fit = kmeans.fit_best(points, 1, [3], 1, n_init=2)[3]
+    assert sorted(map(tuple, fit.centres)) == [(0.0,), (10.0,)] and fit.cost == 0
 
 
 def test_standardize_population_std(spark, students):

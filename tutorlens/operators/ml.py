@@ -1,9 +1,9 @@
-"""Risk clusters with ``pyspark.ml``: features, mean imputation, z-scores,
-K-Means with restarts (best training cost wins), cluster -> level by score.
+"""Risk clusters: features, mean imputation, z-scores, K-Means with restarts (``kmeans.py``; lowest cost wins),
+cluster -> level by score, exact Euclidean silhouette.
 
 Fitting is an action by nature, and so are the few steps around it: the row
 count (gate and k), the one-row aggregates whose results become literals
-(means, deviations), and the checkpoint of the feature vectors the restarts
+(means, deviations), and the written table of distinct feature vectors that the restarts
 iterate over. Labels and distributions stay lazy.
 """
 
@@ -17,6 +17,7 @@ from pyspark.sql.types import (ArrayType, BooleanType, DoubleType, IntegerType,
                                StructField, StructType)
 
 from ..config import ML_FALLBACK_LEVEL, ML_FEATURES, ML_LEVELS
+from . import kmeans
 
 KEY = "IDEstudiante"
 
@@ -122,6 +123,7 @@ class ClusteringResult:
     message: str
     predictions: DataFrame | None = None
     n_clusters: int = 0
+    silhouette: float | None = None
     silhouette_sq: float | None = None
     cost: float | None = None
     features_used: list[str] = field(default_factory=list)
@@ -129,62 +131,18 @@ class ClusteringResult:
 
     SCHEMA = StructType([
         StructField("exito", BooleanType()), StructField("mensaje", StringType()),
-        StructField("n_clusters", IntegerType()), StructField("silhouette_sq", DoubleType()),
+        StructField("n_clusters", IntegerType()), StructField("silhouette", DoubleType()), StructField("silhouette_sq", DoubleType()),
         StructField("coste", DoubleType()), StructField("features_usados", ArrayType(StringType())),
         StructField("n_estudiantes", LongType())])
 
     def summary_frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(self.success, self.message, self.n_clusters, self.silhouette_sq, self.cost,
+        return spark.createDataFrame([(self.success, self.message, self.n_clusters, self.silhouette, self.silhouette_sq, self.cost,
                                        self.features_used, self.n_students)], self.SCHEMA)
 
 
-def _vectors(feats_scaled: DataFrame, cols: list[str]) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-    return VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep").transform(feats_scaled)
-
-
-def fit_input(vec: DataFrame) -> DataFrame:
-    """The feature vectors every restart iterates over: written with a reliable
-    checkpoint to the shared folder (each restart then plans against a short
-    lineage, and a lost executor re-reads the checkpoint instead of re-running
-    the student pipeline), and kept in memory. AQE sizes their partitions."""
-    from ..session import shared_dir
-    shared_dir(vec.sparkSession)
-    return vec.checkpoint(eager=True).persist()
-
-
-def fit_best_kmeans(vec: DataFrame, k: int, seed: int, n_init: int = 10, max_iter: int = 300, tol: float = 1e-4,
-                    parallelism: int | None = None):
-    """``n_init`` K-Means fits with seeds seed..seed+n_init-1; lowest training
-    cost wins (ties: lowest seed). The fits are independent Spark jobs, so they
-    are submitted from a few driver threads at once and share the cluster."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    from pyspark.ml.clustering import KMeans
-
-    def fit(i):
-        model = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol, featuresCol="features",
-                       predictionCol="Cluster").fit(vec)
-        return i, model, model.summary.trainingCost
-
-    workers = max(1, min(n_init, parallelism or 4))
-    with ThreadPoolExecutor(max_workers=workers) as pool:
-        fits = list(pool.map(fit, range(n_init)))
-    _, model, cost = min(fits, key=lambda f: (f[2], f[0]))
-    return model, cost
-
-
-def silhouette_sq(pred: DataFrame) -> float:
-    """Mean silhouette with squared Euclidean distance (Spark's distributed
-    evaluator; linear in the number of students)."""
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    return ClusteringEvaluator(featuresCol="features", predictionCol="Cluster", metricName="silhouette",
-                               distanceMeasure="squaredEuclidean").evaluate(pred)
-
-
-def run_clustering(students: DataFrame, th: dict, n_init: int = 10) -> ClusteringResult:
+def run_clustering(students: DataFrame, th: dict, n_init: int = 10, evaluate: bool = True) -> ClusteringResult:
     """Gate on ml_min_samples, k = min(ml_n_clusters, n - 1), impute, scale,
-    best of ``n_init`` fits, label clusters by score, silhouette."""
+    best of ``n_init`` fits, label clusters by score, silhouettes (not without ``evaluate``)."""
     feats = features(students)
     cols = feature_columns(students)
     if len(cols) < 2:
@@ -200,18 +158,18 @@ def run_clustering(students: DataFrame, th: dict, n_init: int = 10) -> Clusterin
             return ClusteringResult(False, "Muy pocos estudiantes", n_students=n)
         imputed = impute_mean(feats, cols)
         # unscaled values ride along (for the cluster scores), so everything
-        # after the fits reads only the checkpointed vectors
+        # after the fit reads only the written vectors
         raw = imputed.select(KEY, *cols, *[F.col(c).alias(f"_raw_{c}") for c in cols])
-        vec = fit_input(_vectors(standardize(raw, cols), cols).select(KEY, *[f"_raw_{c}" for c in cols], "features"))
+        vec = kmeans.grid(standardize(raw, cols), cols, [KEY, *[f"_raw_{c}" for c in cols]])
+        points = kmeans.distinct_points(vec, KEY, len(cols)).persist()
         try:
-            model, cost = fit_best_kmeans(vec, k, int(th["ml_random_state"]), n_init)
-            pred = model.transform(vec)
-            sil = silhouette_sq(pred) if k < n else 0.0
+            fit = kmeans.fit_best(points, len(cols), [k], int(th["ml_random_state"]), n_init)[k]
+            sil, sil_sq = kmeans.silhouettes(points, len(cols), [fit])[0] if evaluate else (None, None)
         finally:
-            vec.unpersist()
+            points.unpersist()
         unscaled = vec.select(KEY, *[F.col(f"_raw_{c}").alias(c) for c in cols])
-        labels = label_clusters(unscaled, pred.select(KEY, F.col("Cluster").cast("int").alias("Cluster")))
-        return ClusteringResult(True, "OK", labels, k, sil, cost, cols, n)
+        labels = label_clusters(unscaled, vec.select(KEY, kmeans.nearest(fit.centres, len(cols)).alias("Cluster")))
+        return ClusteringResult(True, "OK", labels, k, sil, sil_sq, fit.cost, cols, n)
     finally:
         feats.unpersist()
 
@@ -220,27 +178,22 @@ K_SEARCH_MAX = 8     # the search range k = 2..8 is a parameter of ``best_k``
 
 
 def best_k(students: DataFrame, th: dict, k_max: int = K_SEARCH_MAX, n_init: int = 10) -> DataFrame:
-    """Silhouette (squared Euclidean) for k = 2..min(k_max, n-1), each with the
-    restarts of the clustering itself; the highest is chosen. The student table
-    is computed once: everything after it reads the checkpointed vectors."""
+    """Silhouette for k = 2..min(k_max, n-1), each with the restarts of the clustering itself; the highest Euclidean one is
+    chosen (ties: the smaller k). All fits of all k run in the same passes over one written table of vectors."""
     spark = students.sparkSession
     cols = feature_columns(students)
-    feats = features(students).persist()
-    try:
-        n = feats.count()
-        vec = fit_input(_vectors(standardize(impute_mean(feats, cols), cols), cols).select("features"))
-    finally:
-        feats.unpersist()
-    rows = []
+    vec = kmeans.grid(standardize(impute_mean(features(students), cols), cols), cols, [KEY])
+    points = kmeans.distinct_points(vec, KEY, len(cols)).persist()
     try:
-        for k in range(2, min(k_max, n - 1) + 1):
-            model, cost = fit_best_kmeans(vec, k, int(th["ml_random_state"]), n_init)
-            rows.append((k, float(silhouette_sq(model.transform(vec))), float(cost)))
+        n = points.agg(F.sum("w")).first()[0] or 0
+        ks = list(range(2, min(k_max, n - 1) + 1))
+        fits = kmeans.fit_best(points, len(cols), ks, int(th["ml_random_state"]), n_init) if ks else {}
+        scores = kmeans.silhouettes(points, len(cols), [fits[k] for k in ks]) if ks else []
     finally:
-        vec.unpersist()
-    best = max(rows, key=lambda r: r[1])[0] if rows else None
-    return spark.createDataFrame([(k, s, c, k == best) for k, s, c in rows],
-                                 "k int, silhouette_sq double, coste double, elegido boolean")
+        points.unpersist()
+    best = max(zip(ks, scores), key=lambda x: (x[1][0], -x[0]), default=(None,))[0]
+    return spark.createDataFrame([(k, *s, fits[k].cost, k == best) for k, s in zip(ks, scores)],
+                                 "k int, silhouette double, silhouette_sq double, coste double, elegido boolean")
 
 
 def attach_predictions(students: DataFrame, predictions: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ re-derives its inputs from them.
 
 from __future__ import annotations
 
+from . import oracle_kmeans as kmeans_sql
 from ..config import COMPETENCIES, DISTRIBUTION_LABELS, GENERAL_RECOMMENDATIONS, RECOMMENDATIONS, RISK_LEVELS
 
 # Written out here, not taken from the code under test.
@@ -582,6 +583,31 @@ FROM ({labelled}) GROUP BY Cluster, NivelRiesgoML""")
     o["ml_join"] = on_students(f"""
 SELECT s.IDEstudiante, s.CursoID, s.nivel_riesgo_final, l.Cluster, l.NivelRiesgoML
 FROM students s LEFT JOIN ({labelled}) l ON s.IDEstudiante = l.IDEstudiante""")
+    def on_clusters(body: str, ks=(3,), scored: bool = False) -> str:
+        parts = kmeans_sql.clustering("SELECT IDEstudiante, " + ", ".join(scaled) + " FROM students", feats, list(ks))
+        if scored:
+            parts += kmeans_sql.silhouettes(list(ks))
+        return "WITH RECURSIVE " + with_(*BASE, STUDENTS, *parts, body=body).removeprefix("WITH ")
+
+    by_cluster = scores.replace("SELECT *, CAST(CAST(IDEstudiante AS BIGINT) % 3 AS INTEGER) AS Cluster FROM students",
+                                "SELECT s.*, l.Cluster FROM students s JOIN labels l ON s.IDEstudiante = l.IDEstudiante")
+    predicted = f"""
+SELECT l.IDEstudiante, l.Cluster, COALESCE((['ALTO', 'MEDIO', 'ALERTA', 'OPTIMO'])[r.rango + 1], 'OPTIMO') AS NivelRiesgoML
+FROM labels l JOIN ({by_cluster}) r ON l.Cluster = r.Cluster"""
+    o["ml_kmeans"] = on_clusters(predicted)
+    o["report_ml"] = on_clusters(f"""
+SELECT Cluster, NivelRiesgoML, COUNT(*) AS estudiantes,
+       {pct_label('COUNT(*)', 'SUM(COUNT(*)) OVER ()')} AS porcentaje
+FROM ({predicted}) GROUP BY Cluster, NivelRiesgoML""")
+    o["ml_result"] = on_clusters(f"""
+SELECT true AS exito, 'OK' AS mensaje, 3 AS n_clusters, s.silhouette, s.silhouette_sq, f.coste,
+       [{', '.join(map(q, feats))}] AS features_usados, (SELECT COUNT(*) FROM students) AS n_estudiantes
+FROM silhouettes s JOIN fits f ON s.k = f.k""", scored=True)
+    o["best_k"] = on_clusters("""
+SELECT s.k, s.silhouette, s.silhouette_sq, f.coste, row_number() OVER (ORDER BY s.silhouette DESC, s.k) = 1 AS elegido
+FROM silhouettes s JOIN fits f ON s.k = f.k""", ks=range(2, 9), scored=True)
+    o["student_analysis_ml"] = on_clusters("SELECT " + ", ".join(
+        f's.{c} AS "{lab}"' for c, lab in labels.items()) + f', p.NivelRiesgoML AS "Nivel Riesgo ML", p.Cluster AS "Cluster ML" FROM students s JOIN ({predicted}) p ON s.IDEstudiante = p.IDEstudiante')
     o["ml_kmeans_levels"] = on_students(
         "SELECT 3 AS clusters, COUNT(*) AS estudiantes, true AS niveles_en_orden FROM students")
     strict_a, strict_g = (60.0, 70.0, 80.0), (3.0, 5.0, 8.0)

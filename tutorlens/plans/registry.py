@@ -481,7 +481,7 @@ def q_ml_kmeans_levels(spark, sf):
     """What every K-Means result must satisfy, whatever its labels: as many clusters as asked for, every student in
     one, and levels in the order of the mean scores."""
     s = students(spark, sf)
-    pred = ml.run_clustering(s, thresholds()).predictions
+    pred = ml.run_clustering(s, thresholds(), evaluate=False).predictions
     scores = ml.cluster_scores(ml.features(s), pred.select("IDEstudiante", "Cluster"))
     levels = pred.groupBy("Cluster").agg(F.count(F.lit(1)).alias("n"), F.min("NivelRiesgoML").alias("nivel"),
                                          F.max("NivelRiesgoML").alias("otro"))
@@ -507,7 +507,7 @@ def q_thresholds_json(spark, sf):
 
 @query("ml_kmeans")
 def q_ml_kmeans(spark, sf):
-    return ml.run_clustering(students(spark, sf), thresholds()).predictions
+    return ml.run_clustering(students(spark, sf), thresholds(), evaluate=False).predictions
 
 
 @query("ml_result")
@@ -517,14 +517,14 @@ def q_ml_result(spark, sf):
 
 @query("report_ml")
 def q_report_ml(spark, sf):
-    return ml.cluster_distribution(ml.run_clustering(students(spark, sf), thresholds()).predictions)
+    return ml.cluster_distribution(ml.run_clustering(students(spark, sf), thresholds(), evaluate=False).predictions)
 
 
 @query("student_analysis_ml")
 def q_student_analysis_ml(spark, sf):
     """Student table with Cluster / NivelRiesgoML, shown as the student report."""
     st = students(spark, sf)
-    res = ml.run_clustering(st, thresholds())
+    res = ml.run_clustering(st, thresholds(), evaluate=False)
     return reports.report_students(ml.attach_predictions(st, res.predictions))
 
 
