@@ -62,9 +62,9 @@ def check_tables(att_raw, gr_raw, att, gr) -> dict:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> dict[str, str]:
     args = parse_args(argv)
-    th = load_thresholds(args.umbrales, args.umbrales_file)
-    validate_thresholds(th)
     spark = spark or get_spark()
+    th = load_thresholds(args.umbrales, args.umbrales_file, spark)
+    validate_thresholds(th)
     att_raw, gr_raw = read_csv_robust(spark, args.asistencia), read_csv_robust(spark, args.calificaciones)
     if args.curso:
         _check_course(att_raw, "asistencia", args.curso)

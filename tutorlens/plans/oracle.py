@@ -621,6 +621,25 @@ FROM (SELECT IDEstudiante,
 
     # -- files in and out --------------------------------------------------------
     o["csv_dialect_profile"] = "SELECT ';' AS delimitador, 'ISO-8859-1' AS encoding, COUNT(*) AS lineas FROM events"
+    o["csv_quoted_fields"] = """
+SELECT CAST(event_id AS VARCHAR) AS id, 'dijo "' || coalesce(event_type, 'nada') || '"' ||
+       CASE WHEN event_id % 3 = 0 THEN chr(10) || chr(10) || 'alumno; ' || CAST(user_id AS VARCHAR) || ', fin' ELSE '' END AS Observaciones,
+       CAST(user_id AS VARCHAR) AS alumno FROM events"""
+    o["require_columns"] = """
+SELECT carpeta, columna, columna <> 'Peso' AS obligatoria, usada IS NOT NULL AS presente, usada
+FROM (VALUES ('click', 'IDEstudiante', 'IDEstudiante'), ('click', 'CursoID', 'curso'), ('click', 'Nota', 'nota'), ('click', 'Peso', NULL),
+             ('error', 'IDEstudiante', 'id_estudiante'), ('error', 'CursoID', NULL), ('error', 'Nota', NULL), ('error', 'Peso', NULL),
+             ('otros', 'IDEstudiante', 'EstudianteID'), ('otros', 'CursoID', NULL), ('otros', 'Nota', 'Calificacion'),
+             ('otros', 'Peso', 'Ponderacion')) t(carpeta, columna, usada)
+WHERE carpeta IN (SELECT CASE WHEN event_type IN ('click', 'error') THEN event_type ELSE 'otros' END FROM events)"""
+    o["thresholds_validate"] = """
+SELECT nombre, r AS asistencia_riesgo, a AS nota_aprobado, len(v)::INTEGER AS reglas,
+       array_to_string(list_transform(v, lambda x: 'umbral no válido: se exige ' || x), ' | ') AS violaciones
+FROM (SELECT *, list_filter([CASE WHEN NOT r < 85 THEN 'asistencia_riesgo < asistencia_alerta' END, CASE WHEN NOT 0 <= r THEN '0 <= asistencia_riesgo' END,
+        CASE WHEN NOT r <= 100 THEN 'asistencia_riesgo <= 100' END, CASE WHEN NOT a <= 10 THEN 'nota_aprobado <= 10' END,
+        CASE WHEN NOT 2 <= k THEN '2 <= ml_n_clusters' END], lambda x: x IS NOT NULL) AS v
+  FROM (SELECT 'conjunto ' || CAST(s_suppkey AS VARCHAR) AS nombre, CAST(s_suppkey % 120 - 10 AS DOUBLE) AS r,
+               CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey % 13 AS DOUBLE) ELSE 5.0::DOUBLE END AS a, s_suppkey % 4 AS k FROM supplier))"""
     o["read_csv_robust"] = with_(ATT_TEXT, ATT_PARSED, ATT_LOADED, body=(
         "SELECT IDEstudiante, CursoID, Fecha, Presente, Retraso, FaltaJustificada FROM att_loaded"))
     o["stream_ingest_attendance"] = with_(ATT_TEXT, ATT_PARSED, ATT_LOADED, body=am_sql("att_loaded"))

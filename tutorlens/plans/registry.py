@@ -626,3 +626,48 @@ def q_stream_ingest_attendance(spark, sf):
     table = scratch_path(spark, "asistencia-curada")
     start_attendance_ingest(spark, src, table).awaitTermination()
     return metrics.attendance_metrics(clean.clean_attendance(read_curated_attendance(spark, table)))
+
+
+@query("csv_quoted_fields")
+def q_csv_quoted_fields(spark, sf):
+    """Files whose quoted fields hold line breaks, delimiters and doubled quotes, written and read back."""
+    from ..session import scratch_path
+    from ..sources.csv import read_csv_robust
+    path = scratch_path(spark, "observaciones-csv")
+    note = F.concat(F.lit('dijo "'), F.coalesce("event_type", F.lit("nada")), F.lit('"'))
+    told = F.when(F.col("event_id") % 3 == 0, F.concat(note, F.lit("\n\nalumno; "), F.col("user_id").cast("string"), F.lit(", fin"))).otherwise(note)
+    spark.read.parquet(f"{sf.rstrip('/')}/events.parquet").select(
+        F.col("event_id").cast("string").alias("id"), told.alias("Observaciones"), F.col("user_id").cast("string").alias("alumno")).write.option(
+        "header", True).option("sep", ";").option("escape", '"').csv(path)
+    return read_csv_robust(spark, path).drop("_rid")
+
+
+@query("require_columns")
+def q_require_columns(spark, sf):
+    """Files with drifted headers (a folder for each kind of event): which required grade columns their files lack."""
+    from ..session import scratch_path
+    from ..sources.csv import layout_catalogue
+    base = scratch_path(spark, "cabeceras-csv")
+    events = spark.read.parquet(f"{sf.rstrip('/')}/events.parquet")
+    headers = {"click": ["IDEstudiante", "nota", "curso"], "error": ["id_estudiante", "Fecha"], "otros": ["EstudianteID", "Calificacion", "Ponderacion"]}
+    for kind, names in headers.items():
+        own = events.where(F.col("event_type") == kind) if kind != "otros" else events.where("coalesce(event_type, '') not in ('click', 'error')")
+        own.select(*[F.col(c).cast("string").alias(n) for n, c in zip(names, ("user_id", "event_id", "user_id"))]).coalesce(1).write.option(
+            "header", True).csv(f"{base}/{kind}")
+    rows = layout_catalogue(spark, [f"{base}/{k}" for k in headers], ["IDEstudiante", "CursoID", "Nota"], ["Peso"])
+    return rows.select(F.regexp_extract("archivo", "/([a-z]+)/[^/]*$", 1).alias("carpeta"), "columna", "obligatoria", "presente", "usada")
+
+
+@query("thresholds_validate")
+def q_thresholds_validate(spark, sf):
+    """Threshold sets (one for each supplier) written as JSON, read back over the defaults, and the rules that they break."""
+    from ..session import scratch_path
+    from ..sources.thresholds import threshold_sets, threshold_violations
+    path = scratch_path(spark, "umbrales-json")
+    key = F.col("s_suppkey").cast("long")
+    spark.read.parquet(f"{sf.rstrip('/')}/supplier.parquet").select(
+        F.concat(F.lit("conjunto "), key.cast("string")).alias("nombre"), (key % 120 - 10).cast("double").alias("asistencia_riesgo"),
+        F.when(key % 2 == 0, (key % 13).cast("double")).alias("nota_aprobado"), (key % 4).cast("double").alias("ml_n_clusters")).write.json(path)
+    sets = threshold_violations(threshold_sets(spark, path, one_object_a_file=False))
+    return sets.select("nombre", "asistencia_riesgo", "nota_aprobado", F.size("violaciones").alias("reglas"),
+                       F.array_join("violaciones", " | ").alias("violaciones"))
