@@ -163,16 +163,26 @@ def clean_grades(df: DataFrame) -> DataFrame:
     return dedup_first(filter_grade_range(parse_grades(df)), GRADE_KEYS)
 
 
-def prepare_attendance(df: DataFrame) -> DataFrame:
-    """Required columns -> anonymise -> clean (the attendance load path)."""
-    return clean_attendance(anonymize(require_columns(df, ATTENDANCE_REQUIRED, "Asistencia")))
+def of_course(df: DataFrame, course: str | None) -> DataFrame:
+    """Rows of one course (None: all). The course is part of every de-duplication key and no step changes it, so it is
+    filtered before parsing and de-duplication."""
+    return df if course is None or "CursoID" not in df.columns else df.where(F.col("CursoID") == F.lit(course))
 
 
-def prepare_grades(df: DataFrame) -> DataFrame:
-    """Map columns -> generate id/course/evaluation -> required columns ->
+def prepare_attendance(df: DataFrame, course: str | None = None) -> DataFrame:
+    """Required columns -> one course, if asked for -> anonymise -> clean (the attendance load path)."""
+    return clean_attendance(anonymize(of_course(require_columns(df, ATTENDANCE_REQUIRED, "Asistencia"), course)))
+
+
+def identified_grades(df: DataFrame) -> DataFrame:
+    """Map columns -> generate id/course/evaluation. Generated ids depend on the names of all courses."""
+    return gen_evaluation(gen_course_id(gen_student_id(map_columns(df))))
+
+
+def prepare_grades(df: DataFrame, course: str | None = None) -> DataFrame:
+    """Map columns -> generate id/course/evaluation -> required columns -> one course, if asked for ->
     anonymise -> clean (the grades load path)."""
-    df = gen_evaluation(gen_course_id(gen_student_id(map_columns(df))))
-    return clean_grades(anonymize(require_columns(df, GRADES_REQUIRED, "Calificaciones")))
+    return clean_grades(anonymize(of_course(require_columns(identified_grades(df), GRADES_REQUIRED, "Calificaciones"), course)))
 
 
 # ---------------------------------------------------------------------------

@@ -3,11 +3,11 @@ pipeline never computes. Their exact rules are ours; each docstring states it.""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import COMPETENCIES, DEFAULT_THRESHOLDS, NO_DATA, RISK_LEVELS
-from ..functions.scalars import risk_attendance, risk_combined, risk_grade
+from ..config import COMPETENCIES, DEFAULT_THRESHOLDS, LEVELS_BY_SEVERITY, NO_DATA
+from ..sources.thresholds import threshold_frame
 from .metrics import weighted_mean_2dp
 
 
@@ -78,20 +78,74 @@ def competency_metrics(grades: DataFrame) -> DataFrame:
     return g.select("IDEstudiante", *codes)
 
 
-def threshold_what_if(students: DataFrame, sets: list[dict]) -> DataFrame:
-    """Level distribution under several threshold sets at once: one global
-    aggregate with a conditional count per (set, level), then unpivoted to rows
-    (conjunto, nivel, estudiantes). Trend thresholds do not enter."""
-    has_att = F.col("nivel_riesgo_asistencia") != NO_DATA
-    has_gr = F.col("nivel_riesgo_rendimiento") != NO_DATA
-    aggs, rows = [], []
-    levels = [name for name, *_ in RISK_LEVELS]
-    for i, th in enumerate(sets):
-        a = F.when(has_att, risk_attendance("asist_porcentaje_asistencia", th)).otherwise(F.lit(NO_DATA))
-        g = F.when(has_gr, risk_grade("rend_nota_media", th)).otherwise(F.lit(NO_DATA))
-        final = risk_combined(a, g)
-        for j, lv in enumerate(levels):
-            aggs.append(F.count_if(final == F.lit(lv)).alias(f"_c{i}_{j}"))
-            rows.append(F.struct(F.lit(i).alias("conjunto"), F.lit(lv).alias("nivel"),
-                                 F.col(f"_c{i}_{j}").alias("estudiantes")))
-    return students.agg(*aggs).select(F.inline(F.array(*rows)))
+# Grid of the what-if count table: places of a hundredth, from the best value down
+PCT_TOP, NOTA_TOP = 100 * 100, 10 * 100
+PCT_LEVELS, NOTA_LEVELS = (PCT_TOP + 4).bit_length(), (NOTA_TOP + 4).bit_length()
+NODE = 1 << max(PCT_LEVELS, NOTA_LEVELS)
+
+
+def _hundredth(value: Column, top: int) -> Column:
+    return F.least(F.greatest(F.rint(value * F.lit(100.0)), F.lit(-1.0)), F.lit(top + 1.0))
+
+
+def _place(value: Column, top: int) -> Column:
+    """Place of a value, 0 for none (which passes every limit), then from the highest value to the lowest."""
+    return F.when(value.isNull(), 0).otherwise(F.lit(top + 2) - _hundredth(value, top).cast("int"))
+
+
+def _passing(limit: Column, top: int) -> Column:
+    """How many places, counted from 0, are not below a limit (null: all). A limit may lie between two hundredths."""
+    near = _hundredth(limit, top)
+    return F.when(limit.isNull(), top + 4).otherwise(
+        F.lit(top + 3) - near.cast("int") - (near / F.lit(100.0) < limit).cast("int"))
+
+
+def _nodes_over(place: str, levels: int) -> Column:
+    """Dyadic blocks that hold a place and that some prefix uses (those of even number at each level)."""
+    return F.expr(f"transform(filter(sequence(0, {levels - 1}), l -> shiftright({place}, l) % 2 = 0), "
+                  f"l -> l * {NODE} + shiftright({place}, l))")
+
+
+def _nodes_of_prefix(length: str, levels: int) -> Column:
+    """The disjoint dyadic blocks, one for each bit of ``length``, that make up the places before it."""
+    return F.expr(f"transform(filter(sequence(0, {levels - 1}), l -> shiftright({length}, l) % 2 = 1), "
+                  f"l -> l * {NODE} + shiftright({length}, l) - 1)")
+
+
+def what_if_counts(students: DataFrame) -> DataFrame:
+    """(na, ng, n): students by dyadic block of attendance place and of mark place. Its size is bounded by the grid of
+    hundredths (0..100 % by 0..10), whatever the number of students; any number of threshold sets is answered from it."""
+    pct = F.when(F.col("nivel_riesgo_asistencia") != NO_DATA, F.col("asist_porcentaje_asistencia"))
+    nota = F.when(F.col("nivel_riesgo_rendimiento") != NO_DATA, F.col("rend_nota_media"))
+    cells = (students.select(_place(pct, PCT_TOP).alias("pa"), _place(nota, NOTA_TOP).alias("pg"))
+             .groupBy("pa", "pg").agg(F.count(F.lit(1)).alias("n")))
+    return (cells.select(F.explode(_nodes_over("pa", PCT_LEVELS)).alias("na"), "pg", "n")
+            .select("na", F.explode(_nodes_over("pg", NOTA_LEVELS)).alias("ng"), "n")
+            .groupBy("na", "ng").agg(F.sum("n").alias("n")))
+
+
+def threshold_what_if(students: DataFrame, sets: list[dict] | DataFrame) -> DataFrame:
+    """Level distribution under any number of threshold sets: rows (conjunto, nivel, estudiantes), also of 0 students.
+
+    ``sets``: dicts (conjunto = position), or a table with a unique ``conjunto`` and the thresholds as columns. Students are
+    read once, into the count table of ``what_if_counts``. A level no worse than s means that both values pass all limits of
+    the levels worse than s: a count over a prefix of both axes, that is a sum over at most 14 x 10 blocks, found by an
+    equi-join. The trend's thresholds do not enter. Values have two decimals (as the student table has them); what lies outside
+    0..100 % or 0..10 stands at the edge of the grid."""
+    if not isinstance(sets, DataFrame):
+        sets = threshold_frame(students.sparkSession, sets)
+    limits = [("asistencia_riesgo", "nota_riesgo"), ("asistencia_alerta", "nota_alerta"), ("asistencia_optima", "nota_excelente")]
+    corners = []
+    for severity in range(len(LEVELS_BY_SEVERITY)):
+        worse = limits[:len(limits) - severity]
+        pa = F.least(F.lit(PCT_TOP + 4), *[_passing(F.col(a), PCT_TOP) for a, _ in worse]) if worse else F.lit(PCT_TOP + 4)
+        pg = F.least(F.lit(NOTA_TOP + 4), *[_passing(F.col(g), NOTA_TOP) for _, g in worse]) if worse else F.lit(NOTA_TOP + 4)
+        corners.append(F.struct(F.lit(severity).alias("s"), pa.alias("pa"), pg.alias("pg")))
+    asked = (sets.select("conjunto", F.inline(F.array(*corners)))
+             .select("conjunto", "s", "pg", F.explode(_nodes_of_prefix("pa", PCT_LEVELS)).alias("na"))
+             .select("conjunto", "s", "na", F.explode(_nodes_of_prefix("pg", NOTA_LEVELS)).alias("ng")))
+    upto = asked.join(what_if_counts(students), ["na", "ng"], "left").groupBy("conjunto").agg(*[
+        F.coalesce(F.sum(F.when(F.col("s") == s, F.col("n"))), F.lit(0)).alias(f"_{s}") for s in range(len(LEVELS_BY_SEVERITY))])
+    return upto.select("conjunto", F.inline(F.array(*[
+        F.struct(F.lit(level).alias("nivel"), (F.col(f"_{s}") - (F.col(f"_{s - 1}") if s else F.lit(0))).cast("long").alias("estudiantes"))
+        for s, level in enumerate(LEVELS_BY_SEVERITY)])))

@@ -476,6 +476,7 @@ SELECT Competencia, {comp_case} AS competencia_nombre, COUNT(*) AS evaluaciones
                                ("att", "SELECT * FROM att0 WHERE CursoID = 'C1'"),
                                ("gr", "SELECT * FROM gr0 WHERE CursoID = 'C1'"),
                                body=students_sql("att", "gr"))
+    o["filter_course_curated"] = o["filter_course"]
     o["filter_risk_level"] = on_students("SELECT * FROM students WHERE nivel_riesgo_final = 'ALTO'")
 
     # -- aggregates and reports ----------------------------------------------
@@ -649,6 +650,8 @@ FROM (SELECT *, list_filter([CASE WHEN NOT r < 85 THEN 'asistencia_riesgo < asis
             ("distribucion", "report_summary"), ("en_riesgo", "report_at_risk"),
             ("recomendaciones", "report_recommendations"), ("listado", "report_students")))
 
+    o["report_set"] = o["write_report_tables"]
+
     # -- extras ----------------------------------------------------------------
     o["feature_ratios"] = on_students("""
 SELECT IDEstudiante,
@@ -684,6 +687,21 @@ SELECT IDEstudiante, rend_n_evaluaciones >= 3 AS evaluaciones_suficientes,
 SELECT s.conjunto, lv.nivel, COUNT(x.nivel) AS estudiantes
 FROM (VALUES (0), (1), (2)) s(conjunto) CROSS JOIN (VALUES ('ALTO'), ('MEDIO'), ('ALERTA'), ('OPTIMO')) lv(nivel)
 LEFT JOIN ({' UNION ALL '.join(parts)}) x ON x.conjunto = s.conjunto AND x.nivel = lv.nivel
+GROUP BY s.conjunto, lv.nivel""")
+    a, g = [f"CASE WHEN {level} = 'SIN_DATOS' THEN 'SIN_DATOS' WHEN {v} < t.{r} THEN 'ALTO' WHEN {v} < t.{al} THEN 'MEDIO' "
+            f"WHEN {v} < t.{best} THEN 'ALERTA' ELSE 'OPTIMO' END" for level, v, r, al, best in (
+                ("nivel_riesgo_asistencia", "asist_porcentaje_asistencia", "ar", "aa", "ao"),
+                ("nivel_riesgo_rendimiento", "rend_nota_media", "nr", "na", "ne"))]
+    k = "CAST(p_partkey AS BIGINT)"
+    o["threshold_what_if_many"] = on_students(f"""
+SELECT s.conjunto, lv.nivel, COUNT(x.nivel) AS estudiantes
+FROM (SELECT {k} AS conjunto FROM part) s CROSS JOIN (VALUES ('ALTO'), ('MEDIO'), ('ALERTA'), ('OPTIMO')) lv(nivel)
+LEFT JOIN (
+  SELECT conjunto, {combined('la', 'lg')} AS nivel FROM (SELECT t.conjunto, {a} AS la, {g} AS lg FROM students CROSS JOIN (
+    SELECT {k} AS conjunto, CAST({k} * 37 % 1100 AS DOUBLE) / 10.0{D} - 5.0{D} AS ar, CAST({k} * 53 % 10007 AS DOUBLE) / 100.0{D} AS aa,
+           CAST({k} * 71 % 100003 AS DOUBLE) / 1000.0{D} AS ao, CAST({k} * 17 % 130 AS DOUBLE) / 10.0{D} - 1.0{D} AS nr,
+           CAST({k} * 29 % 1009 AS DOUBLE) / 100.0{D} AS na, CAST({k} * 41 % 10009 AS DOUBLE) / 1000.0{D} AS ne FROM part) t)) x
+  ON x.conjunto = s.conjunto AND x.nivel = lv.nivel
 GROUP BY s.conjunto, lv.nivel""")
     return o
 

@@ -390,6 +390,20 @@ def q_filter_course(spark, sf):
     return analyze(att(spark, sf), gr(spark, sf), course="C1").students
 
 
+@query("filter_course_curated")
+def q_filter_course_curated(spark, sf):
+    """Cleaned tables kept by course; the analysis of one course reads that course's folders only."""
+    from ..session import scratch_path
+    from ..sources.sinks import read_course, write_by_course
+    from .analysis import analyze
+    kept = []
+    for name, df in (("asistencia", att(spark, sf)), ("calificaciones", gr(spark, sf))):
+        path = scratch_path(spark, f"{name}-por-curso")
+        write_by_course(df, path)
+        kept.append(read_course(spark, path, df.schema, "C1"))
+    return analyze(*kept).students
+
+
 @query("filter_risk_level")
 def q_filter_risk_level(spark, sf):
     return reports.students_at_level(students(spark, sf), "ALTO")
@@ -579,6 +593,16 @@ def q_threshold_what_if(spark, sf):
     return extras.threshold_what_if(students(spark, sf), WHAT_IF_SETS)
 
 
+@query("threshold_what_if_many")
+def q_threshold_what_if_many(spark, sf):
+    """Level counts under one threshold set for each part: limits between hundredths, in any order, also outside the scale."""
+    k = F.col("p_partkey").cast("long")
+    sets = td.table(spark, sf, "part").select(
+        k.alias("conjunto"), ((k * 37 % 1100).cast("double") / 10.0 - 5.0).alias("asistencia_riesgo"),
+        ((k * 53 % 10007).cast("double") / 100.0).alias("asistencia_alerta"),
+        ((k * 71 % 100003).cast("double") / 1000.0).alias("asistencia_optima"), ((k * 17 % 130).cast("double") / 10.0 - 1.0).alias("nota_riesgo"),
+        ((k * 29 % 1009).cast("double") / 100.0).alias("nota_alerta"), ((k * 41 % 10009).cast("double") / 1000.0).alias("nota_excelente"))
+    return extras.threshold_what_if(students(spark, sf), sets)
 
 
 # ---------------------------------------------------------------------------
@@ -617,6 +641,19 @@ def q_write_report_tables(spark, sf):
     return written_row_counts(spark, paths)
 
 
+@query("report_set")
+def q_report_set(spark, sf):
+    """Two report sets written one after the other; readers find the tables of the newer one through its manifest."""
+    from ..session import scratch_path
+    from ..sources.sinks import current_report_set, write_report_set, written_row_counts
+    base = scratch_path(spark, "conjuntos")
+    st = students(spark, sf)
+    write_report_set(spark, st.where(F.col("CursoID") == "C1"), base)
+    write_report_set(spark, st, base)
+    paths, fmt = current_report_set(spark, base)
+    return written_row_counts(spark, paths, fmt)
+
+
 @query("stream_ingest_attendance")
 def q_stream_ingest_attendance(spark, sf):
     """CSV files -> Structured Streaming ingest -> curated table -> attendance metrics."""
