@@ -189,33 +189,41 @@ def prepare_grades(df: DataFrame, course: str | None = None) -> DataFrame:
 # quality counters, statistics, set operations
 # ---------------------------------------------------------------------------
 
-def attendance_quality(raw: DataFrame) -> DataFrame:
-    """One row: rows read, rows kept, duplicates removed (one shuffle)."""
-    parsed = parse_attendance(raw)
-    keys = [k for k in ATTENDANCE_KEYS if k in parsed.columns]
-    per_key = parsed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return per_key.agg(F.sum("_n").cast("long").alias("registros_leidos"),
-                       F.count(F.lit(1)).cast("long").alias("registros_finales")) \
-        .withColumn("duplicados_eliminados", F.col("registros_leidos") - F.col("registros_finales"))
-
-
-def grade_quality(raw: DataFrame) -> DataFrame:
+def attendance_quality(raw: DataFrame, cleaned: DataFrame | None = None) -> DataFrame:
+    """One row: rows read, rows kept, duplicates removed. With the ``cleaned`` table (written before) both are plain counts,
+    without a shuffle by key; without it the keys are grouped (one shuffle)."""
+    if cleaned is not None:
+        counts = raw.agg(F.count(F.lit(1)).alias("registros_leidos")).crossJoin(   # two tables of one row
+            cleaned.agg(F.count(F.lit(1)).alias("registros_finales")))
+    else:
+        parsed = parse_attendance(raw)
+        keys = [k for k in ATTENDANCE_KEYS if k in parsed.columns]
+        per_key = parsed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        counts = per_key.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("registros_leidos"),
+                             F.count(F.lit(1)).cast("long").alias("registros_finales"))
+    return counts.withColumn("duplicados_eliminados", F.col("registros_leidos") - F.col("registros_finales"))
+
+
+def grade_quality(raw: DataFrame, cleaned: DataFrame | None = None) -> DataFrame:
     """One row: rows read, unparseable/missing marks, marks outside 0..10,
-    duplicates removed, rows kept. Missing and out-of-range are counted apart."""
-    parsed = parse_grades(raw)
-    keys = [k for k in GRADE_KEYS if k in parsed.columns]
+    duplicates removed, rows kept. Missing and out-of-range are counted apart.
+    With the ``cleaned`` table (written before) no keys are needed: ``raw`` may lack generated ids, and its marks alone are
+    read and counted without a shuffle by key; without it the keys are grouped (one shuffle)."""
     ok = grade_in_range("Nota")
-    per_key = parsed.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.count_if(F.col("Nota").isNull()).alias("_null"),
-        F.count_if(F.col("Nota").isNotNull() & ~ok).alias("_out"),
-        F.count_if(ok).alias("_ok"))
-    return per_key.agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("registros_leidos"),
-        F.coalesce(F.sum("_null"), F.lit(0)).cast("long").alias("sin_nota"),
-        F.coalesce(F.sum("_out"), F.lit(0)).cast("long").alias("fuera_de_rango"),
-        (F.coalesce(F.sum("_ok"), F.lit(0)) - F.count_if(F.col("_ok") > 0)).cast("long").alias("duplicados_eliminados"),
-        F.count_if(F.col("_ok") > 0).cast("long").alias("registros_finales"))
+    counted = [F.count(F.lit(1)).alias("_n"), F.count_if(F.col("Nota").isNull()).alias("_null"),
+               F.count_if(F.col("Nota").isNotNull() & ~ok).alias("_out"), F.count_if(ok).alias("_ok")]
+    if cleaned is not None:
+        marks = raw.select(parse_grade("Nota", _dtype(raw, "Nota")).alias("Nota"))
+        totals = marks.agg(*counted).crossJoin(cleaned.agg(F.count(F.lit(1)).alias("_kept")))   # two tables of one row
+    else:
+        parsed = parse_grades(raw)
+        keys = [k for k in GRADE_KEYS if k in parsed.columns]
+        totals = parsed.groupBy(*keys).agg(*counted).agg(
+            *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("_n", "_null", "_out", "_ok")], F.count_if(F.col("_ok") > 0).alias("_kept"))
+    return totals.select(F.col("_n").cast("long").alias("registros_leidos"), F.col("_null").cast("long").alias("sin_nota"),
+                         F.col("_out").cast("long").alias("fuera_de_rango"),
+                         (F.col("_ok") - F.col("_kept")).cast("long").alias("duplicados_eliminados"),
+                         F.col("_kept").cast("long").alias("registros_finales"))
 
 
 def attendance_stats(att: DataFrame) -> DataFrame:

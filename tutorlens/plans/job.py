@@ -22,8 +22,8 @@ if __package__ in (None, ""):
 from pyspark.sql import SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from tutorlens.operators.clean import (attendance_quality, attendance_stats, cross_validate, grade_quality,  # noqa: E402
-                                       grade_stats, identified_grades, map_columns, of_course, prepare_attendance,
+from tutorlens.operators.clean import (attendance_quality, attendance_stats, cross_validate, gen_course_id,  # noqa: E402
+                                       grade_quality, grade_stats, map_columns, of_course, prepare_attendance,
                                        prepare_grades)
 from tutorlens.operators.ml import attach_predictions, run_clustering  # noqa: E402
 from tutorlens.plans.analysis import analyze  # noqa: E402
@@ -57,11 +57,12 @@ def _check_course(raw, name: str, course: str) -> None:
 
 
 def check_tables(att_raw, gr_raw, att, gr, course: str | None = None) -> dict:
-    """Validation, quality counters and load statistics of both inputs (of one course, if asked for), one table each."""
-    return {"validacion": cross_validate(att, gr), "calidad_asistencia": attendance_quality(of_course(att_raw, course)),
-            "calidad_calificaciones": grade_quality(of_course(identified_grades(gr_raw), course)),
-            "carga_asistencia": attendance_stats(att),
-            "carga_calificaciones": grade_stats(gr)}
+    """Validation, quality counters and load statistics of both inputs (of one course, if asked for), one table each.
+    ``att`` and ``gr`` are the written cleaned tables."""
+    marks = of_course(gen_course_id(map_columns(gr_raw)), course)
+    return {"validacion": cross_validate(att, gr), "calidad_asistencia": attendance_quality(of_course(att_raw, course), att),
+            "calidad_calificaciones": grade_quality(marks, gr),
+            "carga_asistencia": attendance_stats(att), "carga_calificaciones": grade_stats(gr)}
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> dict[str, str]:

@@ -518,6 +518,10 @@ FROM ({gm_sql('gr')})""")
     o["distinct_counts"] = with_(GR_RAW, GR, body="""
 SELECT COUNT(DISTINCT IDEstudiante) AS estudiantes, COUNT(DISTINCT CursoID) AS cursos,
        COUNT(DISTINCT Evaluacion) AS evaluaciones FROM gr""")
+    o["distinct_counts_sketch"] = with_(ATT_RAW, ATT, GR_RAW, GR, body=" UNION ALL ".join(
+        f"SELECT {q(side)} AS tabla, COUNT(*) AS registros, {q(name)} AS medida, COUNT(DISTINCT {c}) AS exacto, TRUE AS dentro FROM {t}"
+        for side, t, cols in (("asistencia", "att", 2), ("calificaciones", "gr", 3))
+        for c, name in (("IDEstudiante", "estudiantes_unicos"), ("CursoID", "cursos_unicos"), ("Evaluacion", "evaluaciones_unicas"))[:cols]))
     labels = {"IDEstudiante": "ID Estudiante", "nivel_riesgo_final": "Nivel Riesgo",
               "asist_porcentaje_asistencia": "Asistencia %", "asist_faltas": "Faltas", "asist_retrasos": "Retrasos",
               "rend_nota_media": "Nota Media", "rend_n_evaluaciones": "N° Evaluaciones",
@@ -644,6 +648,9 @@ FROM (SELECT *, list_filter([CASE WHEN NOT r < 85 THEN 'asistencia_riesgo < asis
     o["read_csv_robust"] = with_(ATT_TEXT, ATT_PARSED, ATT_LOADED, body=(
         "SELECT IDEstudiante, CursoID, Fecha, Presente, Retraso, FaltaJustificada FROM att_loaded"))
     o["stream_ingest_attendance"] = with_(ATT_TEXT, ATT_PARSED, ATT_LOADED, body=am_sql("att_loaded"))
+    o["stream_running_stats"] = with_(ATT_TEXT, ATT_PARSED, body="""
+SELECT COUNT(*) AS registros, COUNT(DISTINCT CursoID)::INTEGER AS cursos_unicos, MIN(Fecha) AS fecha_min, MAX(Fecha) AS fecha_max
+FROM att_parsed""")
     o["write_report_tables"] = " UNION ALL ".join(
         f"SELECT {q(t)} AS tabla, COUNT(*) AS filas FROM ({o[name]})" for t, name in (
             ("estudiantes", "student_analysis"), ("cursos", "report_courses"), ("resumen", "summary"),

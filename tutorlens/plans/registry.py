@@ -384,6 +384,23 @@ def q_distinct_counts(spark, sf):
                  F.countDistinct("Evaluacion").alias("evaluaciones"))
 
 
+@query("distinct_counts_sketch")
+def q_distinct_counts_sketch(spark, sf):
+    """Sketches by course and day of both sides merged, beside the exact counts: is each estimate within four standard errors?"""
+    from ..operators.sketches import COUNTED, STANDARD_ERROR, merged_stats, partial_stats
+    out = None
+    for side, df in (("asistencia", att(spark, sf)), ("calificaciones", gr(spark, sf))):
+        names = [n for c, n in COUNTED.items() if c in df.columns]
+        near = merged_stats(partial_stats(df, ["CursoID", "Fecha"]))
+        exact = df.agg(*[F.countDistinct(c).alias(f"_{n}") for c, n in COUNTED.items() if c in df.columns])
+        rows = near.crossJoin(exact).select(F.lit(side).alias("tabla"), "registros", F.inline(F.array(*[   # two tables of one row
+            F.struct(F.lit(n).alias("medida"), F.col(f"_{n}").alias("exacto"),
+                     (F.abs(F.col(n) - F.col(f"_{n}")) <= F.greatest(F.lit(1.0), 4 * STANDARD_ERROR * F.col(f"_{n}"))).alias("dentro"))
+            for n in names])))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("filter_course")
 def q_filter_course(spark, sf):
     from .analysis import analyze
@@ -665,6 +682,16 @@ def q_stream_ingest_attendance(spark, sf):
     return metrics.attendance_metrics(clean.clean_attendance(read_curated_attendance(spark, table)))
 
 
+@query("stream_running_stats")
+def q_stream_running_stats(spark, sf):
+    """CSV files taken in batch by batch; the statistics so far come from the batches' sketches alone."""
+    from ..session import scratch_path
+    from ..streaming.ingest import running_stats, start_attendance_ingest
+    src, stats = _attendance_csv(spark, sf, sep=",", encoding="UTF-8"), scratch_path(spark, "asistencia-estadisticas")
+    start_attendance_ingest(spark, src, scratch_path(spark, "asistencia-lotes"), max_files_per_trigger=2, stats_dir=stats).awaitTermination()
+    return running_stats(spark, stats).select("registros", F.col("cursos_unicos").cast("int").alias("cursos_unicos"), "fecha_min", "fecha_max")
+
+
 @query("csv_quoted_fields")
 def q_csv_quoted_fields(spark, sf):
     """Files whose quoted fields hold line breaks, delimiters and doubled quotes, written and read back."""

@@ -101,27 +101,46 @@ def joined_records(lines: DataFrame) -> DataFrame:
         "archivo", "_record.bloque", "_record.fila", "value", *rest)
 
 
+def bare(value: Column) -> Column:
+    """A line without its quoted parts."""
+    return F.when(F.contains(value, F.lit('"')), F.regexp_replace(value, '"[^"]*"', "")).otherwise(value)
+
+
+def delimiter_counts(value: Column) -> Column:
+    """How often each of ``CSV_DELIMITERS`` stands in a line, outside double quotes."""
+    text = bare(value)
+    return F.array(*[F.length(text) - F.length(F.replace(text, F.lit(d), F.lit(""))) for d in CSV_DELIMITERS])
+
+
 def layouts(lines: DataFrame) -> DataFrame:
     """One row per file: archivo, cabecera (its first line), inicio (that line's place), delimitador, encoding, lineas
     (data lines), abiertas (some line leaves a quote open).
 
-    The delimiter is the one of ``, ; TAB |`` that the header line holds most often outside double quotes (the
-    first of equals; none: ','). Encoding is UTF-8 when every line is valid UTF-8, else ISO-8859-1 (which reads
-    any byte sequence)."""
+    The delimiter is the one of ``, ; TAB |`` on which most lines agree: that stand in most lines equally often, at least once,
+    outside double quotes. Equal agreement: the one that the header line holds most often, then the first (none: ','). Lines
+    meet in a histogram of counts by file and delimiter, so a file of any size is reduced by partial aggregates.
+    Encoding is UTF-8 when every line is valid UTF-8, else ISO-8859-1 (which reads any byte sequence)."""
     place = F.struct("bloque", "fila")
     any_sep = F.lit("[" + "".join(map(re.escape, CSV_DELIMITERS)) + "]")
-    files = not_blank(lines).groupBy("archivo").agg(
-        F.min_by("value", place).alias("cabecera"), F.min(place).alias("inicio"),
-        (F.count(F.lit(1)) - 1).alias("lineas"), F.bool_and(F.is_valid_utf8("value")).alias("_utf8"),
-        F.bool_or(left_open(F.col("value"), any_sep)).alias("abiertas"))
-    bare = F.regexp_replace("cabecera", '"[^"]*"', "")
-    counts = F.array(*[F.struct((F.size(F.split(bare, re.escape(d), -1)) - 1).alias("n"), F.lit(-i).alias("i"), F.lit(d).alias("d"))
-                       for i, d in enumerate(CSV_DELIMITERS)])
-    best = F.array_max(counts)
+    same = not_blank(lines).groupBy("archivo", delimiter_counts(F.col("value")).alias("veces")).agg(
+        F.min_by("value", place).alias("cabecera"), F.min(place).alias("inicio"), F.count(F.lit(1)).alias("n"),
+        F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(left_open(F.col("value"), any_sep)).alias("abiertas"))
+
+    def merged(*more: Column) -> list[Column]:
+        return [F.min_by("cabecera", "inicio").alias("cabecera"), F.min("inicio").alias("inicio"),
+                F.bool_and("utf8").alias("utf8"), F.bool_or("abiertas").alias("abiertas"), *more]
+
+    counts = same.select("*", F.posexplode("veces").alias("i", "v")).groupBy("archivo", "i", "v").agg(*merged(F.sum("n").alias("n")))
+    agreed = F.max(F.when(F.col("v") > 0, F.col("n")))
+    of_header = F.element_at(delimiter_counts(F.col("cabecera")), F.col("i") + 1)
+    files = (counts.groupBy("archivo", "i").agg(*merged(agreed.alias("de_acuerdo"), F.sum("n").alias("n")))
+             .withColumn("rango", F.when(F.col("de_acuerdo").isNotNull(), F.struct("de_acuerdo", of_header, -F.col("i"))))
+             .groupBy("archivo").agg(*merged(F.max_by("i", "rango").alias("i"), F.max("rango").alias("rango"), F.first("n").alias("n"))))
     return files.select(
         "archivo", "cabecera", "inicio",
-        F.when(best["n"] > 0, best["d"]).otherwise(F.lit(DEFAULT_DIALECT[0])).alias("delimitador"),
-        F.when(F.col("_utf8"), F.lit("UTF-8")).otherwise(F.lit("ISO-8859-1")).alias("encoding"), "lineas", "abiertas")
+        F.when(F.col("rango").isNotNull(), F.element_at(F.array(*map(F.lit, CSV_DELIMITERS)), F.col("i") + 1))
+        .otherwise(F.lit(DEFAULT_DIALECT[0])).alias("delimitador"),
+        F.when(F.col("utf8"), F.lit("UTF-8")).otherwise(F.lit("ISO-8859-1")).alias("encoding"), (F.col("n") - 1).alias("lineas"), "abiertas")
 
 
 def csv_dialect_profile(spark: SparkSession, path: str | list[str]) -> DataFrame:
