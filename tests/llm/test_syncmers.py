@@ -118,7 +118,15 @@ def test_whole_fingerprints_find_a_short_common_passage(spark):
         assert {(p, a) for p, a in got[d]["edited_anchors"]} == set(plain_anchors(edited).items())
         assert got[d]["near_edited"] == (len(own & changed) / len(own | changed) if own | changed else 1.0)
         assert got[d]["near_next"] == (len(own & other) / len(own | other) if own | other else 1.0)
-        assert got[d]["fingerprint"] == sketched[d]["fingerprint"]
+        assert got[d]["fingerprint"] == "".join(f"{x % 2**64:016x}" for x in sorted(own))
+        assert got[d]["edited_fingerprint"] == "".join(f"{x % 2**64:016x}" for x in sorted(changed))
+        assert got[d]["edited_sha256"] == sketched[d]["edited_sha256"]
+        # the likenesses follow from the returned strings alone
+        prints = [{f[i:i + 16] for i in range(0, len(f), 16)} for f in (
+            got[d]["fingerprint"], got[d]["edited_fingerprint"], got[after]["fingerprint"])]
+        for name, print_ in (("near_edited", prints[1]), ("near_next", prints[2])):
+            every = prints[0] | print_
+            assert got[d][name] == (len(prints[0] & print_) / len(every) if every else 1.0)
     assert got[2]["near_next"] > 0
     plan = syncmers.whole_fingerprints(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

@@ -2,11 +2,10 @@
 
 A k-mer of ``K`` consecutive words is a closed syncmer when the smallest hash among its inner strings of
 ``S`` words is the first or the last of them. Whether a k-mer is chosen depends on its own words alone, so
-equal passages give equal anchors wherever they stand. The fingerprint is the ``SKETCH`` smallest distinct
-32-bit hashes of all chosen k-mers of the whole text; the likeness of two fingerprints is the share of the
-``SKETCH`` smallest of their union that both have (the Jaccard index of the anchor sets, exactly so
-while both sets are smaller than the sketch). The query's fingerprint keeps, beside this sketch, every anchor
-with its position, and its likenesses are the Jaccard indexes of the whole anchor sets.
+equal passages give equal anchors wherever they stand. The query's fingerprint is the whole set of the text's
+anchors, sorted as signed numbers, 16 hex digits each; the likeness of two fingerprints is the Jaccard index of these sets. Every anchor
+stands beside it with its position. ``fingerprints`` gives the bounded form: the ``SKETCH`` smallest distinct 32-bit
+hashes of the anchors, whose likeness is the share of the ``SKETCH`` smallest of their union that both have.
 """
 
 from __future__ import annotations
@@ -63,9 +62,9 @@ def placed_anchors(at: Column) -> Column:
         x.isNotNull(), F.struct(i.alias("position"), x.alias("anchor")))))
 
 
-def hex_digits(fingerprint: Column) -> Column:
-    """Eight lower-case hex digits per anchor hash."""
-    return F.concat_ws("", F.transform(fingerprint, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))))
+def hex_digits(fingerprint: Column, digits: int = 8) -> Column:
+    """So many lower-case hex digits per anchor hash."""
+    return F.lower(F.concat_ws("", F.transform(fingerprint, lambda x: F.lpad(F.hex(x), digits, "0"))))
 
 
 def likeness(a: Column, b: Column, sketch: int = SKETCH) -> Column:
@@ -135,9 +134,8 @@ def fingerprinted(docs: DataFrame, k: int, s: int, sketch: int, bucket_rows: int
     return with_fingerprint(df, "edited", "changed", k, s, sketch)
 
 
-def print_columns() -> list[Column]:
-    return [F.col("doc_id"), F.col("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-            hex_digits(F.col("own")).alias("fingerprint"), hex_digits(F.col("changed")).alias("edited_fingerprint")]
+def text_columns() -> list[Column]:
+    return [F.col("doc_id"), F.col("n_chars"), F.sha2("edited", 256).alias("edited_sha256")]
 
 
 def fingerprints(docs: DataFrame, k: int = K, s: int = S, sketch: int = SKETCH, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -148,16 +146,20 @@ def fingerprints(docs: DataFrame, k: int = K, s: int = S, sketch: int = SKETCH,
     own next document. An empty table gives no row; extra columns are ignored.
     """
     df = fingerprinted(docs, k, s, sketch, bucket_rows)
-    return df.select(*print_columns(), likeness(F.col("own"), F.col("changed"), sketch).alias("near_edited"),
+    return df.select(*text_columns(), hex_digits(F.col("own")).alias("fingerprint"),
+                     hex_digits(F.col("changed")).alias("edited_fingerprint"),
+                     likeness(F.col("own"), F.col("changed"), sketch).alias("near_edited"),
                      likeness(F.col("own"), F.col("following"), sketch).alias("near_next"))
 
 
-def whole_fingerprints(docs: DataFrame, k: int = K, s: int = S, sketch: int = SKETCH,
-                       bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """The rows of ``fingerprints`` with near_edited and near_next from the whole sets of 64-bit anchors, and with anchors
+def whole_fingerprints(docs: DataFrame, k: int = K, s: int = S, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The rows of ``fingerprints``, but fingerprint and edited_fingerprint are the whole sorted sets of 64-bit anchors, 16 hex
+    digits each (no words: empty), near_edited and near_next the Jaccard indexes of these sets; further anchors
     and edited_anchors: (position, anchor) of every anchor of the text and of the edited text, by position."""
-    df = fingerprinted(docs, k, s, sketch, bucket_rows)
-    return df.select(*print_columns(), set_likeness(F.col("own_set"), F.col("changed_set")).alias("near_edited"),
+    df = fingerprinted(docs, k, s, SKETCH, bucket_rows)
+    return df.select(*text_columns(), hex_digits(F.sort_array("own_set"), 16).alias("fingerprint"),
+                     hex_digits(F.sort_array("changed_set"), 16).alias("edited_fingerprint"),
+                     set_likeness(F.col("own_set"), F.col("changed_set")).alias("near_edited"),
                      set_likeness(F.col("own_set"), F.col("following_set")).alias("near_next"),
                      placed_anchors(F.col("own_at")).alias("anchors"), placed_anchors(F.col("changed_at")).alias("edited_anchors"))
 
