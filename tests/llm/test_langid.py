@@ -80,7 +80,7 @@ def test_edge_cases(spark):
     assert len(got) == len(rows)
     by = {r[0]: r[1:] for r in got}
     assert by[100] == by[101] == by[102] == ("und", 0.0)
-    assert by[103][0] == by[104][0] == "en" and by[None][0] == "de" and by[103][1] == 1.0
+    assert by[103][0] == by[104][0] == "en" and by[None][0] == "de" and 0.5 < by[103][1] <= 1.0
     empty = docs.where("doc_id > 999")
     assert langid.predict(empty, langid.fit_on_documents(empty)).count() == 0
     unlabelled = langid.predict(docs, langid.fit_on_documents(docs.where("lang is null"))).collect()
@@ -108,3 +108,31 @@ def dict_of(uses):
     for p, x in uses:
         total[p] += x
     return total
+
+
+def test_character_model_is_a_product_over_characters():
+    model = langid.Pieces(PROBS, ["x", "y"], {"▁": .3, "a": .6, "z": .1})
+    for word in ["a", "ab", "babba", "é", "ab" * 40]:
+        want = math.log(.3) + sum(math.log({"a": .6, "b": langid.NEW_CHARACTER, "é": langid.UNKNOWN}[c]) for c in word)
+        assert model.log_probability(word)[2] == pytest.approx(want)
+        assert model.log_probabilities([word])[0].tolist() == pytest.approx(model.log_probability(word))
+        assert model.log_probability(word)[:2] == pytest.approx(langid.Pieces(PROBS, ["x", "y"]).log_probability(word))
+
+
+def test_character_shares(spark):
+    words = spark.createDataFrame([("x", "aab", 2), ("x", "b", 4), ("y", "é", 1)], "lang string, word string, n long")
+    want = {"▁": (6 / 16 + 1 / 2) / 2, "a": 4 / 16 / 2, "b": 6 / 16 / 2, "é": 1 / 4}
+    assert langid.character_shares(words, 2) == pytest.approx(want)
+
+
+def test_texts_of_other_languages_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    other = ["Kielimalli oppii verkon teksteistä, joten toistuvat kappaleet on poistettava ennen koulutusta huolellisesti.",
+             "Mfano wa lugha hujifunza kutokana na maandishi ya mtandao, kwa hiyo ni lazima kuondoa sehemu zinazojirudia.",
+             "Языковая модель учится на текстах из сети, поэтому повторяющиеся части нужно удалять.",
+             "语言模型从网络文本中学习,因此需要删除重复的部分。", "xqzvk wjhgf qqpzx kkjvw zxcvb qwrtp mnbvc lkjhg"]
+    own = ["Large language models are trained on text from the web, and cleaning this data matters a great deal.",
+           "Los modelos de lenguaje se entrenan con textos de la red y la limpieza de estos datos es muy importante."]
+    more = spark.createDataFrame([(10**6 + i, t, None) for i, t in enumerate(own + other)], docs.schema)
+    kept = {r["doc_id"] for r in langid.keep_identified(docs.unionByName(more)).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in docs.select("doc_id").collect()} | {10**6 + i for i in range(len(own))}

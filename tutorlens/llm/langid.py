@@ -9,6 +9,10 @@ and sums expected piece counts; only piece counts (vocabulary x languages at mos
 
 The fit uses a sample of about ``FIT_DOCS`` training documents of each language, chosen by a hash (a documented bound; the
 whole texts of these documents count). Everything else covers all rows.
+
+Beside the languages stands a character model: the same vocabulary with single characters only, each with its mean share
+over the languages' training words, ``NEW_CHARACTER`` for others. It scores a text in the same forward pass. A text that it
+makes far likelier than every language does is not made of the pieces of any of them: its language was not learned.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,7 +38,8 @@ SMOOTHING = 0.05      # weight of the mean over languages in each language's pro
 MAX_MEMO = 600_000    # distinct words whose scores a task holds
 BLOCK_WORDS = 200_000  # words of neighbouring texts that are looked up together
 UNDETERMINED = "und"
-MIN_SCORE = 0.3       # below it no language has a fair share of the text's probability; never with up to three languages
+NEW_CHARACTER = 0.01  # share of a character of the vocabulary that no training word holds, in the character model
+MIN_SCORE = 0.01      # below it (4.6 nats a word) the character model explains a text better than any learned language
 
 MARK = "▁"           # word start in the vocabulary
 MAX_BATCH_WORD = 64    # longer words are scored one by one
@@ -68,18 +73,22 @@ def piece_key(piece: str) -> int:
 
 
 class Pieces:
-    """Probabilities of pieces for K languages, and the forward algorithm over them."""
-
-    def __init__(self, probs: dict[str, tuple[float, ...]], languages: list[str]):
-        self.probs, self.languages = probs, languages
+    """Probabilities of pieces for K languages, and the forward algorithm over them. ``characters`` (share of each
+    character) adds the character model as a last column."""
+
+    def __init__(self, probs: dict[str, tuple[float, ...]], languages: list[str], characters: dict[str, float] | None = None):
+        self.languages, self.characters = languages, characters
+        if characters is not None:
+            probs = {p: (*row, characters.get(p, NEW_CHARACTER) if len(p) == 1 else 0.0) for p, row in probs.items()}
+        self.probs, self.columns = probs, len(languages) + (characters is not None)
         self.longest = max(map(len, probs), default=1)
-        self.unknown = (UNKNOWN,) * len(languages)
+        self.unknown = (UNKNOWN,) * self.columns
         # rows: absent, an uncovered character, then the pieces; keys: the pieces' 64-bit hashes in order, and an end mark
         keys = np.array([piece_key(p) for p in probs] + [(1 << 64) - 1], np.uint64)
         self.key_rows = np.argsort(keys, kind="stable")
         self.keys = keys[self.key_rows]
         self.key_rows = np.where(self.key_rows < len(probs), self.key_rows + 2, 0)
-        self.matrix = np.array([(0.0,) * len(languages), self.unknown, *probs.values()]).reshape(len(probs) + 2, len(languages))
+        self.matrix = np.array([(0.0,) * self.columns, self.unknown, *probs.values()]).reshape(len(probs) + 2, self.columns)
 
     def arcs(self, word: str) -> list[list[tuple[int, str | None]]]:
         """For each end in the marked word: (begin, piece); an uncovered character is an arc of its own."""
@@ -94,9 +103,9 @@ class Pieces:
         return out
 
     def log_probability(self, word: str) -> list[float]:
-        """log P(word) per language, summed over all segmentations."""
+        """log P(word) per column, summed over all segmentations."""
         probs, unknown = self.probs, self.unknown
-        ks = range(len(self.languages))
+        ks = range(self.columns)
         arcs = self.arcs(word)
         alpha: list[list[float] | None] = [[1.0] * len(ks)]
         log = [0.0] * len(ks)
@@ -122,7 +131,7 @@ class Pieces:
 
     def log_probabilities(self, words: list[str]) -> np.ndarray:
         """``log_probability`` of many words: the forward algorithm runs over words of one length in step."""
-        k = len(self.languages)
+        k = self.columns
         out = np.empty((len(words), k))
         groups: dict[int, list[int]] = {}
         for i, w in enumerate(words):
@@ -142,7 +151,7 @@ class Pieces:
         """log P of marked words, all of n characters."""
         w = len(marked)
         code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").reshape(w, n).astype(np.uint64)
-        alpha = np.zeros((n + 1, w, len(self.languages)))
+        alpha = np.zeros((n + 1, w, self.columns))
         alpha[0] = 1
         log = np.zeros(alpha.shape[1:])
         for i in range(n):
@@ -234,7 +243,17 @@ def fit(train: DataFrame, model_path: str, fit_docs: int = FIT_DOCS, rounds: int
     pieces = Pieces({p: (start,) * len(languages) for p in vocab}, languages)
     for _ in range(rounds if languages else 0):
         pieces = reestimate(words, pieces)
-    return pieces
+    return Pieces(pieces.probs, languages, character_shares(words, len(languages))) if languages else pieces
+
+
+def character_shares(words: DataFrame, n_languages: int) -> dict[str, float]:
+    """Mean over the languages of each character's share (word-start marks too) of the training words; one entry for each
+    distinct character reaches the driver."""
+    counts = words.select("lang", "n", F.explode(F.split(F.concat(F.lit(MARK), "word"), "")).alias("c")).groupBy("lang", "c").agg(
+        F.sum("n").alias("n"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("lang"))
+    return {r["c"]: r["x"] for r in counts.select("c", share.alias("x")).groupBy("c").agg(
+        F.round(F.sum("x") / n_languages, 12).alias("x")).collect()}
 
 
 def reestimate(words: DataFrame, pieces: Pieces) -> Pieces:
@@ -268,7 +287,7 @@ class WordScores:
 
     def __init__(self, pieces: Pieces):
         self.pieces, self.memo = pieces, {}
-        self.table = np.empty((0, len(pieces.languages)))
+        self.table = np.empty((0, pieces.columns))
 
     def add(self, total: np.ndarray, held: list[tuple[int, list[str]]]) -> None:
         """Add the scores of (row of total, words) to their rows; new words are scored together."""
@@ -283,17 +302,18 @@ class WordScores:
 
 
 def with_language(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """row (all columns of docs as a struct), lang_pred, score. score: the language's share of the text's probability
-    over all languages (equal priors). A null text, or one without a letter, is ``und`` with score 0."""
+    """row (all columns of docs as a struct), lang_pred, score. score: the predicted language's share of the text's probability
+    a word (geometric mean) over all languages and the character model, so it does not saturate with the length of the
+    text. A null text, or one without a letter, is ``und`` with score 0."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = WordScores(pieces)
         k = len(pieces.languages)
         for batch in batches:
-            total, some = np.zeros((batch.num_rows, k)), np.zeros(batch.num_rows, bool)
+            total, n_words = np.zeros((batch.num_rows, pieces.columns)), np.zeros(batch.num_rows, np.int64)
             held, size = [], 0
             for at, text in enumerate(batch.column(1).to_pylist()):
                 words = words_of(text or "") if k else []
-                some[at] = bool(words)
+                n_words[at] = len(words)
                 for lo in range(0, len(words), BLOCK_WORDS):
                     held.append((at, words[lo:lo + BLOCK_WORDS]))
                     size += len(held[-1][1])
@@ -302,10 +322,10 @@ def with_language(docs: DataFrame, pieces: Pieces) -> DataFrame:
                         held, size = [], 0
             scores.add(total, held)
             pred, score = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows)
-            for at in np.flatnonzero(some).tolist():
-                best = int(total[at].argmax())
+            for at in np.flatnonzero(n_words).tolist():
+                best = int(total[at, :k].argmax())
                 pred[at] = pieces.languages[best]
-                score[at] = 1 / np.exp(np.maximum(total[at] - total[at, best], -700)).sum()
+                score[at] = 1 / np.exp(np.clip((total[at] - total[at, best]) / n_words[at], -700, 700)).sum()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["row", "lang_pred", "score"])
 
