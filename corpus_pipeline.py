@@ -17,8 +17,8 @@ from tutorlens.llm.suffix_dedup import without_passages
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told (no letters, or no language with at least ``langid.MIN_SCORE`` of the
-    probability over all languages, which with up to three languages one always has) go."""
+    """Documents whose language cannot be told (no letters), or whose score stays below ``langid.MIN_SCORE`` because a model
+    of single characters explains them far better than any learned language does, go."""
     return keep_identified(docs)
 
 
