@@ -84,7 +84,7 @@ def gen_evaluation(df: DataFrame) -> DataFrame:
     return df if "Evaluacion" in df.columns else df.withColumn("Evaluacion", F.lit(DEFAULT_EVALUATION))
 
 
-def gen_student_id(df: DataFrame) -> DataFrame:
+def gen_student_id(df: DataFrame, names_of: DataFrame | None = None) -> DataFrame:
     """Without IDEstudiante but with NombreEstudiante: ``EST`` + 4-digit rank of
     the name among the sorted distinct names (wider when there are more than
     9,999 names). A null name gets a null id.
@@ -92,11 +92,12 @@ def gen_student_id(df: DataFrame) -> DataFrame:
     The distinct names are ranked with a distributed sort (``dense_index``), not
     a single-partition window, and joined back on the name; Spark picks the
     join strategy from the measured size of the name table. Only digests of the
-    names are written to the shared folder.
+    names are written to the shared folder. ``names_of``: the table whose names
+    are ranked, when ``df`` holds only some of its rows.
     """
     if "IDEstudiante" in df.columns or "NombreEstudiante" not in df.columns:
         return df
-    names = df.select("NombreEstudiante").where(F.col("NombreEstudiante").isNotNull()).distinct()
+    names = (df if names_of is None else names_of).select("NombreEstudiante").where(F.col("NombreEstudiante").isNotNull()).distinct()
     digest = F.sha2(F.col("NombreEstudiante"), 256)
     ids = (dense_index(names, "NombreEstudiante", "_rank", keep=digest)
            .select(F.col("NombreEstudiante").alias("_name_digest"), format_student_id("_rank", ID_PREFIX).alias("IDEstudiante")))
@@ -107,18 +108,26 @@ def gen_student_id(df: DataFrame) -> DataFrame:
 # de-duplication
 # ---------------------------------------------------------------------------
 
-def dedup_first(df: DataFrame, keys: list[str], order_col: str = RID) -> DataFrame:
+def dedup_first(df: DataFrame, keys: list[str], order_col: str = RID, valid: Column | None = None) -> DataFrame:
     """Keep the first row (lowest ``order_col``) of each key; nulls in a key are
     equal to each other.
 
     Written as ``row_number() == 1``: Spark plans it with a partial
     ``WindowGroupLimit`` before the shuffle, so every map task keeps one row
-    per key and a key with millions of copies never reaches one task whole."""
+    per key and a key with millions of copies never reaches one task whole.
+
+    ``valid`` (true or false): the first of the rows for which it holds is kept. They sort first and the others go behind the
+    window: a filter before it would be pushed through the parsing below and evaluate that anew at every mention."""
     keys = [k for k in keys if k in df.columns]
     if not keys:
-        return df
-    w = Window.partitionBy(*keys).orderBy(F.col(order_col).asc())
-    return df.withColumn("_first_rn", F.row_number().over(w)).where(F.col("_first_rn") == 1).drop("_first_rn")
+        return df if valid is None else df.where(valid)
+    if valid is None:
+        w, first = Window.partitionBy(*keys).orderBy(F.col(order_col).asc()), F.col("_first_rn") == 1
+    else:
+        df = df.withColumn("_valid", valid)
+        w = Window.partitionBy(*keys).orderBy(F.col("_valid").desc(), F.col(order_col).asc())
+        first = (F.col("_first_rn") == 1) & F.col("_valid")
+    return df.withColumn("_first_rn", F.row_number().over(w)).where(first).drop("_first_rn", "_valid")
 
 
 # ---------------------------------------------------------------------------
@@ -138,10 +147,20 @@ def parse_attendance(df: DataFrame) -> DataFrame:
 def parse_grades(df: DataFrame) -> DataFrame:
     """Nota to double (bad text -> null), Competencia normalised, Peso to double
     (bad/absent -> 1.0), Fecha to date."""
+    return parse_grade_details(parse_grade_keys(df))
+
+
+def parse_grade_keys(df: DataFrame) -> DataFrame:
+    """What the range filter and the de-duplication of grades look at: Nota and Competencia."""
     cols: dict[str, Column] = {"Nota": parse_grade("Nota", _dtype(df, "Nota"))}
     if "Competencia" in df.columns:
         cols["Competencia"] = normalize_competency("Competencia")
-    cols["Peso"] = parse_weight("Peso", _dtype(df, "Peso")) if "Peso" in df.columns else F.lit(1.0)
+    return df.withColumns(cols)
+
+
+def parse_grade_details(df: DataFrame) -> DataFrame:
+    """Peso and Fecha."""
+    cols: dict[str, Column] = {"Peso": parse_weight("Peso", _dtype(df, "Peso")) if "Peso" in df.columns else F.lit(1.0)}
     if "Fecha" in df.columns:
         cols["Fecha"] = parse_date("Fecha", _dtype(df, "Fecha"))
     return df.withColumns(cols)
@@ -157,10 +176,11 @@ def clean_attendance(df: DataFrame) -> DataFrame:
     return dedup_first(parse_attendance(df), ATTENDANCE_KEYS)
 
 
-def clean_grades(df: DataFrame) -> DataFrame:
+def clean_grades(df: DataFrame, keys: list[str] = GRADE_KEYS) -> DataFrame:
     """Parse, keep 0 <= Nota <= 10, then the first row per existing subset of
-    (IDEstudiante, CursoID, Evaluacion, Competencia)."""
-    return dedup_first(filter_grade_range(parse_grades(df)), GRADE_KEYS)
+    (IDEstudiante, CursoID, Evaluacion, Competencia). Weights and dates are parsed
+    behind the exchange of the de-duplication, for the rows that stay."""
+    return parse_grade_details(dedup_first(parse_grade_keys(df), keys, valid=grade_in_range("Nota")))
 
 
 def of_course(df: DataFrame, course: str | None) -> DataFrame:
@@ -174,15 +194,19 @@ def prepare_attendance(df: DataFrame, course: str | None = None) -> DataFrame:
     return clean_attendance(anonymize(of_course(require_columns(df, ATTENDANCE_REQUIRED, "Asistencia"), course)))
 
 
-def identified_grades(df: DataFrame) -> DataFrame:
-    """Map columns -> generate id/course/evaluation. Generated ids depend on the names of all courses."""
-    return gen_evaluation(gen_course_id(gen_student_id(map_columns(df))))
-
-
 def prepare_grades(df: DataFrame, course: str | None = None) -> DataFrame:
-    """Map columns -> generate id/course/evaluation -> required columns -> one course, if asked for ->
-    anonymise -> clean (the grades load path)."""
-    return clean_grades(anonymize(of_course(require_columns(identified_grades(df), GRADES_REQUIRED, "Calificaciones"), course)))
+    """Map columns -> generate course/evaluation -> required columns -> one course, if asked for -> clean -> generate ids ->
+    anonymise (the grades load path).
+
+    Generated ids stand for names one to one (null for null), so rows are de-duplicated by name and only those that stay
+    are joined with the ids; these rank the names of all rows and courses."""
+    rows = gen_evaluation(gen_course_id(map_columns(df)))
+    if "IDEstudiante" in rows.columns or "NombreEstudiante" not in rows.columns:
+        return clean_grades(anonymize(of_course(require_columns(rows, GRADES_REQUIRED, "Calificaciones"), course)))
+    require_columns(rows, [c for c in GRADES_REQUIRED if c != "IDEstudiante"], "Calificaciones")
+    named = anonymize(of_course(rows, course), [c for c in SENSITIVE_COLUMNS if c != "NombreEstudiante"])
+    first = clean_grades(named, ["NombreEstudiante" if k == "IDEstudiante" else k for k in GRADE_KEYS])
+    return anonymize(gen_student_id(first, names_of=rows))
 
 
 # ---------------------------------------------------------------------------
