@@ -157,3 +157,37 @@ def test_hot_segments_and_keys_are_broadcast(spark, monkeypatch):
     docs = spark.createDataFrame([(*r, "c", 1, 2, 3) for r in rows], SCHEMA).repartition(4)
     got = sorted(tuple(r)[1:5] for r in sd.repeats(docs, hot_segments=4).collect())
     assert got == sorted(plain([t for _, t in rows]))
+
+
+def test_words_leave_no_memory():
+    """A worker keeps nothing of the words that it has hashed, however many different ones it meets."""
+    import tracemalloc
+
+    sd.word_keys("warm up")
+    tracemalloc.start()
+    try:
+        for i in range(40):
+            assert len(sd.word_keys(" ".join(f"w{i}x{j}" for j in range(5000)))) == 5000 * sd.WORD_BYTES
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held < 4 << 20
+    assert sd.word_keys("a b\x1cc\x85 d\n\x0b\x0c e") == b"".join(sd.xxhash.xxh64_digest(w.encode(), 7) for w in ("a", "b\x1cc\x85", "d", "e"))
+
+
+def test_passages_hold_the_text_once(spark, monkeypatch):
+    """The exchange that brings documents and their covers together carries each text in its row only."""
+    seen = []
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(60)), "s"), (2, None, "s"), (3, " ".join(f"w{i}" for i in range(60)), "t")],
+                                 "doc_id long, text string, source string")
+    cls = type(docs)
+    real = cls.mapInArrow
+
+    def spy(self, func, schema, *args, **kwargs):
+        seen.append(self.columns)
+        return real(self, func, schema, *args, **kwargs)
+
+    monkeypatch.setattr(cls, "mapInArrow", spy)
+    rows = sd.without_passages(docs).collect()
+    assert [(r["doc_id"], r["text"], r["source"]) for r in rows] == [(2, None, "s")]
+    assert ["row", "covers"] in seen

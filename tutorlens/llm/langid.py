@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, ids_and_text, written
+from .common import documents, ids_and_text, values, written
 
 FIT_DOCS = 500
 FIT_FILES = 64
 ROUNDS = 3
 UNKNOWN = 1e-7        # probability of a character that no piece covers
 SMOOTHING = 0.05      # weight of the mean over languages in each language's probabilities
-MAX_MEMO = 600_000    # distinct words whose scores a task holds
+MAX_MEMO = 200_000    # distinct words whose scores a task holds
 BLOCK_WORDS = 200_000  # words of neighbouring texts that are looked up together
 UNDETERMINED = "und"
 NEW_CHARACTER = 0.01  # share of a character of the vocabulary that no training word holds, in the character model
@@ -311,7 +311,7 @@ def with_language(docs: DataFrame, pieces: Pieces) -> DataFrame:
         for batch in batches:
             total, n_words = np.zeros((batch.num_rows, pieces.columns)), np.zeros(batch.num_rows, np.int64)
             held, size = [], 0
-            for at, text in enumerate(batch.column(1).to_pylist()):
+            for at, text in enumerate(values(batch.column(0).field(place) if inside else batch.column(1))):
                 words = words_of(text or "") if k else []
                 n_words[at] = len(words)
                 for lo in range(0, len(words), BLOCK_WORDS):
@@ -329,8 +329,11 @@ def with_language(docs: DataFrame, pieces: Pieces) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["row", "lang_pred", "score"])
 
+    # a text that is a string travels inside the row alone: batches hold it once
+    inside = dict(docs.dtypes).get("text") == "string"
+    place = docs.columns.index("text") if inside else None
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-                       F.col("text").cast("string").alias("text"))
+                       *([] if inside else [F.col("text").cast("string").alias("text")]))
     return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()),
                                               T.StructField("score", T.DoubleType())]))
 
