@@ -70,3 +70,21 @@ def test_one_course_reads_its_own_folder(spark, school, tmp_dir):
     assert [os.path.basename(os.path.dirname(f)) for f in read_course(spark, f"{tmp_dir}/a", att.schema, "02").inputFiles()] != []
     assert {r[0] for r in read_course(spark, f"{tmp_dir}/a", att.schema, "02").select("_metadata.file_path").distinct().collect()
             if "_curso=02" not in r[0]} == set()
+
+
+def test_report_set_cleans_the_tables_once(spark, school, monkeypatch, tmp_dir):
+    """Both sets of the query come from one pass over the cleaned tables."""
+    from tutorlens.plans import registry
+    st = student_table(clean.clean_attendance(school[0]), clean.clean_grades(school[1]))
+    passed = spark.sparkContext.accumulator(0)
+    names = st.columns
+
+    def counted(batches):
+        for batch in batches:
+            passed.add(batch.num_rows)
+            yield batch
+
+    rows = st.mapInArrow(counted, st.schema).select(*names)
+    monkeypatch.setattr(registry, "students", lambda spark, sf: rows)
+    found = {r["tabla"]: r["filas"] for r in registry.REGISTRY["report_set"](spark, "").collect()}
+    assert found["estudiantes"] == found["listado"] == 5 and passed.value == 5

@@ -660,11 +660,12 @@ def q_write_report_tables(spark, sf):
 
 @query("report_set")
 def q_report_set(spark, sf):
-    """Two report sets written one after the other; readers find the tables of the newer one through its manifest."""
+    """Two report sets written one after the other, from one written student table; readers find the tables of the newer one
+    through its manifest."""
     from ..session import scratch_path
-    from ..sources.sinks import current_report_set, write_report_set, written_row_counts
+    from ..sources.sinks import current_report_set, kept_students, write_report_set, written_row_counts
     base = scratch_path(spark, "conjuntos")
-    st = students(spark, sf)
+    st = kept_students(students(spark, sf), scratch_path(spark, "estudiantes"))
     write_report_set(spark, st.where(F.col("CursoID") == "C1"), base)
     write_report_set(spark, st, base)
     paths, fmt = current_report_set(spark, base)

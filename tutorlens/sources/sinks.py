@@ -40,6 +40,13 @@ def read_table(spark: SparkSession, path: str, fmt: str, schema=None) -> DataFra
     return (reader.option("header", True) if fmt == "csv" else reader).load(path)
 
 
+def kept_students(students: DataFrame, path: str) -> DataFrame:
+    """The student table written to ``path`` and read back: report sets of several courses or of all students can be made from
+    it, and cleaning and per-student work run once for all of them."""
+    students.write.parquet(path)
+    return read_table(students.sparkSession, path, "parquet", students.schema)
+
+
 def write_report_tables(spark: SparkSession, students: DataFrame, out_dir: str, fmt: str = "parquet",
                         predictions: DataFrame | None = None, extra: dict[str, DataFrame] | None = None,
                         overwrite: bool = False) -> dict[str, str]:
