@@ -109,3 +109,26 @@ def test_labels_without_scores_fall_back(spark):
     cl = spark.createDataFrame([("a", 0)], "IDEstudiante string, Cluster int")
     assert ml.label_clusters(feats, cl).first()["NivelRiesgoML"] == "ALERTA"
     _ = mean_2dp
+
+
+def test_silhouette_sends_a_vector_once_for_each_tile(spark, monkeypatch):
+    """However small the steps are, a vector goes to at most TILES tiles, and the sums of distances stay the same."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(-3_000_000, 3_000_000, (70, 3))
+    rows = [(i, 1 + i % 3, *map(int, x[i]), [i % 2, i % 3]) for i in range(70)]
+    points = spark.createDataFrame(rows, "vid long, w long, x0 long, x1 long, x2 long, labels array<int>").repartition(3)
+    cls, sent = type(points), []
+    real = cls.mapInArrow
+    monkeypatch.setattr(cls, "mapInArrow", lambda self, *a, **k: sent.append(self) or real(self, *a, **k))
+
+    def sums():
+        return sorted(map(tuple, kmeans.distance_sums(points, 3, [2, 3]).collect()))
+
+    whole = sums()
+    monkeypatch.setattr(kmeans, "BLOCK_ROWS", 2)
+    assert sums() == whole and len(whole) == 70 * 5
+    assert sent[-1].count() <= 70 * 16 and max(r["n"] for r in sent[-1].groupBy("vid").count().withColumnRenamed("count", "n").collect()) <= 16
+    w, far = np.array([r[1] for r in rows]), np.rint(np.sqrt(((x[:, None] - x[None]).astype(float) ** 2).sum(axis=2)))
+    for vid, fit, cluster, total, _ in whole:
+        own = np.arange(70) % (2 + fit) == cluster
+        assert int(total) == int((far[vid] * w)[own].sum())

@@ -21,7 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SCALE = 1_000_000
-BLOCK_ROWS = 2048      # vectors of a block of the silhouette
+BLOCK_ROWS = 2048      # vectors that a step of the silhouette measures against as many others
+TILES = 16             # tiles of the silhouette, more only where one would hold over TILE_ROWS vectors
+TILE_ROWS = 1 << 16
 UNIT = 1_000_000_000   # silhouettes of vectors are added up in whole numbers of 1/UNIT
 FAR = 1e300
 
@@ -155,12 +157,18 @@ def fit_best(points: DataFrame, dim: int, ks: list[int], random_state: int, n_in
 PAIR = "vid long, fit int, cluster int, far long, far_sq long"
 
 
+def tiles(n: int) -> int:
+    return max(1, min(TILES, -(-n // BLOCK_ROWS)), -(-n // TILE_ROWS))
+
+
 def distance_sums(points: DataFrame, dim: int, sizes: list[int]) -> DataFrame:
     """points(vid, w, x0.., labels: array, one label for each fit) -> vid, fit, cluster, and the sums of the distances (far: 1/SCALE
     z units, each rounded; far_sq: squared ones) from the vector to all rows of the cluster.
 
-    Vectors are dealt into blocks of about BLOCK_ROWS; each pair of blocks is a task's work, done once for both sides."""
-    blocks = max(1, -(-points.count() // BLOCK_ROWS))
+    Vectors are dealt into TILES tiles (fewer of about BLOCK_ROWS vectors, more of about TILE_ROWS); each pair of tiles is a
+    task's work, done once for both sides in steps of BLOCK_ROWS. A task adds up its steps and returns one sum for each
+    vector, fit and cluster, so a vector is sent, and its sums come back, once for each tile and not once for each block."""
+    blocks = tiles(points.count())
     own = F.pmod(F.xxhash64("vid"), F.lit(blocks)).cast("int")
     paired = points.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
         F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "vid", "w",
@@ -189,32 +197,49 @@ def distance_sums(points: DataFrame, dim: int, sizes: list[int]) -> DataFrame:
         vid, w = rows["vid"].to_numpy(), rows["w"].to_numpy().astype(np.float64)
         x = np.array(rows["x"].combine_chunks().flatten(), np.float64).reshape(len(vid), dim)
         labels = np.array(rows["labels"].combine_chunks().flatten()).reshape(len(vid), len(sizes))
+        member = np.concatenate([(labels[:, [fit]] == np.arange(k)) * w[:, None] for fit, k in enumerate(sizes)], axis=1)
         a, b = np.flatnonzero(block == p), np.flatnonzero(block == q)
-        square = np.maximum((x[a] ** 2).sum(axis=1)[:, None] + (x[b] ** 2).sum(axis=1)[None, :] - 2 * (x[a] @ x[b].T), 0)
-        for far, far_sq, left, right in [(np.rint(np.sqrt(square)), np.rint(square / SCALE), a, b)]:
-            yield from sums(far, far_sq, left, right, vid, w, labels)
-            if p != q:
-                yield from sums(far.T, far_sq.T, right, left, vid, w, labels)
-
-    def sums(far, far_sq, left, right, vid, w, labels):
-        """Whole numbers below 2^53 a block, so floating-point products are exact."""
-        for fit, k in enumerate(sizes):
-            member = (labels[right, fit][:, None] == np.arange(k)) * w[right][:, None]
-            one, two = far @ member, far_sq @ member
+        far, far_sq = np.zeros((2, len(vid), member.shape[1]), np.int64)
+        for left in steps(a):
+            for right in steps(b):
+                square = np.maximum((x[left] ** 2).sum(axis=1)[:, None] + (x[right] ** 2).sum(axis=1)[None, :] - 2 * (x[left] @ x[right].T), 0)
+                # whole numbers below 2^53 a step, so floating-point products are exact
+                for total, d in ((far, np.rint(np.sqrt(square))), (far_sq, np.rint(square / SCALE))):
+                    total[left] += (d @ member[right]).astype(np.int64)
+                    if p != q:
+                        total[right] += (d.T @ member[left]).astype(np.int64)
+        fit = np.repeat(np.arange(len(sizes)), sizes)
+        cluster = np.concatenate([np.arange(k) for k in sizes])
+        for own in steps(np.arange(len(vid))):
             yield pa.record_batch({
-                "vid": pa.array(np.repeat(vid[left], k)), "fit": pa.array(np.full(len(left) * k, fit), pa.int32()),
-                "cluster": pa.array(np.tile(np.arange(k), len(left)), pa.int32()),
-                "far": pa.array(one.astype(np.int64).ravel()), "far_sq": pa.array(two.astype(np.int64).ravel())})
+                "vid": pa.array(np.repeat(vid[own], len(fit))), "fit": pa.array(np.tile(fit, len(own)), pa.int32()),
+                "cluster": pa.array(np.tile(cluster, len(own)), pa.int32()),
+                "far": pa.array(far[own].ravel()), "far_sq": pa.array(far_sq[own].ravel())})
+
+    def steps(at: np.ndarray) -> list[np.ndarray]:
+        return [at[lo:lo + BLOCK_ROWS] for lo in range(0, len(at), BLOCK_ROWS)]
 
     return paired.repartition("p", "q").sortWithinPartitions("p", "q").mapInArrow(run, PAIR).groupBy("vid", "fit", "cluster").agg(
         F.sum(F.col("far").cast("decimal(38,0)")).alias("far"), F.sum(F.col("far_sq").cast("decimal(38,0)")).alias("far_sq"))
 
 
+def labels_of(points: DataFrame, dim: int, fits: list[Fit]) -> DataFrame:
+    """points with labels, an array of the nearest centre under each fit. Written: three steps read it, and each distance is one
+    column of one projection (in one expression they made a method too large to compile)."""
+    from ..session import scratch_path
+    spark, path = points.sparkSession, scratch_path(points.sparkSession, "ml-labels")
+    columns = ["vid", "w", *[f"x{i}" for i in range(dim)]]
+    far = [distances(F.expr(flat(f.centres, len(f.centres), dim)), dim, len(f.centres)).alias(f"d{i}") for i, f in enumerate(fits)]
+    out = points.select(*columns, *far).select(*columns, F.array(*[nearest_of(F.col(f"d{i}")) for i in range(len(fits))]).alias("labels"))
+    out.write.parquet(path)
+    return spark.read.schema(out.schema).parquet(path)
+
+
 def silhouettes(points: DataFrame, dim: int, fits: list[Fit]) -> list[tuple[float, float]]:
     """Mean silhouette of each fit over all rows, with Euclidean and with squared Euclidean distances. A row alone in its cluster has 0.
     Exact: every pair of distinct vectors is measured, so the work grows with the square of their number."""
     sizes = [len(f.centres) for f in fits]
-    labelled = points.select("vid", "w", *[f"x{i}" for i in range(dim)], F.array(*[nearest(f.centres, dim) for f in fits]).alias("labels"))
+    labelled = labels_of(points, dim, fits)
     own = labelled.select("vid", "w", F.posexplode("labels").alias("fit", "label"))
     count: dict[tuple[int, int], int] = {(r["fit"], r["label"]): r["n"] for r in own.groupBy("fit", "label").agg(
         F.sum("w").alias("n")).collect()}
