@@ -3,6 +3,7 @@
 import random
 
 from tutorlens.config import DEFAULT_THRESHOLDS
+from tutorlens.operators import extras
 from tutorlens.operators.extras import threshold_what_if, what_if_counts
 
 SCHEMA = "nivel_riesgo_asistencia string, asist_porcentaje_asistencia double, nivel_riesgo_rendimiento string, rend_nota_media double"
@@ -63,3 +64,15 @@ def test_no_students_and_table_size(spark):
     for _ in range(3):
         many = many.unionAll(many)
     assert what_if_counts(many).count() == what_if_counts(same).count()      # grows with cells, not with students
+
+
+def test_a_prefix_is_counted_once_for_all_sets(spark, monkeypatch):
+    """Sets that ask for the same prefixes add no rows to the step that adds up blocks."""
+    rng = random.Random(4)
+    rows = random_rows(rng, 40)
+    sets = [dict(DEFAULT_THRESHOLDS, nota_riesgo=float(i % 2)) for i in range(60)]
+    asked = []
+    real = extras.prefix_counts
+    monkeypatch.setattr(extras, "prefix_counts", lambda st, pairs: asked.append(pairs) or real(st, pairs))
+    assert got(threshold_what_if(spark.createDataFrame(rows, SCHEMA), sets)) == direct(rows, sets)
+    assert asked[0].count() <= 2 * len(ORDER)

@@ -124,13 +124,24 @@ def what_if_counts(students: DataFrame) -> DataFrame:
             .groupBy("na", "ng").agg(F.sum("n").alias("n")))
 
 
+def prefix_counts(students: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(pa, pg, n): students in the first pa places of attendance and the first pg of marks, for distinct ``pairs``; prefixes
+    without a student have no row."""
+    marks = pairs.select("pg").distinct().select("pg", F.explode(_nodes_of_prefix("pg", NOTA_LEVELS)).alias("ng"))
+    lines = what_if_counts(students).join(F.broadcast(marks), "ng").groupBy("na", "pg").agg(F.sum("n").alias("n"))
+    return (pairs.select("pa", "pg", F.explode(_nodes_of_prefix("pa", PCT_LEVELS)).alias("na"))
+            .join(lines, ["na", "pg"]).groupBy("pa", "pg").agg(F.sum("n").alias("n")))
+
+
 def threshold_what_if(students: DataFrame, sets: list[dict] | DataFrame) -> DataFrame:
     """Level distribution under any number of threshold sets: rows (conjunto, nivel, estudiantes), also of 0 students.
 
     ``sets``: dicts (conjunto = position), or a table with a unique ``conjunto`` and the thresholds as columns. Students are
     read once, into the count table of ``what_if_counts``. A level no worse than s means that both values pass all limits of
-    the levels worse than s: a count over a prefix of both axes, that is a sum over at most 14 x 10 blocks, found by an
-    equi-join. The trend's thresholds do not enter. Values have two decimals (as the student table has them); what lies outside
+    the levels worse than s: a count over a prefix of both axes. Each distinct prefix is counted once, however many sets ask for
+    it: first the blocks of marks (at most 10 for each of the scale's 1,004 prefixes, a broadcast table) are added up for
+    each attendance block, then at most 14 of these sums for each prefix, found by an equi-join. The number of distinct
+    prefixes and of sums is bounded by the grid; what is left for a set is a join of four rows. The trend's thresholds do not enter. Values have two decimals (as the student table has them); what lies outside
     0..100 % or 0..10 stands at the edge of the grid."""
     if not isinstance(sets, DataFrame):
         sets = threshold_frame(students.sparkSession, sets)
@@ -141,10 +152,9 @@ def threshold_what_if(students: DataFrame, sets: list[dict] | DataFrame) -> Data
         pa = F.least(F.lit(PCT_TOP + 4), *[_passing(F.col(a), PCT_TOP) for a, _ in worse]) if worse else F.lit(PCT_TOP + 4)
         pg = F.least(F.lit(NOTA_TOP + 4), *[_passing(F.col(g), NOTA_TOP) for _, g in worse]) if worse else F.lit(NOTA_TOP + 4)
         corners.append(F.struct(F.lit(severity).alias("s"), pa.alias("pa"), pg.alias("pg")))
-    asked = (sets.select("conjunto", F.inline(F.array(*corners)))
-             .select("conjunto", "s", "pg", F.explode(_nodes_of_prefix("pa", PCT_LEVELS)).alias("na"))
-             .select("conjunto", "s", "na", F.explode(_nodes_of_prefix("pg", NOTA_LEVELS)).alias("ng")))
-    upto = asked.join(what_if_counts(students), ["na", "ng"], "left").groupBy("conjunto").agg(*[
+    asked = sets.select("conjunto", F.inline(F.array(*corners)))
+    found = prefix_counts(students, asked.select("pa", "pg").distinct())
+    upto = asked.join(found, ["pa", "pg"], "left").groupBy("conjunto").agg(*[
         F.coalesce(F.sum(F.when(F.col("s") == s, F.col("n"))), F.lit(0)).alias(f"_{s}") for s in range(len(LEVELS_BY_SEVERITY))])
     return upto.select("conjunto", F.inline(F.array(*[
         F.struct(F.lit(level).alias("nivel"), (F.col(f"_{s}") - (F.col(f"_{s - 1}") if s else F.lit(0))).cast("long").alias("estudiantes"))
